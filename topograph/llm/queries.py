@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topograph.llm import langid
+from topograph.llm import audio, langid, toxicity
+from topograph.workers import reach
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id,)}
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, toxicity.labelled(_table(spark, sf_dir, "labels")))
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_audio_features, op9_toxicity_chain)}
 SQL: dict[str, str] = {}

@@ -108,9 +108,9 @@ def split(text: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]
         lo = hi
 
 
-def words(buf: np.ndarray, bounds: np.ndarray) -> Words:
-    """Words of rows laid end to end in buf, row i at bounds[i]:bounds[i+1]."""
-    space = SPACE[buf]
+def words(buf: np.ndarray, bounds: np.ndarray, parting: np.ndarray = SPACE) -> Words:
+    """Words of rows laid end to end in buf, row i at bounds[i]:bounds[i+1]; parting: the bytes between words."""
+    space = parting[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[bounds] = True
     before = np.ones(len(buf) + 1, dtype=bool)
