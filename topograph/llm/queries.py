@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, langid, toxicity
+from topograph.llm import audio, langid, topk, toxicity
 from topograph.workers import reach
 
 
@@ -13,6 +13,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -27,5 +43,5 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_audio_features, op9_toxicity_chain)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_language_id, op4_audio_features, op9_toxicity_chain)}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
