@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, langid, topk, toxicity
+from topograph.llm import audio, bpe, langid, topk, toxicity
 from topograph.workers import reach
 
 
@@ -29,6 +29,10 @@ WITH v AS (
 ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_language_id, op4_audio_features, op9_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op9_toxicity_chain)}
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}

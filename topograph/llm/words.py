@@ -80,6 +80,30 @@ class Words:
         return self.buf[self.bounds[row] : self.bounds[row + 1]].tobytes().split()
 
 
+def string_hashes(strings: pa.Array, limit: int = CHUNK) -> np.ndarray:
+    """64-bit hash of each whole string; a word hashes as in Words.hashes()."""
+    out = [np.zeros(0, np.uint64)]
+    for data, off in _parts(strings, limit):
+        n = len(off) - 1
+        out.append(Words(data, off, off[:-1], off[1:], np.arange(n + 1)).hashes())
+    return np.concatenate(out)
+
+
+def _parts(text: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bounds) of consecutive rows of at most `limit` bytes, or of one longer row."""
+    if text.null_count:
+        text = text.fill_null("")
+    text = text.cast(pa.large_string())
+    n = len(text)
+    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        yield data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        lo = hi
+
+
 def ngrams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of n consecutive words that stay within a row, each one's first word, and offsets by row."""
     counts = np.maximum(np.diff(offsets) - n + 1, 0)
@@ -95,17 +119,10 @@ def split(text: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Words]
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
     if pa.types.is_dictionary(text.type):
         text = text.dictionary_decode()
-    if text.null_count:
-        text = text.fill_null("")
-    text = text.cast(pa.large_string())
-    n = len(text)
-    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1] if n else np.zeros(1, np.int64)
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
     lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-        yield lo, hi, words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        lo = hi
+    for data, bounds in _parts(text, limit):
+        yield lo, lo + len(bounds) - 1, words(data, bounds)
+        lo += len(bounds) - 1
 
 
 def words(buf: np.ndarray, bounds: np.ndarray, parting: np.ndarray = SPACE) -> Words:
