@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, langid, topk, toxicity
+from topograph.llm import audio, bpe, langid, token_file, topk, toxicity
 from topograph.workers import reach
 
 
@@ -41,11 +41,15 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, toxicity.labelled(_table(spark, sf_dir, "labels")))
     return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op9_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op8_token_files, op9_toxicity_chain)}
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
