@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, langid, token_file, topk, toxicity
+from topograph.llm import audio, bpe, langid, mixing, token_file, topk, toxicity
 from topograph.workers import reach
 
 
@@ -41,6 +41,38 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = mixing.mix(_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "source", F.col("_pass").alias("pass"), F.col("_at_block").alias("block"), F.col("_at_slot").alias("slot"))
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+), k AS (
+  SELECT doc_id, source, n, CAST('0x' || substr(h, 1, 3) AS BIGINT) AS block, CAST('0x' || substr(h, 4, 12) AS BIGINT) AS slot FROM d
+), s AS (
+  SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM k GROUP BY source
+), a AS (
+  SELECT max(tokens) AS most, CASE WHEN max(tokens) <= 1.5 * min(tokens) FILTER (tokens > 0) THEN 0.0 ELSE 1 - ln(1.5) / ln(max(tokens) / min(tokens) FILTER (tokens > 0)) END AS alpha FROM s
+), b AS (
+  SELECT source, tokens, CASE WHEN tokens > 0 THEN CAST(floor(tokens * pow(CAST(most AS DOUBLE) / tokens, 1 - alpha) + 1e-6) AS BIGINT) ELSE 0 END AS due FROM s, a
+), p AS (
+  SELECT source, tokens, CASE WHEN tokens > 0 THEN due // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN due % tokens ELSE 0 END AS rest FROM b
+), t AS (
+  SELECT source, passes, rest, md5('17:pass' || CAST(passes + 1 AS VARCHAR)) AS h FROM p
+), r AS (
+  SELECT k.doc_id, k.source, k.block, k.slot, t.passes, t.rest,
+         sum(k.n) OVER (PARTITION BY k.source ORDER BY xor(k.block, CAST('0x' || substr(t.h, 1, 3) AS BIGINT)), xor(k.slot, CAST('0x' || substr(t.h, 4, 12) AS BIGINT)) RANGE UNBOUNDED PRECEDING) AS running
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT doc_id, source, block, slot, unnest(range(1, CAST(passes + CASE WHEN running <= rest THEN 1 ELSE 0 END AS BIGINT) + 1)) AS pass FROM r
+)
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass,
+       xor(block, CAST('0x' || substr(md5('17:pass' || CAST(pass AS VARCHAR)), 1, 3) AS BIGINT)) AS block,
+       xor(slot, CAST('0x' || substr(md5('17:pass' || CAST(pass AS VARCHAR)), 4, 12) AS BIGINT)) AS slot FROM e"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +83,5 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op8_token_files, op9_toxicity_chain)}
-SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op6_temperature_mix, op8_token_files, op9_toxicity_chain)}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_temperature_mix": OP6_SQL}
