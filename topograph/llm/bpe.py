@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Each text is cut into pre-tokens (words) by the tokenizer's pattern. A block, which is one Arrow batch of texts,
+Each text is cut into pre-tokens (words) by the tokenizer's pattern. A block, which is part of an Arrow batch of texts,
 numbers its distinct words and keeps, for each text, the words' numbers in order of position. The distinct words of
 all blocks are dealt by hash, so that each distinct word is encoded once; its ids go back to the blocks that hold
 it, and each block puts its texts together by position. Decoding joins the token-byte table, which is as large as
@@ -39,6 +39,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN
 MOST_PARTS = 4096
 TOKENS_AT_ONCE = 1 << 19
+#: Pre-tokens in a block, but for a longer text; larger blocks send fewer words and take more memory.
+BLOCK_WORDS = 3 << 19
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -106,6 +108,16 @@ class Block:
             yield p, self.names.take(pa.array(order[at[p] : at[p + 1]]))
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most BLOCK_WORDS words, or one row with more."""
+    ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = done = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo, done = hi, int(ends[hi - 1])
+
+
 @lru_cache(2)
 def _encoder(ranks: frozenset, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
@@ -119,13 +131,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     cut = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(blocks, batches)):
             block = Block(b.column("words"), parts)
             for p, names in block.dealt(parts):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([block.key], pa.int64()), "words": pa.array([pack_strings(names)], pa.binary())})
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(blocks, batches)):
             block = Block(b.column("words"), parts)
             held = {"block": pa.array([block.key], pa.int64()), "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(held | {k: pa.array([pack_numbers(v)], pa.binary()) for k, v in (("counts", block.counts), ("numbers", block.numbers), ("parts", block.part))})
