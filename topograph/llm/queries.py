@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, langid, mixing, token_file, topk, toxicity
+from topograph.llm import audio, bpe, langid, mixing, scoring, token_file, topk, toxicity
 from topograph.workers import reach
 
 
@@ -83,5 +83,9 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op6_temperature_mix, op8_token_files, op9_toxicity_chain)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_corpus(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op6_temperature_mix, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_temperature_mix": OP6_SQL}
