@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, langid, mixing, scoring, token_file, topk, toxicity
+from topograph.llm import audio, bpe, jaccard, langid, mixing, scoring, token_file, topk, toxicity
 from topograph.workers import reach
 
 
@@ -41,6 +41,10 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.mix(_table(spark, sf_dir, "documents"))
     return x.select("doc_id", "source", F.col("_pass").alias("pass"), F.col("_at_block").alias("block"), F.col("_at_slot").alias("slot"))
@@ -87,5 +91,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op6_temperature_mix, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_temperature_mix": OP6_SQL}
