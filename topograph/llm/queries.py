@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, jaccard, langid, mixing, scoring, token_file, topk, toxicity
+from topograph.llm import audio, bpe, jaccard, langid, mixing, scoring, substrings, token_file, topk, toxicity
 from topograph.workers import reach
 
 
@@ -77,6 +77,10 @@ SELECT doc_id, source, CAST(pass AS INTEGER) AS pass,
        xor(slot, CAST('0x' || substr(md5('17:pass' || CAST(pass AS VARCHAR)), 4, 12) AS BIGINT)) AS slot FROM e"""
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -91,5 +95,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op7_substring_dedup, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
 SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_temperature_mix": OP6_SQL}
