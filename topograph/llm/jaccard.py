@@ -269,9 +269,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("node", "component", "copies", "blocks")), pa.array(held, pa.binary())], ["node", "component", "copies", "blocks", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id (the least doc_id that it is linked to, by any number of steps) and n_links (the number of
-    other rows at or over the threshold) of every row."""
+def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """doc_id and node of every row, with the node's least doc_id, copies, shingles, links, and the class's lead."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select("doc_id", "text", node(F.col("text")).alias("node"))
@@ -301,12 +300,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     links = verified.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = classes.join(nodes.select("node", "rep"), "node")
-    classes = classes.join(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("node", "class_id")
-
+    leads = classes.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("lead"))
+    classes = classes.join(leads, "component").select("node", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead"))
     out = nodes.select("node", "rep", "copies", "n").join(classes, "node", "left").join(links, "node", "left")
-    rows = docs.select("doc_id", node(F.col("text")).alias("node")).join(out, "node")
-    return rows.select(
+    return docs.select("doc_id", node(F.col("text")).alias("node")).join(out, "node")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, class_id (the least doc_id that it is linked to, by any number of steps) and n_links (the number of
+    other rows at or over the threshold) of every row."""
+    return _classified(docs, threshold, tolerance).select(
         "doc_id",
         F.when(F.col("n") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of docs, all columns kept, without those of a class's other documents: the least doc_id stays, and of
+    rows that repeat it and its text, one. Texts without words all stay."""
+    path = shared_folder(docs.sparkSession)
+    rows = _classified(docs, threshold, tolerance)
+    stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("rep")) & (F.coalesce("lead", "node") == F.col("node")))
+    again = rows.groupBy("doc_id", "node").agg(F.first(stays).alias("stays"), ((F.count("*") > 1) & (F.first("n") > 0)).alias("repeats")).where("not stays or repeats")
+    again.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "repeats", "stays").write.parquet(path)
+    other = docs.sparkSession.read.parquet(path)
+    few = other.count() <= MOST_BROADCAST
+    named = docs.withColumn("_node", node(F.col("text")))
+
+    def match(frame: DataFrame) -> tuple[DataFrame, Column]:
+        frame = frame.select("_doc", F.col("_node").alias("_other"))
+        return F.broadcast(frame) if few else frame, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_node") == F.col("_other"))
+
+    kept = named.join(*match(other), "left_anti").drop("_node")
+    twice = other.where("stays and repeats")
+    if not twice.isEmpty():
+        kept = kept.unionByName(named.join(*match(twice), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node"))
+    return kept
