@@ -18,7 +18,7 @@ table gives no rows. Ids are bytes: little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from topograph.llm.words import string_hashes
+from topograph.workers import thrifty, thrifty_group, thrifty_pair
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN
 MOST_PARTS = 4096
 TOKENS_AT_ONCE = 1 << 19
 #: Pre-tokens in a block, but for a longer text; larger blocks send fewer words and take more memory.
-BLOCK_WORDS = 3 << 19
+BLOCK_WORDS = 1 << 20
+SLICE = 1024
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -125,28 +127,43 @@ def _encoder(ranks: frozenset, pattern: str) -> tiktoken.Encoding:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = PATTERN, parts: int | None = None) -> DataFrame:
     """doc_id and ids (bytes) of every whole text."""
-    spark = docs.sparkSession
-    parts = min(MOST_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(frozenset((read_ranks() if ranks is None else ranks).items()))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset((read_ranks() if ranks is None else ranks).items()))
     cut = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
+    def encoder(words: list[str]) -> list[list[int]]:
+        return list(map(_encoder(shared.value, pattern).encode_ordinary, words))
+
+    return encode_words(cut, encoder, parts=parts)
+
+
+def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]], cut: Callable[[pa.Array], pa.Array] | None = None, kind: type = np.uint32, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, parts: int | None = None) -> DataFrame:
+    """doc_id and the ids of its words, end to end, as numbers of one kind; docs has doc_id and one more column, the
+    words, or what `cut` makes words of. encoder: the ids of each of some distinct words. pack: a text's ids as bytes."""
+    parts = min(MOST_PARTS, parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = 2 * SLICE if cut else b.num_rows
+            for lo in range(0, b.num_rows, max(1, step)):  # cutting all rows at once would take more memory
+                part = b.slice(lo, step)
+                yield from blocks(pa.RecordBatch.from_arrays([part.column(0), cut(part.column(1)) if cut else part.column(1)], ["doc_id", "words"]))
+
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chain.from_iterable(map(blocks, batches)):
+        for b in blocks_of(batches):
             block = Block(b.column("words"), parts)
             for p, names in block.dealt(parts):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([block.key], pa.int64()), "words": pa.array([pack_strings(names)], pa.binary())})
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chain.from_iterable(map(blocks, batches)):
+        for b in blocks_of(batches):
             block = Block(b.column("words"), parts)
             held = {"block": pa.array([block.key], pa.int64()), "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(held | {k: pa.array([pack_numbers(v)], pa.binary()) for k, v in (("counts", block.counts), ("numbers", block.numbers), ("parts", block.part))})
 
     def once(table: pa.Table) -> pa.Table:
-        encoder = _encoder(shared.value, pattern)
         held = [unpack_strings(x.as_py()) for x in table.column("words")]
         flat = pa.concat_arrays(held).dictionary_encode()
-        own = encoder.encode_ordinary_batch(flat.dictionary.to_pylist(), num_threads=1)
+        own = encoder(flat.dictionary.to_pylist())
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         ids = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
         starts, numbers = np.cumsum(sizes) - sizes, flat.indices.to_numpy()
@@ -174,7 +191,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
         size, start = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
         size[order] = np.concatenate(sizes)
         start[order] = np.cumsum(size[order]) - size[order]
-        ids, doc_ids, out = np.concatenate(flat), [], []
+        ids, doc_ids, out = np.concatenate(flat).astype(kind), [], []
         for row in left.select(["doc_ids", "counts", "numbers"]).to_pylist():
             doc_ids += row["doc_ids"]
             numbers, ends = unpack_numbers(row["numbers"]), np.cumsum(unpack_numbers(row["counts"]), dtype=np.int64)
@@ -184,13 +201,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
                 mine = numbers[lo : ends[to - 1]]
                 got = ids[_spans(start[mine], size[mine])]
                 cuts = np.concatenate([[0], np.cumsum(size[mine])])[np.concatenate([[lo], ends[at:to]]) - lo]
-                out += [got[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                out += [pack(got[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 at, lo = to, ends[to - 1]
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    encoded = cut.mapInArrow(words, "part int, block bigint, words binary").groupBy("part").applyInArrow(once, "block bigint, part int, ids binary")
-    held = cut.mapInArrow(texts, "block bigint, doc_ids array<bigint>, counts binary, numbers binary, parts binary")
-    return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, "doc_id bigint, ids binary")
+    encoded = docs.mapInArrow(thrifty(words), "part int, block bigint, words binary").groupBy("part").applyInArrow(thrifty_group(once), "block bigint, part int, ids binary")
+    held = docs.mapInArrow(thrifty(texts), "block bigint, doc_ids array<bigint>, counts binary, numbers binary, parts binary")
+    return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(thrifty_pair(join), "doc_id bigint, ids binary")
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -211,7 +228,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFra
                 out = [None if x.as_py() is None else b"".join(map(table.__getitem__, np.frombuffer(x.as_py(), np.uint32).tolist())) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "bytes"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
+    return encoded.mapInArrow(thrifty(run), StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -14,29 +14,30 @@ place each, in order of their ids' bytes. Extra columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from topograph.llm.bpe import _spans
+from topograph.llm.bpe import encode_words
+from topograph.workers import thrifty
 
 TOKENIZER = "word_bpe_49k.json"
 MAGIC = b"EFIDS\0\0\1"
 SAMPLE = 256
 END_ID = 1
-FILE_IDS = 1 << 22
-MOST_WORDS = 1 << 20
+FILE_IDS = 1 << 21
 
 
 class EliasFano:
@@ -137,55 +138,47 @@ class TokenFile:
         )
 
 
-class Encoder:
-    """Texts to ids. Strings between ASCII blanks don't touch each other in this tokenizer, so each is encoded once
-    and kept, up to MOST_WORDS of them. (Its normalizer and its pre-tokenizer never look across a blank.)"""
-
-    def __init__(self, definition: str):
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.held: dict[str, list[int]] = {}
-
-    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of each text, all ids end to end)."""
-        cut = pc.split_pattern_regex(text.fill_null("").cast(pa.large_string()), r"[\x20\x09-\x0D]+")
-        flat = cut.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        new = [x for x in names if x not in self.held]
-        if len(self.held) + len(new) > MOST_WORDS:
-            self.held, new = {}, names
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.held.update(zip(part, (x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        own = [self.held[x] for x in names]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        ids = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
-        starts, numbers = np.cumsum(sizes) - sizes, flat.indices.to_numpy()
-        per = np.concatenate([[0], np.cumsum(sizes[numbers])])
-        ends = np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))
-        return np.diff(per[ends], prepend=0), ids[_spans(starts[numbers], sizes[numbers])]
+@lru_cache(1)
+def _tokenizer(definition: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
+    return Tokenizer.from_str(definition)
 
 
-@lru_cache(1)
-def _encoder(definition: str) -> Encoder:
-    return Encoder(definition)
+def id_kind(t: Tokenizer) -> type:
+    return np.uint16 if max(t.get_vocab(True).values()) < 1 << 16 else np.uint32
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Ids as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.itemsize).T).tobytes())
+
 
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every whole text, with end_id at the end."""
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (packed; 16-bit, or 32-bit for a large vocabulary) of every whole text.
+
+    This kind of tokenizer never looks across an ASCII blank: its normalizer and its pre-tokenizer work within the
+    strings between them. So these strings are the words of bpe.encode_words(), which encodes each distinct one once.
+    """
     with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        definition = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    kind = id_kind(Tokenizer.from_str(definition))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(shared.value), np.array([end_id], np.uint32).tobytes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                sizes, ids = encoder(part.column("text"))
-                ends = np.cumsum(sizes)
-                out = [ids[z - n : z].tobytes() + end for n, z in zip(sizes, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+    def encoder(words: list[str]) -> list[list[int]]:
+        t, out = _tokenizer(shared.value), []
+        for lo in range(0, len(words), 4096):
+            out += [x.ids for x in t.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def cut(text: pa.Array) -> pa.Array:
+        return pc.ascii_split_whitespace(text.fill_null("").cast(pa.large_string()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return encode_words(docs.select("doc_id", "text"), encoder, cut, kind, pack)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -194,19 +187,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def write(encoded: DataFrame, path: str, cuts: list[int], file_ids: int = FILE_IDS) -> None:
-    """Writes (doc_id, ids) as files of about file_ids ids in order of doc_id; cuts: where partitions part."""
+def write(encoded: DataFrame, path: str, cuts: list[int], kind: type = np.uint16, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
+    """Writes (doc_id, ids) as files of about file_ids ids in order of doc_id, each document with end_id at its end;
+    cuts: where partitions part."""
+    end = np.array([end_id], kind)
     place = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
     ordered = encoded.withColumn("place", F.coalesce(place, F.lit(0))).repartition(len(cuts) + 1, "place").sortWithinPartitions("place", "doc_id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, number, n = [], None, 0, 0
+        held, texts, at, number, n = [], [], None, 0, 0
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            ids = t.column("ids").combine_chunks()
-            sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4
-            data = TokenFile.build(t.column("doc_id").to_pylist(), sizes, np.frombuffer(b"".join(ids.to_pylist()), np.uint32))
+            sizes = np.array([len(x) + 1 for x in texts])
+            data = TokenFile.build(t.column("doc_id").to_pylist(), sizes, np.concatenate([y for x in texts for y in (x, end)]))
             return pa.RecordBatch.from_pydict({"place": pa.array([at], pa.int32()), "number": pa.array([number], pa.int32()), "n_docs": [len(sizes)], "n_ids": [int(sizes.sum())], "file": pa.array([data], pa.binary())})
 
         for b in batches:
@@ -220,14 +214,16 @@ def write(encoded: DataFrame, path: str, cuts: list[int], file_ids: int = FILE_I
                     if held and (here != at or n >= file_ids):
                         yield flush()
                         number = number + 1 if here == at else 0
-                        held, n = [], 0
+                        held, texts, n = [], [], 0
                     at = here
-                    held.append(piece)
-                    n += pc.sum(pc.binary_length(piece.column("ids"))).as_py() // 4
+                    held.append(piece.select(["doc_id"]))
+                    new = [unpack(x.as_py(), kind) for x in piece.column("ids")]
+                    texts += new
+                    n += sum(map(len, new)) + len(new)
         if held:
             yield flush()
 
-    ordered.select("doc_id", "ids", F.col("place").cast("int").alias("place")).mapInArrow(run, "place int, number int, n_docs bigint, n_ids bigint, file binary").write.parquet(path)
+    ordered.select("doc_id", "ids", F.col("place").cast("int").alias("place")).mapInArrow(thrifty(run), "place int, number int, n_docs bigint, n_ids bigint, file binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -250,7 +246,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.doc_ids(), pa.int64()), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return files.select("place", "number", "file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.select("place", "number", "file").mapInArrow(thrifty(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def cuts(docs: DataFrame, parts: int) -> list[int]:
@@ -266,5 +262,6 @@ def round_trip(docs: DataFrame, path: str | None = None, parts: int | None = Non
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or shared_folder(spark)
-    write(encode(docs), path, cuts(docs, min(parts, 1000)))
+    kind = id_kind(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)))
+    write(encode(docs), path, cuts(docs, min(parts, 1000)), kind)
     return read(spark, path)
