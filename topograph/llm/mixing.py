@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 BLOCKS = 4096
 GRID, ROUNDS = 64, 7
+PLAN = ("_passes", "_cut_block", "_cut_slot", "_turn_block", "_turn_slot")
 SALTS = 64
+#: Sources whose short rows are broadcast; more are joined by shuffle, with hot ones salted.
+MOST_BROADCAST = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -77,10 +80,14 @@ def exponent(sources: DataFrame, max_repeats: float | None, min_entropy: float |
     return hi if max_repeats is not None else lo
 
 
+def _few(sources: DataFrame) -> bool:
+    return sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float | None = None, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """One row for each source: _source, tokens, passes, and where its last pass is cut (cut_block, cut_slot).
+    """One row for each source: _source, tokens and PLAN: its whole passes, and where its last pass is cut.
 
-    In the last pass, rows of blocks before cut_block and of cut_block up to cut_slot are shown; both are as permuted.
+    In the last pass, rows of blocks before _cut_block and of it up to _cut_slot are shown; both are as permuted.
     """
     rows = placed(docs.select("doc_id", "source", "text"), seed)
     blocks = rows.groupBy("_source", "_block").agg(F.sum(tokens(F.col("text"))).alias("tokens"))
@@ -105,22 +112,28 @@ def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float |
     order = order.withColumn("before", F.sum("own").over(Window.partitionBy("_source").orderBy("at")) - F.col("own"))
     cut = order.where("before <= rest and before + own > rest").select("_source", "_block", F.col("at").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room"), "turn_slot")
     # the slot in that block
-    near = rows.join(cut, ["_source", "_block"])
+    near = rows.join(F.broadcast(cut) if _few(sources) else cut, ["_source", "_block"])
     near = near.select("_source", "cut_block", "room", F.col("_slot").bitwiseXOR(F.col("turn_slot")).alias("slot"), tokens(F.col("text")).alias("n"))
     running = F.sum("n").over(Window.partitionBy("_source").orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     slot = near.withColumn("running", running).where("running <= room").groupBy("_source").agg(F.max("slot").alias("cut_slot"))
     out = sources.join(cut.select("_source", "cut_block"), "_source", "left").join(slot, "_source", "left")
-    return out.select("_source", "tokens", "passes", F.coalesce("cut_block", F.lit(-1)).alias("cut_block"), F.coalesce("cut_slot", F.lit(-1)).alias("cut_slot"), "turn_block", "turn_slot")
+    out = out.withColumns({"cut_block": F.coalesce("cut_block", F.lit(-1)), "cut_slot": F.coalesce("cut_slot", F.lit(-1))})
+    return out.select("_source", "tokens", *(F.col(c[1:]).alias(c) for c in PLAN))
 
 
 def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     """The rows of docs, one for each time they are shown, with _pass (from 1), _at_block and _at_slot: the mix is
     read in order of these three, which shares out the sources evenly."""
-    made = plan(docs, seed=seed, **target).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = placed(docs, seed).withColumn("_salt", (F.col("_block") % SALTS).cast("int")).join(made.withColumnRenamed("tokens", "_tokens"), ["_source", "_salt"])
-    block, slot = F.col("_block").bitwiseXOR(F.col("turn_block")), F.col("_slot").bitwiseXOR(F.col("turn_slot"))
-    more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (slot <= F.col("cut_slot")))
-    shown = F.col("passes") + F.when(more, 1).otherwise(0)
+    made = plan(docs, seed=seed, **target).select("_source", *PLAN).checkpoint()
+    rows = placed(docs, seed)
+    if _few(made):
+        rows = rows.join(F.broadcast(made), "_source")
+    else:
+        made = made.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", (F.col("_block") % SALTS).cast("int")).join(made, ["_source", "_salt"])
+    block, slot = F.col("_block").bitwiseXOR(F.col("_turn_block")), F.col("_slot").bitwiseXOR(F.col("_turn_slot"))
+    more = (block < F.col("_cut_block")) | ((block == F.col("_cut_block")) & (slot <= F.col("_cut_slot")))
+    shown = F.col("_passes") + F.when(more, 1).otherwise(0)
     rows = rows.where(shown > 0).withColumn("_pass", F.explode(F.sequence(F.lit(1), shown)))
     turn_block, turn_slot = turn(seed, F.col("_pass"))
     rows = rows.withColumns({"_at_block": F.col("_block").bitwiseXOR(turn_block), "_at_slot": F.col("_slot").bitwiseXOR(turn_slot)})
