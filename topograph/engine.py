@@ -61,8 +61,7 @@ class Engine:
         def find(attempts: DataFrame) -> DataFrame:
             return search.hits(search.search(attempts.join(vectors, "query_id"), self.chunks, sets, self.k), self.chunks, self.levels)
 
-        outcomes = retrieve.choose(retrieve.run(plan, find, self.thresholds), plan.groupBy("query_id").agg(F.count("*").alias("n")))
-        return retrieve.with_unplanned(outcomes, contexts)
+        return retrieve.with_unplanned(retrieve.choose(retrieve.run(plan, find, self.thresholds)), contexts)
 
     def search(self, queries: DataFrame, ask: bool = True) -> DataFrame:
         """One outcome a query, with the resolved context and, if `ask`, a clarification where one is needed."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topograph.functions.confidence import CONFIDENT, Thresholds, should_answer, tier
@@ -35,20 +35,17 @@ def run(attempts: DataFrame, find: Callable[[DataFrame], DataFrame], thresholds:
     return one.unionByName(summarise(rest, find(rest), thresholds))
 
 
-def choose(summaries: DataFrame, counts: DataFrame) -> DataFrame:
+def choose(summaries: DataFrame) -> DataFrame:
     """Outcomes: for each query the first attempt with results that is confident or the last resort, else the last one
-    with results, else the first. summaries hold the attempts that were made or more; counts has query_id and n, the
-    attempts of the plan."""
-    weak = summaries.where("attempt = 1").select("query_id", broadens().alias("weak"))
-    seen = summaries.join(weak, "query_id").where("weak or attempt = 1")
+    with results, else the first. summaries hold the attempts that were made, or more of them."""
+    own = Window.partitionBy("query_id")
     some = F.col("result_count") > 0
     good = some & (F.col("confidence").isin(*CONFIDENT) | ~F.col("allow_broaden"))
-    picked = seen.groupBy("query_id").agg(F.coalesce(F.min(F.when(good, F.col("attempt"))), F.max(F.when(some, F.col("attempt"))), F.lit(1)).alias("attempt"))
-    made = weak.join(counts, "query_id").select("query_id", F.when(F.col("weak"), F.col("n")).otherwise(1).cast("int").alias("attempts_made"))
-    out = summaries.join(picked, ["query_id", "attempt"]).join(made, "query_id")
+    seen = summaries.withColumn("_weak", F.max(F.when(F.col("attempt") == 1, broadens())).over(own)).where("_weak or attempt = 1")
+    pick = F.coalesce(F.min(F.when(good, F.col("attempt"))).over(own), F.max(F.when(some, F.col("attempt"))).over(own), F.lit(1))
     executed = F.lit(True)
-    return out.select(
-        "query_id", executed.alias("executed"), "attempt", "reason", "confidence", "top_score", "attempts_made", "results", "result_count",
+    return seen.withColumn("_pick", pick).where("attempt = _pick").select(
+        "query_id", executed.alias("executed"), "attempt", "reason", "confidence", "top_score", F.when(F.col("_weak"), F.col("planned")).otherwise(1).cast("int").alias("attempts_made"), "results", "result_count",
         should_answer(executed, F.col("confidence"), F.col("result_count")).alias("should_answer"), F.lit(False).alias("cache_hit"), F.lit(None).cast("string").alias("error"),
     )
 
