@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topograph.errors import StoreConfigurationError
 from topograph.functions.confidence import Thresholds
+from topograph.lineage import cut
 from topograph.operators import clarify, corpus, retrieve, search
 from topograph.operators.cache import FIELDS, Cache, keyed
 from topograph.operators.resolve import Catalog, resolve
@@ -22,7 +23,8 @@ class Engine:
     """chunks: the chunk table (see operators.search), with a column for each level.
 
     search() takes queries(query_id, message, vector array<float>, and explicit and conversation if there are any) and
-    returns one outcome a query. Nothing runs before an action on the result, but for a look into the cache.
+    returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
+    the questions are planned on top of them.
     """
 
     def __init__(self, documents: DataFrame, chunks: DataFrame, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None):
@@ -65,7 +67,7 @@ class Engine:
 
     def search(self, queries: DataFrame, ask: bool = True) -> DataFrame:
         """One outcome a query, with the resolved context and, if `ask`, a clarification where one is needed."""
-        contexts = self.resolve(queries)
+        contexts = cut(self.resolve(queries))
         keys = keyed(contexts, self.version)
         held, todo = (None, keys) if self.cache is None else self.cache.get(keys, self.version)
         fresh = self.retrieve(todo.drop("key"), queries.select("query_id", "vector"))
@@ -74,8 +76,8 @@ class Engine:
             fixed = {"executed": F.lit(True), "attempt": F.lit(None).cast("int"), "result_count": F.size("results"), "cache_hit": F.lit(True), "error": F.lit(None).cast("string")}
             old = held.select("query_id", *FIELDS, *(v.alias(k) for k, v in fixed.items()))
             outcomes = fresh.unionByName(old.withColumn("should_answer", retrieve.should_answer(F.col("executed"), F.col("confidence"), F.col("result_count"))))
+        outcomes = cut(outcomes)
         if self.cache is not None and self.version:
-            outcomes = outcomes.persist()
             self.cache.put(outcomes.where("not cache_hit"), keys, self.version)
         if ask:
             first = corpus.level_values(self.documents, self.levels).where("level = 0")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topograph.functions import text as T
+from topograph.lineage import cut
 from topograph.operators import corpus
 
 GRAM = 3
@@ -143,13 +144,14 @@ def auto_pin(contexts: DataFrame, catalog: Catalog) -> DataFrame:
     x = candidates(contexts, catalog)
     if not depth:
         return x
+    x = cut(x)
     only = (F.size("next_values") == 1) & F.col("next_level").isNotNull()
     pinned = F.transform("resolved", lambda v, i: F.when(only & (i == F.col("next_level")), F.get("next_values", F.lit(0))).otherwise(v))
     return candidates(x.withColumn("resolved", pinned).drop("next_level", "next_values"), catalog)
 
 
 def resolve(queries: DataFrame, catalog: Catalog) -> DataFrame:
-    """Contexts: query_id, user_query, effective_query, normalized_query, resolved, matched (arrays in level order),
+    """Contexts (steps are run and cut as they are made): query_id, user_query, effective_query, normalized_query, resolved, matched (arrays in level order),
     next_level, next_values, hint_names, clarification_count and reply_resolved."""
     depth = len(catalog.levels)
     none = F.array().cast("array<string>")
@@ -175,7 +177,7 @@ def resolve(queries: DataFrame, catalog: Catalog) -> DataFrame:
     x = x.withColumn("matched", F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(F.element_at("_seen", i), none)) if depth else F.array().cast("array<array<string>>"))
     single = F.transform("matched", lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0)))) if depth else none
     x = x.withColumn("resolved", _or(depth, F.col("_pinned"), answers, single, F.col("_told")))
-    x = auto_pin(cascade(x, catalog), catalog)
+    x = auto_pin(cut(cascade(cut(x), catalog)), catalog)  # else each step would repeat the whole plan before it
     effective = T.strip(T.enrich(F.col("base"), F.col("resolved")))
     asked = F.coalesce(F.size(F.filter("conversation", lambda t: t["type"] == "clarification")), F.lit(0))
     return x.select(

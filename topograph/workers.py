@@ -13,7 +13,9 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Bytes of an Arrow batch to a worker, unless a row is larger; Spark's own default takes much more memory on both sides.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Workers' allocators: one for Arrow and numpy, few arenas, and large blocks that go back as soon as they are freed.
+ALLOCATOR = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
 
 def reach(spark: SparkSession) -> SparkSession:
@@ -23,6 +25,8 @@ def reach(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [*paths, ROOT] if x)
+    for k, v in ALLOCATOR.items():
+        env.setdefault(k, v)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
