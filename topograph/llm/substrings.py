@@ -31,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from topograph.llm.bpe import _spans, pack_numbers, unpack_numbers
-from topograph.llm.scoring import pack_rising, unpack_rising
-from topograph.llm.token_file import shared_folder
+from topograph.llm.packing import pack_numbers, pack_rising, spans, unpack_numbers, unpack_rising
+from topograph.llm.storage import shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, ngrams, split
+from topograph.workers import thrifty, thrifty_group
 
 WINDOW, ANCHOR = 20, 10
 MOST_PARTS = 4096
-BLOCK_WORDS = 1 << 20
+#: Parts for each shuffle partition: a part is held in memory as a whole.
+FINER = 5
+BLOCK_WORDS = 1 << 19
 #: Bits of the filter: FILTER_BITS for each repeated anchor, LEAST_FILTER at least, MOST_FILTER at most (64 MB).
 FILTER_BITS, LEAST_FILTER, MOST_FILTER = 12, 1 << 16, 1 << 29
 #: Texts with repeated windows, and bytes of their places, that are broadcast; more are joined by shuffle.
@@ -119,9 +121,9 @@ def _anchors(parts: int):
         for _, _, hashes, offsets in _blocks(batches):
             keys, seen = np.unique(Passages(hashes, offsets).key, return_counts=True)
             cuts = np.searchsorted(_parts_of(keys, parts), np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                s = slice(cuts[p], cuts[p + 1])
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "keys": pa.array([pack_rising(keys[s])], pa.binary()), "twice": pa.array([np.packbits(seen[s] > 1).tobytes()], pa.binary())})
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            own = [slice(cuts[p], cuts[p + 1]) for p in used]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "keys": pa.array([pack_rising(keys[s]) for s in own], pa.binary()), "twice": pa.array([np.packbits(seen[s] > 1).tobytes() for s in own], pa.binary())})
 
     return run
 
@@ -141,7 +143,7 @@ def repeated_anchors(named: DataFrame, parts: int) -> Filter:
     """A filter that passes every anchor that is there more than once, and few others."""
     spark = named.sparkSession
     path = shared_folder(spark)
-    named.mapInArrow(_anchors(parts), "part int, keys binary, twice binary").groupBy("part").applyInArrow(_repeated, "part int, n bigint, keys binary").write.parquet(path)
+    named.mapInArrow(thrifty(_anchors(parts)), "part int, keys binary, twice binary").groupBy("part").applyInArrow(thrifty_group(_repeated), "part int, n bigint, keys binary").write.parquet(path)
     held = spark.read.parquet(path)
     n = held.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_FILTER, max(LEAST_FILTER, n * FILTER_BITS))
@@ -158,7 +160,7 @@ def repeated_anchors(named: DataFrame, parts: int) -> Filter:
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(out, pa.binary())], ["part", "bits"])
 
     whole = np.zeros(parts * width // 8, np.uint8)
-    for r in held.select("part", "keys").mapInArrow(run, "part int, bits binary").toLocalIterator():
+    for r in held.select("part", "keys").mapInArrow(thrifty(run), "part int, bits binary").toLocalIterator():
         whole[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
     return Filter(whole, parts, width)
 
@@ -189,18 +191,18 @@ def _sent(parts: int, shared) -> object:
             right = end - begin - left - ANCHOR
             key = key[lead]
             cuts, at = np.searchsorted(_parts_of(key, parts), np.arange(parts + 1)), np.concatenate([lead, [len(row)]])
+            rows = []
             for q in np.flatnonzero(np.diff(cuts)).tolist():
                 s = slice(cuts[q], cuts[q + 1])
                 places = slice(at[cuts[q]], at[cuts[q + 1]])
                 near = np.unique(row[places])
-                spans = np.stack([begin[s], begin[s] + left[s] + ANCHOR], 1).ravel()
-                words = hashes[_spans(spans, np.stack([left[s], right[s]], 1).ravel())]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([q], pa.int32()), "keys": pa.array([pack_rising(key[s])], pa.binary()),
-                    **{k: pa.array([pack_numbers(v)], pa.binary()) for k, v in (("left", left[s]), ("right", right[s]))}, "words": pa.array([words.tobytes()], pa.binary()),
-                    **{k: pa.array([pack_numbers(v)], pa.binary()) for k, v in (("counts", counts[s]), ("docs", np.searchsorted(near, row[places])), ("starts", start[places]))},
-                    "doc_ids": pa.array([doc[near].tobytes()], pa.binary()), "doc_texts": pa.array([text[near].tobytes()], pa.binary()),
-                })
+                sides = np.stack([begin[s], begin[s] + left[s] + ANCHOR], 1).ravel()
+                words = hashes[spans(sides, np.stack([left[s], right[s]], 1).ravel())]
+                numbers = (left[s], right[s], counts[s], np.searchsorted(near, row[places]), start[places])
+                packed = dict(zip(("left", "right", "counts", "docs", "starts"), map(pack_numbers, numbers), strict=True))
+                rows.append(packed | {"part": q, "keys": pack_rising(key[s]), "words": words.tobytes(), "doc_ids": doc[near].tobytes(), "doc_texts": text[near].tobytes()})
+            kinds = [x.split() for x in SENT.split(", ")]
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.int32() if kind == "int" else pa.binary()) for k, kind in kinds})
 
     return run
 
@@ -322,36 +324,52 @@ def _flag(table: pa.Table) -> pa.Table:
     })
 
 
+def _covered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges each text's windows to spans of words."""
+    for b in batches:
+        out = []
+        for starts, windows in zip(b.column("starts").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            start = np.concatenate([unpack_numbers(x) for x in starts]).astype(np.int64)
+            end = start + np.concatenate([unpack_numbers(x) for x in windows]) + WINDOW - 1
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            new = np.concatenate([[True], start[1:] > end[:-1]])
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)
+            out.append(np.stack([start[new], end[last]], 1).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_text"), pa.array(out, pa.binary())], ["_doc", "_text", "places"])
+
+
 def repeated_windows(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """_doc, _text and places (array of packed starts and numbers of windows) of the texts with repeated windows."""
+    """_doc, _text and places (32-bit starts and ends of the words that repeated windows cover) of the texts that have
+    any."""
     spark = docs.sparkSession
-    parts = min(MOST_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_PARTS, parts or FINER * int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(*doc_key(), "text")
     shared = spark.sparkContext.broadcast(repeated_anchors(named, parts))
-    flagged = named.mapInArrow(_sent(parts, shared), SENT).groupBy("part").applyInArrow(_flag, "_doc bigint, _text bigint, starts binary, windows binary")
+    flagged = named.mapInArrow(thrifty(_sent(parts, shared)), SENT).groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, starts binary, windows binary")
     path = shared_folder(spark)
-    flagged.groupBy("_doc", "_text").agg(F.collect_list(F.struct("starts", "windows")).alias("places")).write.parquet(path)
+    found = flagged.groupBy("_doc", "_text").agg(F.collect_list("starts").alias("starts"), F.collect_list("windows").alias("windows"))
+    found.mapInArrow(thrifty(_covered), "_doc bigint, _text bigint, places binary").write.parquet(path)
     return spark.read.parquet(path)
 
 
-def _kept(w: Words, row: int, places: list[dict] | None) -> tuple[int, int, bytes]:
+def _kept(w: Words, row: int, places: bytes | None) -> tuple[int, int, bytes]:
     words = w.texts(row)
     if not places:
         return len(words), 0, b" ".join(words)
-    edge = np.zeros(len(words) + WINDOW + 1, np.int64)
-    for p in places:
-        s, n = unpack_numbers(p["starts"]).astype(np.int64), unpack_numbers(p["windows"]).astype(np.int64)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + n + WINDOW - 1, -1)
-    gone = np.cumsum(edge)[: len(words)] > 0
-    return len(words), int(gone.sum()), b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])
+    kept, at = [], 0
+    for start, end in np.frombuffer(places, np.uint32).reshape(-1, 2).tolist():
+        kept += words[at:start]
+        at = end
+    kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept)
 
 
 def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """The rows of docs with n_words, n_removed and kept: the words that are left, joined by one space. With digest:
     doc_id, n_words, n_removed and kept_sha256 only."""
     places = repeated_windows(docs)
-    size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("places", F.lit(0), lambda a, p: a + F.octet_length(p["starts"]) + F.octet_length(p["windows"]))), F.lit(0)).alias("bytes")).first()
+    size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("bytes")).first()
     if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         places = F.broadcast(places)
     keep = ["doc_id"] if digest else docs.columns
@@ -367,7 +385,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 new = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(text, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(lo, hi - lo) for f in fields), *new], schema.names)
 
-    out = rows.select(*(f.name for f in fields), "text", "places").mapInArrow(run, schema)
+    out = rows.select(*(f.name for f in fields), "text", "places").mapInArrow(thrifty(run), schema)
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 STEP = 0xD6E8FEB86659FD93 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
         np.multiply(out[:more], np.uint64(step), out=out[done : done + more])
         step = step * step % (1 << 64)
         done += more
-    if size <= 4 * CHUNK:
+    if size <= 1 << 20:
         _powers[base] = out
     return out[:n]
 
