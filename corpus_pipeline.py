@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topograph.llm import bpe, jaccard, mixing, substrings, toxicity
-from topograph.llm.token_file import shared_folder
+from topograph.llm.storage import shared_folder
 from topograph.workers import reach
 
 
@@ -41,9 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the text decoded from them."""
     reach(spark)
-    ranks = bpe.read_ranks()
-    x = bpe.decode(bpe.encode(docs, ranks), ranks)
-    return x.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.encode(docs, decoded=True).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [

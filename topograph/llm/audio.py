@@ -21,6 +21,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from topograph.workers import thrifty
 
 UNIT = 576
 RATE = 8000
@@ -185,7 +186,7 @@ def digests(docs: DataFrame) -> DataFrame:
             rows = [describe(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in zip(names, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {DIGEST}")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id bigint, {DIGEST}")
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -201,4 +202,4 @@ def media(docs: DataFrame) -> DataFrame:
                 kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(wavs, pa.binary()), pa.array([tensors(x["logs"]) for x in found], pa.binary()), pa.array(spans, kind)], ["doc_id", "media", "tensors", "loud"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, media binary, tensors binary, loud array<struct<start_s: double, end_s: double>>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id bigint, media binary, tensors binary, loud array<struct<start_s: double, end_s: double>>")

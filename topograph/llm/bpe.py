@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Each text is cut into pre-tokens (words) by the tokenizer's pattern. A block, which is part of an Arrow batch of texts,
+Each text is cut into pre-tokens (words) by the tokenizer's pattern. A block of consecutive texts
 numbers its distinct words and keeps, for each text, the words' numbers in order of position. The distinct words of
 all blocks are dealt by hash, so that each distinct word is encoded once; its ids go back to the blocks that hold
 it, and each block puts its texts together by position. Decoding joins the token-byte table, which is as large as
@@ -25,7 +25,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 import xxhash
 import zstandard
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from topograph.llm.packing import pack_numbers, spans, unpack_numbers
 from topograph.llm.words import string_hashes
 from topograph.workers import thrifty, thrifty_group, thrifty_pair
 
@@ -41,8 +41,7 @@ PATTERN = public_tokenizers.PATTERN
 MOST_PARTS = 4096
 TOKENS_AT_ONCE = 1 << 19
 #: Pre-tokens in a block, but for a longer text; larger blocks send fewer words and take more memory.
-BLOCK_WORDS = 1 << 20
-SLICE = 1024
+BLOCK_WORDS = 3 << 19
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -50,34 +49,12 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Whole numbers under 2**28 as bytes of seven bits, the last one marked, compressed."""
-    x = x.astype(np.uint32)
-    size = 1 + (x >= 1 << 7).astype(np.int8) + (x >= 1 << 14) + (x >= 1 << 21)
-    last = np.cumsum(size, dtype=np.int64) - 1
-    out = np.empty(int(last[-1]) + 1 if len(x) else 0, np.uint8)
-    out[last] = (x & 127) | 128
-    for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        out[last[more] - k] = (x[more] >> np.uint32(7 * k)) & 127
-    return zstandard.ZstdCompressor(level=3).compress(out.tobytes())
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    last = np.flatnonzero(raw & 128)
-    size = np.diff(last, prepend=-1)
-    out = (raw[last] & 127).astype(np.uint32)
-    for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        out[more] |= raw[last[more] - k].astype(np.uint32) << np.uint32(7 * k)
-    return out
-
-
 def pack_strings(strings: pa.Array) -> bytes:
-    sizes = pack_numbers(pc.binary_length(strings).to_numpy(zero_copy_only=False))
-    body = zstandard.ZstdCompressor(level=3).compress(b"".join(strings.cast(pa.binary()).to_pylist()))
-    return len(sizes).to_bytes(4, "little") + sizes + body
+    strings = strings.cast(pa.large_string())
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    sizes = pack_numbers(np.diff(ends))
+    body = memoryview(strings.buffers()[2] or b"")[ends[0] : ends[-1]] if len(strings) else b""
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack_strings(data: bytes) -> pa.Array:
@@ -110,14 +87,21 @@ class Block:
             yield p, self.names.take(pa.array(order[at[p] : at[p + 1]]))
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch with at most BLOCK_WORDS words, or one row with more."""
-    ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    lo = done = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo, done = hi, int(ends[hi - 1])
+def blocks(batches: Iterable[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """doc_ids and words (a list for each text) of consecutive texts with at most about BLOCK_WORDS words."""
+    held, size = [], 0
+    for ids, words in batches:
+        held.append((ids.to_pylist(), words))
+        size += len(words.flatten())
+        if size >= BLOCK_WORDS:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list) -> tuple[list[int | None], pa.Array]:
+    return [x for ids, _ in held for x in ids], pa.concat_arrays([words for _, words in held])
 
 
 @lru_cache(2)
@@ -125,39 +109,41 @@ def _encoder(ranks: frozenset, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = PATTERN, parts: int | None = None) -> DataFrame:
-    """doc_id and ids (bytes) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset((read_ranks() if ranks is None else ranks).items()))
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = PATTERN, decoded: bool = False, parts: int | None = None) -> DataFrame:
+    """doc_id and ids (bytes) of every whole text; with `decoded` also `bytes`, what the ids stand for."""
+    ranks = read_ranks() if ranks is None else ranks
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(ranks.items()))
+    table = docs.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()} if decoded else {})
     cut = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
     def encoder(words: list[str]) -> list[list[int]]:
         return list(map(_encoder(shared.value, pattern).encode_ordinary, words))
 
-    return encode_words(cut, encoder, parts=parts)
+    def decoder(ids: np.ndarray) -> bytes:
+        return b"".join(map(table.value.__getitem__, ids.tolist()))
+
+    return encode_words(cut, encoder, decoder=decoder if decoded else None, parts=parts)
 
 
-def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]], cut: Callable[[pa.Array], pa.Array] | None = None, kind: type = np.uint32, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, parts: int | None = None) -> DataFrame:
+def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]], cut: Callable[[pa.Array], pa.Array] | None = None, kind: type = np.uint32, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, decoder: Callable[[np.ndarray], bytes] | None = None, parts: int | None = None) -> DataFrame:
     """doc_id and the ids of its words, end to end, as numbers of one kind; docs has doc_id and one more column, the
-    words, or what `cut` makes words of. encoder: the ids of each of some distinct words. pack: a text's ids as bytes."""
+    words, or what `cut` makes words of. encoder: the ids of each of some distinct words. pack: a text's ids as bytes.
+    decoder: adds `bytes`, what it makes of the ids."""
+    names = ["ids", "bytes"] if decoder else ["ids"]
     parts = min(MOST_PARTS, parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = 2 * SLICE if cut else b.num_rows
-            for lo in range(0, b.num_rows, max(1, step)):  # cutting all rows at once would take more memory
-                part = b.slice(lo, step)
-                yield from blocks(pa.RecordBatch.from_arrays([part.column(0), cut(part.column(1)) if cut else part.column(1)], ["doc_id", "words"]))
+    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int | None], Block]]:
+        for ids, words in blocks((b.column(0), cut(b.column(1)) if cut else b.column(1)) for b in batches):
+            yield ids, Block(words, parts)
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks_of(batches):
-            block = Block(b.column("words"), parts)
+        for _, block in blocks_of(batches):
             for p, names in block.dealt(parts):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([block.key], pa.int64()), "words": pa.array([pack_strings(names)], pa.binary())})
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks_of(batches):
-            block = Block(b.column("words"), parts)
-            held = {"block": pa.array([block.key], pa.int64()), "doc_ids": pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64()))}
+        for ids, block in blocks_of(batches):
+            held = {"block": pa.array([block.key], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(held | {k: pa.array([pack_numbers(v)], pa.binary()) for k, v in (("counts", block.counts), ("numbers", block.numbers), ("parts", block.part))})
 
     def once(table: pa.Table) -> pa.Table:
@@ -172,12 +158,12 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
             mine = numbers[lo : lo + len(h)]
             lo += len(h)
             got = pack_numbers(sizes[mine])
-            out.append(len(got).to_bytes(4, "little") + got + pack_numbers(ids[_spans(starts[mine], sizes[mine])]))
+            out.append(len(got).to_bytes(4, "little") + got + pack_numbers(ids[spans(starts[mine], sizes[mine])]))
         return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary())})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+            return pa.table({"doc_id": pa.array([], pa.int64())} | {k: pa.array([], pa.binary()) for k in names})
         by_part = {p.as_py(): x.as_py() for p, x in zip(right.column("part"), right.column("ids"), strict=True)}
         part = unpack_numbers(left.column("parts")[0].as_py())
         order = np.argsort(part, kind="stable")
@@ -191,7 +177,7 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
         size, start = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
         size[order] = np.concatenate(sizes)
         start[order] = np.cumsum(size[order]) - size[order]
-        ids, doc_ids, out = np.concatenate(flat).astype(kind), [], []
+        ids, doc_ids, out = np.concatenate(flat).astype(kind), [], {k: [] for k in names}
         for row in left.select(["doc_ids", "counts", "numbers"]).to_pylist():
             doc_ids += row["doc_ids"]
             numbers, ends = unpack_numbers(row["numbers"]), np.cumsum(unpack_numbers(row["counts"]), dtype=np.int64)
@@ -199,21 +185,18 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
             while at < len(ends):
                 to = max(at + 1, int(np.searchsorted(ends, lo + TOKENS_AT_ONCE, side="right")))
                 mine = numbers[lo : ends[to - 1]]
-                got = ids[_spans(start[mine], size[mine])]
+                got = ids[spans(start[mine], size[mine])]
                 cuts = np.concatenate([[0], np.cumsum(size[mine])])[np.concatenate([[lo], ends[at:to]]) - lo]
-                out += [pack(got[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    out["ids"].append(pack(got[a:b]))
+                    if decoder:
+                        out["bytes"].append(decoder(got[a:b]))
                 at, lo = to, ends[to - 1]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     encoded = docs.mapInArrow(thrifty(words), "part int, block bigint, words binary").groupBy("part").applyInArrow(thrifty_group(once), "block bigint, part int, ids binary")
     held = docs.mapInArrow(thrifty(texts), "block bigint, doc_ids array<bigint>, counts binary, numbers binary, parts binary")
-    return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(thrifty_pair(join), "doc_id bigint, ids binary")
-
-
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each span, end to end."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(thrifty_pair(join), ", ".join(["doc_id bigint", *(f"{k} binary" for k in names)]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
@@ -233,6 +216,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFra
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded bytes of every text."""
-    ranks = read_ranks()
-    x = decode(encode(docs, ranks), ranks)
+    x = encode(docs, decoded=True)
     return x.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

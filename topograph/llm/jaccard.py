@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topograph.llm.token_file import shared_folder
+from topograph.llm.storage import shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, split
+from topograph.workers import thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -275,7 +276,7 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select("doc_id", "text", node(F.col("text")).alias("node"))
     path = shared_folder(spark)
-    signed = named.mapInArrow(_signed, "node binary, doc_id bigint, n bigint, sig binary")
+    signed = named.mapInArrow(thrifty(_signed), "node binary, doc_id bigint, n bigint, sig binary")
     signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).write.parquet(path)
     nodes = spark.read.parquet(path)
 
@@ -285,17 +286,17 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     meeting = _block_pairs(bands.join(met, "band"), F.ceil(F.col("size") / BUCKET_BLOCK))
     meeting = meeting.select("node", "place", "band", "lo", "hi", "side").join(nodes.select("node", "sig"), "node")
     order = ["place", "band", "lo", "hi"]
-    edges = meeting.repartition(parts, "band", "lo", "hi").sortWithinPartitions(*order).mapInArrow(_bucket_links(least_matches(threshold, tolerance)), "a binary, b binary")
+    edges = meeting.repartition(parts, "band", "lo", "hi").sortWithinPartitions(*order).mapInArrow(thrifty(_bucket_links(least_matches(threshold, tolerance))), "a binary, b binary")
     found = components(edges).join(nodes.select("node", "rep", "copies", "n"), "node")
     sizes = found.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_SHINGLES)).alias("blocks"))
     found = found.join(sizes, "component").checkpoint()
 
     small = found.count() <= MOST_BROADCAST
     members = found.select("node", "component", "copies", "blocks", F.col("rep").alias("doc_id"))
-    sets = named.join(F.broadcast(members) if small else members, ["node", "doc_id"]).select("node", "component", "copies", "blocks", "text").mapInArrow(_sets, "node binary, component binary, copies bigint, blocks bigint, shingles binary")
+    sets = named.join(F.broadcast(members) if small else members, ["node", "doc_id"]).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, shingles binary")
     pairs = _block_pairs(sets, F.col("blocks")).drop("blocks")
     path = shared_folder(spark)
-    pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_verify(Fraction(threshold).limit_denominator(1000)), "node binary, other binary, links bigint").write.parquet(path)
+    pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(thrifty(_verify(Fraction(threshold).limit_denominator(1000))), "node binary, other binary, links bigint").write.parquet(path)
     verified = spark.read.parquet(path)
     links = verified.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

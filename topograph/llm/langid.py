@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topograph.llm.words import CHUNK, mix
+from topograph.workers import thrifty, thrifty_group
 
 BUCKETS = 1 << 15
 BLOCK = 1 << 12
@@ -91,9 +92,9 @@ def train(labelled: DataFrame, max_languages: int = 500, smoothing: float = 0.1)
     The priors are uniform: a language that is rare in the corpus isn't held to be unlikely.
     """
     kind = "lang string, block int, counts binary"
-    rows = labelled.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_count, kind)
+    rows = labelled.select("lang", "text").where("lang is not null and text is not null").mapInArrow(thrifty(_count), kind)
     spread = F.pmod(F.spark_partition_id(), F.lit(64))
-    rows = rows.groupBy("lang", "block", spread.alias("salt")).applyInArrow(_add, kind).groupBy("lang", "block").applyInArrow(_add, kind)
+    rows = rows.groupBy("lang", "block", spread.alias("salt")).applyInArrow(thrifty_group(_add), kind).groupBy("lang", "block").applyInArrow(thrifty_group(_add), kind)
     counts: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():
         counts.setdefault(r.lang, np.zeros(BUCKETS))[r.block : r.block + BLOCK] = np.frombuffer(r.counts, np.int64)
@@ -129,7 +130,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             names, sure = score(b.column("text").to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

@@ -22,14 +22,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topograph.llm.bpe import pack_numbers, unpack_numbers
-from topograph.llm.token_file import shared_folder
+from topograph.llm.packing import pack_numbers, pack_rising, unpack_numbers, unpack_rising
+from topograph.llm.storage import shared_folder
 from topograph.llm.words import ngrams, split
+from topograph.workers import thrifty, thrifty_group
 
 BACKOFF = 0.4
 BLOCK_WORDS = 1 << 20
@@ -37,21 +37,6 @@ BIGRAM = np.uint64(0x5851F42D4C957F2D)
 MOST_PARTS = 4096
 
 
-def pack_rising(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T
-    used = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:used]).tobytes())
-
-
-def unpack_rising(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, : data[0]] = raw.T
-    return np.cumsum(out.view(np.uint64).ravel())
-
-
 def lists(keys: np.ndarray, texts: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sums by (key, text): distinct keys, their counts, texts a key, and the texts and weights of all keys end to end."""
     order = np.lexsort((texts, keys)) if len(keys) else np.zeros(0, np.int64)
@@ -173,9 +158,9 @@ def score_corpus(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_words, logprob, and score (logprob a word) of every text by the bigram counts of all."""
     spark = docs.sparkSession
     parts = min(MOST_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select("doc_id", "text").mapInArrow(_explode(parts), ROW).groupBy("part").applyInArrow(_join, "block bigint, doc_ids array<bigint>, words binary, parts int, texts binary, sums binary")
+    sent = docs.select("doc_id", "text").mapInArrow(thrifty(_explode(parts)), ROW).groupBy("part").applyInArrow(thrifty_group(_join), "block bigint, doc_ids array<bigint>, words binary, parts int, texts binary, sums binary")
     path = shared_folder(spark)
-    sent.groupBy("block").applyInArrow(_add, "doc_id bigint, n_words bigint, logs double").write.parquet(path)
+    sent.groupBy("block").applyInArrow(thrifty_group(_add), "doc_id bigint, n_words bigint, logs double").write.parquet(path)
     held = spark.read.parquet(path)
     n = held.agg(F.sum("n_words")).first()[0] or 1
     logprob = F.when(F.col("n_words") > 0, F.col("logs") - F.lit(float(np.log(n)))).otherwise(F.lit(0.0))

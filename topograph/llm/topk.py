@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from topograph.workers import thrifty_group, thrifty_pair
 
 SHARD_ROWS = 1 << 14
 QUERY_ROWS = 512
@@ -134,8 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     """
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    index = vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_pack, "shard int, ids binary, dims int, v binary")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_pack, "block int, ids binary, dims int, v binary")
+    index = vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(thrifty_group(_pack), "shard int, ids binary, dims int, v binary")
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(thrifty_group(_pack), "block int, ids binary, dims int, v binary")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
@@ -151,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
             "score": pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])),
         })
 
-    got = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    got = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(thrifty_pair(run), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topograph.llm.words import Words, split, words
+from topograph.workers import thrifty, trim
 
 CATEGORIES = ("low_quality", "toxic")
 #: Bytes that part words: ASCII other than letters and digits.
@@ -29,6 +30,8 @@ PARTING = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 PREFIXES = (4, 6)
 SUFFIX = 3
 BITS = 22
+#: Texts that a feature is in, at least.
+LEAST_SEEN = 3
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +78,7 @@ def _fit(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, before: np.ndarray,
     hits = np.bincount(at, y[rows], len(names))
     rate = seen / n
     z = (hits / positive - (seen - hits) / (n - positive)) / np.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)) + 1e-12)
-    good = np.flatnonzero((seen >= 3) & (np.abs(z) >= 4))
+    good = np.flatnonzero((seen >= LEAST_SEEN) & (np.abs(z) >= 4))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:max_features]])
     place = np.full(len(names), -1)
     place[good] = np.arange(len(good))
@@ -129,11 +132,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     near = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *(F.col(c).cast("int").alias(c) for c in categories))
     kind = ", ".join(["doc_id bigint", *(f"{c} int" for c in categories), "keys binary"])
-    got = near.mapInArrow(run, kind).toArrow().sort_by("doc_id")
+    got = near.mapInArrow(thrifty(run), kind).toArrow().sort_by("doc_id")
     own = [np.frombuffer(x.as_py(), np.uint64) for x in got["keys"]]
-    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    keys = np.concatenate([*own, np.zeros(0, np.uint64)])
     table = np.stack([got[c].to_numpy() for c in categories], 1)
-    return fit(rows, np.concatenate([*own, np.zeros(0, np.uint64)]), table)
+    del got, own
+    order = np.argsort(keys, kind="stable")
+    rows, keys = rows[order], keys[order]
+    del order
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])[: len(keys)]) + 1
+    often = np.repeat(np.diff(ends, prepend=0) >= LEAST_SEEN, np.diff(ends, prepend=0))  # the others are never chosen
+    chain = fit(rows[often], keys[often], table)
+    trim()
+    return chain
 
 
 def _by_row(rows: np.ndarray, keys: np.ndarray, n: int) -> list[np.ndarray]:
@@ -176,7 +188,7 @@ def predict(docs: DataFrame, chain: list[Linear], categories: tuple[str, ...] =
             p = scorer(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(categories)))], ["doc_id", *(f"p_{c}" for c in categories)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id bigint", *(f"p_{c} double" for c in categories)]))
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), ", ".join(["doc_id bigint", *(f"p_{c} double" for c in categories)]))
 
 
 def reject(docs: DataFrame, chain: list[Linear], category: int = -1, at: float = 0.5) -> DataFrame:
@@ -188,7 +200,7 @@ def reject(docs: DataFrame, chain: list[Linear], category: int = -1, at: float =
         for b in batches:
             yield b.filter(pa.array(scorer(b.column("text"))[:, category] < at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
