@@ -263,7 +263,7 @@ class Automaton:
 
 
 def _flag(table: pa.Table) -> pa.Table:
-    """One part's shards: the repeated windows of each text, as starts and numbers of windows."""
+    """One part's shards: the words of each text that repeated windows cover, as starts and ends."""
     rows = table.to_pylist()
     keys = np.concatenate([unpack_rising(r["keys"]) for r in rows])
     left, right, counts = (np.concatenate([unpack_numbers(r[k]) for r in rows]).astype(np.int64) for k in ("left", "right", "counts"))
@@ -318,24 +318,21 @@ def _flag(table: pa.Table) -> pa.Table:
     d, s, n = d[order], s[order], n[order]
     cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(d))[: len(cuts)]
-    return pa.table({
-        "_doc": pa.array(names[d[cuts], 0]), "_text": pa.array(names[d[cuts], 1]),
-        "starts": pa.array([pack_numbers(s[a:z]) for a, z in zip(cuts, ends, strict=True)], pa.binary()), "windows": pa.array([pack_numbers(n[a:z]) for a, z in zip(cuts, ends, strict=True)], pa.binary()),
-    })
+    places = np.stack([s, s + n + WINDOW - 1], 1).astype(np.uint32)
+    return pa.table({"_doc": pa.array(names[d[cuts], 0]), "_text": pa.array(names[d[cuts], 1]), "places": pa.array([places[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())})
 
 
 def _covered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges each text's windows to spans of words."""
     for b in batches:
         out = []
-        for starts, windows in zip(b.column("starts").to_pylist(), b.column("windows").to_pylist(), strict=True):
-            start = np.concatenate([unpack_numbers(x) for x in starts]).astype(np.int64)
-            end = start + np.concatenate([unpack_numbers(x) for x in windows]) + WINDOW - 1
+        for places in b.column("places").to_pylist():
+            start, end = np.frombuffer(b"".join(places), np.uint32).reshape(-1, 2).T
             order = np.argsort(start, kind="stable")
             start, end = start[order], np.maximum.accumulate(end[order])
             new = np.concatenate([[True], start[1:] > end[:-1]])
             last = np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)
-            out.append(np.stack([start[new], end[last]], 1).astype(np.uint32).tobytes())
+            out.append(np.stack([start[new], end[last]], 1).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_text"), pa.array(out, pa.binary())], ["_doc", "_text", "places"])
 
 
@@ -346,9 +343,9 @@ def repeated_windows(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = min(MOST_PARTS, parts or FINER * int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(*doc_key(), "text")
     shared = spark.sparkContext.broadcast(repeated_anchors(named, parts))
-    flagged = named.mapInArrow(thrifty(_sent(parts, shared)), SENT).groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, starts binary, windows binary")
+    flagged = named.mapInArrow(thrifty(_sent(parts, shared)), SENT).groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, places binary")
     path = shared_folder(spark)
-    found = flagged.groupBy("_doc", "_text").agg(F.collect_list("starts").alias("starts"), F.collect_list("windows").alias("windows"))
+    found = flagged.groupBy("_doc", "_text").agg(F.collect_list("places").alias("places"))
     found.mapInArrow(thrifty(_covered), "_doc bigint, _text bigint, places binary").write.parquet(path)
     return spark.read.parquet(path)
 
