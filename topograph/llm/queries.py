@@ -92,8 +92,37 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_corpus(_table(spark, sf_dir, "documents"))
+    x = scoring.score_corpus(_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", F.round("logprob", 4).alias("logprob"), F.round("score", 6).alias("score"))
+
+
+WORDS_SQL = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+OP5_SQL = f"""
+WITH RECURSIVE {WORDS_SQL}, s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, CAST(len(ws) > 0 AS BIGINT) + 1))) t(i)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE c * 9 >= 4 * (a.n + b.n)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT w.doc_id, least(w.doc_id, coalesce(r.first, w.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links
+FROM w LEFT JOIN (SELECT x, min(y) AS first FROM r GROUP BY x) r ON w.doc_id = r.x LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON w.doc_id = k.x"""
+OP7_SQL = f"""
+WITH {WORDS_SQL}, x AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM w, unnest(range(1, len(ws) - 18)) t(i)
+), f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM x),
+g AS (SELECT DISTINCT doc_id, i + k AS pos FROM f, unnest(range(0, 20)) t(k) WHERE n > 1),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w)
+SELECT w.doc_id, len(w.ws) AS n_words, count(g.pos) AS n_removed, sha256(coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY w.doc_id, len(w.ws)"""
+OP10_SQL = f"""
+WITH {WORDS_SQL}, p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+q AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p),
+u AS (SELECT word, count(*) AS n FROM p GROUP BY word), b AS (SELECT before, word, count(*) AS n FROM q WHERE before IS NOT NULL GROUP BY ALL),
+t AS (SELECT count(*) AS n FROM p),
+s AS (SELECT q.doc_id, count(*) AS n_words, sum(CASE WHEN q.before IS NULL THEN ln(u.n / t.n) ELSE ln(b.n / c.n) END) AS logprob
+  FROM q JOIN t ON true JOIN u ON q.word = u.word LEFT JOIN b ON q.before = b.before AND q.word = b.word LEFT JOIN u c ON q.before = c.word GROUP BY q.doc_id)
+SELECT w.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.logprob, 0), 4) AS logprob, round(s.logprob / s.n_words, 6) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id"""
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op7_substring_dedup, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
-SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op6_temperature_mix": OP6_SQL}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_temperature_mix": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_lm_scoring": OP10_SQL}
