@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topograph.lineage import cut
 from topograph.llm.storage import shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, split
 from topograph.workers import thrifty
@@ -184,13 +185,13 @@ def _bucket_links(least: list[int]) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of a graph of edges(a, b); labels spread and are shortened each round."""
     edges = edges.where("a <> b")
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
+    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
     while True:
         heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
         new = labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next"))
         jump = new.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        new = new.join(jump, "next", "left").select("u", "label", F.coalesce("far", "next").alias("next")).checkpoint()
+        new = cut(new.join(jump, "next", "left").select("u", "label", F.coalesce("far", "next").alias("next")))
         moved = new.where("label <> next").limit(1).count()
         labels = new.select("u", F.col("next").alias("label"))
         if not moved:
@@ -289,7 +290,7 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     edges = meeting.repartition(parts, "band", "lo", "hi").sortWithinPartitions(*order).mapInArrow(thrifty(_bucket_links(least_matches(threshold, tolerance))), "a binary, b binary")
     found = components(edges).join(nodes.select("node", "rep", "copies", "n"), "node")
     sizes = found.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_SHINGLES)).alias("blocks"))
-    found = found.join(sizes, "component").checkpoint()
+    found = cut(found.join(sizes, "component"))
 
     small = found.count() <= MOST_BROADCAST
     members = found.select("node", "component", "copies", "blocks", F.col("rep").alias("doc_id"))

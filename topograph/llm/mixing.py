@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topograph.lineage import cut
+
 BLOCKS = 4096
 GRID, ROUNDS = 64, 7
 PLAN = ("_passes", "_cut_block", "_cut_slot", "_turn_block", "_turn_slot")
@@ -90,9 +92,8 @@ def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float |
     In the last pass, rows of blocks before _cut_block and of it up to _cut_slot are shown; both are as permuted.
     """
     rows = placed(docs.select("doc_id", "source", "text"), seed)
-    blocks = rows.groupBy("_source", "_block").agg(F.sum(tokens(F.col("text"))).alias("tokens"))
-    blocks = blocks.checkpoint()
-    sources = blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")).coalesce(8).checkpoint()
+    blocks = cut(rows.groupBy("_source", "_block").agg(F.sum(tokens(F.col("text"))).alias("tokens")))
+    sources = cut(blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")).coalesce(8))
     if min_entropy is not None:
         max_repeats = None
     alpha = exponent(sources, max_repeats, min_entropy, budget)
@@ -110,13 +111,13 @@ def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float |
     # the block in which the rest runs out
     order = blocks.withColumnRenamed("tokens", "own").join(sources, "_source").withColumn("at", F.col("_block").bitwiseXOR(F.col("turn_block")))
     order = order.withColumn("before", F.sum("own").over(Window.partitionBy("_source").orderBy("at")) - F.col("own"))
-    cut = order.where("before <= rest and before + own > rest").select("_source", "_block", F.col("at").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room"), "turn_slot")
+    last = order.where("before <= rest and before + own > rest").select("_source", "_block", F.col("at").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room"), "turn_slot")
     # the slot in that block
-    near = rows.join(F.broadcast(cut) if _few(sources) else cut, ["_source", "_block"])
+    near = rows.join(F.broadcast(last) if _few(sources) else last, ["_source", "_block"])
     near = near.select("_source", "cut_block", "room", F.col("_slot").bitwiseXOR(F.col("turn_slot")).alias("slot"), tokens(F.col("text")).alias("n"))
     running = F.sum("n").over(Window.partitionBy("_source").orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     slot = near.withColumn("running", running).where("running <= room").groupBy("_source").agg(F.max("slot").alias("cut_slot"))
-    out = sources.join(cut.select("_source", "cut_block"), "_source", "left").join(slot, "_source", "left")
+    out = sources.join(last.select("_source", "cut_block"), "_source", "left").join(slot, "_source", "left")
     out = out.withColumns({"cut_block": F.coalesce("cut_block", F.lit(-1)), "cut_slot": F.coalesce("cut_slot", F.lit(-1))})
     return out.select("_source", "tokens", *(F.col(c[1:]).alias(c) for c in PLAN))
 
@@ -124,7 +125,7 @@ def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float |
 def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     """The rows of docs, one for each time they are shown, with _pass (from 1), _at_block and _at_slot: the mix is
     read in order of these three, which shares out the sources evenly."""
-    made = plan(docs, seed=seed, **target).select("_source", *PLAN).checkpoint()
+    made = cut(plan(docs, seed=seed, **target).select("_source", *PLAN))
     rows = placed(docs, seed)
     if _few(made):
         rows = rows.join(F.broadcast(made), "_source")
