@@ -21,7 +21,8 @@ from topograph.functions import text as T
 from topograph.lineage import cut
 from topograph.operators import corpus
 
-GRAM = 3
+#: Lengths of the beginnings that terms are joined by.
+BEGINNINGS = (1, 2, 3, 5, 8, 12, 16)
 HINTS = 4
 OPTION = "struct<id:string,label:string,level:string,value:string,resolved:map<string,string>>"
 CONVERSATION = f"array<struct<role:string,type:string,content:string,options:array<{OPTION}>,original_query:string>>"
@@ -56,15 +57,18 @@ class Catalog:
 def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs where the term is a substring of the query, with no regard to words; an empty term is in nothing.
 
-    A term's first letters are among the query's letter groups, so this is an equi-join and no nested loop.
+    A term's beginning (the longest of BEGINNINGS that it has) is among the query's strings of that length, so this is
+    an equi-join and no nested loop, also where many terms begin with the same word.
     """
+
     def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(query) - n + 1, F.lit(1))), lambda i: F.substring(F.col(query), i, F.lit(n)))
+        last = F.length(query) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(query), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    groups = F.array_distinct(F.flatten(F.array(*map(of, range(1, GRAM + 1)))))
-    left = queries.withColumn("_gram", F.explode(groups))
-    right = terms.where(F.col(term) != "").withColumn("_gram", F.substring(term, 1, GRAM))
-    return left.join(right, "_gram").where(F.contains(F.col(query), F.col(term))).drop("_gram")
+    left = queries.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*map(of, BEGINNINGS))))))
+    size = F.greatest(*(F.when(F.length(term) >= n, F.lit(n)).otherwise(F.lit(0)) for n in BEGINNINGS))
+    right = terms.where(F.col(term) != "").withColumn("_key", F.substring(F.col(term), F.lit(1), size))
+    return left.join(right, "_key").where(F.contains(F.col(query), F.col(term))).drop("_key")
 
 
 def reply(message: Column, conversation: Column) -> Column:

@@ -16,10 +16,12 @@ from collections.abc import Callable, Iterable, Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from topograph.errors import StoreConfigurationError
 from topograph.functions import text as T
@@ -32,6 +34,11 @@ ALL = "*"
 HIT = "struct<score:double,snippet:string,metadata:map<string,string>,doc_id:string,filename:string>"
 
 
+def embedded(queries: DataFrame, embed: Callable[[pd.Series], pd.Series], text: str = "message") -> DataFrame:
+    """Queries with `vector`, from a function of a batch of texts, for stores that don't embed by themselves."""
+    return queries.withColumn("vector", F.pandas_udf(embed, ArrayType(FloatType()))(F.col(text)))
+
+
 def clamp(k: int) -> int:
     return max(1, int(k))
 
