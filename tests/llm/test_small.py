@@ -279,3 +279,17 @@ def test_top_k(spark):
         assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == want
     assert topk.search_embeddings(d.limit(0)).count() == 0
     assert topk.search_embeddings(d.where("vec_id = 0 or vec_id = 7")).count() == 1
+
+
+def test_components_of_edges_that_come_in_another_order_each_time(spark):
+    """Tasks may find another spanning forest when they run again; the components have to be the same."""
+    import pyarrow as pa
+
+    def forest(batches):
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            np.random.default_rng().shuffle(ids)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([str(i).encode() for i in ids[:-1]], pa.binary()), "b": pa.array([str(i).encode() for i in ids[1:]], pa.binary())})
+
+    got = jaccard.components(spark.range(0, 30, 1, 1).mapInArrow(forest, "a binary, b binary")).collect()
+    assert len(got) == 30 and len({bytes(r.component) for r in got}) == 1

@@ -184,8 +184,9 @@ def _bucket_links(least: list[int]) -> Callable:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of a graph of edges(a, b); labels spread and are shortened each round."""
-    edges = edges.where("a <> b")
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    # both ways come from one run over the edges: another run may find another forest
+    both = cut(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
     while True:
         heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
