@@ -118,7 +118,7 @@ def fit(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, max_features: in
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_labelled: int = 6000) -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_labelled: int = 5000) -> list[Linear]:
     """The chain for the 0/1 columns `categories` of labels(doc_id, ...)."""
     held = labels.select("doc_id", *categories).dropna()
     chosen = held.orderBy(F.xxhash64("doc_id"), *held.columns).limit(max_labelled)
