@@ -14,7 +14,6 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from topograph.errors import CorpusValidationError
 from topograph.functions.confidence import Thresholds
