@@ -110,13 +110,14 @@ def test_search(spark, documents, chunks):
         Engine(documents, chunks.drop("topic"), LEVELS)
 
 
-def test_search_equals_brute_force(spark):
+@pytest.mark.parametrize("slice_rows", [1 << 15, 7])
+def test_search_equals_brute_force(spark, slice_rows):
     rng = random.Random(5)
     rows = [(i, f"d{i}", "f", "t", rng.choice("ab"), rng.choice(["x", "y", None]), [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
     c = spark.createDataFrame(rows, "chunk_id long, doc_id string, filename string, text string, kind string, topic string, embedding array<double>")
     q = spark.createDataFrame([(i, 1, [[("kind", "a")], [("kind", "b"), ("topic", "x")], []][i % 3], [rng.gauss(0, 1) for _ in range(4)]) for i in range(9)], "query_id int, attempt int, pairs array<struct<key:string,value:string>>, vector array<double>")
     got = {}
-    for r in search.search(q, c, search.key_sets([LEVELS]), 5).orderBy("query_id", "rank").collect():
+    for r in search.search(q, c, search.key_sets([LEVELS]), 5, slice_rows).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 9)))
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     for r in q.collect():

@@ -87,7 +87,7 @@ def key_sets(steps: Iterable[Sequence[str]]) -> list[tuple[str, ...]]:
     return sorted({c for s in steps for n in range(len(s) + 1) for c in combinations(sorted(s), n)})
 
 
-def search(attempts: DataFrame, chunks: DataFrame, sets: Sequence[Sequence[str]], k: int = TOP_K) -> DataFrame:
+def search(attempts: DataFrame, chunks: DataFrame, sets: Sequence[Sequence[str]], k: int = TOP_K, slice_rows: int = SLICE) -> DataFrame:
     """query_id, attempt, rank, score and chunk_id of each attempt's best chunks; attempts has query_id, attempt, pairs
     and vector."""
     reach(attempts.sparkSession)
@@ -98,10 +98,13 @@ def search(attempts: DataFrame, chunks: DataFrame, sets: Sequence[Sequence[str]]
     offers = [F.lit(ALL) if not s else F.concat_ws(",", *(F.concat(F.lit(f"{key}="), F.col(key)) for key in s)) for s in sets]
     whole = [F.lit(True) if not s else F.forall(F.array(*s), lambda v: v.isNotNull()) for s in sets]
     offered = chunks.where(_usable(F.col("embedding"))).select("chunk_id", F.col("embedding").alias("vector"), F.explode(F.array_compact(F.array(*(F.when(w, o) for w, o in zip(whole, offers, strict=True))))).alias("signature"))
-    wanted = asked.select("signature").distinct()
-    sizes = offered.select("signature").join(wanted, "signature", "left_semi").groupBy("signature").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    offered = offered.join(sizes, "signature").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).drop("slices")
-    asked = asked.join(sizes, "signature").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    if chunks.limit(slice_rows + 1).count() <= slice_rows:  # no signature needs more than one slice
+        asked, offered = asked.withColumn("slice", F.lit(0)), offered.withColumn("slice", F.lit(0))
+    else:
+        wanted = asked.select("signature").distinct()
+        sizes = offered.select("signature").join(wanted, "signature", "left_semi").groupBy("signature").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+        offered = offered.join(sizes, "signature").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).drop("slices")
+        asked = asked.join(sizes, "signature").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     kind = f"query_id {kinds['query_id']}, attempt {kinds['attempt']}, chunk_id {kinds['chunk_id']}, score double"
     met = asked.groupBy("signature", "slice").cogroup(offered.groupBy("signature", "slice")).applyInArrow(_meet(clamp(k)), kind)
     best = Window.partitionBy("query_id", "attempt").orderBy(F.desc(F.round("score", 12)), "chunk_id")

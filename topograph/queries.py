@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from topograph.functions import identity
 from topograph.functions import text as T
 from topograph.functions.confidence import Thresholds
+from topograph.lineage import cut
 from topograph.operators import cache, clarify, corpus, report, resolve, retrieve, search
 from topograph.plans.template import resolve_plan
 from topograph.sources import extract
@@ -328,7 +329,7 @@ def confidence_tier(spark, d):
 
 def _outcomes(spark, d):
     plan = resolve_plan(contexts(spark, d), CHUNK)
-    return retrieve.choose(retrieve.run(plan, _find(spark, d), LOW))
+    return cut(retrieve.choose(retrieve.run(plan, _find(spark, d), LOW)))  # some queries read it twice
 
 
 @query(f"WITH {A_SQL} SELECT query_id, attempt, reason, confidence, round(top_score, 6) AS top_score, attempts_made, confidence IN ('high', 'medium') AND result_count > 0 AS should_answer FROM o")
