@@ -37,7 +37,8 @@ class Catalog:
     terms: DataFrame
     tuples: DataFrame
     parents: DataFrame
-    paths: DataFrame
+    leads: DataFrame
+    spans: DataFrame
 
     @classmethod
     def of(cls, documents: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
@@ -45,11 +46,13 @@ class Catalog:
         clean = documents.withColumn("levels", F.transform_values("levels", lambda _, v: T.strip(v)))
         values = corpus.level_values(documents, levels) if values is None else values
         terms = corpus.alias_terms(documents)
-        paths = clean.select("relative_path", corpus.level_array(levels).alias("tuple"))
-        return cls(list(levels), values.withColumn("norm", T.normalize("value")), terms, corpus.level_tuples(clean, levels), corpus.single_ancestors(clean, levels), paths)
+        leads = terms.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy("name", "relative_path"))).where(F.col("_n") <= HINTS).drop("_n")
+        each = clean.select("relative_path", F.posexplode(corpus.level_array(levels)).alias("level", "value")).where("value <> ''")
+        spans = terms.select("relative_path", "term").join(each, "relative_path").groupBy("term", "level").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        return cls(list(levels), values.withColumn("norm", T.normalize("value")), terms, corpus.level_tuples(clean, levels), corpus.single_ancestors(clean, levels), leads, spans)
 
     def keep(self) -> Catalog:
-        for f in (self.values, self.terms, self.tuples, self.parents, self.paths):
+        for f in (self.values, self.terms, self.tuples, self.parents, self.leads, self.spans):
             f.persist()
         return self
 
@@ -96,17 +99,24 @@ def lexical_matches(queries: DataFrame, catalog: Catalog) -> DataFrame:
     return pairs.groupBy("query_id", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
 
 
-def hints(queries: DataFrame, catalog: Catalog) -> DataFrame:
-    """query_id, relative_path, name, score (length of the longest term that occurs) and rank of documents named."""
-    pairs = contained(queries.select("query_id", F.col("norm").alias("q")), "q", catalog.terms, "term")
-    found = pairs.groupBy("query_id", "relative_path", "name").agg(F.max(F.length("term")).alias("score"))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "relative_path")))
+def named_terms(queries: DataFrame, catalog: Catalog) -> DataFrame:
+    """query_id and term: the distinct terms of documents that occur in a query's `norm`. Documents come in only by
+    what is known of a term, so a term that all documents share doesn't pair each query with each of them."""
+    return contained(queries.select("query_id", F.col("norm").alias("q")), "q", catalog.terms.select("term").distinct(), "term").select("query_id", "term")
+
+
+def hints(found: DataFrame, catalog: Catalog) -> DataFrame:
+    """query_id, relative_path, name, score (length of the longest term that occurs) and rank of the HINTS best documents
+    named. A document among them is among the first HINTS of its longest term."""
+    rows = found.join(catalog.leads, "term").groupBy("query_id", "relative_path", "name").agg(F.max(F.length("term")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "relative_path")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HINTS)
 
 
 def agreed(found: DataFrame, catalog: Catalog) -> DataFrame:
     """query_id, level and value where all named documents that have the level have one value."""
-    rows = found.join(catalog.paths, "relative_path").select("query_id", F.posexplode("tuple").alias("level", "value")).where("value <> ''").distinct()
-    return rows.groupBy("query_id", "level").agg(F.count("*").alias("n"), F.min("value").alias("value")).where("n = 1").drop("n")
+    rows = found.join(catalog.spans, "term").groupBy("query_id", "level").agg(F.min("low").alias("value"), F.max("high").alias("high"))
+    return rows.where("value = high").drop("high")
 
 
 def cascade(contexts: DataFrame, catalog: Catalog) -> DataFrame:
@@ -172,10 +182,10 @@ def resolve(queries: DataFrame, catalog: Catalog) -> DataFrame:
 
     seen = lexical_matches(q, catalog)
     matched = seen.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "values"))).alias("_seen"))
-    named = hints(q, catalog)
-    told = agreed(named, catalog)
+    found = named_terms(q, catalog)
+    named, told = hints(found, catalog), agreed(found, catalog)
     told = told.groupBy("query_id").agg(_placed(told, depth).alias("_told"))
-    names = named.where(F.col("rank") <= HINTS).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("hint_names"))
+    names = named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("hint_names"))
 
     x = q.join(pinned, "query_id", "left").join(matched, "query_id", "left").join(told, "query_id", "left").join(names, "query_id", "left")
     x = x.withColumn("matched", F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(F.element_at("_seen", i), none)) if depth else F.array().cast("array<array<string>>"))

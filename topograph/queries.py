@@ -216,7 +216,7 @@ hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def doc_hints_top4(spark, d):
     c = resolve.Catalog.of(parts(spark, d), ["type", "brand"])
     q = asked_parts(spark, d).withColumn("norm", T.normalize(F.col("message")))
-    return resolve.hints(q, c).where("rank <= 4")
+    return resolve.hints(resolve.named_terms(q, c), c)
 
 
 @query(f"""WITH {G_SQL}, al AS (SELECT CAST(g.doc_id AS BIGINT) AS query_id, l0, l1, l2 FROM g WHERE CAST(g.doc_id AS BIGINT) % 50 = 1)
@@ -225,7 +225,7 @@ def infer_levels(spark, d):
     c = resolve.Catalog.of(geo(spark, d), GEO)
     x = table(spark, d, "customer").where("c_custkey % 50 = 1")
     q = x.select(F.col("c_custkey").alias("query_id"), T.normalize(F.concat(F.lit("History of "), "c_name")).alias("norm"))
-    return resolve.agreed(resolve.hints(q, c), c)
+    return resolve.agreed(resolve.named_terms(q, c), c)
 
 
 def geo_contexts(spark: SparkSession, d: str) -> DataFrame:
