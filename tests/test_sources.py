@@ -53,7 +53,7 @@ def test_crawl_options(spark, corpus):
 
 def test_extractors():
     assert extract.plain("a\r\né".encode()) == "a\né" and extract.plain(b"\xff\xfea") == "ÿþa"
-    assert extract.html(b"<p>a &amp; b</p><script>x<style>y</script>z</style><div> c </div>") == "a & b\nc"
+    assert extract.html(b"<p>a &amp; b</p><script>x<style>y</script>z</style><div> c </div>") == "a & b\nz\nc"
     assert extract.html(b"<template><p>no</p></template>yes") == "yes"
     assert extract.flat_json(b'{"a": {"b": [1, {"c": null}]}, "t": true, "e": {}}') == "a.b[0]: 1\na.b[1].c: \nt: True"
     assert extract.flat_json(b"7") == "value: 7" and extract.flat_json(b"{oops") == "{oops"
