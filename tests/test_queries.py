@@ -10,6 +10,8 @@ import pytest
 from topograph import queries
 
 CUTS = [" WHERE o_orderkey % 20 = 1", " WHERE p_partkey % 50 = 1", " WHERE CAST(g.doc_id AS BIGINT) % 50 = 1", " WHERE p_brand < 'Brand#2' OR p_brand >= 'Brand#5'"]
+#: The SQL leaves the queries' vectors out of the chunks; whole, it leaves out a query's own.
+PARTIAL = [(" FROM embeddings WHERE vec_id % 10 <> 0)", " FROM embeddings)"), ("FROM p JOIN c ON (", "FROM p JOIN c ON c.chunk_id <> p.query_id AND (")]
 NAMES = ["red box", "blue box", "green lamp", "old red box", "tin"]
 
 
@@ -21,6 +23,7 @@ def tables(spark, tmp_path_factory):
         "nation": ([(i, f"NATION{i}", i % 2) for i in range(4)], "n_nationkey int, n_name string, n_regionkey int"),
         "customer": ([(i, f"Customer#{i:09d}", i % 4, ["AUTO", "HOME", "TOOL"][i % 3]) for i in range(1, 61)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
         "orders": ([(i, i * 7 % 60 + 1, datetime.datetime(1995, 1, 1)) for i in range(1, 201)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "embeddings": ([(i, [math.sin(i * k * k + k) + (2 if k == i % 5 else 0) * (i % 3) for k in range(8)], i % 5) for i in range(120)], "vec_id long, embedding array<float>, label int"),
         # T0 has one brand, T1 and T2 one outside and others within Brand#2 to Brand#5, T3 one within
         "part": ([(i, NAMES[i % 5], f"T{i % 4}", ["Brand#11", ["Brand#12", "Brand#31"][i // 4 % 2], ["Brand#13", "Brand#41", "Brand#51"][i // 4 % 3], "Brand#22"][i % 4]) for i in range(1, 61)], "p_partkey long, p_name string, p_type string, p_brand string"),
     }
@@ -29,14 +32,19 @@ def tables(spark, tmp_path_factory):
     return d
 
 
+def widened(sql):
+    for old, new in [(x, "") for x in CUTS] + PARTIAL:
+        sql = sql.replace(old, new)
+    return sql
+
+
 def whole(d, name):
     """The SQL's rows once its filters are taken out, and those with them."""
     db, sql = duckdb.connect(), queries.SQL[name]
-    for t in ("region", "nation", "customer", "orders", "part"):
+    for t in ("region", "nation", "customer", "orders", "part", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
     cut = Counter(db.execute(sql).fetchall())
-    for x in CUTS:
-        sql = sql.replace(x, "")
+    sql = widened(sql)
     return Counter(db.execute(sql).fetchall()), cut
 
 
@@ -49,3 +57,10 @@ def test_whole_tables(spark, tables, name):
 
 def test_auto_pin_single_brands(spark, tables):
     assert {r.p_type: r.pinned for r in queries.QUERIES["auto_pin"](spark, tables).collect()} == {"T0": "Brand#11", "T1": None, "T2": None, "T3": "Brand#22"}
+
+
+@pytest.mark.parametrize("name", ["filtered_topk", "baseline_topk", "confidence_tier", "fallback_select", "token_gate", "report_summary"])
+def test_all_vectors_are_searched(spark, tables, name):
+    want, cut = whole(tables, name)
+    got = Counter(map(tuple, queries.QUERIES[name](spark, tables).collect()))
+    assert got == want and want != cut
