@@ -64,3 +64,16 @@ def test_all_vectors_are_searched(spark, tables, name):
     want, cut = whole(tables, name)
     got = Counter(map(tuple, queries.QUERIES[name](spark, tables).collect()))
     assert got == want and want != cut
+
+
+#: What the SQL of clarify_options lacks: first-level questions after confident outcomes, from the results' values by rank.
+TOLD = """ UNION ALL SELECT query_id, 'fam', array_to_string(list_transform(list(fam ORDER BY pos)[1:4], lambda l: upper(l[1]) || l[2:]), ',') FROM (
+SELECT q.query_id, h.fam, min(h.rank) AS pos FROM q JOIN o ON q.query_id = o.query_id JOIN h ON h.query_id = o.query_id AND h.attempt = o.attempt WHERE q.fam IS NULL AND o.confidence IN ('high', 'medium') GROUP BY ALL) GROUP BY query_id"""
+
+
+def test_clarify_options_of_confident_outcomes(spark, tables, monkeypatch):
+    cut = whole(tables, "clarify_options")[0]
+    monkeypatch.setitem(queries.SQL, "clarify_options", queries.SQL["clarify_options"] + TOLD)
+    want = whole(tables, "clarify_options")[0]
+    got = Counter(map(tuple, queries.QUERIES["clarify_options"](spark, tables).collect()))
+    assert got == want and len(want) > len(cut)

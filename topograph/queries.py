@@ -371,9 +371,8 @@ def clarify_options(spark, d):
     x = resolve.candidates(contexts(spark, d).drop("vector"), held).withColumns({"matched": F.array(F.array().cast("array<string>"), F.array().cast("array<string>")), "effective_query": F.lit("q"), "clarification_count": F.lit(0)})
     outcomes = _outcomes(spark, d)
     unsure = F.size("clarification.options") > 0
-    found = clarify.clarify(x, outcomes, corpus.level_values(c, CHUNK).where("level = 0"), CHUNK).join(outcomes.select("query_id", "confidence"), "query_id")
-    first = (F.get("clarification.options.level", F.lit(0)) == "fam") & F.col("confidence").isin("high", "medium")
-    return found.where(unsure & ~first).select("query_id", F.get("clarification.options.level", F.lit(0)).alias("level"), F.array_join("clarification.options.label", ",").alias("labels"))
+    found = clarify.clarify(x, outcomes, corpus.level_values(c, CHUNK).where("level = 0"), CHUNK)
+    return found.where(unsure).select("query_id", F.get("clarification.options.level", F.lit(0)).alias("level"), F.array_join("clarification.options.label", ",").alias("labels"))
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
