@@ -152,6 +152,18 @@ def test_jaccard_family(spark):
     assert jaccard.least_matches(0.8, 1e-6) == sorted(jaccard.least_matches(0.8, 1e-6))
 
 
+def test_jaccard_null_ids(spark):
+    """Near copies without a doc_id link to each other and to those with one."""
+    base, other = say(150).split(), say(150).split()
+    near = lambda words, k: " ".join(words[:k] + [f"y{k}"] + words[k + 1 :])
+    rows = [(None, near(base, 10)), (None, near(base, 70)), (5, near(base, 140)), (None, near(other, 20)), (None, near(other, 120)), (None, near(other, 20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(d).collect())
+    assert got == Counter({(None, 5, 2): 2, (5, 5, 2): 1, (None, None, 2): 3})
+    kept = [tuple(r) for r in jaccard.keep_one(d).collect()]
+    assert len(kept) == 2 and rows[2] in kept and (rows[3] in kept or rows[4] in kept)
+
+
 def test_mixing(docs, none, spark):
     rows = [(i, say(10), f"s{min(i % 10, 3)}") for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")

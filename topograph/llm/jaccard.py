@@ -12,7 +12,8 @@ is emitted for a pair: tasks emit a spanning forest of what they find and each n
 similarity 0.8 shares no band with probability 3e-6; no cap drops a pair.
 
 Null text is empty text. A text without words is in a class of its own and has no link, also to other such texts. Rows
-that repeat a doc_id are rows of their own. Extra columns are ignored; an empty table gives no rows.
+that repeat a doc_id are rows of their own, and so are those with a null one: they link as others do, and are a class's
+least only if it has no other. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -294,8 +295,8 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     found = cut(found.join(sizes, "component"))
 
     small = found.count() <= MOST_BROADCAST
-    members = found.select("node", "component", "copies", "blocks", F.col("rep").alias("doc_id"))
-    sets = named.join(F.broadcast(members) if small else members, ["node", "doc_id"]).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, shingles binary")
+    members = found.select(F.col("node").alias("_node"), "component", "copies", "blocks", "rep")
+    sets = named.join(F.broadcast(members) if small else members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, shingles binary")
     pairs = _block_pairs(sets, F.col("blocks")).drop("blocks")
     path = shared_folder(spark)
     pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(thrifty(_verify(Fraction(threshold).limit_denominator(1000))), "node binary, other binary, links bigint").write.parquet(path)
@@ -303,7 +304,7 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     links = verified.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = classes.join(nodes.select("node", "rep"), "node")
-    leads = classes.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("lead"))
+    leads = classes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("lead"))
     classes = classes.join(leads, "component").select("node", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead"))
     out = nodes.select("node", "rep", "copies", "n").join(classes, "node", "left").join(links, "node", "left")
     return docs.select("doc_id", node(F.col("text")).alias("node")).join(out, "node")
