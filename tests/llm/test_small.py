@@ -276,6 +276,15 @@ def test_scoring(docs, none, spark):
     assert x[2].logprob == pytest.approx(math.log(2 / 8) + math.log(0.4 * 1 / 8) + 2 * math.log(0.4) + math.log(1 / 8)) and x[3].n_words == 0
 
 
+def test_scoring_by_row(spark):
+    """Rows that share a doc_id, or have none, are scored each."""
+    tables = scoring.count_tables(spark.createDataFrame([("a b c a b",), ("b c d",)], "text string"), 2)
+    rows = [(1, "a b"), (1, "d"), (1, "d"), (None, "a b"), (None, None)]
+    got = Counter((r.doc_id, r.n_words, round(r.logprob, 9)) for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), tables).collect())
+    ab, d = round(math.log(2 / 8), 9), round(math.log(1 / 8), 9)
+    assert got == Counter({(1, 2, ab): 1, (1, 1, d): 2, (None, 2, ab): 1, (None, 0, 0.0): 1})
+
+
 def test_top_k(spark):
     v = [(i, [float(x) for x in RNG.normal(0, 0.2, 8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(30)] + [(400, None), (420, [float("nan")] * 8), (440, [None] * 8), (460, [0.0] * 8), (480, [0.25] * 3), (500, [])]
     d = spark.createDataFrame([(i, x, 0) for i, x in v], "vec_id long, embedding array<float>, label int")

@@ -184,10 +184,14 @@ def count_tables(corpus: DataFrame, order: int = 2) -> dict[int, DataFrame]:
 
 
 def score(docs: DataFrame, tables: dict[int, DataFrame], backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words and logprob of texts by count tables; a word that no table has counts as seen once."""
+    """doc_id, n_words and logprob of every row by count tables; a word that no table has counts as seen once.
+
+    Each distinct text is scored once and rows get their text's score, so a doc_id may repeat or be null.
+    """
     order = max(tables)
     total = tables[1].agg(F.sum("n")).first()[0] or 1
-    x = _grams(docs, order, ["doc_id"]).withColumn("s", F.lit(None).cast("double"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key_of", F.md5(F.col("text").cast("binary")))
+    x = _grams(rows.select("key_of", "text").dropDuplicates(["key_of"]), order, ["key_of"]).withColumn("s", F.lit(None).cast("double"))
     for n in range(order, 0, -1):
         gram = F.when(F.col("s").isNull() & (F.size("gram") >= n), F.slice("gram", -n, n))
         x = x.withColumn("key", gram).join(tables[n].select(F.col("gram").alias("key"), F.col("n").alias("top")), "key", "left")
@@ -200,5 +204,5 @@ def score(docs: DataFrame, tables: dict[int, DataFrame], backoff: float = BACKOF
             found = F.log(F.coalesce("top", F.lit(1)) / F.lit(float(total)))
         steps = F.least(F.lit(order), F.size("gram")) - n
         x = x.withColumn("s", F.coalesce("s", F.when(F.col("key").isNotNull() if n == 1 else F.col("top").isNotNull(), found + steps * F.lit(float(np.log(backoff)))))).drop("key", "top", "low")
-    sums = x.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("s").alias("logprob"))
-    return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("logprob", F.lit(0.0)).alias("logprob"))
+    sums = x.groupBy("key_of").agg(F.count("*").alias("n_words"), F.sum("s").alias("logprob"))
+    return rows.select("doc_id", "key_of").join(sums, "key_of", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("logprob", F.lit(0.0)).alias("logprob"))
