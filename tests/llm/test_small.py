@@ -257,6 +257,16 @@ def test_toxicity(docs, none, spark):
     assert toxicity.reject(docs, toxicity.train(docs, labels.limit(0))).count() == len(TEXTS)
 
 
+def test_toxicity_endings():
+    """A word has the feature of its ending also without punctuation after it."""
+    import pyarrow as pa
+
+    w = next(split(pa.array(["madly", "sadly", "said madly there", ""])))[2]
+    rows, keys = toxicity.features(w)
+    own = [set(keys[rows == i].tolist()) for i in range(4)]
+    assert len(own[0] & own[1]) == 1 and own[0] & own[1] <= own[2] and not own[3]
+
+
 def test_scoring(docs, none, spark):
     ones, twos = Counter(), Counter()
     for _, t in TEXTS:

@@ -46,8 +46,7 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
         longer = plain.ends - plain.starts > k
         found.append((rows[longer], plain.hashes(k)[longer] ^ np.uint64(k)))
     tail = Words(buf, w.bounds, np.maximum(w.ends - SUFFIX, w.starts), w.ends, w.offsets)
-    marked = PARTING[buf[w.ends - 1]] if len(w.ends) else np.zeros(0, bool)
-    found.append((w.rows()[marked], tail.hashes()[marked] ^ np.uint64(1 << 63)))
+    found.append((w.rows(), tail.hashes() ^ np.uint64(1 << 63)))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
