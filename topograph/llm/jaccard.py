@@ -9,7 +9,8 @@ products of the shingles that at least two of them have. A pair at the threshold
 
 Buckets and groups larger than a block are dealt out as pairs of blocks, so no task gets an unbounded group and no row
 is emitted for a pair: tasks emit a spanning forest of what they find and each node's number of links. A pair of
-similarity 0.8 shares no band with probability 3e-6; no cap drops a pair.
+similarity 0.8 shares no band with probability 3.2e-6 and is pruned with probability 7.6e-6, so it is missed with
+probability 1.1e-5 (2.0e-6 at 0.82, 1.6e-7 at 0.85); no cap drops a pair.
 
 Null text is empty text. A text without words is in a class of its own and has no link, also to other such texts. Rows
 that repeat a doc_id are rows of their own, and so are those with a null one: they link as others do, and are a class's
