@@ -76,22 +76,22 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth vector is a query, against all others; half of them have both levels resolved, the others one or none."""
-    x = table(spark, d, "embeddings").where("vec_id % 10 = 0").withColumn("query_id", F.col("vec_id"))
-    kind = (F.col("vec_id") / 10).cast("long") % 4
+    """Vectors whose id is divisible by 20 are queries, against all others; half of them have both levels resolved, the others one or none."""
+    x = table(spark, d, "embeddings").where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id"))
+    kind = (F.col("vec_id") / 20).cast("long") % 4
     fam = F.when(kind != 3, F.concat(F.lit("f"), (F.col("label") % 3).cast("string")))
     lab = F.when(kind < 2, F.concat(F.lit("l"), F.col("label").cast("string")))
     return x.select("query_id", F.array(fam, lab).alias("resolved"), F.col("embedding").alias("vector"))
 
 
-C_SQL = """c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, 'f' || (label % 3) AS fam, 'l' || label AS lab, 'chunk ' || vec_id AS text FROM embeddings WHERE vec_id % 10 <> 0),
-q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN (vec_id // 10) % 4 <> 3 THEN 'f' || (label % 3) END AS fam, CASE WHEN (vec_id // 10) % 4 < 2 THEN 'l' || label END AS lab FROM embeddings WHERE vec_id % 10 = 0),
+C_SQL = """c AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, 'f' || (label % 3) AS fam, 'l' || label AS lab, 'chunk ' || vec_id AS text FROM embeddings),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN (vec_id // 20) % 4 <> 3 THEN 'f' || (label % 3) END AS fam, CASE WHEN (vec_id // 20) % 4 < 2 THEN 'l' || label END AS lab FROM embeddings WHERE vec_id % 20 = 0),
 t AS (SELECT * FROM (VALUES (1, 'resolved_context', true), (2, 'fam_only', true), (3, 'global_fallback', false)) t(pos, reason, allow_broaden)),
 r AS (SELECT query_id, v, pos, reason, allow_broaden, CASE WHEN pos < 3 THEN fam END AS fam, CASE WHEN pos = 1 THEN lab END AS lab FROM q, t),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(fam, ''), coalesce(lab, '') ORDER BY pos) AS again FROM r WHERE pos = 3 OR fam IS NOT NULL OR lab IS NOT NULL),
 p AS (SELECT query_id, v, fam, lab, reason, allow_broaden, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS attempt, count(*) OVER (PARTITION BY query_id) AS n FROM k WHERE again = 1)"""
 S_SQL = f"""{C_SQL},
-s AS (SELECT p.query_id, p.attempt, c.chunk_id, c.text, c.fam, c.lab, list_dot_product(p.v, c.e) / sqrt(list_dot_product(p.v, p.v)) / sqrt(list_dot_product(c.e, c.e)) AS score FROM p JOIN c ON (p.fam IS NULL OR p.fam = c.fam) AND (p.lab IS NULL OR p.lab = c.lab)),
+s AS (SELECT p.query_id, p.attempt, c.chunk_id, c.text, c.fam, c.lab, list_dot_product(p.v, c.e) / sqrt(list_dot_product(p.v, p.v)) / sqrt(list_dot_product(c.e, c.e)) AS score FROM p JOIN c ON c.chunk_id <> p.query_id AND (p.fam IS NULL OR p.fam = c.fam) AND (p.lab IS NULL OR p.lab = c.lab)),
 h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, attempt ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 6)"""
 A_SQL = f"""{S_SQL},
 a AS (SELECT p.query_id, p.attempt, p.reason, p.allow_broaden, p.n, count(h.score) AS result_count, coalesce(max(h.score), 0) AS top_score, coalesce(max(h.score) FILTER (h.rank = 2), 0) AS second, coalesce(sum(length(h.text)), 0) AS chars FROM p LEFT JOIN h ON p.query_id = h.query_id AND p.attempt = h.attempt GROUP BY ALL),
@@ -207,7 +207,7 @@ def asked_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 P_SQL = f"""dp AS (SELECT p_partkey, concat_ws('/', p_type, p_brand, lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS relative_path, p_name || '.txt' AS name, p_type, p_brand, unnest([{NORM.format('p_name')}, {NORM.format('p_brand')}, {NORM.format("p_name || '.txt'")}]) AS term FROM part),
-uq AS (SELECT p_partkey AS query_id, {NORM.format("'Price of ' || p_name || '?'")} AS norm FROM part WHERE p_partkey % 50 = 1),
+uq AS (SELECT p_partkey AS query_id, {NORM.format("'Price of ' || p_name || '?'")} AS norm FROM part),
 hp AS (SELECT query_id, relative_path, name, p_type, p_brand, max(length(term)) AS score FROM uq JOIN dp ON dp.term <> '' AND contains(uq.norm, dp.term) GROUP BY ALL),
 hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, relative_path) AS INTEGER) AS rank FROM hp)"""
 
@@ -219,7 +219,7 @@ def doc_hints_top4(spark, d):
     return resolve.hints(resolve.named_terms(q, c), c)
 
 
-@query(f"""WITH {G_SQL}, al AS (SELECT CAST(g.doc_id AS BIGINT) AS query_id, l0, l1, l2 FROM g WHERE CAST(g.doc_id AS BIGINT) % 50 = 1)
+@query(f"""WITH {G_SQL}, al AS (SELECT CAST(g.doc_id AS BIGINT) AS query_id, l0, l1, l2 FROM g)
 SELECT query_id, 0 AS level, l0 AS value FROM al UNION ALL SELECT query_id, 1, l1 FROM al UNION ALL SELECT query_id, 2, l2 FROM al WHERE l2 IS NOT NULL""")
 def infer_levels(spark, d):
     c = resolve.Catalog.of(geo(spark, d), GEO)
@@ -237,7 +237,7 @@ def geo_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 X_SQL = f"""{G_SQL}, {N_SQL}, sa AS (SELECT child_level, child_value, parent_level, min(parent_value) AS parent_value FROM n GROUP BY ALL HAVING count(*) = 1),
-e0 AS (SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 5 = 3 THEN r_name END AS r0, CASE WHEN o_custkey % 5 IN (0, 2) THEN n_name END AS r1, CASE WHEN o_custkey % 5 IN (1, 2) THEN c_mktsegment END AS r2 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 20 = 1),
+e0 AS (SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 5 = 3 THEN r_name END AS r0, CASE WHEN o_custkey % 5 IN (0, 2) THEN n_name END AS r1, CASE WHEN o_custkey % 5 IN (1, 2) THEN c_mktsegment END AS r2 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 e1 AS (SELECT query_id, coalesce(r0, a.parent_value, b.parent_value) AS r0, coalesce(r1, c.parent_value) AS r1, r2 FROM e0
  LEFT JOIN sa a ON a.child_level = 1 AND a.child_value = r1 AND a.parent_level = 0 LEFT JOIN sa b ON b.child_level = 2 AND b.child_value = r2 AND b.parent_level = 0 LEFT JOIN sa c ON c.child_level = 2 AND c.child_value = r2 AND c.parent_level = 1),
 gt AS (SELECT DISTINCT l0, l1, l2 FROM g),
@@ -261,7 +261,7 @@ def candidate_next(spark, d):
     return resolve.candidates(resolve.cascade(geo_contexts(spark, d), c), c).select("query_id", "next_level", F.array_join("next_values", ",").alias("next_values"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_brand < 'Brand#2' OR p_brand >= 'Brand#5'), one AS (SELECT p_type, min(p_brand) AS b, count(*) AS n FROM p WHERE p_type IS NOT NULL GROUP BY p_type)
+@query("""WITH p AS (SELECT DISTINCT p_type, p_brand FROM part), one AS (SELECT p_type, min(p_brand) AS b, count(*) AS n FROM p WHERE p_type IS NOT NULL GROUP BY p_type)
 SELECT DISTINCT part.p_type, CASE WHEN n = 1 THEN b END AS pinned FROM part JOIN one ON part.p_type = one.p_type""")
 def auto_pin(spark, d):
     docs = parts(spark, d)
@@ -364,7 +364,9 @@ def report_summary(spark, d):
 rv AS (SELECT h.query_id, h.lab, min(h.rank) AS pos FROM h JOIN o ON h.query_id = o.query_id AND h.attempt = o.attempt JOIN cx ON h.query_id = cx.query_id JOIN lb ON lb.fam = cx.fam WHERE list_contains(lb.labs, h.lab) GROUP BY h.query_id, h.lab),
 rk AS (SELECT query_id, list(lab ORDER BY pos) AS labs FROM rv GROUP BY query_id)
 SELECT cx.query_id, 'lab' AS level, array_to_string(list_transform((coalesce(rk.labs, lb.labs))[1:4], lambda l: upper(l[1]) || l[2:]), ',') AS labels FROM cx JOIN lb ON lb.fam = cx.fam LEFT JOIN rk ON rk.query_id = cx.query_id WHERE len(lb.labs) > 1 AND (rk.labs IS NULL OR len(rk.labs) <> 1)
-UNION ALL SELECT q.query_id, 'fam', (SELECT array_to_string(list_transform(list(DISTINCT fam ORDER BY fam)[1:4], lambda l: upper(l[1]) || l[2:]), ',') FROM c) FROM q JOIN o ON q.query_id = o.query_id WHERE q.fam IS NULL AND o.confidence NOT IN ('high', 'medium')""")
+UNION ALL SELECT q.query_id, 'fam', (SELECT array_to_string(list_transform(list(DISTINCT fam ORDER BY fam)[1:4], lambda l: upper(l[1]) || l[2:]), ',') FROM c) FROM q JOIN o ON q.query_id = o.query_id WHERE q.fam IS NULL AND o.confidence NOT IN ('high', 'medium')
+UNION ALL SELECT query_id, 'fam', array_to_string(list_transform(list(fam ORDER BY pos)[1:4], lambda l: upper(l[1]) || l[2:]), ',') FROM (
+ SELECT q.query_id, h.fam, min(h.rank) AS pos FROM q JOIN o ON q.query_id = o.query_id JOIN h ON h.query_id = o.query_id AND h.attempt = o.attempt WHERE q.fam IS NULL AND o.confidence IN ('high', 'medium') GROUP BY ALL) GROUP BY query_id""")
 def clarify_options(spark, d):
     c = chunks(spark, d).select(F.col("chunk_id").cast("string").alias("relative_path"), levels_of(CHUNK, F.col("fam"), F.col("lab")).alias("levels"), F.array().cast("array<string>").alias("aliases"), "filename")
     held = resolve.Catalog.of(c, CHUNK)
@@ -417,11 +419,11 @@ def manifest_issues(spark, d):
     return corpus.issues(rows, DOC, rows.where("n % 19 <> 0"), complete=True)
 
 
-@query("""SELECT e.vec_id AS chunk_id, d.lang, d.source, concat(d.doc_id, '.txt') AS filename, CAST(2 + (d.lang IS NOT NULL)::INT + (d.source IS NOT NULL)::INT + 2 AS INTEGER) AS fields FROM embeddings e JOIN documents d ON e.vec_id % 200 = d.doc_id""")
+@query("""SELECT e.vec_id AS chunk_id, d.lang, d.source, concat(d.doc_id, '.txt') AS filename, CAST(2 + (d.lang IS NOT NULL)::INT + (d.source IS NOT NULL)::INT + 2 AS INTEGER) AS fields FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id""")
 def chunk_stamp(spark, d):
     docs = documents(spark, d).withColumn("n", F.regexp_extract("filename", r"^(\d+)", 1).cast("long"))
     rows = corpus.manifest(docs, DOC)
-    x = table(spark, d, "embeddings").join(docs.select("n", "doc_id"), F.col("vec_id") % 200 == F.col("n")).select(F.col("vec_id").alias("chunk_id"), "doc_id", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"))
+    x = table(spark, d, "embeddings").join(docs.select("n", "doc_id"), F.col("vec_id") == F.col("n")).select(F.col("vec_id").alias("chunk_id"), "doc_id", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"))
     return corpus.stamp(x, rows, DOC).select("chunk_id", "lang", "source", "filename", F.size("metadata").alias("fields"))
 
 
