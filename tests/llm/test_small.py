@@ -304,14 +304,58 @@ def test_top_k(spark):
         if i % 20 == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q.items() if j != i)[:20]
             want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(scored)}
-    for rows, blocks in ((1 << 14, 512), (50, 4)):
-        x = d.select(topk.F.col("vec_id").alias("id"), topk.quantise(topk.F.col("embedding")).alias("v")).where("v is not null")
-        got = topk.top_k(x, x.where("id % 20 = 0"), 20, rows, blocks)
+    for rows, tile in ((1 << 14, 512), (50, 4)):
+        x = d.select(topk.F.col("vec_id").alias("id"), topk.usable(topk.F.col("embedding")).alias("v")).where("v is not null")
+        got = topk.top_k(x, x.where("id % 20 = 0"), 20, shard_rows=rows, tile_rows=tile)
         assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == want
     assert topk.search_embeddings(d.limit(0)).count() == 0
     assert topk.search_embeddings(d.where("vec_id = 0 or vec_id = 7")).count() == 1
 
 
+def ranked(rows, k=20):
+    """Top k by Python's integers: each id's smallest vector asks, every row of another id is a candidate."""
+    whole = lambda v: [int(c) * 64 if abs(c) >= 2**60 else math.floor(c * 64) for c in v]
+    rows = [(i, v) for i, v, *_ in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    first, out = {}, []
+    for i, v in rows:
+        first[i] = min(first.get(i, v), v)
+    for i, v in first.items():
+        if i % 20 == 0:
+            got = sorted((-sum(a * b for a, b in zip(whole(v), whole(w))), j) for j, w in rows if j != i)[:k]
+            out += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(got)]
+    return Counter(out)
+
+
+def test_top_k_of_long_vectors(spark):
+    """Components and sums of any size, repeated ids, and columns named as the operator's own."""
+    kind = "vec_id long, embedding array<double>, id long, v array<double>, shard int, tile int, beyond string, score long"
+    more = (7, [0.0], 3, 4, "x", 5)
+    full = [(2**24 - 1) / 64] * 128
+    sets = [
+        [(0, [300000.0, 1.0]), (1, [1.0, 2.0]), (2, [-300000.0, 3.0]), (20, [5.0])],
+        [(0, [-1e30, 1.0]), (1, [1.0, 2.0]), (2, [1e30, -2.0]), (3, [1e30, -1.0]), (20, [-1e300, 1e300]), (21, [1e300, 1e300]), (40, [1.5, -0.1])],
+        [(20 * i, [x + i / 64 for x in full]) for i in range(3)] + [(7, full), (9, [-x for x in full]), (11, full[:60])],
+        [(0, [0.5, 0.5]), (0, [0.25, 0.5]), (0, [0.5, 0.5]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (20, [2.0, -1.0]), (3, None), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (None, [1.0, 1.0])],
+        [(i, [float(x) for x in RNG.normal(0, 2.0 ** (i % 50), 6)]) for i in range(200)],
+        [(i, [float(2**20 + i % 3 - 1), float(RNG.integers(-3, 3)), 0.5]) for i in range(120)],
+    ]
+    for rows in sets:
+        d = spark.createDataFrame([(*r, *more) for r in rows], kind)
+        got = Counter(map(tuple, topk.search_embeddings(d).collect()))
+        assert got == ranked([r for r in rows if r[0] is not None])
+
+
+def test_top_k_stops_on_proof():
+    """Small postings aren't visited where the large ones decide."""
+    v = np.clip(np.round(RNG.standard_t(2, (2000, 16)) * 8), -3000, 3000).astype(np.int64)
+    shard, walked = topk.Shard.from_bytes(topk.Shard(np.arange(2000), topk._narrow(v)).to_bytes()), []
+    got = {i: (s.tolist(), j.tolist()) for i, s, j in topk.search(shard, np.arange(100), v[:100], 10, walked)}
+    for i in range(100):
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(2000) if j != i)[:10]
+        assert got[i] == ([-x for x, _ in want], [j for _, j in want])
+    assert sum(walked) < 0.9 * 100 * np.count_nonzero(v)
+
+
 def test_components_of_edges_that_come_in_another_order_each_time(spark):
     """Tasks may find another spanning forest when they run again; the components have to be the same."""
     import pyarrow as pa
