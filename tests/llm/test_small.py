@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 from tokenizers import Tokenizer
 
@@ -207,6 +208,29 @@ def test_substrings(docs, none, spark):
     assert 2 not in cleaned and cleaned[4].text is None and cleaned[12].text == "same" and cleaned[12].n_chars == 4 and cleaned[13].text == dict(TEXTS)[13]
 
 
+#: Names that operators use inside or add.
+OWN = "_c0 _c1 _node _other _doc _text _source _block _slot _pass _at_block _at_slot _salt _passes _cut_block _cut_slot _turn_block _turn_slot n_removed n_words kept places node doc term component stays repeats rep lead band place ids bytes words keys p_toxic score shard logprob".split()
+
+
+def test_clashing_columns(docs, none, spark):
+    """Input columns with the operators' own names come back as they were."""
+    more = docs.select(*docs.columns, *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in OWN))
+    plain = Counter(map(tuple, jaccard.keep_one(docs).collect()))
+    chain = toxicity.train(docs, docs.selectExpr("doc_id", "0 as low_quality", "0 as toxic"))
+    for run, want in ((jaccard.keep_one, plain), (substrings.clean, None), (lambda d: mixing.mix(d).select(*d.columns), None), (lambda d: toxicity.reject(d, chain), None), (substrings.remove, None)):
+        for frame in (more, more.limit(0)):
+            got = run(frame)
+            assert got.columns[: len(more.columns)] == more.columns
+            rows = [r.asDict() for r in got.select(*more.columns).collect()]
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for r in rows for c in OWN)
+            if want and frame is more:
+                assert Counter(tuple(r[c] for c in docs.columns) for r in rows) == want
+    for run in (jaccard.near_duplicates, bpe.digests, langid.identify, audio.digests, token_file.round_trip, scoring.score_corpus):
+        assert Counter(map(tuple, run(more).collect())) == Counter(map(tuple, run(docs).collect()))
+    x = mixing.mix(more)
+    assert x.columns[-3:] == ["__pass", "__at_block", "__at_slot"]
+
+
 def test_automaton():
     for _ in range(50):
         seqs = [RNG.integers(0, 3, RNG.integers(1, 12)).tolist() for _ in range(3)]

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topograph.lineage import cut
+from topograph.llm.columns import back, held
 from topograph.llm.storage import shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, split
 from topograph.workers import thrifty
@@ -331,14 +332,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     again.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "repeats", "stays").write.parquet(path)
     other = docs.sparkSession.read.parquet(path)
     few = other.count() <= MOST_BROADCAST
-    named = docs.withColumn("_node", node(F.col("text")))
+    rows, names = held(docs, "doc_id", "text")
+    named = rows.withColumn("_node", node(F.col("text")))
 
     def match(frame: DataFrame) -> tuple[DataFrame, Column]:
         frame = frame.select("_doc", F.col("_node").alias("_other"))
         return F.broadcast(frame) if few else frame, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_node") == F.col("_other"))
 
-    kept = named.join(*match(other), "left_anti").drop("_node")
+    kept = named.join(*match(other), "left_anti").select(names)
     twice = other.where("stays and repeats")
     if not twice.isEmpty():
-        kept = kept.unionByName(named.join(*match(twice), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node"))
-    return kept
+        kept = kept.unionByName(named.join(*match(twice), "left_semi").dropDuplicates(["doc_id", "_node"]).select(names))
+    return kept.select(back(docs, names))

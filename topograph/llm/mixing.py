@@ -13,7 +13,8 @@ sums by block, the slot by a window over that one block. So a hot source is neve
 copies follow from its own columns and one short row of its source.
 
 Null text has no tokens. A source without tokens is shown once. A null source is a source. Rows that repeat a doc_id
-share one place and are kept or cut together; a null doc_id is hashed like a text of its own. Extra columns are kept.
+share one place and are kept or cut together; a null doc_id is hashed like a text of its own. Extra columns are kept,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topograph.lineage import cut
+from topograph.llm.columns import back, fresh, held
 
 BLOCKS = 4096
 GRID, ROUNDS = 64, 7
@@ -124,9 +126,11 @@ def plan(docs: DataFrame, max_repeats: float | None = 1.5, min_entropy: float |
 
 def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     """The rows of docs, one for each time they are shown, with _pass (from 1), _at_block and _at_slot: the mix is
-    read in order of these three, which shares out the sources evenly."""
+    read in order of these three, which shares out the sources evenly. If docs has such a column, the new one gets more
+    underscores."""
     made = cut(plan(docs, seed=seed, **target).select("_source", *PLAN))
-    rows = placed(docs, seed)
+    rows, names = held(docs, "doc_id", "source")
+    rows = placed(rows, seed).drop("doc_id", "source")
     if _few(made):
         rows = rows.join(F.broadcast(made), "_source")
     else:
@@ -138,4 +142,5 @@ def mix(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
     rows = rows.where(shown > 0).withColumn("_pass", F.explode(F.sequence(F.lit(1), shown)))
     turn_block, turn_slot = turn(seed, F.col("_pass"))
     rows = rows.withColumns({"_at_block": F.col("_block").bitwiseXOR(turn_block), "_at_slot": F.col("_slot").bitwiseXOR(turn_slot)})
-    return rows.select(*docs.columns, "_pass", "_at_block", "_at_slot")
+    own = ("_pass", "_at_block", "_at_slot")
+    return rows.select(*back(docs, names), *(F.col(c).alias(n) for c, n in zip(own, fresh(docs, *own), strict=True)))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from topograph.llm.columns import back, fresh, held
 from topograph.llm.packing import pack_numbers, pack_rising, spans, unpack_numbers, unpack_rising
 from topograph.llm.storage import shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, ngrams, split
@@ -362,16 +363,14 @@ def _kept(w: Words, row: int, places: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """The rows of docs with n_words, n_removed and kept: the words that are left, joined by one space. With digest:
-    doc_id, n_words, n_removed and kept_sha256 only."""
+def _removed(docs: DataFrame, keep: list[str], digest: bool) -> DataFrame:
+    """The rows of docs (as columns.held() names them): the columns `keep`, n_words, n_removed and kept."""
     places = repeated_windows(docs)
     size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("places")), F.lit(0)).alias("bytes")).first()
     if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         places = F.broadcast(places)
-    keep = ["doc_id"] if digest else docs.columns
-    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)), "text", *doc_key()).join(places, ["_doc", "_text"], "left")
-    fields = [StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    rows = docs.select(*keep, "text", *doc_key()).join(places, ["_doc", "_text"], "left")
+    fields = [docs.schema[c] for c in keep]
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,15 +379,28 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 got = [_kept(w, i, b.column("places")[lo + i].as_py()) for i in range(hi - lo)]
                 text = [hashlib.sha256(x).hexdigest() if digest else x.decode() for _, _, x in got]
                 new = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(text, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(lo, hi - lo) for f in fields), *new], schema.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keep), *new], schema.names)
+
+    return rows.select(*keep, "text", "places").mapInArrow(thrifty(run), schema)
 
-    out = rows.select(*(f.name for f in fields), "text", "places").mapInArrow(thrifty(run), schema)
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept"))
+
+def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """The rows of docs with n_words, n_removed and kept: the words that are left, joined by one space; if docs has such
+    a column, the new one gets an underscore. With digest: doc_id, n_words, n_removed and kept_sha256 only."""
+    rows, names = held(docs, "doc_id", "text")
+    if digest:
+        return _removed(rows.select("doc_id", "text"), ["doc_id"], True).withColumnRenamed("kept", "kept_sha256")
+    own = ("n_words", "n_removed", "kept")
+    return _removed(rows, names, False).select(*back(docs, names), *(F.col(c).alias(n) for c, n in zip(own, fresh(docs, *own), strict=True)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs without repeated windows: text (and n_chars, if there) as kept; rows that lose all their words go."""
-    x = remove(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return x.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rows, names = held(docs, "doc_id", "text")
+    x = _removed(rows, names, False).where("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col(names[docs.columns.index("text")]))}
+    if "n_chars" in docs.columns:
+        own = names[docs.columns.index("n_chars")]
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own))
+    return x.select(back(docs, names, **new))
