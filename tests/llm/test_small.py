@@ -291,19 +291,44 @@ def test_toxicity_endings():
     assert len(own[0] & own[1]) == 1 and own[0] & own[1] <= own[2] and not own[3]
 
 
-def test_scoring(docs, none, spark):
-    ones, twos = Counter(), Counter()
-    for _, t in TEXTS:
-        ones.update(words(t))
-        twos.update(zip(words(t), words(t)[1:]))
-    total = sum(ones.values())
-    got = rows_by_id(scoring.score_corpus(docs))
-    for i, t in TEXTS:
-        w = words(t)
-        want = math.log(ones[w[0]] / total) + sum(math.log(twos[a, b] / ones[a]) for a, b in zip(w, w[1:])) if w else 0.0
-        for r in got[i]:
-            assert r.n_words == len(w) and r.logprob == pytest.approx(want, abs=1e-6) and (r.score is None) == (not w)
+def backed_off(texts, order):
+    """Each text's words and log probability by the counts of the other texts, n-gram by n-gram."""
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    own = [grams(words(t)) for t in texts]
+    f, total = sum(own, Counter()), sum(len(words(t)) for t in texts)
+    out = []
+    for t, mine in zip(texts, own):
+        w, rest, sum_ = words(t), max(1, total - len(words(t))), 0.0
+        for i in range(len(w)):
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i + 1 - n : i + 1])
+                if n == 1:
+                    sum_ += math.log(max(1, f[g] - mine[g]) / rest)
+                elif f[g] > mine[g]:
+                    sum_ += math.log((f[g] - mine[g]) / (f[g[:-1]] - mine[g[:-1]]))
+                    break
+                else:
+                    sum_ += math.log(0.4)
+        out.append((len(w), sum_))
+    return out
+
+
+@pytest.mark.parametrize(("order", "block", "parts"), [(1, 1 << 20, None), (2, 1 << 20, None), (2, 50, 7), (3, 300, 3)])
+def test_scoring(docs, none, order, block, parts):
+    for frame in (docs, docs.limit(0).unionByName(docs.where("doc_id = 10"))):
+        held = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+        want = Counter((i, n, round(x, 6), round(x / n, 6) if n else None) for (i, _), (n, x) in zip(held, backed_off([t for _, t in held], order)))
+        got = Counter((r.doc_id, r.n_words, round(r.logprob, 6), None if r.score is None else round(r.score, 6)) for r in scoring.score_corpus(frame, order, parts, block).collect())
+        assert got == want
     assert scoring.score_corpus(none).count() == 0
+
+
+def test_packed_counts():
+    x = np.array([0, 1, 2**28 - 1, 2**28, 2**40])
+    assert scoring._unpacked_counts(scoring._packed_counts(x)).tolist() == x.tolist()
+
+
+def test_scoring_of_other_texts(spark):
     corpus = spark.createDataFrame([("a b c a b",), ("b c d",)], "text string")
     x = {r.doc_id: r for r in scoring.score(spark.createDataFrame([(1, "a b c"), (2, "a d z"), (3, None)], "doc_id long, text string"), scoring.count_tables(corpus, 3)).collect()}
     assert x[1].logprob == pytest.approx(math.log(2 / 8) + math.log(2 / 2) + math.log(1 / 2))

@@ -117,10 +117,14 @@ FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN g ON p.doc_id = g.doc_id AND
 OP10_SQL = f"""
 WITH {WORDS_SQL}, p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
 q AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p),
-u AS (SELECT word, count(*) AS n FROM p GROUP BY word), b AS (SELECT before, word, count(*) AS n FROM q WHERE before IS NOT NULL GROUP BY ALL),
-t AS (SELECT count(*) AS n FROM p),
-s AS (SELECT q.doc_id, count(*) AS n_words, sum(CASE WHEN q.before IS NULL THEN ln(u.n / t.n) ELSE ln(b.n / c.n) END) AS logprob
-  FROM q JOIN t ON true JOIN u ON q.word = u.word LEFT JOIN b ON q.before = b.before AND q.word = b.word LEFT JOIN u c ON q.before = c.word GROUP BY q.doc_id)
+ou AS (SELECT doc_id, word, count(*) AS n FROM p GROUP BY ALL), u AS (SELECT word, sum(n) AS n FROM ou GROUP BY word),
+ob AS (SELECT doc_id, before, word, count(*) AS n FROM q WHERE before IS NOT NULL GROUP BY ALL), b AS (SELECT before, word, sum(n) AS n FROM ob GROUP BY ALL),
+t AS (SELECT count(*) AS n FROM p), l AS (SELECT doc_id, len(ws) AS n FROM w),
+g AS (SELECT q.doc_id, q.before IS NULL AS first, coalesce(b.n - ob.n, 0) AS pair, c.n - oc.n AS context, greatest(u.n - ou.n, 1) AS one, greatest(t.n - l.n, 1) AS total
+  FROM q JOIN t ON true JOIN l ON q.doc_id = l.doc_id JOIN u ON q.word = u.word JOIN ou ON q.doc_id = ou.doc_id AND q.word = ou.word
+  LEFT JOIN b ON q.before = b.before AND q.word = b.word LEFT JOIN ob ON q.doc_id = ob.doc_id AND q.before = ob.before AND q.word = ob.word
+  LEFT JOIN u c ON q.before = c.word LEFT JOIN ou oc ON q.doc_id = oc.doc_id AND q.before = oc.word),
+s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN first THEN ln(one / total) WHEN pair > 0 THEN ln(pair / context) ELSE ln(0.4) + ln(one / total) END) AS logprob FROM g GROUP BY doc_id)
 SELECT w.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.logprob, 0), 4) AS logprob, round(s.logprob / s.n_words, 6) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id"""
 
 

@@ -1,17 +1,22 @@
 """Language-model scoring: stupid-backoff scores, computed relationally.
 
-A text's score is the sum over its words of log S: S(w | h) = f(h w) / f(h) if the bigram h w was seen, else
-BACKOFF * f(w) / N; a first word has f(w) / N. Counts are over whole texts and all of them, and nothing is cut off.
-
-score_corpus() scores the texts that were counted, so every bigram was seen and a score is a sum over n-grams of
-(weight in the text) * log f(n-gram), with weight 1 for each bigram, -1 for each word as a context and 1 for a first
-word. Exploded n-grams are dealt by hash to the partitions of the count table, where blocks of texts send, instead of
-a row each, their sorted distinct n-grams with the texts that hold them; the table's partition adds up the counts,
-joins them to these lists, and sends each text's part of the sum back to its block. score() is for other texts: n-gram
-count tables of any order as frames, joined level by level.
-
-Null text is empty text; a text without words has no score (null) and logprob 0. Repeated rows count and are scored
-each; extra columns are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes in
+A text's score is the sum over its words of log S: S(w | h) = f(h w) / f(h) if the n-gram h w was seen, else
+BACKOFF * S(w | a word less of h); with no word of h left it is f(w) / N, and a word that wasn't seen counts as seen once.
+
+score_corpus() scores each row by the counts of all other rows: its own occurrences are taken off, so what only this row
+says backs off, and what other rows say too, copies among them, doesn't. The relations are
+1. exploded n-grams: a block of consecutive texts has its distinct n-grams and their counts, dealt by hash;
+2. count tables by hash: a part adds up the counts of each n-gram over all blocks, and
+3. sends the sums back to the blocks that hold the n-gram (the join), where each word's n-grams meet their counts by
+   position, the text's own counts are taken off, and the logarithms are summed by text.
+Rows of 1 and 3 hold a block's n-grams of one part as packed arrays in rising order, as a row for each n-gram would take
+several times the disk. Nothing is cut off: counts are over whole texts and all of them. score() is for other texts: count
+tables of any order as frames, joined level by level.
+
+Parts grow in number with the bytes of the texts, so that a part has about as many n-grams at every size.
+
+Null text is empty text; a text without words has no score (null) and logprob 0. Repeated rows are rows of their own,
+also for each other; extra columns are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes in
 score_corpus().
 """
 
@@ -27,143 +32,157 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topograph.llm.packing import pack_numbers, pack_rising, unpack_numbers, unpack_rising
-from topograph.llm.storage import shared_folder
+from topograph.llm.storage import parts_for, shared_folder
 from topograph.llm.words import ngrams, split
 from topograph.workers import thrifty, thrifty_group
 
 BACKOFF = 0.4
+ORDER = 2
 BLOCK_WORDS = 1 << 20
-BIGRAM = np.uint64(0x5851F42D4C957F2D)
-MOST_PARTS = 4096
-
-
-def lists(keys: np.ndarray, texts: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums by (key, text): distinct keys, their counts, texts a key, and the texts and weights of all keys end to end."""
-    order = np.lexsort((texts, keys)) if len(keys) else np.zeros(0, np.int64)
-    keys, texts = keys[order], texts[order]
-    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-    new = new_key | np.concatenate([[True], texts[1:] != texts[:-1]])[: len(keys)]
-    at, at_key = np.flatnonzero(new), np.flatnonzero(new_key)
-    sums = np.add.reduceat(weights[order], at) if len(at) else weights[:0]
-    per_key = np.add.reduceat(counts[order], at_key) if len(at_key) else counts[:0]
-    sizes = np.diff(np.searchsorted(at, np.append(at_key, len(keys))))
-    return keys[at_key], per_key, sizes, texts[at], sums
-
-
-class Group:
-    """Consecutive texts of about BLOCK_WORDS words and their n-grams."""
-
-    def __init__(self):
-        self.doc_ids: list[int | None] = []
-        self.words: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, doc_ids: list[int | None], counts: np.ndarray, hashes: np.ndarray) -> None:
-        self.doc_ids += doc_ids
-        self.words.append(counts)
-        self.hashes.append(hashes)
-        self.size += len(hashes)
-
-    def entries(self) -> tuple[np.ndarray, ...]:
-        counts, h = np.concatenate(self.words), np.concatenate(self.hashes)
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        some = counts > 0
-        weight = np.full(len(h), -1, np.int32)  # a context, unless it is the last word; a first word counts once more
-        weight[offsets[1:][some] - 1] += 1
-        weight[offsets[:-1][some]] += 1
-        pairs, first, _ = ngrams(h, offsets, 2)
-        pairs = pairs ^ BIGRAM
-        ones = np.ones(len(pairs), np.int32)
-        return lists(np.concatenate([h, pairs]), np.concatenate([text, text[first]]), np.concatenate([weight, ones]), np.ones(len(h) + len(pairs), np.int32))
-
-
-ROW = "part int, block bigint, keys binary, counts binary, sizes binary, texts binary, weights binary, doc_ids array<bigint>, words binary, parts int"
-
-
-def _rows(group: Group, number: int, parts: int) -> Iterator[pa.RecordBatch]:
-    keys, counts, sizes, texts, weights = group.entries()
-    words = np.concatenate(group.words)
-    block = xxhash.xxh3_64_intdigest(np.concatenate(group.hashes).tobytes() + words.tobytes(), seed=(TaskContext.get().partitionId() << 32) + number)
+#: Bytes of text for each part of the count tables.
+PART_BYTES = 32 << 20
+
+
+class Block:
+    """Consecutive texts: words as numbers of sorted distinct hashes, and how many each text has."""
+
+    def __init__(self, names: np.ndarray, numbers: np.ndarray, counts: np.ndarray, order: int):
+        self.hashes, self.counts, self.order = names[numbers], counts, order
+        self.offsets = np.concatenate([[0], np.cumsum(counts)])
+
+    def grams(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys of all n-grams, those of one n after the other, and the place of the last word of each, by n."""
+        keys, last = [], []
+        for n in range(1, self.order + 1):
+            key, first, _ = ngrams(self.hashes, self.offsets, n)
+            keys.append(key ^ np.uint64(n * 0x5851F42D4C957F2D % (1 << 64)))
+            last.append(first + n - 1)
+        return np.concatenate(keys), last
+
+    def logs(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum of logarithms without the terms of N, and how many words have one; counted: the count of
+        each distinct n-gram in rising order of the keys."""
+        keys, last = self.grams()
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        _, at = np.unique(keys, return_inverse=True)
+        pair = at * np.int64(max(1, len(self.counts))) + text[np.concatenate(last)]
+        _, own_at, own = np.unique(pair, return_inverse=True, return_counts=True)
+        others = counted[at] - own[own_at]  # of each n-gram, in other rows
+        ends = np.cumsum([len(x) for x in last])
+        seen = np.zeros((self.order, len(self.hashes)), np.int64)
+        for n, x in enumerate(last):
+            seen[n, x] = others[ends[n] - len(x) : ends[n]]
+        inside = np.arange(len(self.hashes)) - self.offsets[text]
+        longest = np.minimum(inside + 1, self.order)
+        out, done = np.zeros(len(self.hashes)), np.zeros(len(self.hashes), bool)
+        for n in range(self.order, 1, -1):
+            use = np.flatnonzero(~done & (seen[n - 1] > 0))
+            out[use] = np.log(seen[n - 1, use] / seen[n - 2, use - 1]) + (longest[use] - n) * np.log(BACKOFF)
+            done[use] = True
+        use = np.flatnonzero(~done)
+        out[use] = np.log(np.maximum(seen[0, use], 1)) + (longest[use] - 1) * np.log(BACKOFF)
+        m = len(self.counts)
+        return np.bincount(text, out, m), np.bincount(text[use], minlength=m)
+
+
+ROW = "part int, block bigint, keys binary, counts binary, doc_ids array<bigint>, names binary, numbers binary, words binary, parts int"
+
+
+def _rows(doc_ids: list[int | None], counts: np.ndarray, hashes: np.ndarray, number: int, parts: int, order: int) -> Iterator[pa.RecordBatch]:
+    names, numbers = np.unique(hashes, return_inverse=True)
+    keys, seen = np.unique(Block(names, numbers, counts, order).grams()[0], return_counts=True)
+    block = xxhash.xxh3_64_intdigest(hashes.tobytes() + counts.tobytes(), seed=(TaskContext.get().partitionId() << 32) + number)
+    rank = np.empty(len(names), np.int64)
+    often = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable")
+    rank[often] = np.arange(len(often))
+    held = {"doc_ids": doc_ids, "names": pack_rising(names) + rank.astype(np.uint32).tobytes(), "numbers": pack_numbers(rank[numbers]), "words": pack_numbers(counts)}
     part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(part, np.arange(parts + 1))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
     used = np.flatnonzero(np.diff(cuts)).tolist() or [0]
     for p in used:
-        a, z = cuts[p], cuts[p + 1]
-        mine = slice(ends[a], ends[z])
-        lead = p == used[block % len(used)]
+        mine = slice(cuts[p], cuts[p + 1])
+        lead = held if p == used[block % len(used)] else {}
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([p], pa.int32()), "block": pa.array([np.uint64(block).astype(np.int64)], pa.int64()), "keys": pa.array([pack_rising(keys[a:z])], pa.binary()),
-            "counts": pa.array([pack_numbers(counts[a:z])], pa.binary()), "sizes": pa.array([pack_numbers(sizes[a:z])], pa.binary()), "texts": pa.array([pack_numbers(texts[mine])], pa.binary()),
-            "weights": pa.array([pack_numbers((weights[mine] << 1) ^ (weights[mine] >> 31))], pa.binary()),
-            "doc_ids": pa.array([group.doc_ids if lead else None], pa.list_(pa.int64())), "words": pa.array([pack_numbers(words) if lead else None], pa.binary()), "parts": pa.array([len(used)], pa.int32()),
+            "part": pa.array([p], pa.int32()), "block": pa.array([np.uint64(block).astype(np.int64)], pa.int64()), "keys": pa.array([pack_rising(keys[mine])], pa.binary()), "counts": pa.array([pack_numbers(seen[mine])], pa.binary()),
+            "doc_ids": pa.array([lead.get("doc_ids")], pa.list_(pa.int64())), **{k: pa.array([lead.get(k)], pa.binary()) for k in ("names", "numbers", "words")}, "parts": pa.array([len(used)], pa.int32()),
         })
 
 
-def _explode(parts: int):
+def _explode(parts: int, order: int, block_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, number = Group(), 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        size = number = 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            return _rows([x for ids, _, _ in held for x in ids], *(np.concatenate([x[c] for x in held]) for c in (1, 2)), number, parts, order)
+
         for b in batches:
             for lo, hi, w in split(b.column("text")):
-                group.add(b.column("doc_id").slice(lo, hi - lo).to_pylist(), np.diff(w.offsets), w.hashes())
-                if group.size >= BLOCK_WORDS:
-                    yield from _rows(group, number, parts)
-                    group, number = Group(), number + 1
-        if group.doc_ids:
-            yield from _rows(group, number, parts)
+                held.append((b.column("doc_id").slice(lo, hi - lo).to_pylist(), np.diff(w.offsets), w.hashes()))
+                size += len(held[-1][2])
+                if size >= block_words:
+                    yield from block()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from block()
+
+    return run
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """One part of the count tables: the count of each n-gram in all blocks, for each block's n-grams."""
+    keys = [unpack_rising(x.as_py()) for x in table.column("keys")]
+    sizes = [len(k) for k in keys]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    total = np.bincount(at, np.concatenate([unpack_numbers(x.as_py()) for x in table.column("counts")])).astype(np.int64)
+    ends = np.cumsum(sizes)
+    back = [_packed_counts(total[at[z - n : z]]) for n, z in zip(sizes, ends, strict=True)]
+    return table.drop_columns(["keys", "counts"]).append_column("counted", pa.array(back, pa.binary()))
+
+
+def _packed_counts(x: np.ndarray) -> bytes:
+    """Counts of any size: pack_numbers for the low 28 bits and, only if there are any, for the others."""
+    low = pack_numbers(x & (1 << 28) - 1)
+    return len(low).to_bytes(4, "little") + low + (pack_numbers(x >> 28) if x.max(initial=0) >> 28 else b"")
+
+
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    low = unpack_numbers(data[4 : 4 + n]).astype(np.int64)
+    return low + (unpack_numbers(data[4 + n :]).astype(np.int64) << 28) if len(data) > 4 + n else low
+
+
+def _sum(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One block's texts, by the counts that the parts sent."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        lead = [r for r in rows if r["doc_ids"] is not None]
+        if len(lead) != 1 or len(rows) != rows[0]["parts"]:
+            raise RuntimeError("the texts changed while they were scored; write them first")
+        r = lead[0]
+        numbers, counts = unpack_numbers(r["numbers"]).astype(np.int64), unpack_numbers(r["words"]).astype(np.int64)
+        distinct = int(numbers.max(initial=-1)) + 1
+        cut = len(r["names"]) - 4 * distinct
+        names, rank = unpack_rising(r["names"][:cut]), np.frombuffer(r["names"][cut:], np.uint32)
+        by_rank = np.empty(distinct, np.uint64)
+        by_rank[rank] = names
+        logs, short = Block(by_rank, numbers, counts, order).logs(np.concatenate([_unpacked_counts(x["counted"]) for x in rows]))
+        return pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "n_words": pa.array(counts), "logs": pa.array(logs), "short": pa.array(short)})
 
     return run
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """One partition of the count table: adds up the counts and sums weight * log count for each block's texts."""
-    rows = table.select(["keys", "counts", "sizes"]).to_pylist()
-    keys = [unpack_rising(r["keys"]) for r in rows]
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])[: len(flat)])
-    counts = np.concatenate([unpack_numbers(r["counts"]) for r in rows]).astype(np.int64)[order]
-    logs = np.empty(len(flat))
-    if len(at):
-        logs[order] = np.repeat(np.log(np.add.reduceat(counts, at)), np.diff(np.append(at, len(flat))))
-    del flat, order, counts
-    texts_out, sums_out, lo = [], [], 0
-    for i, r in enumerate(rows):
-        own = np.repeat(logs[lo : lo + len(keys[i])], unpack_numbers(r["sizes"]))
-        lo += len(keys[i])
-        texts, weights = unpack_numbers(table.column("texts")[i].as_py()), unpack_numbers(table.column("weights")[i].as_py()).astype(np.int64)
-        sums = np.bincount(texts, ((weights >> 1) ^ -(weights & 1)) * own)
-        held = np.flatnonzero(np.bincount(texts))
-        texts_out.append(pack_numbers(np.diff(held, prepend=0)))
-        sums_out.append(sums[held].tobytes())
-    return table.select(["block", "doc_ids", "words", "parts"]).append_column("texts", pa.array(texts_out, pa.binary())).append_column("sums", pa.array(sums_out, pa.binary()))
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """One block's texts: adds up what the partitions sent."""
-    rows = table.to_pylist()
-    lead = [r for r in rows if r["doc_ids"] is not None]
-    if len(lead) != 1 or len(rows) != rows[0]["parts"]:
-        raise RuntimeError("the texts changed while they were scored; write them first")
-    words = unpack_numbers(lead[0]["words"]).astype(np.int64)
-    total = np.zeros(len(words))
-    for r in rows:
-        total[np.cumsum(unpack_numbers(r["texts"]), dtype=np.int64)] += np.frombuffer(r["sums"], np.float64)
-    return pa.table({"doc_id": pa.array(lead[0]["doc_ids"], pa.int64()), "n_words": pa.array(words), "logs": pa.array(total)})
-
-
-def score_corpus(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_words, logprob, and score (logprob a word) of every text by the bigram counts of all."""
+def score_corpus(docs: DataFrame, order: int = ORDER, parts: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, logprob, and score (logprob a word) of every row by the n-gram counts of all other rows."""
     spark = docs.sparkSession
-    parts = min(MOST_PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select("doc_id", "text").mapInArrow(thrifty(_explode(parts)), ROW).groupBy("part").applyInArrow(thrifty_group(_join), "block bigint, doc_ids array<bigint>, words binary, parts int, texts binary, sums binary")
+    parts = parts or parts_for(docs, PART_BYTES)
+    sent = docs.select("doc_id", "text").mapInArrow(thrifty(_explode(parts, order, block_words)), ROW).groupBy("part").applyInArrow(thrifty_group(_count), "part int, block bigint, doc_ids array<bigint>, names binary, numbers binary, words binary, parts int, counted binary")
     path = shared_folder(spark)
-    sent.groupBy("block").applyInArrow(thrifty_group(_add), "doc_id bigint, n_words bigint, logs double").write.parquet(path)
+    sent.groupBy("block").applyInArrow(thrifty_group(_sum(order)), "doc_id bigint, n_words bigint, logs double, short bigint").write.parquet(path)
     held = spark.read.parquet(path)
-    n = held.agg(F.sum("n_words")).first()[0] or 1
-    logprob = F.when(F.col("n_words") > 0, F.col("logs") - F.lit(float(np.log(n)))).otherwise(F.lit(0.0))
+    n = held.agg(F.sum("n_words")).first()[0] or 0
+    logprob = F.col("logs") - F.col("short") * F.log(F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)))
     return held.select("doc_id", "n_words", logprob.alias("logprob"), F.when(F.col("n_words") > 0, logprob / F.col("n_words")).alias("score"))
 
 
