@@ -153,6 +153,29 @@ def test_jaccard_family(spark):
     assert jaccard.least_matches(0.8, 1e-6) == sorted(jaccard.least_matches(0.8, 1e-6))
 
 
+def test_jaccard_recall(spark):
+    """Pairs of texts a little over the threshold: all are found (a pair is missed with probability 1.1e-5)."""
+    rows, want = [], 0
+    for i in range(1500):
+        a = [f"{x}" for x in RNG.integers(0, 10**6, 204)]
+        b = list(a)
+        for k in RNG.choice(200, 4 + i % 3, replace=False):
+            b[k] = "z"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        want += len(x & y) * 9 >= 4 * (len(x) + len(y))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert want > 500 and got.where("n_links = 1").count() == 2 * want
+
+
+def test_jaccard_trees():
+    line = np.arange(1, 5000)
+    edges = jaccard.tree(0, line)
+    assert len(edges) == 4999 and max(Counter(x for e in edges for x in e).values()) <= jaccard.FAN + 1
+    parent = {j: i for i, j in edges}
+    assert all(parent[j] < j for j in line.tolist())
+
+
 def test_jaccard_null_ids(spark):
     """Near copies without a doc_id link to each other and to those with one."""
     base, other = say(150).split(), say(150).split()

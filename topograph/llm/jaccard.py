@@ -4,11 +4,13 @@ Texts are sets of hashed shingles of five words (a shorter text is one shingle o
 node, named by their MD5, so a group of copies costs one row. Nodes get HASHES MinHash values; those that share one of
 the bands of four meet in a bucket. There, pairs compare their values sixteen at a time and are dropped as soon as the
 posterior probability (uniform prior) that their similarity reaches the threshold falls below `tolerance`. What is left
-links nodes into candidate groups; each group's sets meet once, and all its pairs are counted exactly, by matrix
-products of the shingles that at least two of them have. A pair at the threshold or above is a link.
+links nodes into candidate groups; each group's sets meet once. Its pairs go through the same pruning, and those that
+survive are counted exactly, by matrix products of the shingles that at least two of them have. A surviving pair at the
+threshold or above is a link.
 
 Buckets and groups larger than a block are dealt out as pairs of blocks, so no task gets an unbounded group and no row
-is emitted for a pair: tasks emit a spanning forest of what they find and each node's number of links. A pair of
+is emitted for a pair: tasks emit a spanning forest of what they find and each node's number of links. A tree of the
+forest branches FAN times at most, so the centre of a large group is no hot key of the joins by node. A pair of
 similarity 0.8 shares no band with probability 3.2e-6 and is pruned with probability 7.6e-6, so it is missed with
 probability 1.1e-5 (2.0e-6 at 0.82, 1.6e-7 at 0.85); no cap drops a pair.
 
@@ -42,6 +44,8 @@ TOLERANCE = 1e-6
 BUCKET_BLOCK = 2048
 SET_BLOCK, SET_SHINGLES = 1024, 1 << 20
 SMALL = 32
+#: Branches of a node in a spanning tree.
+FAN = 16
 #: Nodes of candidate groups that are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
@@ -108,6 +112,23 @@ def survive(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return at
 
 
+def surviving(sig: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs of all rows stay [rows, rows]."""
+    out = np.zeros((len(sig), len(sig)), bool)
+    for lo in range(0, len(sig), 64):
+        near = (sig[lo : lo + 64, None, :STAGE] == sig[None, :, :STAGE]).sum(2) >= least[0]
+        i, j = np.nonzero(np.triu(near, lo + 1))
+        stay = survive(sig[i + lo], sig[j], least)
+        out[i[stay] + lo, j[stay]] = True
+    return out | out.T
+
+
+def tree(root: int, others: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect a row with others, FAN at most from each to later ones."""
+    line = [root, *others.tolist()]
+    return [(line[(k - 1) // FAN], line[k]) for k in range(1, len(line))]
+
+
 def reach(sig: np.ndarray, side: np.ndarray | None, least: list[int]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the surviving pairs of one bucket: each row met is compared with the rows not yet met."""
     left = np.arange(len(sig))
@@ -117,7 +138,7 @@ def reach(sig: np.ndarray, side: np.ndarray | None, least: list[int]) -> Iterato
             i = todo.pop()
             other = left if side is None else left[side[left] != side[i]]
             hit = other[survive(sig[other], sig[i], least)]
-            yield from ((i, int(j)) for j in hit)
+            yield from tree(i, hit)
             todo += hit.tolist()
             left = np.setdiff1d(left, hit, assume_unique=True)
 
@@ -202,8 +223,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
-def exact_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, own: bool, ratio: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Each set's links, weighted by copies, and a spanning forest of them. own: pairs within a side count too."""
+def exact_links(sets: list[np.ndarray], copies: np.ndarray, candidates: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Each set's links, weighted by copies, and a spanning forest of them; candidates: which pairs may be one."""
+    use = np.flatnonzero(candidates.any(1))
+    links = np.zeros(len(sets), np.int64)
+    if not len(use):
+        return links, []
+    sets, candidates = [sets[i] for i in use], candidates[np.ix_(use, use)]
     m, sizes = len(sets), np.array([len(x) for x in sets])
     _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rows = np.repeat(np.arange(m), sizes)
@@ -219,31 +245,33 @@ def exact_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | N
         x[rows[a:z], at[a:z] - lo] = 1
         common += x @ x.T
     p, q = ratio.numerator, ratio.denominator
-    linked = common.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :])
-    np.fill_diagonal(linked, False)
-    if side is not None and not own:
-        linked &= side[:, None] != side[None, :]
+    linked = candidates & (common.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :]))
     forest, left = [], np.arange(m)
     while len(left):
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             i = todo.pop()
             hit = left[linked[i, left]]
-            forest += [(i, int(j)) for j in hit]
+            forest += tree(i, hit)
             todo += hit.tolist()
             left = np.setdiff1d(left, hit, assume_unique=True)
-    return linked @ copies, forest
+    links[use] = linked @ copies[use]
+    return links, [(int(use[i]), int(use[j])) for i, j in forest]
 
 
-def _verify(ratio: Fraction) -> Callable:
+def _verify(ratio: Fraction, least: list[int]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in groups(batches, ["component", "lo", "hi"]):
             out: dict[str, list] = {"node": [], "other": [], "links": []}
             for begin, end in zip(starts[:-1], starts[1:], strict=True):
-                rows = {r["node"]: r for r in table.slice(begin, end - begin).select(["node", "side", "lo", "hi", "copies", "shingles"]).to_pylist()}
+                rows = {r["node"]: r for r in table.slice(begin, end - begin).select(["node", "side", "lo", "hi", "copies", "sig", "shingles"]).to_pylist()}
                 rows = [rows[k] for k in sorted(rows)]  # a repeated row is one
                 sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                links, forest = exact_links(sets, np.array([r["copies"] for r in rows]), np.array([r["side"] for r in rows]), rows[0]["lo"] == rows[0]["hi"], ratio)
+                pairs = surviving(np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES), least)
+                if rows[0]["lo"] != rows[0]["hi"]:  # two blocks; the pairs within one are counted elsewhere
+                    side = np.array([r["side"] for r in rows])
+                    pairs &= side[:, None] != side[None, :]
+                links, forest = exact_links(sets, np.array([r["copies"] for r in rows]), pairs, ratio)
                 hit = np.flatnonzero(links)
                 out["node"] += [rows[i]["node"] for i in hit] + [rows[i]["node"] for i, _ in forest]
                 out["other"] += [None] * len(hit) + [rows[j]["node"] for _, j in forest]
@@ -272,7 +300,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, w in split(b.column("text")):
             values, offsets = shingles(w)
             held = [np.unique(values[a:z]).tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("node", "component", "copies", "blocks")), pa.array(held, pa.binary())], ["node", "component", "copies", "blocks", "shingles"])
+            sig = [x.tobytes() for x in signatures(values, offsets)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("node", "component", "copies", "blocks")), pa.array(sig, pa.binary()), pa.array(held, pa.binary())], ["node", "component", "copies", "blocks", "sig", "shingles"])
 
 
 def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -290,18 +319,18 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     met = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     meeting = _block_pairs(bands.join(met, "band"), F.ceil(F.col("size") / BUCKET_BLOCK))
     meeting = meeting.select("node", "place", "band", "lo", "hi", "side").join(nodes.select("node", "sig"), "node")
-    order = ["place", "band", "lo", "hi"]
-    edges = meeting.repartition(parts, "band", "lo", "hi").sortWithinPartitions(*order).mapInArrow(thrifty(_bucket_links(least_matches(threshold, tolerance))), "a binary, b binary")
+    order, least = ["place", "band", "lo", "hi"], least_matches(threshold, tolerance)
+    edges = meeting.repartition(parts, "band", "lo", "hi").sortWithinPartitions(*order).mapInArrow(thrifty(_bucket_links(least)), "a binary, b binary")
     found = components(edges).join(nodes.select("node", "rep", "copies", "n"), "node")
     sizes = found.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_SHINGLES)).alias("blocks"))
     found = cut(found.join(sizes, "component"))
 
     small = found.count() <= MOST_BROADCAST
     members = found.select(F.col("node").alias("_node"), "component", "copies", "blocks", "rep")
-    sets = named.join(F.broadcast(members) if small else members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, shingles binary")
+    sets = named.join(F.broadcast(members) if small else members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, sig binary, shingles binary")
     pairs = _block_pairs(sets, F.col("blocks")).drop("blocks")
     path = shared_folder(spark)
-    pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(thrifty(_verify(Fraction(threshold).limit_denominator(1000))), "node binary, other binary, links bigint").write.parquet(path)
+    pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(thrifty(_verify(Fraction(threshold).limit_denominator(1000), least)), "node binary, other binary, links bigint").write.parquet(path)
     verified = spark.read.parquet(path)
     links = verified.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
