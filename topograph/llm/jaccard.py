@@ -46,6 +46,8 @@ SET_BLOCK, SET_SHINGLES = 1024, 1 << 20
 SMALL = 32
 #: Branches of a node in a spanning tree.
 FAN = 16
+#: A node with more than one of so many rows is hot.
+HOT = 1000
 #: Nodes of candidate groups that are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
@@ -338,7 +340,20 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     leads = classes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("lead"))
     classes = classes.join(leads, "component").select("node", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead"))
     out = nodes.select("node", "rep", "copies", "n").join(classes, "node", "left").join(links, "node", "left")
-    return docs.select("doc_id", node(F.col("text")).alias("node")).join(out, "node")
+    return _by_node(docs.select("doc_id", node(F.col("text")).alias("node")), out)
+
+
+def _by_node(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """rows with what is known of their nodes. A node with more than one of HOT rows is hot; these are fewer than HOT,
+    so they are broadcast, and their rows aren't dealt by node."""
+    least = (out.agg(F.sum("copies")).first()[0] or 0) / HOT
+    own = F.struct(*(c for c in out.columns if c != "node"))
+    hot = F.broadcast(out.where(F.col("copies") > least).select(F.col("node").alias("_hot"), own.alias("_known")))
+    rows = rows.join(hot, F.col("node") == F.col("_hot"), "left")
+    apart = F.concat(F.lit(b"-"), F.encode(F.xxhash64("doc_id").cast("string"), "utf-8"))  # no node is so named: it is joined with nothing
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("node")).otherwise(apart))
+    cold = out.where(F.col("copies") <= least).select(F.col("node").alias("_key"), own.alias("_own"))
+    return rows.join(cold, "_key", "left").select("doc_id", "node", F.coalesce("_known", "_own").alias("_own")).select("doc_id", "node", "_own.*")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
