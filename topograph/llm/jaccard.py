@@ -340,7 +340,7 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     leads = classes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("lead"))
     classes = classes.join(leads, "component").select("node", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead"))
     out = nodes.select("node", "rep", "copies", "n").join(classes, "node", "left").join(links, "node", "left")
-    return _by_node(docs.select("doc_id", node(F.col("text")).alias("node")), out)
+    return _by_node(docs.select("doc_id", node(F.col("text")).alias("node")), cut(out))  # read three times
 
 
 def _by_node(rows: DataFrame, out: DataFrame) -> DataFrame:
