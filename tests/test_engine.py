@@ -1,4 +1,5 @@
 import asyncio
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from topograph.engine import Engine
 from topograph.errors import StoreConfigurationError
 from topograph.functions.confidence import Thresholds
 from topograph.operators import cache, corpus, report, resolve, retrieve, search
+from topograph.sources import artifacts
 from topograph.plans.template import Attempt, default_attempts, resolve_plan
 
 LEVELS = ["kind", "topic"]
@@ -168,3 +170,42 @@ def test_report(spark):
     assert "2 queries" in report.text(report.compare(flat, engine)) and report.text(report.compare(flat, engine).limit(0)) == ""
     want = spark.createDataFrame([(0, ["high"], 2), (1, ["low", "none"], 1)], "query_id int, expected_confidence array<string>, max_attempts int")
     assert [r.query_id for r in report.unexpected(engine, want).collect()] == [0]
+
+
+def test_engine_from_tables(spark, documents, tmp_path):
+    """Tables hold what the JSON artifacts hold, and an engine made from either answers alike."""
+    full = documents.withColumns({"extra_path": F.array().cast("array<string>"), "last_modified": F.lit(None).cast("timestamp"), "extension": F.lit(".txt"), "text_sample": F.lit("x")})
+    built = artifacts.build(full, LEVELS, "2020-01-01T00:00:00+00:00", Thresholds(medium_min=0.5))
+    artifacts.write_tables(built, str(tmp_path / "tables"))
+    paths = artifacts.write_json(built, tmp_path / "json")
+    assert json.loads(paths["corpus_map"].read_text()) == artifacts.corpus_map(built)
+    assert paths["corpus_map"].read_text() == json.dumps(artifacts.corpus_map(built) | {"tree": json.loads(paths["corpus_map"].read_text())["tree"]}, indent=2, ensure_ascii=False)
+    chunks = spark.createDataFrame([("c1", "d0", "classes.txt", "t", [1.0, 0.0], "docs", "tutorial"), ("c2", "d4", "taskgroup.py", "t", [0.6, 0.8], "source", "asyncio")], "chunk_id string, doc_id string, filename string, text string, embedding array<float>, kind string, topic string")
+    queries = spark.createDataFrame([(1, "asyncio please", [1.0, 0.0]), (2, "nothing", [0.0, 1.0])], "query_id long, message string, vector array<float>")
+    engines = [Engine.from_tables(spark, str(tmp_path / "tables"), chunks), Engine.from_artifacts(spark, tmp_path / "json", chunks)]
+    assert engines[0].thresholds == engines[1].thresholds == Thresholds(medium_min=0.5) and engines[0].attempts == engines[1].attempts and engines[0].version == engines[1].version
+    got = [sorted(map(tuple, e.search(queries).drop("results", "clarification").collect())) for e in engines]
+    assert got[0] == got[1] and len(got[0]) == 2
+    assert [r.query_id for r in asyncio.run(engines[0].aresolve(queries))] and engines[0].close() is None
+
+
+def test_cache_of_damaged_files(spark, tmp_path):
+    """A file that can't be read is a miss; the last keys by first insertion are kept."""
+    held = cache.Cache(spark, str(tmp_path))
+    rows = spark.createDataFrame([(i, True, "r", "low", 0.1 * i, 1, None) for i in range(6)], "query_id long, executed boolean, reason string, confidence string, top_score double, attempts_made int, error string")
+    rows = rows.withColumn("results", F.array().cast(f"array<{search.HIT}>"))
+    keys = rows.select("query_id", F.concat(F.lit("k"), "query_id").alias("key"))
+    assert held.get(keys, "v")[0] is None
+    held.put(rows, keys, "v")
+    held.put(rows.where("query_id = 0").withColumn("reason", F.lit("again")), keys, "v")
+    (tmp_path / "retrieval_cache" / "corpus_version=v" / "part-damaged.parquet").write_bytes(b"no parquet")
+    hit, miss = held.get(keys, "v")
+    assert hit.count() == 6 and miss.count() == 0 and hit.where("reason = 'again'").first().query_id == 0
+    held.keep_last("v", 4)
+    assert {r.query_id for r in held.get(keys, "v")[0].collect()} == {2, 3, 4, 5}
+
+
+def test_public_names():
+    import topograph
+
+    assert all(getattr(topograph, n) for n in topograph.__all__)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topograph.functions import identity
 from topograph.functions import text as T
-from topograph.functions.confidence import Thresholds, forwarded, should_answer, tier, tier_of
+from topograph.functions.confidence import Thresholds, forwarded, should_answer, tier
 from topograph.plans import filters
 
 
@@ -55,7 +55,6 @@ def test_identity(spark):
 
 @pytest.mark.parametrize(("scores", "want"), [([], "none"), ([0.78], "high"), ([0.68, 0.55], "high"), ([0.68, 0.54], "medium"), ([0.68], "medium"), ([0.58], "medium"), ([0.57], "low")])
 def test_tiers(spark, scores, want):
-    assert tier_of(scores) == want
     col = F.col("x")
     assert values(spark, tier(F.get(col, F.lit(0)), F.get(col, F.lit(1)), F.size(col)), [scores], "array<double>") == [want]
 

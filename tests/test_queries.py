@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from topograph import queries
+from topograph import more_queries, queries  # noqa: F401
 
 NAMES = ["red box", "blue box", "green lamp", "old red box", "tin"]
 
@@ -21,6 +21,8 @@ def tables(spark, tmp_path_factory):
         "customer": ([(i, f"Customer#{i:09d}", i % 4, ["AUTO", "HOME", "TOOL"][i % 3]) for i in range(1, 61)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
         "orders": ([(i, i * 7 % 60 + 1, datetime.datetime(1995, 1, 1)) for i in range(1, 201)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
         "embeddings": ([(i, [math.sin(i * k * k + k) + (2 if k == i % 5 else 0) * (i % 3) for k in range(8)], i % 5) for i in range(120)], "vec_id long, embedding array<float>, label int"),
+        "documents": ([(i, None if i == 7 else "" if i == 8 else f"Text {i}.\r\nMore, é. End {i}.", [None, "en", "fr"][i % 3], [None, "src1", "src2", ""][i % 4] or None) for i in range(80)], "doc_id long, text string, lang string, source string"),
+        "pages": ([(0, "<p>a<br>b &amp; c</p><script>var x = '<p>';</script><!-- no <b>no</b> --><style>p</style> <b> d</b>"), (1, "plain"), (2, ""), (3, None), (4, "<ul><li>&lt;x&gt;<li>y</ul><template><p>no</p></template>é")], "page_id long, html string"),
         # T0 and T3 have one brand
         "part": ([(i, NAMES[i % 5], f"T{i % 4}", ["Brand#11", ["Brand#12", "Brand#31"][i // 4 % 2], ["Brand#13", "Brand#41", "Brand#51"][i // 4 % 3], "Brand#22"][i % 4]) for i in range(1, 61)], "p_partkey long, p_name string, p_type string, p_brand string"),
     }
@@ -32,12 +34,12 @@ def tables(spark, tmp_path_factory):
 def wanted(d, name):
     """The rows of the query's SQL."""
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "part", "embeddings"):
+    for t in ("region", "nation", "customer", "orders", "part", "embeddings", "documents", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
     return Counter(db.execute(queries.SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["doc_hints_top4", "infer_levels", "cascade", "candidate_next", "effective_query", "auto_pin", "filtered_topk", "baseline_topk", "confidence_tier", "fallback_select", "token_gate", "report_summary", "clarify_options"])
+@pytest.mark.parametrize("name", ["doc_hints_top4", "infer_levels", "cascade", "candidate_next", "effective_query", "auto_pin", "filtered_topk", "baseline_topk", "confidence_tier", "fallback_select", "token_gate", "report_summary", "clarify_options", "crawl_documents", "crawl_with_text", "crawl_unknown", "crawl_depth", "explicit_pins", "clarification_replies", "alias_terms", "stored_values", "manifest_lookup", "configured_tier", "filter_dialects", "narrowed_chunks", "fixture_results", "edited_plan", "unplanned", "store_failure", "clarify_prompt", "report_unexpected", "cache_round_trip", "pdf_trailer", "plain_text", "html_text"])
 def test_whole_tables(spark, tables, name):
     got = queries.QUERIES[name](spark, tables)
     assert Counter(map(tuple, got.collect())) == wanted(tables, name)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from topograph.errors import StoreConfigurationError
 from topograph.functions.confidence import Thresholds
 from topograph.lineage import cut
-from topograph.operators import clarify, corpus, retrieve, search
+from topograph.operators import clarify, retrieve, search
 from topograph.operators.cache import FIELDS, Cache, keyed
 from topograph.operators.resolve import Catalog, resolve
 from topograph.plans.template import Attempt, default_attempts, resolve_plan
@@ -27,7 +27,7 @@ class Engine:
     the questions are planned on top of them.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, values: DataFrame | None = None):
         if not isinstance(chunks, DataFrame):
             raise StoreConfigurationError("chunks must be a DataFrame")
         if missing := {"chunk_id", "doc_id", "filename", "text", "embedding", *level_names} - set(chunks.columns):
@@ -36,7 +36,7 @@ class Engine:
         self.attempts = default_attempts(self.levels) if attempts is None else list(attempts)
         self.thresholds, self.k, self.version = thresholds, search.clamp(k), version
         self.cache = Cache(documents.sparkSession, cache_root) if cache_root else None
-        self.catalog = Catalog.of(documents, self.levels)
+        self.catalog = Catalog.of(documents, self.levels, values).keep()  # filled by the first batch, used by all
 
     @classmethod
     def from_artifacts(cls, spark: SparkSession, folder: str | Path, chunks: DataFrame, **more) -> Engine:
@@ -49,6 +49,17 @@ class Engine:
             more.setdefault("thresholds", artifacts.load_thresholds(path))
         return cls(documents, chunks, levels, version=version, **more)
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, folder: str, chunks: DataFrame, **more) -> Engine:
+        """From the Parquet tables of artifacts.write_tables(): any size, in any store that Spark reads."""
+        held = artifacts.load_tables(spark, folder)
+        more = {"attempts": held.template.attempts, "thresholds": held.thresholds, "values": held.values} | more
+        return cls(held.documents, chunks, held.level_names, version=held.version, **more)
+
+    def close(self) -> None:
+        """Lets go of the catalog that is held between batches."""
+        self.catalog.release()
+
     def resolve(self, queries: DataFrame) -> DataFrame:
         return resolve(queries, self.catalog)
 
@@ -80,10 +91,18 @@ class Engine:
         if self.cache is not None and self.version:
             self.cache.put(outcomes.where("not cache_hit"), keys, self.version)
         if ask:
-            first = corpus.level_values(self.documents, self.levels).where("level = 0")
+            first = self.catalog.values.where("level = 0")
             outcomes = clarify.attach(outcomes, clarify.clarify(contexts, outcomes, first, self.levels))
         return outcomes.join(contexts.select("query_id", "effective_query", "resolved", "next_level", "next_values"), "query_id")
 
     async def asearch(self, queries: DataFrame, ask: bool = True) -> list:
         """The rows of search(), collected in a thread so that an event loop can go on."""
         return await asyncio.to_thread(lambda: self.search(queries, ask).collect())
+
+    async def aresolve(self, queries: DataFrame) -> list:
+        """The rows of resolve(), likewise."""
+        return await asyncio.to_thread(lambda: self.resolve(queries).collect())
+
+    async def aretrieve(self, contexts: DataFrame, vectors: DataFrame) -> list:
+        """The rows of retrieve(), likewise."""
+        return await asyncio.to_thread(lambda: self.retrieve(contexts, vectors).collect())

@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors and the driver share. Only a local master, which has no
+    other machines, may go without one and gets a folder below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+
+
+@cache
+def _scratch(application: str) -> str:
+    """This application's folder below the shared root; it goes when the driver ends."""
+    spark = SparkSession.active()
+    jvm, path = spark.sparkContext._jvm, f"{shared_root(spark)}/scratch-{application}"
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(own)
+    fs.deleteOnExit(own)
+    return path
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name for what is written and read again, which all executors and the driver share."""
+    return f"{_scratch(spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame's rows, written to the checkpoint folder and read from there. The folder is the one in
-    spark.checkpoint.dir, which all executors share; only where none is set, one below the warehouse is used."""
+    """The frame's rows, written to the checkpoint folder and read from there."""
     spark = frame.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return frame.checkpoint()

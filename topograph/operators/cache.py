@@ -7,19 +7,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topograph.functions.text import cache_key, signature
+from topograph.lineage import cut
+from topograph.operators.search import HIT
 
 LIMIT = 1024
 FIELDS = ("reason", "confidence", "top_score", "attempts_made", "results")
+ENTRY = f"key string, reason string, confidence string, top_score double, attempts_made int, results array<{HIT}>, cached_at timestamp, seq bigint, place bigint, corpus_version string"
 
 
 def keyed(contexts: DataFrame, version: str) -> DataFrame:
-    """Contexts with their cache key."""
-    return contexts.withColumn("key", cache_key(F.col("effective_query"), F.lit(version), signature(F.col("resolved"))))
+    """Contexts with their cache key: of the normal form of the query, so that writings of one query share an entry."""
+    return contexts.withColumn("key", cache_key(F.col("normalized_query"), F.lit(version), signature(F.col("resolved"))))
+
+
+def _order(entries: DataFrame) -> list[str]:
+    """When an entry came: its batch, and its place in it."""
+    return [c for c in ("seq", "place") if c in entries.columns]
 
 
 def lookup(keys: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys with their newest entry, keys without one). An empty version is never cached."""
-    newest = entries.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+    newest = entries.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(*(F.desc(c) for c in _order(entries))))).where("_n = 1").drop("_n")
     return keys.join(newest, "key"), keys.join(entries, "key", "left_anti")
 
 
@@ -38,30 +46,37 @@ def evicted(entries: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     The limit is first applied to each partition of the keys by a top-n over seq, so no task sorts all entries.
     """
-    keys = entries.groupBy("key").agg(F.min("seq").alias("first"), F.max_by(F.struct(*(F.col(c) for c in entries.columns if c != "key")), "seq").alias("entry"))
+    when = F.struct(*_order(entries))
+    keys = entries.groupBy("key").agg(F.min(when).alias("first"), F.max_by(F.struct(*(F.col(c) for c in entries.columns if c != "key")), when).alias("entry"))
     return keys.orderBy(F.desc("first"), "key").limit(limit).select("key", "entry.*")
 
 
 class Cache:
-    """Entries in a Parquet table below a folder that all executors see, partitioned by corpus_version."""
+    """Entries in a Parquet table below a folder that all executors see, partitioned by corpus_version. A file that can't
+    be read is passed by: its entries are misses. keep_last() bounds what is held."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.path = spark, f"{root}/retrieval_cache"
 
     def entries(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception as e:  # nothing is there yet, or nothing that can be read: a miss
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "CANNOT_READ" in str(e):
-                return None
-            raise
+        _, _, folders = self._folders()
+        if not any(f.getName().startswith("corpus_version=") for f in folders):
+            return None
+        return self.spark.read.schema(ENTRY).option("ignoreCorruptFiles", "true").parquet(self.path)
+
+    def keep_last(self, version: str, limit: int = LIMIT) -> None:
+        """Rewrites a version's entries as evicted() leaves them."""
+        entries = self.entries()
+        if entries is not None:
+            left = cut(evicted(pruned(entries, version), limit))  # read before its files go
+            left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_version").parquet(self.path)
 
     def put(self, outcomes: DataFrame, keys: DataFrame, version: str) -> None:
         """Appends outcomes (by query_id) under the keys of their contexts."""
         if not version:
             return
-        rows = admitted(outcomes).join(keys.select("query_id", "key"), "query_id").dropDuplicates(["key"])
-        rows.select("key", *FIELDS, F.current_timestamp().alias("cached_at"), F.unix_micros(F.current_timestamp()).alias("seq"), F.lit(version).alias("corpus_version")).write.mode("append").partitionBy("corpus_version").parquet(self.path)
+        rows = admitted(outcomes).join(keys.select("query_id", "key"), "query_id").dropDuplicates(["key"]).orderBy("query_id")
+        rows.select("key", *FIELDS, F.current_timestamp().alias("cached_at"), F.unix_micros(F.current_timestamp()).alias("seq"), F.monotonically_increasing_id().alias("place"), F.lit(version).alias("corpus_version")).write.mode("append").partitionBy("corpus_version").parquet(self.path)
 
     def get(self, keys: DataFrame, version: str) -> tuple[DataFrame | None, DataFrame]:
         entries = self.entries() if version else None

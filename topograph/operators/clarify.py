@@ -11,6 +11,8 @@ from topograph.functions.confidence import CONFIDENT
 from topograph.functions.text import titles
 
 MOST_OPTIONS, MOST_QUESTIONS = 4, 2
+#: The wording of questions.
+WHICH, ABOUT, REPLY = "Which", " is this about?", "Reply with the option number."
 
 
 def _named(levels: Sequence[str], level: Column) -> Column:
@@ -24,7 +26,7 @@ def _of_results(level: Column) -> Column:
 
 def _prompt(ask: Column, labels: Column) -> Column:
     lines = F.transform(labels, lambda v, i: F.concat((i + 1).cast("string"), F.lit(". "), v))
-    return F.array_join(F.concat(F.array(ask, F.lit("")), lines, F.array(F.lit(""), F.lit("Reply with the option number."))), "\n")
+    return F.array_join(F.concat(F.array(ask, F.lit("")), lines, F.array(F.lit(""), F.lit(REPLY))), "\n")
 
 
 def clarify(contexts: DataFrame, outcomes: DataFrame, first_values: DataFrame, levels: Sequence[str], most_options: int = MOST_OPTIONS, most_questions: int = MOST_QUESTIONS) -> DataFrame:
@@ -56,7 +58,7 @@ def clarify(contexts: DataFrame, outcomes: DataFrame, first_values: DataFrame, l
     x = x.withColumn("_level", F.when(F.col("_sub"), next_name).otherwise(lit)).withColumn("_labels", titles("_values")).withColumn("_anchor", F.get(titles(F.array(anchor)), F.lit(0)))
     resolved = F.when(F.col("_sub"), F.map_from_arrays(F.array(*map(F.lit, levels)), F.col("resolved")))
     options = F.transform("_values", lambda v, i: F.struct((i + 1).cast("string").alias("id"), F.get("_labels", i).alias("label"), F.col("_level").alias("level"), v.alias("value"), resolved.alias("resolved")))
-    about = F.concat_ws(" ", F.lit("Which"), F.when(F.col("_sub"), F.col("_anchor")), F.concat(F.col("_level"), F.lit(" is this about?")))
+    about = F.concat_ws(" ", F.lit(WHICH), F.when(F.col("_sub"), F.col("_anchor")), F.concat(F.col("_level"), F.lit(ABOUT)))
     return x.select("query_id", F.struct(_prompt(about, F.col("_labels")).alias("prompt"), options.alias("options"), F.col("effective_query").alias("original_query")).alias("clarification"))
 
 

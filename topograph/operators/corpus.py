@@ -80,6 +80,12 @@ def find(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(key) == value).orderBy(F.desc("relative_path")).limit(1)
 
 
+def lookup(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """find() for a batch: keys (with the column `key`) with the manifest row of each that has one."""
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), "relative_path").alias("_row"))
+    return keys.join(newest, key).select(*keys.columns, "_row.*")
+
+
 def issues(rows: DataFrame, levels: Sequence[str], existing: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """kind, subject and detail of what is wrong in a manifest: repeated doc_id or path (once for each further row), a
     level that metadata lacks, a null level (if `complete`), a path that `existing`(relative_path) doesn't have."""

@@ -2,7 +2,8 @@
 
 queries has query_id and message, and may have explicit (map of level name to value) and conversation (array of
 struct<role,type,content,options array<struct<id,label,level,value,resolved map>>,original_query>). Levels are known on
-the driver, so steps over levels are unrolled; nothing about queries or documents comes to the driver.
+the driver, so steps over levels are unrolled. Of queries and documents nothing comes to the driver but a vocabulary under
+a checked size.
 
 The order of the steps is fixed: explicit values, a reply to a clarification, the only value of a level that occurs in
 the query, what the documents agree on that the query names, the only ancestor of a resolved value, and the only
@@ -13,18 +14,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from topograph.functions import text as T
 from topograph.lineage import cut
 from topograph.operators import corpus
 
+try:
+    import ahocorasick
+except ImportError:  # all vocabularies are joined
+    ahocorasick = None
+
 #: Lengths of the beginnings that terms are joined by.
 BEGINNINGS = (1, 2, 3, 5, 8, 12, 16)
 HINTS = 4
+#: The fields of an option of the older shape.
+OLD = ("product", "category", "sub_type")
 OPTION = "struct<id:string,label:string,level:string,value:string,resolved:map<string,string>>"
+#: Distinct terms, and their bytes, that are broadcast; more are joined.
+FEW_TERMS, FEW_BYTES = 200_000, 8 << 20
 CONVERSATION = f"array<struct<role:string,type:string,content:string,options:array<{OPTION}>,original_query:string>>"
 
 
@@ -42,27 +55,62 @@ class Catalog:
 
     @classmethod
     def of(cls, documents: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
-        """values: stored (level, value, pos) rows; else they are taken from the documents."""
+        """values: stored (level, value, pos) rows; those of a level that has none are taken from the documents."""
         clean = documents.withColumn("levels", F.transform_values("levels", lambda _, v: T.strip(v)))
-        values = corpus.level_values(documents, levels) if values is None else values
+        derived = corpus.level_values(documents, levels)
+        values = derived if values is None else values.select("level", "value", "pos").unionByName(derived.join(values.select("level").distinct(), "level", "left_anti"))
         terms = corpus.alias_terms(documents)
         leads = terms.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy("name", "relative_path"))).where(F.col("_n") <= HINTS).drop("_n")
         each = clean.select("relative_path", F.posexplode(corpus.level_array(levels)).alias("level", "value")).where("value <> ''")
         spans = terms.select("relative_path", "term").join(each, "relative_path").groupBy("term", "level").agg(F.min("value").alias("low"), F.max("value").alias("high"))
         return cls(list(levels), values.withColumn("norm", T.normalize("value")), terms, corpus.level_tuples(clean, levels), corpus.single_ancestors(clean, levels), leads, spans)
 
+    def _frames(self) -> tuple[DataFrame, ...]:
+        return self.values, self.terms, self.tuples, self.parents, self.leads, self.spans
+
     def keep(self) -> Catalog:
-        for f in (self.values, self.terms, self.tuples, self.parents, self.leads, self.spans):
+        for f in self._frames():
             f.persist()
         return self
 
+    def release(self) -> None:
+        for f in self._frames():
+            f.unpersist()
+
+
+@cache
+def _automaton(patterns: frozenset[str]):
+    found = ahocorasick.Automaton()
+    for p in patterns:
+        found.add_word(p, p)
+    found.make_automaton()
+    return found
+
+
+def _by_automaton(queries: DataFrame, query: str, patterns: list[str]) -> DataFrame:
+    """Queries with _term, for each of the patterns that occur in them: one pass over a query, whatever their number."""
+    shared = queries.sparkSession.sparkContext.broadcast(frozenset(patterns))
+
+    def run(batch: pd.Series) -> pd.Series:
+        seek = _automaton(shared.value)
+        return batch.map(lambda q: [] if q is None else sorted({p for _, p in seek.iter(q)}))
+
+    return queries.withColumn("_term", F.explode(F.pandas_udf(run, "array<string>")(F.col(query))))
+
 
 def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs where the term is a substring of the query, with no regard to words; an empty term is in nothing.
 
-    A term's beginning (the longest of BEGINNINGS that it has) is among the query's strings of that length, so this is
-    an equi-join and no nested loop, also where many terms begin with the same word.
+    A vocabulary under a checked size (FEW_TERMS, FEW_BYTES) is broadcast as an automaton that finds all of its terms in
+    one pass. A larger one is joined: a term's beginning (the longest of BEGINNINGS that it has) is among the query's
+    strings of that length, so this is an equi-join and no nested loop, also where many terms begin with the same word.
     """
+    distinct = terms.where(F.col(term) != "").select(F.col(term).alias("_term")).distinct()
+    if ahocorasick is not None:
+        size = distinct.limit(FEW_TERMS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_term")), F.lit(0)).alias("bytes")).first()
+        if size["n"] <= FEW_TERMS and size["bytes"] <= FEW_BYTES:
+            found = _by_automaton(queries, query, [r[0] for r in distinct.collect()]) if size["n"] else queries.limit(0).withColumn("_term", F.lit(""))
+            return found.join(terms, F.col("_term") == F.col(term)).drop("_term")
 
     def of(n: int) -> Column:
         last = F.length(query) - n + 1
@@ -74,6 +122,23 @@ def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> Da
     return left.join(right, "_key").where(F.contains(F.col(query), F.col(term))).drop("_key")
 
 
+def shaped(queries: DataFrame) -> Column:
+    """conversation with all fields that an option can have; those that the frame's options lack are null."""
+    kind = queries.schema["conversation"].dataType
+    there = set(kind.elementType["options"].dataType.elementType.names) if isinstance(kind, ArrayType) else set()
+    fields = [f.split(":", 1) for f in ("id:string", "label:string", "level:string", "value:string", "resolved:map<string,string>", *(f"{n}:string" for n in OLD))]
+
+    def option(o: Column) -> Column:
+        return F.struct(*((o[n].cast(t) if n in there else F.lit(None).cast(t)).alias(n) for n, t in fields))
+
+    return F.transform("conversation", lambda t: t.withField("options", F.transform(t["options"], option)))
+
+
+def asked(conversation: Column) -> Column:
+    """How many questions have been asked back, by anyone."""
+    return F.coalesce(F.greatest(F.size(F.filter(conversation, lambda t: t["type"] == "clarification")), F.lit(0)), F.lit(0))
+
+
 def reply(message: Column, conversation: Column) -> Column:
     """The option that a message chooses from the last clarification, by id or label, with the question's query."""
     asked = F.try_element_at(F.filter(conversation, lambda t: (t["role"] == "assistant") & (t["type"] == "clarification")), F.lit(-1))
@@ -93,6 +158,22 @@ def _or(depth: int, *arrays: Column) -> Column:
     return F.array(*(F.coalesce(*(T.given(F.get(a, F.lit(i))) for a in arrays)) for i in range(depth))) if depth else F.array().cast("array<string>")
 
 
+def pins(queries: DataFrame, catalog: Catalog) -> DataFrame:
+    """query_id, level and value of the explicit values (a map by level name): the catalog's first value of the same
+    normal form, or the value as it was given. A blank one is none."""
+    given = queries.select("query_id", F.posexplode(corpus.level_array(catalog.levels, F.col("explicit"))).alias("level", "raw")).where("raw <> ''")
+    same = catalog.values.groupBy("level", "norm").agg(F.min_by("value", "pos").alias("canon"))
+    return given.withColumn("norm", T.normalize("raw")).join(same, ["level", "norm"], "left").select("query_id", "level", F.coalesce("canon", "raw").alias("value"))
+
+
+def answers(chosen: Column, levels: Sequence[str]) -> Column:
+    """Level values (array) of a reply's option: its resolved ones and its own. An option without a level is of the
+    older shape, which names values in fields of their own."""
+    old = {n: chosen[n] for n in OLD}
+    own = [F.when(chosen["level"] == n, chosen["value"]).otherwise(F.element_at(chosen["resolved"], F.lit(n))) for n in levels]
+    return F.array(*(F.when(chosen["level"].isNull() | chosen["value"].isNull(), old[n]).otherwise(v) if n in old else F.when(chosen["level"].isNotNull() & chosen["value"].isNotNull(), v) for n, v in zip(levels, own, strict=True))) if levels else F.array().cast("array<string>")
+
+
 def lexical_matches(queries: DataFrame, catalog: Catalog) -> DataFrame:
     """query_id, level and values (in catalog order) that occur in the query's `norm`."""
     pairs = contained(queries.select("query_id", F.col("norm").alias("q")), "q", catalog.values.select("level", "value", "pos", "norm"), "norm")
@@ -170,15 +251,13 @@ def resolve(queries: DataFrame, catalog: Catalog) -> DataFrame:
     depth = len(catalog.levels)
     none = F.array().cast("array<string>")
     q = queries.select("query_id", "message", *(F.col(c) if c in queries.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("explicit", "map<string,string>"), ("conversation", CONVERSATION))))
-    q = q.withColumn("_reply", reply(F.col("message"), F.col("conversation")))
+    q = q.withColumn("conversation", shaped(q)).withColumn("_reply", reply(F.col("message"), F.col("conversation")))
     base = F.coalesce(T.given(T.strip(F.col("_reply.original_query"))), T.strip(F.col("message")))
     q = q.withColumns({"base": base, "norm": T.normalize(base)})
 
-    pinned = q.select("query_id", F.posexplode(F.array(*(F.element_at("explicit", F.lit(n)) for n in catalog.levels)) if depth else none).alias("level", "raw")).where("raw <> ''")
-    same = catalog.values.groupBy("level", "norm").agg(F.min_by("value", "pos").alias("canon"))
-    pinned = pinned.withColumn("norm", T.normalize("raw")).join(same, ["level", "norm"], "left").withColumn("value", F.coalesce("canon", "raw"))
+    pinned = pins(q, catalog)
     pinned = pinned.groupBy("query_id").agg(_placed(pinned, depth).alias("_pinned"))
-    answers = F.array(*(F.when(F.col("_reply.option.level") == n, F.col("_reply.option.value")).otherwise(F.element_at("_reply.option.resolved", F.lit(n))) for n in catalog.levels)) if depth else none
+    replied = answers(F.col("_reply.option"), catalog.levels)
 
     seen = lexical_matches(q, catalog)
     matched = seen.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "values"))).alias("_seen"))
@@ -190,11 +269,10 @@ def resolve(queries: DataFrame, catalog: Catalog) -> DataFrame:
     x = q.join(pinned, "query_id", "left").join(matched, "query_id", "left").join(told, "query_id", "left").join(names, "query_id", "left")
     x = x.withColumn("matched", F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(F.element_at("_seen", i), none)) if depth else F.array().cast("array<array<string>>"))
     single = F.transform("matched", lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0)))) if depth else none
-    x = x.withColumn("resolved", _or(depth, F.col("_pinned"), answers, single, F.col("_told")))
+    x = x.withColumn("resolved", _or(depth, F.col("_pinned"), replied, single, F.col("_told")))
     x = auto_pin(cut(cascade(cut(x), catalog)), catalog)  # else each step would repeat the whole plan before it
     effective = T.strip(T.enrich(F.col("base"), F.col("resolved")))
-    asked = F.coalesce(F.size(F.filter("conversation", lambda t: t["type"] == "clarification")), F.lit(0))
     return x.select(
         "query_id", T.strip(F.col("message")).alias("user_query"), effective.alias("effective_query"), T.normalize(effective).alias("normalized_query"), "resolved", "matched", "next_level", "next_values",
-        F.coalesce("hint_names", none).alias("hint_names"), F.greatest(asked, F.lit(0)).alias("clarification_count"), F.col("_reply").isNotNull().alias("reply_resolved"),
+        F.coalesce("hint_names", none).alias("hint_names"), asked(F.col("conversation")).alias("clarification_count"), F.col("_reply").isNotNull().alias("reply_resolved"),
     )

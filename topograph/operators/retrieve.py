@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topograph.errors import StoreConfigurationError
 from topograph.functions.confidence import CONFIDENT, Thresholds, should_answer, tier
+from topograph.lineage import cut
 from topograph.operators.search import HIT
 
 
@@ -28,11 +31,24 @@ def broadens() -> Column:
 
 def run(attempts: DataFrame, find: Callable[[DataFrame], DataFrame], thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Summaries of the first attempts, and of all others of the queries whose first one is weak; both stages are one
-    search each, for all queries. find: attempts to (query_id, attempt, rank, hit)."""
+    search each, for all queries. find: attempts to (query_id, attempt, rank, hit). Attempts whose search fails have no
+    results; store_error says why. Only a store that isn't set up as it must be fails the whole."""
     first = attempts.where("attempt = 1")
-    one = summarise(first, find(first), thresholds).persist()  # read by the test below and as part of the result
+    one = cut(tried(first, find, thresholds))  # read by the test below and as part of the result
     rest = attempts.where("attempt > 1").join(one.where(broadens()).select("query_id"), "query_id", "left_semi")
-    return one.unionByName(summarise(rest, find(rest), thresholds))
+    return one.unionByName(tried(rest, find, thresholds))
+
+
+def tried(attempts: DataFrame, find: Callable[[DataFrame], DataFrame], thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """summarise() of a search, with store_error: null, or what a store raised when it was asked."""
+    try:
+        found, problem = find(attempts), F.lit(None).cast("string")
+    except StoreConfigurationError:
+        raise
+    except Exception as e:  # a store that fails is a store that finds nothing
+        logging.getLogger(__name__).warning("a search failed: %s", e)
+        found, problem = attempts.select("query_id", "attempt", F.lit(1).alias("rank"), F.lit(None).cast(HIT).alias("hit")).where("false"), F.lit(f"{type(e).__name__}: {e}")
+    return summarise(attempts, found, thresholds).withColumn("store_error", problem)
 
 
 def choose(summaries: DataFrame) -> DataFrame:
@@ -46,7 +62,7 @@ def choose(summaries: DataFrame) -> DataFrame:
     executed = F.lit(True)
     return seen.withColumn("_pick", pick).where("attempt = _pick").select(
         "query_id", executed.alias("executed"), "attempt", "reason", "confidence", "top_score", F.when(F.col("_weak"), F.col("planned")).otherwise(1).cast("int").alias("attempts_made"), "results", "result_count",
-        should_answer(executed, F.col("confidence"), F.col("result_count")).alias("should_answer"), F.lit(False).alias("cache_hit"), F.lit(None).cast("string").alias("error"),
+        should_answer(executed, F.col("confidence"), F.col("result_count")).alias("should_answer"), F.lit(False).alias("cache_hit"), (F.col("store_error") if "store_error" in summaries.columns else F.lit(None).cast("string")).alias("error"),
     )
 
 

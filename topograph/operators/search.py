@@ -28,7 +28,9 @@ from topograph.functions import text as T
 from topograph.plans.filters import to_column
 from topograph.workers import reach
 
-SLICE, BLOCK = 1 << 15, 512
+SLICE, BLOCK = 1 << 15, 128
+#: Distinct signatures that are broadcast to the chunks; more are joined.
+FEW_SIGNATURES = 100_000
 TOP_K = 6
 ALL = "*"
 HIT = "struct<score:double,snippet:string,metadata:map<string,string>,doc_id:string,filename:string>"
@@ -68,14 +70,16 @@ def _meet(k: int) -> Callable:
         if left.num_rows and right.num_rows:
             width = max(int(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py()) for t in (left, right))
             rows = _unit(right.column("vector"), width).T
-            order = np.argsort(np.array(right.column("chunk_id").to_pylist(), dtype=object), kind="stable")
+            place = np.argsort(np.argsort(np.array(right.column("chunk_id").to_pylist(), dtype=object), kind="stable"))
             for lo in range(0, left.num_rows, BLOCK):
                 scores = _unit(left.column("vector").slice(lo, BLOCK), width) @ rows
-                near = np.round(scores[:, order], 12)  # sums in another order may differ in the last bits
-                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                found["query"].append(np.repeat(np.arange(lo, lo + len(scores)), top.shape[1]))
-                found["row"].append(order[top].ravel())
-                found["score"].append(np.take_along_axis(scores, order[top], 1).ravel())
+                for i, own in enumerate(scores):
+                    near = np.round(own, 12)  # sums in another order may differ in the last bits
+                    best = np.flatnonzero(near >= np.partition(near, -k)[-k]) if len(near) > k else np.arange(len(near))
+                    best = best[np.lexsort((place[best], -near[best]))[:k]]
+                    found["query"].append(np.full(len(best), lo + i))
+                    found["row"].append(best)
+                    found["score"].append(own[best])
         q, r, s = (np.concatenate([np.zeros(0, kind), *found[c]]) for c, kind in (("query", int), ("row", int), ("score", float)))
         return pa.table({"query_id": left.column("query_id").take(pa.array(q)), "attempt": left.column("attempt").take(pa.array(q)), "chunk_id": right.column("chunk_id").take(pa.array(r)), "score": s})
 
@@ -98,11 +102,13 @@ def search(attempts: DataFrame, chunks: DataFrame, sets: Sequence[Sequence[str]]
     offers = [F.lit(ALL) if not s else F.concat_ws(",", *(F.concat(F.lit(f"{key}="), F.col(key)) for key in s)) for s in sets]
     whole = [F.lit(True) if not s else F.forall(F.array(*s), lambda v: v.isNotNull()) for s in sets]
     offered = chunks.where(_usable(F.col("embedding"))).select("chunk_id", F.col("embedding").alias("vector"), F.explode(F.array_compact(F.array(*(F.when(w, o) for w, o in zip(whole, offers, strict=True))))).alias("signature"))
+    wanted = asked.select("signature").distinct()
+    few = wanted.limit(FEW_SIGNATURES + 1).count() <= FEW_SIGNATURES
+    offered = offered.join(F.broadcast(wanted) if few else wanted, "signature", "left_semi")  # no vector is dealt that nobody asks for
     if chunks.limit(slice_rows + 1).count() <= slice_rows:  # no signature needs more than one slice
         asked, offered = asked.withColumn("slice", F.lit(0)), offered.withColumn("slice", F.lit(0))
     else:
-        wanted = asked.select("signature").distinct()
-        sizes = offered.select("signature").join(wanted, "signature", "left_semi").groupBy("signature").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+        sizes = offered.select("signature").groupBy("signature").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
         offered = offered.join(sizes, "signature").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).drop("slices")
         asked = asked.join(sizes, "signature").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     kind = f"query_id {kinds['query_id']}, attempt {kinds['attempt']}, chunk_id {kinds['chunk_id']}, score double"

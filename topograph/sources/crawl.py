@@ -1,7 +1,9 @@
 """Crawling a folder into a documents frame.
 
-The driver only lists names. Files are read, hashed and turned into text once, on the executors, so the folder must be
-one that they all see. (Spark's binaryFile source isn't used: it leaves out empty files and names with an underscore.)
+Crawler lists a folder's names on the driver; files are read, hashed and turned into text once, on the executors, so
+the folder must be one that they all see. (Spark's binaryFile source leaves out empty files and names with an
+underscore, so it isn't used for that.) documents_of() applies the same rules to a frame of files with their content,
+as binary_files() reads it from any store that Spark reads, listed and read by Spark.
 """
 
 from __future__ import annotations
@@ -58,34 +60,120 @@ def infer_levels(root: Path, skip_hidden: bool = True) -> list[str]:
     return [f"level_{i}" for i in range(depth)]
 
 
-def _read(registry: Registry, sample: int) -> Callable:
+#: What is known of a file once it has been read.
+SEEN = {"checksum": pa.string(), "text_sample": pa.string(), "has_text": pa.bool_(), "problem": pa.string()}
+ROWS = 256
+
+
+def _seen(registry: Registry, sample: int, extension: str, data: bytes) -> tuple:
+    problem = None
+    try:
+        text = registry.get(extension)(data)
+    except MissingDependency:
+        raise
+    except Exception as e:  # the document stays, without text
+        text, problem = "", f"{type(e).__name__}: {e}"
+    return hashlib.sha256(data).hexdigest(), text[:sample], bool(text.strip()), problem
+
+
+def _read(registry: Registry, sample: int, stored: bool = False) -> Callable:
+    """Adds SEEN to rows of files, whose content is a column or, if they are `stored`, is read from local_path."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                path, extension = row.column("local_path")[0].as_py(), row.column("extension")[0].as_py()
-                with open(path, "rb") as f:
-                    data = f.read()
-                problem = None
-                try:
-                    text = registry.get(extension)(data)
-                except MissingDependency:
-                    raise
-                except Exception as e:  # the document stays, without text
-                    text, problem = "", f"{type(e).__name__}: {e}"
-                new = [hashlib.sha256(data).hexdigest(), text[:sample], bool(text.strip()), problem]
-                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x], kind) for x, kind in zip(new, (pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True))], [*row.schema.names, "checksum", "text_sample", "has_text", "problem"])
+            for lo in range(0, b.num_rows, ROWS):
+                part, new = b.slice(lo, ROWS), []
+                for k in range(part.num_rows):
+                    if stored:
+                        with open(part.column("local_path")[k].as_py(), "rb") as f:
+                            data = f.read()
+                    else:
+                        data = part.column("content")[k].as_py() or b""
+                    new.append(_seen(registry, sample, part.column("extension")[k].as_py(), data))
+                kept = [n for n in part.schema.names if n != "content"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *(pa.array([x[c] for x in new], kind) for c, kind in enumerate(SEEN.values()))], [*kept, *SEEN])
 
     return run
 
 
+def extension_of(path: Column) -> Column:
+    """The last suffix in lower case; a name that only begins with a dot, or ends with one, has none."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def hidden(path: Column) -> Column:
+    """Whether the name of the file or of any folder begins with a dot."""
+    return F.exists(identity.path_parts(path), lambda p: p.startswith("."))
+
+
+def depth_of(files: DataFrame, skip_hidden: bool = True) -> Column:
+    """Aggregate: the most folders that any file of `files`(relative_path) is below, whatever its extension."""
+    path = F.col("relative_path")
+    counts = ~path.rlike(f"(^|/){SIDECAR}$") & (~hidden(path) if skip_hidden else F.lit(True))
+    return F.coalesce(F.max(F.when(counts, F.size(identity.path_parts(path)) - 1)), F.lit(0))
+
+
+def binary_files(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, local_path, size_bytes, last_modified and content of the files below a folder in any store."""
+    files = reach(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.lit(root.rstrip("/").split("://")[-1].lstrip("/"))
+    below = F.substring_index(F.col("path"), base, -1)
+    return files.select(F.regexp_replace(below, "^/+", "").alias("relative_path"), F.col("path").alias("local_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), "content")
+
+
+def unknown_extensions(files: DataFrame, registry: Registry | None = None, skip_hidden: bool = True) -> DataFrame:
+    """extension and n: the files that documents_of() passes by for want of an extractor."""
+    path = F.col("relative_path")
+    rows = files.where(~path.rlike(f"(^|/){SIDECAR}$") & (~hidden(path) if skip_hidden else F.lit(True))).withColumn("extension", extension_of(path))
+    return rows.where(~F.col("extension").isin((registry or Registry()).supported_extensions())).groupBy("extension").agg(F.count("*").alias("n"))
+
+
+def sidecar_aliases(files: DataFrame) -> DataFrame:
+    """folder, filename and own (aliases that aren't blank) from the sidecars among files(relative_path, content). A
+    sidecar that isn't a JSON object has none, nor has a name whose value isn't a list."""
+    side = files.where(F.col("relative_path").rlike(f"(^|/){SIDECAR}$"))
+    held = side.select(folder_of(F.col("relative_path")).alias("folder"), F.explode(F.from_json(F.col("content").cast("string"), "map<string,string>")).alias("filename", "_list"))
+    listed = held.where(F.col("_list").startswith("[")).withColumn("own", F.from_json("_list", "array<string>"))
+    return listed.select("folder", "filename", F.filter("own", lambda a: a.isNotNull() & (T.strip(a) != "")).alias("own"))
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def documents_of(files: DataFrame, level_names: Sequence[str], *, registry: Registry | None = None, hierarchy: Callable[[Column, int], Column] | None = None, text_sample_chars: int = 1000, require_text: bool = False, strict_unknown_extensions: bool = False, skip_hidden: bool = True) -> DataFrame:
+    """The documents frame, in no order, of files(relative_path, local_path, size_bytes, last_modified, content)."""
+    names, registry, path = check_level_names(level_names), registry or Registry(), F.col("relative_path")
+    if strict_unknown_extensions and (bad := unknown_extensions(files, registry, skip_hidden).first()):
+        raise UnsupportedFileType(f"no extractor for {bad['extension']!r}")
+    registry.check({r[0] for r in files.select(extension_of(path)).distinct().where(extension_of(path).isin(registry.supported_extensions())).collect()} if set(registry._needs) & set(registry.supported_extensions()) else set())
+    rows = files.where(~hidden(path)) if skip_hidden else files
+    routed = rows.where(~path.rlike(f"(^|/){SIDECAR}$")).withColumn("extension", extension_of(path)).where(F.col("extension").isin(registry.supported_extensions()))
+    kind = f"{LISTED}, checksum string, text_sample string, has_text boolean, problem string"
+    read = routed.select(*(c.split()[0] for c in LISTED.split(", ")), F.col("content").cast("binary").alias("content")).mapInArrow(_read(registry, max(0, int(text_sample_chars))), kind)
+    return _assembled(read.where("has_text") if require_text else read, sidecar_aliases(rows), names, hierarchy)
+
+
+def _assembled(read: DataFrame, own: DataFrame, level_names: Sequence[str], hierarchy: Callable[[Column, int], Column] | None) -> DataFrame:
+    path, depth = F.col("relative_path"), len(level_names)
+    read = read.withColumns({"filename": F.element_at(identity.path_parts(path), -1), "folder": folder_of(path)})
+    names = F.array(*map(F.lit, level_names)) if depth else F.array().cast("array<string>")
+    out = read.join(own, ["folder", "filename"], "left").withColumn("_levels", (hierarchy or identity.path_levels)(path, depth))
+    return out.select(
+        identity.doc_id(path).alias("doc_id"), "filename", "relative_path", "local_path", F.map_from_arrays(names, "_levels").alias("levels"),
+        (F.array().cast("array<string>") if hierarchy else identity.extra_path(path, depth)).alias("extra_path"),
+        "checksum", "size_bytes", "last_modified", T.aliases(F.col("filename"), F.col("_levels"), F.col("own")).alias("aliases"), "text_sample", "extension", "problem",
+    )
+
+
 def _sidecars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {"folder": [], "filename": [], "own": []}
         for folder, path in zip(b.column("folder").to_pylist(), b.column("path").to_pylist(), strict=True):
             try:
                 held = json.loads(Path(path).read_text(encoding="utf-8"))
-            except ValueError:
+            except ValueError as e:
+                warnings.warn(f"{path} isn't JSON, its aliases are left out: {e}", stacklevel=2)
                 continue
             for name, names in held.items() if isinstance(held, dict) else ():
                 if isinstance(names, list):
@@ -135,22 +223,13 @@ class Crawler:
     def documents(self, spark: SparkSession) -> DataFrame:
         """One row a file, sorted by path: the documents frame, with `problem` where an extractor failed."""
         reach(spark)
-        rows, depth = self.listed(), len(self.level_names)
+        rows = self.listed()
         files = spark.createDataFrame(rows, LISTED).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
         kind = f"{LISTED}, checksum string, text_sample string, has_text boolean, problem string"
-        read = files.mapInArrow(_read(self.registry, self.text_sample_chars), kind)
+        read = files.mapInArrow(_read(self.registry, self.text_sample_chars, True), kind)
         if self.require_text:
             read = read.where("has_text")
         sides = {Path(r[1]).parent: r[0].rpartition("/")[0] for r in rows}
         found = [(folder, str(p / SIDECAR)) for p, folder in sides.items() if (p / SIDECAR).is_file()]
         own = spark.createDataFrame(found, "folder string, path string").mapInArrow(_sidecars, "folder string, filename string, own array<string>")
-        path = F.col("relative_path")
-        read = read.withColumns({"filename": F.element_at(identity.path_parts(path), -1), "folder": F.regexp_replace(path, "/?[^/]*$", "")})
-        values = (self.hierarchy or identity.path_levels)(path, depth)
-        names = F.array(*map(F.lit, self.level_names)) if depth else F.array().cast("array<string>")
-        out = read.join(own, ["folder", "filename"], "left").withColumn("_levels", values)
-        return out.select(
-            identity.doc_id(path).alias("doc_id"), "filename", "relative_path", "local_path", F.map_from_arrays(names, "_levels").alias("levels"),
-            (F.array().cast("array<string>") if self.hierarchy else identity.extra_path(path, depth)).alias("extra_path"),
-            "checksum", "size_bytes", "last_modified", T.aliases(F.col("filename"), F.col("_levels"), F.col("own")).alias("aliases"), "text_sample", "extension", "problem",
-        ).orderBy("relative_path")
+        return _assembled(read, own, self.level_names, self.hierarchy).orderBy("relative_path")
