@@ -275,7 +275,7 @@ def test_token_files(docs, none, spark, tmp_path):
         at += len(ids[i])
     assert sorted(map(tuple, token_file.round_trip(docs, parts=4).collect()), key=lambda r: r[1]) == want
     assert token_file.round_trip(none).count() == 0
-    token_file.write(token_file.encode(docs), str(tmp_path / "one"), [])
+    token_file.write(token_file.encode(docs), str(tmp_path / "one"), 1)
     f = token_file.TokenFile(bytes(spark.read.parquet(str(tmp_path / "one")).first().file))
     assert f.doc_ids() == [w[0] for w in want] and all(f.document(k).tolist() == ids[w[0]].tolist() for k, w in enumerate(want))
 
@@ -285,6 +285,7 @@ def test_elias_fano():
         data = token_file.EliasFano.encode(np.array(values, np.uint64)).to_bytes()
         e, used = token_file.EliasFano.from_bytes(memoryview(data))
         assert used == len(data) and e.all().tolist() == values and [e.select(i) for i in range(0, len(values), 7)] == values[::7]
+        assert all(e.span(lo, hi).tolist() == values[lo:hi] for lo in range(0, len(values), 211) for hi in (lo, min(lo + 1, len(values)), min(lo + 300, len(values)), len(values)))
     assert len(data) < 200
     with pytest.raises(IndexError):
         e.select(1)

@@ -3,8 +3,10 @@
 Each text is cut into pre-tokens (words) by the tokenizer's pattern. A block of consecutive texts
 numbers its distinct words and keeps, for each text, the words' numbers in order of position. The distinct words of
 all blocks are dealt by hash, so that each distinct word is encoded once; its ids go back to the blocks that hold
-it, and each block puts its texts together by position. Decoding joins the token-byte table, which is as large as
-the vocabulary file and therefore broadcast.
+it, and each block puts its texts together by position. Decoding joins the exploded ids with the token-byte table, an
+Arrow column as large as the vocabulary file and therefore broadcast, and puts each text's bytes together by position.
+
+Parts grow in number with the bytes of the texts, so that a part holds about as many words at every size.
 
 Both the words and the texts' numbers come from one deterministic map over the input, which Spark runs for each of
 them. A block is named by a hash of its words, so if the input gave other rows the second time, the ids would be
@@ -25,6 +27,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 import zstandard
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from topograph.llm.packing import pack_numbers, spans, unpack_numbers
+from topograph.llm.storage import parts_for
 from topograph.llm.words import string_hashes
 from topograph.workers import thrifty, thrifty_group, thrifty_pair
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN
-MOST_PARTS = 4096
+#: Bytes of text for each part that words are dealt to.
+PART_BYTES = 64 << 20
 TOKENS_AT_ONCE = 1 << 19
 #: Pre-tokens in a block, but for a longer text; larger blocks send fewer words and take more memory.
 BLOCK_WORDS = 3 << 19
@@ -104,6 +109,24 @@ def _joined(held: list) -> tuple[list[int | None], pa.Array]:
     return [x for ids, _ in held for x in ids], pa.concat_arrays([words for _, words in held])
 
 
+class TokenBytes:
+    """The token-byte table: what each id stands for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        held: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            held[i] = b
+        self.column = pa.array(held, pa.large_binary())
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of texts whose ids are laid end to end, text k up to ends[k]: a join of the ids, then the parts of
+        each text joined by position. An id outside the table is an error."""
+        if len(ids) and (int(ids.max()) >= len(self.column) or self.column.take(pa.array(np.unique(ids))).null_count):
+            raise ValueError("an id that the token-byte table doesn't have")
+        parts = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), self.column.take(pa.array(ids.astype(np.int64))))
+        return pc.binary_join(parts, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
+
 @lru_cache(2)
 def _encoder(ranks: frozenset, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
@@ -113,24 +136,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """doc_id and ids (bytes) of every whole text; with `decoded` also `bytes`, what the ids stand for."""
     ranks = read_ranks() if ranks is None else ranks
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(ranks.items()))
-    table = docs.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()} if decoded else {})
+    table = docs.sparkSession.sparkContext.broadcast(TokenBytes(ranks) if decoded else None)
+    parts = parts or parts_for(docs, PART_BYTES)
     cut = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
 
     def encoder(words: list[str]) -> list[list[int]]:
         return list(map(_encoder(shared.value, pattern).encode_ordinary, words))
 
-    def decoder(ids: np.ndarray) -> bytes:
-        return b"".join(map(table.value.__getitem__, ids.tolist()))
+    def decoder(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return table.value.texts(ids, ends)
 
     return encode_words(cut, encoder, decoder=decoder if decoded else None, parts=parts)
 
 
-def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]], cut: Callable[[pa.Array], pa.Array] | None = None, kind: type = np.uint32, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, decoder: Callable[[np.ndarray], bytes] | None = None, parts: int | None = None) -> DataFrame:
+def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]], cut: Callable[[pa.Array], pa.Array] | None = None, kind: type = np.uint32, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, decoder: Callable[[np.ndarray, np.ndarray], pa.Array] | None = None, parts: int = 1) -> DataFrame:
     """doc_id and the ids of its words, end to end, as numbers of one kind; docs has doc_id and one more column, the
     words, or what `cut` makes words of. encoder: the ids of each of some distinct words. pack: a text's ids as bytes.
-    decoder: adds `bytes`, what it makes of the ids."""
+    decoder: adds `bytes`, what it makes of the ids of some texts and their ends. parts: how many the words are dealt to."""
     names = ["ids", "bytes"] if decoder else ["ids"]
-    parts = min(MOST_PARTS, parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int | None], Block]]:
         for ids, words in blocks((b.column(0), cut(b.column(1)) if cut else b.column(1)) for b in batches):
@@ -177,7 +200,7 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
         size, start = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
         size[order] = np.concatenate(sizes)
         start[order] = np.cumsum(size[order]) - size[order]
-        ids, doc_ids, out = np.concatenate(flat).astype(kind), [], {k: [] for k in names}
+        ids, doc_ids, out, texts_of = np.concatenate(flat).astype(kind), [], [], []
         for row in left.select(["doc_ids", "counts", "numbers"]).to_pylist():
             doc_ids += row["doc_ids"]
             numbers, ends = unpack_numbers(row["numbers"]), np.cumsum(unpack_numbers(row["counts"]), dtype=np.int64)
@@ -187,12 +210,12 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
                 mine = numbers[lo : ends[to - 1]]
                 got = ids[spans(start[mine], size[mine])]
                 cuts = np.concatenate([[0], np.cumsum(size[mine])])[np.concatenate([[lo], ends[at:to]]) - lo]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    out["ids"].append(pack(got[a:b]))
-                    if decoder:
-                        out["bytes"].append(decoder(got[a:b]))
+                out += [pack(got[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if decoder:
+                    texts_of.append(decoder(got, cuts[1:]))
                 at, lo = to, ends[to - 1]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+        held = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(held | ({"bytes": pa.chunked_array(texts_of, pa.binary())} if decoder else {}))
 
     encoded = docs.mapInArrow(thrifty(words), "part int, block bigint, words binary").groupBy("part").applyInArrow(thrifty_group(once), "block bigint, part int, ids binary")
     held = docs.mapInArrow(thrifty(texts), "block bigint, doc_ids array<bigint>, counts binary, numbers binary, parts binary")
@@ -201,15 +224,17 @@ def encode_words(docs: DataFrame, encoder: Callable[[list[str]], list[list[int]]
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
     """The frame with the column `bytes`, joined from the token-byte table; an id outside it is an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in (read_ranks() if ranks is None else ranks).items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(read_ranks() if ranks is None else ranks))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                out = [None if x.as_py() is None else b"".join(map(table.__getitem__, np.frombuffer(x.as_py(), np.uint32).tolist())) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "bytes"])
+                ids = [x.as_py() for x in part.column("ids")]
+                texts = table.texts(np.frombuffer(b"".join(x or b"" for x in ids), np.uint32), np.cumsum([len(x or b"") // 4 for x in ids]))
+                out = pc.if_else(part.column("ids").is_null(), pa.scalar(None, pa.binary()), texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "bytes"])
 
     return encoded.mapInArrow(thrifty(run), StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
 

@@ -1,21 +1,20 @@
-"""Where operators write what they read again."""
+"""Where operators write what they read again, and into how many parts they deal."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topograph.lineage import scratch_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors and the driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    return f"{root}/{uuid.uuid4().hex}"
+    """A new folder name below spark.checkpoint.dir, which all executors and the driver share; it goes with the driver."""
+    return scratch_folder(spark)
 
 
-def parts_for(docs: DataFrame, part_bytes: int) -> int:
-    """Parts to deal the texts' words to: one for part_bytes bytes of text, and at least one for each shuffle
+def parts_for(docs: DataFrame, part_bytes: int, column: str = "text", finer: int = 1) -> int:
+    """Parts to deal the texts' words to: one for part_bytes bytes of text, and at least `finer` for each shuffle
     partition, so that what a part holds in memory doesn't grow with the input."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(finer * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))

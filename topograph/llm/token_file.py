@@ -25,12 +25,13 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from topograph.llm.bpe import encode_words
-from topograph.llm.storage import shared_folder
+from topograph.llm.storage import parts_for, shared_folder
 from topograph.workers import thrifty
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +39,11 @@ MAGIC = b"EFIDS\0\0\1"
 SAMPLE = 256
 END_ID = 1
 FILE_IDS = 1 << 21
+FILES = "place int, number int, n_docs bigint, n_ids bigint, file binary"
+#: Files whose places in the whole (one short row each) are broadcast; more are joined.
+FEW_FILES = 500_000
+#: Bytes of text for each part that words, and then documents, are dealt to.
+PART_BYTES = 64 << 20
 
 
 class EliasFano:
@@ -90,11 +96,23 @@ class EliasFano:
             byte += 2 * SAMPLE
             at = 8 * byte
 
-    def all(self) -> np.ndarray:
-        i = np.arange(self.n)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - i
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """select() of lo to hi - 1, from the bits between the samples around them."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.uint64)
+        first, after = lo // SAMPLE, -(-hi // SAMPLE)
+        at = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at >> 3 : (end + 7) >> 3], bitorder="little")) + (at >> 3 << 3)
+        i = np.arange(lo, hi)
+        high = ones[np.searchsorted(ones, at) + lo - first * SAMPLE :][: hi - lo] - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def all(self) -> np.ndarray:
+        return self.span(0, self.n)
+
 
 class TokenFile:
     """A file's documents; what is read is only what is asked for."""
@@ -120,8 +138,16 @@ class TokenFile:
         a, b = self.span(i)
         return self.ids[a:b]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [int(x) + self.first for x in self._names.all()]
+    def doc_ids(self, lo: int = 0, hi: int | None = None) -> list[int | None]:
+        """Of documents lo to hi - 1, or all."""
+        hi = len(self) if hi is None else hi
+        known = self._names.span(max(0, lo - self.nulls), max(0, hi - self.nulls))
+        return [None] * (min(hi, self.nulls) - min(lo, self.nulls)) + [int(x) + self.first for x in known]
+
+    def spans(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where documents lo to hi - 1 begin and end in the id array."""
+        ends = self.ends.span(lo, hi).astype(np.int64)
+        return np.concatenate([[self.ends.select(lo - 1) if lo else 0], ends[:-1]]).astype(np.int64), ends
 
     @staticmethod
     def build(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -158,7 +184,7 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, parts: int | None = None) -> DataFrame:
     """doc_id and ids (packed; 16-bit, or 32-bit for a large vocabulary) of every whole text.
 
     This kind of tokenizer never looks across an ASCII blank: its normalizer and its pre-tokenizer work within the
@@ -178,84 +204,76 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def cut(text: pa.Array) -> pa.Array:
         return pc.ascii_split_whitespace(text.fill_null("").cast(pa.large_string()))
 
-    return encode_words(docs.select("doc_id", "text"), encoder, cut, kind, pack)
+    return encode_words(docs.select("doc_id", "text"), encoder, cut, kind, pack, parts=parts or parts_for(docs, PART_BYTES))
 
 
-def write(encoded: DataFrame, path: str, cuts: list[int], kind: type = np.uint16, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
-    """Writes (doc_id, ids) as files of about file_ids ids in order of doc_id, each document with end_id at its end;
-    cuts: where partitions part."""
+def write(encoded: DataFrame, path: str, parts: int, kind: type = np.uint16, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
+    """Writes (doc_id, ids) as files of about file_ids ids in order of doc_id, each document with end_id at its end.
+    Rows are dealt by ranges of doc_id; a file's place is its range, its number the order within."""
     end = np.array([end_id], kind)
-    place = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
-    ordered = encoded.withColumn("place", F.coalesce(place, F.lit(0))).repartition(len(cuts) + 1, "place").sortWithinPartitions("place", "doc_id", "ids")
+    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, at, number, n = [], [], None, 0, 0
+        place, held, texts, number, n = TaskContext.get().partitionId(), [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
             sizes = np.array([len(x) + 1 for x in texts])
-            data = TokenFile.build(t.column("doc_id").to_pylist(), sizes, np.concatenate([y for x in texts for y in (x, end)]))
-            return pa.RecordBatch.from_pydict({"place": pa.array([at], pa.int32()), "number": pa.array([number], pa.int32()), "n_docs": [len(sizes)], "n_ids": [int(sizes.sum())], "file": pa.array([data], pa.binary())})
+            data = TokenFile.build(held, sizes, np.concatenate([y for x in texts for y in (x, end)]))
+            return pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "number": pa.array([number], pa.int32()), "n_docs": [len(sizes)], "n_ids": [int(sizes.sum())], "file": pa.array([data], pa.binary())})
 
         for b in batches:
-            places = b.column("place").to_numpy()
-            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(places)) + 1):
-                if not len(part):
-                    continue
-                for lo in range(int(part[0]), int(part[-1]) + 1, 256):
-                    piece = b.slice(lo, min(256, int(part[-1]) + 1 - lo))
-                    here = int(places[lo])
-                    if held and (here != at or n >= file_ids):
-                        yield flush()
-                        number = number + 1 if here == at else 0
-                        held, texts, n = [], [], 0
-                    at = here
-                    held.append(piece.select(["doc_id"]))
-                    new = [unpack(x.as_py(), kind) for x in piece.column("ids")]
-                    texts += new
-                    n += sum(map(len, new)) + len(new)
+            for lo in range(0, b.num_rows, 256):
+                piece = b.slice(lo, 256)
+                if held and n >= file_ids:
+                    yield flush()
+                    held, texts, number, n = [], [], number + 1, 0
+                held += piece.column("doc_id").to_pylist()
+                new = [unpack(x.as_py(), kind) for x in piece.column("ids")]
+                texts += new
+                n += sum(map(len, new)) + len(new)
         if held:
             yield flush()
 
-    ordered.select("doc_id", "ids", F.col("place").cast("int").alias("place")).mapInArrow(thrifty(run), "place int, number int, n_docs bigint, n_ids bigint, file binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(thrifty(run), "place int, number int, n_docs bigint, n_ids bigint, file binary").write.option("compression", "zstd").parquet(path)
+
+
+def bases(files: DataFrame) -> DataFrame:
+    """place, number and base (ids in all files before) of each file. Sums by place, a running sum over the places (one
+    short row each), and running sums within each place."""
+    sizes = files.select("place", "number", "n_ids")
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.groupBy("place").agg(F.sum("n_ids").alias("own")).select("place", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("place").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("inside", inside).join(places, "place").select("place", "number", (F.col("first") + F.col("inside")).alias("base"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files."""
-    files = spark.read.parquet(path)
-    rows = files.select("place", "number", "n_ids").sort("place", "number").collect()  # one short row a file
-    starts, total = {}, 0
-    for r in rows:
-        starts[r.place, r.number] = total
-        total += r.n_ids
-    shared = spark.sparkContext.broadcast(starts)
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files, by their
+    select structures."""
+    files = spark.read.schema(FILES).parquet(path)
+    base = bases(files)
+    few = files.select("place").limit(FEW_FILES + 1).count() <= FEW_FILES
+    joined = files.select("place", "number", "file").join(F.broadcast(base) if few else base, ["place", "number"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for place, number, file in zip(*(b.column(c) for c in ("place", "number", "file")), strict=True):
+            for base, file in zip(b.column("base"), b.column("file"), strict=True):
                 f = TokenFile(file.as_py())
-                base, ends = shared.value[place.as_py(), number.as_py()], f.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = f.ids.astype(np.uint32)
-                crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.doc_ids(), pa.int64()), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return files.select("place", "number", "file").mapInArrow(thrifty(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
+                for lo in range(0, len(f), 4096):
+                    hi = min(lo + 4096, len(f))
+                    starts, ends = f.spans(lo, hi)
+                    ids = f.ids[starts[0] : ends[-1]].astype(np.uint32)
+                    crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts - starts[0], ends - starts[0], strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.doc_ids(lo, hi), pa.int64()), "start": pa.array(starts + base.as_py()), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
-def cuts(docs: DataFrame, parts: int) -> list[int]:
-    """doc_ids that deal the rows out evenly, roughly; any choice gives the same order."""
-    if parts < 2:
-        return []
-    got = docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(x) for x in got})
+    return joined.select("base", "file").mapInArrow(thrifty(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, parts: int | None = None) -> DataFrame:
     """Encodes every text, writes the files, and reads them back."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs, PART_BYTES)
     path = path or shared_folder(spark)
     kind = id_kind(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)))
-    write(encode(docs), path, cuts(docs, min(parts, 1000)), kind)
+    write(encode(docs, parts=parts), path, parts, kind)
     return read(spark, path)
