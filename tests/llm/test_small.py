@@ -208,8 +208,9 @@ def test_mixing(docs, none, spark):
     assert mixing.mix(none).count() == 0
 
 
-def test_substrings(docs, none, spark):
-    listed = sorted({(i if i is not None else -(1 << 63), t or "") for i, t in TEXTS})
+def without_repeats(texts):
+    """n_words, n_removed and the digest of what is kept, by (doc_id, text), window by window."""
+    listed = sorted({(i if i is not None else -(1 << 63), t or "") for i, t in texts})
     seen, want = set(), {}
     for i, t in listed:
         w = words(t)
@@ -221,6 +222,27 @@ def test_substrings(docs, none, spark):
             seen.add(key)
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return want
+
+
+def test_substrings_of_a_phrase(spark):
+    """A phrase of ten to thirty words in many texts, among ever other words; some of what is around it is repeated, too."""
+    phrase = say(30, [f"p{i}" for i in range(1000)]).split()
+    rows = []
+    for i in range(600):
+        n = 10 + i % 21
+        around = say(12, [f"z{i % 9 if i % 3 else i}"]) if i % 2 else say(12)
+        rows.append((i, " ".join([around, *phrase[:n], say(15, POOL[:3] if i % 5 == 0 else POOL)])))
+    want = without_repeats(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (None, 3):
+        assert {r["_doc"] for r in substrings.repeated_windows(d, parts).collect()} == {i for i, x in want.items() if x[1]}
+    got = substrings.remove(d, digest=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want and sum(x[1] > 0 for x in want.values()) > 100
+
+
+def test_substrings(docs, none, spark):
+    want = without_repeats(TEXTS)
     got = substrings.remove(docs, digest=True).collect()
     assert len(got) == len(TEXTS)
     for r in got:

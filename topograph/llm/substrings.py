@@ -12,7 +12,9 @@ is least. Equal windows have equal anchors in equal places.
    the filter are dealt by its hash, equal ones of a block once with all the places where they are.
 3. The passages of an anchor are a reference shard. In order of their first places, each is streamed through the
    shard's suffix automaton for its matching statistics: a match of WINDOW words or more ends a window that starts
-   earlier. Then it is added to the automaton. Later places of the same passage repeat all its windows.
+   earlier. Then it is added to the automaton. Later places of the same passage repeat all its windows. A shard
+   of more than MOST_PASSAGES different passages (of one frequent phrase with ever other words around it) isn't walked
+   one after the other: its windows' hashes are grouped at once, and all but the first place of each are repeated.
 4. The repeated windows go back to their texts, whose words outside of them are kept.
 
 Null text has no words. Rows that repeat doc_id and text are one document; rows that repeat a doc_id with other texts
@@ -33,14 +35,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from topograph.llm.columns import back, fresh, held
 from topograph.llm.packing import pack_numbers, pack_rising, spans, unpack_numbers, unpack_rising
-from topograph.llm.storage import shared_folder
+from topograph.llm.storage import parts_for, shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, ngrams, split
 from topograph.workers import thrifty, thrifty_group
 
 WINDOW, ANCHOR = 20, 10
-MOST_PARTS = 4096
-#: Parts for each shuffle partition: a part is held in memory as a whole.
-FINER = 5
+#: Bytes of text for each part, and parts for each shuffle partition at least: a part is held in memory as a whole.
+PART_BYTES, FINER = 16 << 20, 5
+MOST_PASSAGES = 64
 BLOCK_WORDS = 1 << 19
 #: Bits of the filter: FILTER_BITS for each repeated anchor, LEAST_FILTER at least, MOST_FILTER at most (64 MB).
 FILTER_BITS, LEAST_FILTER, MOST_FILTER = 12, 1 << 16, 1 << 29
@@ -263,6 +265,28 @@ class Automaton:
         return out
 
 
+def _windows_seen(words: np.ndarray, keys: np.ndarray, begin: np.ndarray, left: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start and number (1) of the windows of some passages that are in another one of the same anchor at an
+    earlier place. Passages come without their anchor, in whose stead some numbers stand: it is the same for all."""
+    full = size + ANCHOR
+    ends = np.cumsum(full)
+    inside = np.arange(ends[-1]) - np.repeat(ends - full, full)
+    before = np.repeat(left, full)
+    anchor = (inside >= before) & (inside < before + ANCHOR)
+    flat = np.empty(len(inside), np.uint64)
+    flat[anchor] = (inside - before)[anchor] + 1
+    flat[~anchor] = words[(np.repeat(begin, full) + inside - np.where(inside < before, 0, ANCHOR))[~anchor]]
+    counts = full - WINDOW + 1
+    passage = np.repeat(np.arange(len(full)), counts)
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = (ends - full)[passage] + offset
+    found = mix(_windows(flat, STEP, first, first + WINDOW) ^ keys[passage])
+    where = start[passage] + offset
+    order = np.lexsort((where, doc[passage], found))
+    again = order[1:][found[order[1:]] == found[order[:-1]]]
+    return doc[passage[again]], where[again], np.ones(len(again), np.int64)
+
+
 def _flag(table: pa.Table) -> pa.Table:
     """One part's shards: the words of each text that repeated windows cover, as starts and ends."""
     rows = table.to_pylist()
@@ -293,7 +317,11 @@ def _flag(table: pa.Table) -> pa.Table:
     later = np.flatnonzero(~at_first & ~same)
     out = [(place_doc[later], place_start[later], windows[passage[later]])]
     shard = np.cumsum(new_key)[lead]
-    more = np.flatnonzero(np.bincount(shard)[shard] > 1)  # passages whose shard has others
+    passages = np.bincount(shard)[shard]
+    large = lead[passages > MOST_PASSAGES]
+    if len(large):
+        out.append(_windows_seen(words, keys[passage[large]], begin[passage[large]], left[passage[large]], size[passage[large]], place_doc[large], place_start[large]))
+    more = np.flatnonzero((passages > 1) & (passages <= MOST_PASSAGES))  # passages whose shard has others
     lead, shard = lead[more], shard[more]
     turn = np.lexsort((place_start[lead], place_doc[lead], shard))
     lead, shard = lead[turn], shard[turn]
@@ -341,7 +369,7 @@ def repeated_windows(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """_doc, _text and places (32-bit starts and ends of the words that repeated windows cover) of the texts that have
     any."""
     spark = docs.sparkSession
-    parts = min(MOST_PARTS, parts or FINER * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, PART_BYTES, finer=FINER)
     named = docs.select(*doc_key(), "text")
     shared = spark.sparkContext.broadcast(repeated_anchors(named, parts))
     flagged = named.mapInArrow(thrifty(_sent(parts, shared)), SENT).groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, places binary")
