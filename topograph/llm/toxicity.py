@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     near = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *(F.col(c).cast("int").alias(c) for c in categories))
     kind = ", ".join(["doc_id bigint", *(f"{c} int" for c in categories), "keys binary"])
-    got = near.mapInArrow(thrifty(run), kind).toArrow().sort_by("doc_id")
+    got = near.mapInArrow(thrifty(run), kind).toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("doc_id", *categories, "keys")])  # one order, also of rows that share a doc_id
     own = [np.frombuffer(x.as_py(), np.uint64) for x in got["keys"]]
     rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
     keys = np.concatenate([*own, np.zeros(0, np.uint64)])
