@@ -297,11 +297,19 @@ def test_token_files(docs, none, spark, tmp_path):
         at += len(ids[i])
     assert sorted(map(tuple, token_file.round_trip(docs, parts=4).collect()), key=lambda r: r[1]) == want
     assert token_file.round_trip(none).count() == 0
-    token_file.write(token_file.encode(docs), str(tmp_path / "one"), 1)
+    token_file.write(token_file.encode(docs), str(tmp_path / "one"), np.zeros(0, np.int64))
     f = token_file.TokenFile(bytes(spark.read.parquet(str(tmp_path / "one")).first().file))
     assert f.doc_ids() == [w[0] for w in want] and all(f.document(k).tolist() == ids[w[0]].tolist() for k, w in enumerate(want))
 
 
+def test_token_files_of_large_ids(spark):
+    """doc_ids that a double can't tell apart, without any, and more ranges than documents."""
+    rows = [(i, "a b c"[: k % 6]) for k, i in enumerate([2**62, 2**62 + 1, 2**62 + 2, -(2**62), None, None, 5, 4])]
+    got = token_file.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), parts=20).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**62), 4, 5, 2**62, 2**62 + 1, 2**62 + 2]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_elias_fano():
     for values in ([], [0], [0, 0, 5, 5, 1000], np.cumsum(RNG.integers(0, 300, 3000)).tolist(), [2**40]):
         data = token_file.EliasFano.encode(np.array(values, np.uint64)).to_bytes()

@@ -207,11 +207,24 @@ def encode(docs: DataFrame, path: str | None = None, parts: int | None = None) -
     return encode_words(docs.select("doc_id", "text"), encoder, cut, kind, pack, parts=parts or parts_for(docs, PART_BYTES))
 
 
-def write(encoded: DataFrame, path: str, parts: int, kind: type = np.uint16, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
+def cuts(docs: DataFrame, parts: int) -> np.ndarray:
+    """The least doc_ids of all ranges but the first; dealing out the ids alone is cheap, dealing out encoded texts by
+    range would encode them once more, for a sample. One number a range comes to the driver."""
+    least = docs.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id().alias("at")).agg(F.min("doc_id").alias("least"))
+    return np.sort(np.array([r["least"] for r in least.select("least").collect()], np.int64))[1:]
+
+
+def write(encoded: DataFrame, path: str, cuts: np.ndarray, kind: type = np.uint16, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Writes (doc_id, ids) as files of about file_ids ids in order of doc_id, each document with end_id at its end.
-    Rows are dealt by ranges of doc_id; a file's place is its range, its number the order within."""
+    Rows are dealt by the ranges between cuts; a file's place is its range, its number the order within."""
     end = np.array([end_id], kind)
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    bounds = encoded.sparkSession.sparkContext.broadcast(cuts)
+
+    def placed(doc_id: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds.value, doc_id.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32))
+
+    place = F.arrow_udf(placed, "int")(F.col("doc_id")) if len(cuts) else F.lit(0)
+    ordered = encoded.select("doc_id", "ids", place.alias("place")).repartitionById(len(cuts) + 1, "place").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, texts, number, n = TaskContext.get().partitionId(), [], [], 0, 0
@@ -275,5 +288,5 @@ def round_trip(docs: DataFrame, path: str | None = None, parts: int | None = Non
     parts = parts or parts_for(docs, PART_BYTES)
     path = path or shared_folder(spark)
     kind = id_kind(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)))
-    write(encode(docs, parts=parts), path, parts, kind)
+    write(encode(docs, parts=parts), path, cuts(docs, parts), kind)
     return read(spark, path)
