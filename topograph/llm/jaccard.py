@@ -216,15 +216,26 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
     while True:
         heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next"))
-        jump = new.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        new = cut(new.join(jump, "next", "left").select("u", "label", F.coalesce("far", "next").alias("next")))
+        new = cut(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
+        new = cut(_jumped(new))
         moved = new.where("label <> next").limit(1).count()
         labels = new.select("u", F.col("next").alias("label"))
         if not moved:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
+def _jumped(labels: DataFrame) -> DataFrame:
+    """labels(u, label, next) with the next of next. A label that more than one of HOT nodes share is hot; these are fewer
+    than HOT, so what they point at is broadcast and their nodes aren't dealt by it."""
+    jump = labels.select(F.col("u").alias("_to"), F.col("next").alias("far"))
+    shared = labels.groupBy("next").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(labels.count() / HOT), F.lit(1))
+    hot = F.broadcast(shared.where(F.col("n") > least).select(F.col("next").alias("_to")).join(jump, "_to", "left").select(F.col("_to").alias("_hot"), F.col("far").alias("_far")))
+    rows = labels.join(hot, F.col("next") == F.col("_hot"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("next")).otherwise(F.concat(F.lit(b"-"), F.col("u"))))  # no node is so named
+    return rows.join(jump, F.col("_key") == F.col("_to"), "left").select("u", "label", F.coalesce("_far", "far", "next").alias("next"))
+
+
 def exact_links(sets: list[np.ndarray], copies: np.ndarray, candidates: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Each set's links, weighted by copies, and a spanning forest of them; candidates: which pairs may be one."""
     use = np.flatnonzero(candidates.any(1))
