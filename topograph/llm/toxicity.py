@@ -67,23 +67,23 @@ class Linear:
         return out
 
 
-def _fit(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, before: np.ndarray, max_features: int, ridge: float = 0.1) -> Linear:
-    n, none = len(y), np.zeros(0, np.uint64)
+def _fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, y: np.ndarray, before: np.ndarray, max_features: int, ridge: float = 0.1) -> tuple[Linear, np.ndarray]:
+    """The model of a category, and its weight of each feature; codes are places in `names`, the features' hashes."""
+    n, none, weights = len(y), np.zeros(0, np.uint64), np.zeros(len(names))
     positive = int(y.sum())
     if not 0 < positive < n:
-        return Linear(none, np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else -30.0, np.zeros(before.shape[1]))
-    names, at = np.unique(keys, return_inverse=True)
-    seen = np.bincount(at, minlength=len(names))
-    hits = np.bincount(at, y[rows], len(names))
+        return Linear(none, np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else -30.0, np.zeros(before.shape[1])), weights
+    seen = np.bincount(codes, minlength=len(names))
+    hits = np.bincount(codes[y[rows] > 0], minlength=len(names))
     rate = seen / n
     z = (hits / positive - (seen - hits) / (n - positive)) / np.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)) + 1e-12)
     good = np.flatnonzero((seen >= LEAST_SEEN) & (np.abs(z) >= 4))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:max_features]])
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[good] = np.arange(len(good))
     x = np.zeros((n, len(good) + before.shape[1] + 1))
-    use = place[at] >= 0
-    x[rows[use], place[at[use]]] = 1
+    use = np.flatnonzero(place[codes] >= 0)
+    x[rows[use], place[codes[use]]] = 1
     x[:, len(good) : -1], x[:, -1] = before, 1
     w = np.zeros(x.shape[1])
     w[-1] = np.log(positive / (n - positive))
@@ -95,10 +95,11 @@ def _fit(rows: np.ndarray, keys: np.ndarray, y: np.ndarray, before: np.ndarray,
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return Linear(names[good], w[: len(good)], float(w[-1]), w[len(good) : -1])
+    weights[good] = w[: len(good)]
+    return Linear(names[good], w[: len(good)], float(w[-1]), w[len(good) : -1]), weights
 
 
-def fit(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, max_features: int = 400, folds: int = 5) -> list[Linear]:
+def fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, labels: np.ndarray, max_features: int = 400, folds: int = 5) -> list[Linear]:
     """The chain, from distinct (row, feature) pairs and labels [rows, categories]."""
     n = len(labels)
     fold = np.arange(n) % folds
@@ -110,9 +111,10 @@ def fit(rows: np.ndarray, keys: np.ndarray, labels: np.ndarray, max_features: in
             own = fold == f
             number = np.cumsum(~own) - 1
             use = ~own[rows]
-            model = _fit(number[rows[use]], keys[use], y[~own], before[~own], max_features)
-            out[own] = model.log_odds(rows[~use], keys[~use], n, before)[own]
-        chain.append(_fit(rows, keys, y, before, max_features))
+            model, weights = _fit(number[rows[use]], codes[use], names, y[~own], before[~own], max_features)
+            odds = model.bias + before @ model.earlier + np.bincount(rows[~use], weights[codes[~use]], n)
+            out[own] = odds[own]
+        chain.append(_fit(rows, codes, names, y, before, max_features)[0])
         before = np.column_stack([before, np.clip(out, -8, 8)])
     return chain
 
@@ -133,17 +135,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     kind = ", ".join(["doc_id bigint", *(f"{c} int" for c in categories), "keys binary"])
     got = near.mapInArrow(thrifty(run), kind).toArrow()
     got = got.sort_by([(c, "ascending") for c in ("doc_id", *categories, "keys")])  # one order, also of rows that share a doc_id
-    own = [np.frombuffer(x.as_py(), np.uint64) for x in got["keys"]]
-    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
-    keys = np.concatenate([*own, np.zeros(0, np.uint64)])
     table = np.stack([got[c].to_numpy() for c in categories], 1)
-    del got, own
-    order = np.argsort(keys, kind="stable")
-    rows, keys = rows[order], keys[order]
-    del order
-    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])[: len(keys)]) + 1
-    often = np.repeat(np.diff(ends, prepend=0) >= LEAST_SEEN, np.diff(ends, prepend=0))  # the others are never chosen
-    chain = fit(rows[often], keys[often], table)
+    held = got["keys"].combine_chunks()
+    sizes = np.fromiter((len(x.as_buffer()) // 8 for x in held), np.int64, len(held))
+    keys = np.concatenate([*(np.frombuffer(x.as_buffer(), np.uint64) for x in held), np.zeros(0, np.uint64)])
+    del got, held
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    names, seen = np.unique(keys, return_counts=True)
+    names = names[seen >= LEAST_SEEN]  # the others are never chosen
+    codes = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0)).astype(np.int32)
+    known = names[codes] == keys if len(names) else np.zeros(len(keys), bool)
+    rows, codes = rows[known], codes[known]
+    del keys, known, seen
+    trim()
+    chain = fit(rows, codes, names, table)
     trim()
     return chain
 
