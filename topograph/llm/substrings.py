@@ -7,7 +7,8 @@ A suffix automaton of everything would have to be as large as the input, and eve
 of it. So windows are first told apart by an anchor: the leftmost of the ANCHOR-word strings in the window whose hash
 is least. Equal windows have equal anchors in equal places.
 1. The distinct anchors of each block of texts are dealt by hash; those seen once can't be in a repeated window. The
-   others are kept in a filter of bounded size, which is broadcast. (If it fills up, more is sent on; nothing is lost.)
+   others are kept in a filter, which is broadcast if it is under a checked size (MOST_FILTER). A larger one stays where
+   it is: each block is told which of its anchors are repeated, and meets the answers in a join by block.
 2. Consecutive windows with one anchor are a passage of up to 2 * WINDOW - ANCHOR words. Passages whose anchor passes
    the filter are dealt by its hash, equal ones of a block once with all the places where they are.
 3. The passages of an anchor are a reference shard. In order of their first places, each is streamed through the
@@ -29,6 +30,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -37,14 +40,14 @@ from topograph.llm.columns import back, fresh, held
 from topograph.llm.packing import pack_numbers, pack_rising, spans, unpack_numbers, unpack_rising
 from topograph.llm.storage import parts_for, shared_folder
 from topograph.llm.words import STEP, Words, _windows, mix, ngrams, split
-from topograph.workers import thrifty, thrifty_group
+from topograph.workers import thrifty, thrifty_group, thrifty_pair
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text for each part, and parts for each shuffle partition at least: a part is held in memory as a whole.
 PART_BYTES, FINER = 16 << 20, 5
 MOST_PASSAGES = 64
 BLOCK_WORDS = 1 << 19
-#: Bits of the filter: FILTER_BITS for each repeated anchor, LEAST_FILTER at least, MOST_FILTER at most (64 MB).
+#: Bits of the filter: FILTER_BITS for each repeated anchor, LEAST_FILTER at least; over MOST_FILTER (64 MB) there is none.
 FILTER_BITS, LEAST_FILTER, MOST_FILTER = 12, 1 << 16, 1 << 29
 #: Texts with repeated windows, and bytes of their places, that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
@@ -119,14 +122,23 @@ def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return doc, text, hashes, np.concatenate([[0], np.cumsum(counts)])
 
 
+def _name(hashes: np.ndarray, offsets: np.ndarray, number: int) -> int:
+    """A block's name, by its content and where it comes from."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes() + offsets.tobytes(), seed=(TaskContext.get().partitionId() << 32) + number) - (1 << 63)
+
+
+ANCHORS = "part int, block bigint, keys binary, twice binary"
+
+
 def _anchors(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes, offsets in _blocks(batches):
+        for number, (_, _, hashes, offsets) in enumerate(_blocks(batches)):
             keys, seen = np.unique(Passages(hashes, offsets).key, return_counts=True)
+            block = _name(hashes, offsets, number)
             cuts = np.searchsorted(_parts_of(keys, parts), np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts)).tolist()
             own = [slice(cuts[p], cuts[p + 1]) for p in used]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "keys": pa.array([pack_rising(keys[s]) for s in own], pa.binary()), "twice": pa.array([np.packbits(seen[s] > 1).tobytes() for s in own], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int64()), "keys": pa.array([pack_rising(keys[s]) for s in own], pa.binary()), "twice": pa.array([np.packbits(seen[s] > 1).tobytes() for s in own], pa.binary())})
 
     return run
 
@@ -142,14 +154,60 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "n": [len(found)], "keys": pa.array([pack_rising(found)], pa.binary())})
 
 
-def repeated_anchors(named: DataFrame, parts: int) -> Filter:
-    """A filter that passes every anchor that is there more than once, and few others."""
+def _told(table: pa.Table) -> pa.Table:
+    """For each block of a part's rows, which of its anchors there are more than once anywhere."""
+    found = unpack_rising(_repeated(table).column("keys")[0].as_py())
+    masks = [np.packbits(np.isin(unpack_rising(x.as_py()), found, assume_unique=True)).tobytes() for x in table.column("keys")]
+    sizes = [len(unpack_rising(x.as_py())) for x in table.column("keys")]
+    return pa.table({"part": table.column("part"), "block": table.column("block"), "n": pa.array(sizes, pa.int64()), "mask": pa.array(masks, pa.binary())})
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as rows: their documents, words as numbers of sorted distinct hashes, and words a text."""
+    for number, (doc, text, hashes, offsets) in enumerate(_blocks(batches)):
+        names, numbers = np.unique(hashes, return_inverse=True)
+        held = {"names": pack_rising(names), "numbers": pack_numbers(numbers), "counts": pack_numbers(np.diff(offsets)), "docs": doc.tobytes(), "texts": text.tobytes()}
+        yield pa.RecordBatch.from_pydict({"block": pa.array([_name(hashes, offsets, number)], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in held.items()})
+
+
+def _met(parts: int):
+    """What a block sends, once it knows its repeated anchors."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise RuntimeError("the texts changed while their anchors were counted; write them first")
+        r = left.to_pylist()[0]
+        doc, text = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["texts"], np.int64)
+        hashes = unpack_rising(r["names"])[unpack_numbers(r["numbers"])]
+        offsets = np.concatenate([[0], np.cumsum(unpack_numbers(r["counts"]), dtype=np.int64)])
+        p = Passages(hashes, offsets)
+        masks = [np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["n"]) for x in sorted(right.to_pylist(), key=lambda x: x["part"])]
+        keys, known = np.unique(p.key), np.concatenate([np.zeros(0, np.uint8), *masks]).astype(bool)
+        if len(keys) != len(known):
+            raise RuntimeError("the texts changed while their anchors were counted; write them first")
+        passes = known[np.searchsorted(keys, p.key)] if len(keys) else np.zeros(0, bool)
+        return pa.Table.from_batches([_block_sent(parts, p, passes, doc, text, hashes, offsets)])
+
+    return run
+
+
+def _sent_by_join(named: DataFrame, parts: int) -> DataFrame:
+    """_sent() without a filter: the anchors' counts come back to the blocks that hold them."""
+    told = named.mapInArrow(thrifty(_anchors(parts)), ANCHORS).groupBy("part").applyInArrow(thrifty_group(_told), "part int, block bigint, n bigint, mask binary")
+    texts = named.mapInArrow(thrifty(_texts), "block bigint, names binary, numbers binary, counts binary, docs binary, texts binary")
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(thrifty_pair(_met(parts)), SENT)
+
+
+def repeated_anchors(named: DataFrame, parts: int, most: int = MOST_FILTER) -> Filter | None:
+    """A filter that passes every anchor that is there more than once, and few others; None if it would be too large."""
     spark = named.sparkSession
     path = shared_folder(spark)
-    named.mapInArrow(thrifty(_anchors(parts)), "part int, keys binary, twice binary").groupBy("part").applyInArrow(thrifty_group(_repeated), "part int, n bigint, keys binary").write.parquet(path)
+    named.mapInArrow(thrifty(_anchors(parts)), ANCHORS).groupBy("part").applyInArrow(thrifty_group(_repeated), "part int, n bigint, keys binary").write.parquet(path)
     held = spark.read.parquet(path)
     n = held.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_FILTER, max(LEAST_FILTER, n * FILTER_BITS))
+    bits = max(LEAST_FILTER, n * FILTER_BITS)
+    if bits > most:
+        return None
     width = -(-bits // parts // 8) * 8
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,40 +234,43 @@ def _sent(parts: int, shared) -> object:
         passes = shared.value
         for doc, text, hashes, offsets in _blocks(batches):
             p = Passages(hashes, offsets)
-            use = np.flatnonzero(passes(p.key))
-            if not len(use):
-                continue
-            row, start, windows, key = p.row[use], p.start[use], p.windows[use], p.key[use]
-            left = p.anchor[use] - start
-            begin = offsets[row] + start
-            end = begin + windows + WINDOW - 1
-            content = mix(_windows(hashes, STEP, begin, end) + (windows * 64 + left).astype(np.uint64))
-            _, rank = np.unique(np.stack([doc, text], 1), axis=0, return_inverse=True)
-            order = np.lexsort((start, rank.ravel()[row], content, key))
-            row, start, key, content = row[order], start[order], key[order], content[order]
-            lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
-            counts = np.diff(np.append(lead, len(row)))
-            first = order[lead]
-            begin, end, left = begin[first], end[first], left[first]
-            right = end - begin - left - ANCHOR
-            key = key[lead]
-            cuts, at = np.searchsorted(_parts_of(key, parts), np.arange(parts + 1)), np.concatenate([lead, [len(row)]])
-            rows = []
-            for q in np.flatnonzero(np.diff(cuts)).tolist():
-                s = slice(cuts[q], cuts[q + 1])
-                places = slice(at[cuts[q]], at[cuts[q + 1]])
-                near = np.unique(row[places])
-                sides = np.stack([begin[s], begin[s] + left[s] + ANCHOR], 1).ravel()
-                words = hashes[spans(sides, np.stack([left[s], right[s]], 1).ravel())]
-                numbers = (left[s], right[s], counts[s], np.searchsorted(near, row[places]), start[places])
-                packed = dict(zip(("left", "right", "counts", "docs", "starts"), map(pack_numbers, numbers), strict=True))
-                rows.append(packed | {"part": q, "keys": pack_rising(key[s]), "words": words.tobytes(), "doc_ids": doc[near].tobytes(), "doc_texts": text[near].tobytes()})
-            kinds = [x.split() for x in SENT.split(", ")]
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.int32() if kind == "int" else pa.binary()) for k, kind in kinds})
+            yield _block_sent(parts, p, passes(p.key), doc, text, hashes, offsets)
 
     return run
 
 
+def _block_sent(parts: int, p: Passages, passes: np.ndarray, doc: np.ndarray, text: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """A block's passages whose anchors pass, dealt to parts."""
+    rows, use = [], np.flatnonzero(passes)
+    if len(use):
+        row, start, windows, key = p.row[use], p.start[use], p.windows[use], p.key[use]
+        left = p.anchor[use] - start
+        begin = offsets[row] + start
+        end = begin + windows + WINDOW - 1
+        content = mix(_windows(hashes, STEP, begin, end) + (windows * 64 + left).astype(np.uint64))
+        _, rank = np.unique(np.stack([doc, text], 1), axis=0, return_inverse=True)
+        order = np.lexsort((start, rank.ravel()[row], content, key))
+        row, start, key, content = row[order], start[order], key[order], content[order]
+        lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+        counts = np.diff(np.append(lead, len(row)))
+        first = order[lead]
+        begin, end, left = begin[first], end[first], left[first]
+        right = end - begin - left - ANCHOR
+        key = key[lead]
+        cuts, at = np.searchsorted(_parts_of(key, parts), np.arange(parts + 1)), np.concatenate([lead, [len(row)]])
+        for q in np.flatnonzero(np.diff(cuts)).tolist():
+            s = slice(cuts[q], cuts[q + 1])
+            places = slice(at[cuts[q]], at[cuts[q + 1]])
+            near = np.unique(row[places])
+            sides = np.stack([begin[s], begin[s] + left[s] + ANCHOR], 1).ravel()
+            words = hashes[spans(sides, np.stack([left[s], right[s]], 1).ravel())]
+            numbers = (left[s], right[s], counts[s], np.searchsorted(near, row[places]), start[places])
+            packed = dict(zip(("left", "right", "counts", "docs", "starts"), map(pack_numbers, numbers), strict=True))
+            rows.append(packed | {"part": q, "keys": pack_rising(key[s]), "words": words.tobytes(), "doc_ids": doc[near].tobytes(), "doc_texts": text[near].tobytes()})
+    kinds = [x.split() for x in SENT.split(", ")]
+    return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.int32() if kind == "int" else pa.binary()) for k, kind in kinds})
+
+
 class Automaton:
     """The suffix automaton of some sequences."""
 
@@ -365,14 +426,15 @@ def _covered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_text"), pa.array(out, pa.binary())], ["_doc", "_text", "places"])
 
 
-def repeated_windows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, parts: int | None = None, most_filter: int = MOST_FILTER) -> DataFrame:
     """_doc, _text and places (32-bit starts and ends of the words that repeated windows cover) of the texts that have
     any."""
     spark = docs.sparkSession
     parts = parts or parts_for(docs, PART_BYTES, finer=FINER)
     named = docs.select(*doc_key(), "text")
-    shared = spark.sparkContext.broadcast(repeated_anchors(named, parts))
-    flagged = named.mapInArrow(thrifty(_sent(parts, shared)), SENT).groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, places binary")
+    passes = repeated_anchors(named, parts, most_filter)
+    sent = _sent_by_join(named, parts) if passes is None else named.mapInArrow(thrifty(_sent(parts, spark.sparkContext.broadcast(passes))), SENT)
+    flagged = sent.groupBy("part").applyInArrow(thrifty_group(_flag), "_doc bigint, _text bigint, places binary")
     path = shared_folder(spark)
     found = flagged.groupBy("_doc", "_text").agg(F.collect_list("places").alias("places"))
     found.mapInArrow(thrifty(_covered), "_doc bigint, _text bigint, places binary").write.parquet(path)
