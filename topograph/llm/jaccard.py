@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from topograph.lineage import cut
 from topograph.llm.columns import back, held
-from topograph.llm.storage import shared_folder
+from topograph.llm.storage import shared_folder, stored
 from topograph.llm.words import STEP, Words, _windows, mix, split
 from topograph.workers import thrifty
 
@@ -212,12 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of a graph of edges(a, b); labels spread and are shortened each round."""
     ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     # both ways come from one run over the edges: another run may find another forest
-    both = cut(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
+    both = stored(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
     while True:
         heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        new = cut(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
-        new = cut(_jumped(new))
+        new = stored(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
+        new = stored(_jumped(new))
         moved = new.where("label <> next").limit(1).count()
         labels = new.select("u", F.col("next").alias("label"))
         if not moved:

@@ -13,6 +13,14 @@ def shared_folder(spark: SparkSession) -> str:
     return scratch_folder(spark)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame's rows, written as Parquet and read again. Loops use this: a checkpointed frame keeps what the planner
+    knows of its columns, which grows with each round until planning takes longer than the work."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def parts_for(docs: DataFrame, part_bytes: int, column: str = "text", finer: int = 1) -> int:
     """Parts to deal the texts' words to: one for part_bytes bytes of text, and at least `finer` for each shuffle
     partition, so that what a part holds in memory doesn't grow with the input."""
