@@ -469,5 +469,5 @@ def test_components_of_edges_that_come_in_another_order_each_time(spark):
             np.random.default_rng().shuffle(ids)
             yield pa.RecordBatch.from_pydict({"a": pa.array([str(i).encode() for i in ids[:-1]], pa.binary()), "b": pa.array([str(i).encode() for i in ids[1:]], pa.binary())})
 
-    got = jaccard.components(spark.range(0, 30, 1, 1).mapInArrow(forest, "a binary, b binary")).collect()
-    assert len(got) == 30 and len({bytes(r.component) for r in got}) == 1
+    got = jaccard.components(spark.range(0, 300, 1, 1).mapInArrow(forest, "a binary, b binary")).collect()
+    assert len(got) == 300 and len({bytes(r.component) for r in got}) == 1

@@ -209,7 +209,8 @@ def _bucket_links(least: list[int]) -> Callable:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) of a graph of edges(a, b); labels spread and are shortened each round."""
+    """node and component (its least node) of a graph of edges(a, b). In each round labels spread to neighbours and to the
+    labels' own nodes, and are shortened, so that a chain takes about as many rounds as its length has bits."""
     ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     # both ways come from one run over the edges: another run may find another forest
     both = stored(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
@@ -217,6 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
         new = stored(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
+        told = new.groupBy("label").agg(F.min("next").alias("told"))  # to a label's own node, what its nodes have heard
+        new = stored(new.join(told.withColumnRenamed("label", "_at"), F.col("u") == F.col("_at"), "left").select("u", "label", F.least("next", "told").alias("next")))
         new = stored(_jumped(new))
         moved = new.where("label <> next").limit(1).count()
         labels = new.select("u", F.col("next").alias("label"))
