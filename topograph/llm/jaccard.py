@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from topograph.lineage import cut
 from topograph.llm.columns import back, held
+from topograph.llm.graph import by_key, components, groups, spanning
 from topograph.llm.storage import shared_folder, stored
 from topograph.llm.words import STEP, Words, _windows, mix, split
 from topograph.workers import thrifty
@@ -44,10 +45,6 @@ TOLERANCE = 1e-6
 BUCKET_BLOCK = 2048
 SET_BLOCK, SET_SHINGLES = 1024, 1 << 20
 SMALL = 32
-#: Branches of a node in a spanning tree.
-FAN = 16
-#: A node with more than one of so many rows is hot.
-HOT = 1000
 #: Nodes of candidate groups that are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
@@ -125,53 +122,14 @@ def surviving(sig: np.ndarray, least: list[int]) -> np.ndarray:
     return out | out.T
 
 
-def tree(root: int, others: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect a row with others, FAN at most from each to later ones."""
-    line = [root, *others.tolist()]
-    return [(line[(k - 1) // FAN], line[k]) for k in range(1, len(line))]
-
-
 def reach(sig: np.ndarray, side: np.ndarray | None, least: list[int]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the surviving pairs of one bucket: each row met is compared with the rows not yet met."""
-    left = np.arange(len(sig))
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            other = left if side is None else left[side[left] != side[i]]
-            hit = other[survive(sig[other], sig[i], least)]
-            yield from tree(i, hit)
-            todo += hit.tolist()
-            left = np.setdiff1d(left, hit, assume_unique=True)
-
-
-def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows sorted by keys, and where the groups start (with the end at last)."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        code = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in code], axis=0)) + 1
-        first = tuple(x[0] for x in code)
-        if held and first != last:
-            yield _starts(pa.Table.from_batches(held), keys)
-            held = []
-        if len(cuts):
-            yield _starts(pa.Table.from_batches([*held, b.slice(0, cuts[-1])]), keys)
-            held = [b.slice(cuts[-1])]
-        else:
-            held.append(b)
-        last = tuple(x[-1] for x in code)
-    if held:
-        yield _starts(pa.Table.from_batches(held), keys)
-
-
-def _starts(table: pa.Table, keys: list[str]) -> tuple[pa.Table, np.ndarray]:
-    table = table.combine_chunks()
-    code = [table.column(k).to_numpy() for k in keys]
-    return table, np.concatenate([[0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in code], axis=0)) + 1, [table.num_rows]])
+
+    def near(i: int, left: np.ndarray) -> np.ndarray:
+        other = left if side is None else left[side[left] != side[i]]
+        return other[survive(sig[other], sig[i], least)]
+
+    return spanning(len(sig), near)
 
 
 def _bucket_links(least: list[int]) -> Callable:
@@ -208,37 +166,6 @@ def _bucket_links(least: list[int]) -> Callable:
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) of a graph of edges(a, b). In each round labels spread to neighbours and to the
-    labels' own nodes, and are shortened, so that a chain takes about as many rounds as its length has bits."""
-    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    # both ways come from one run over the edges: another run may find another forest
-    both = stored(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        new = stored(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
-        told = new.groupBy("label").agg(F.min("next").alias("told"))  # to a label's own node, what its nodes have heard
-        new = stored(new.join(told.withColumnRenamed("label", "_at"), F.col("u") == F.col("_at"), "left").select("u", "label", F.least("next", "told").alias("next")))
-        new = stored(_jumped(new))
-        moved = new.where("label <> next").limit(1).count()
-        labels = new.select("u", F.col("next").alias("label"))
-        if not moved:
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-
-
-def _jumped(labels: DataFrame) -> DataFrame:
-    """labels(u, label, next) with the next of next. A label that more than one of HOT nodes share is hot; these are fewer
-    than HOT, so what they point at is broadcast and their nodes aren't dealt by it."""
-    jump = labels.select(F.col("u").alias("_to"), F.col("next").alias("far"))
-    shared = labels.groupBy("next").agg(F.count("*").alias("n"))
-    least = F.greatest(F.lit(labels.count() / HOT), F.lit(1))
-    hot = F.broadcast(shared.where(F.col("n") > least).select(F.col("next").alias("_to")).join(jump, "_to", "left").select(F.col("_to").alias("_hot"), F.col("far").alias("_far")))
-    rows = labels.join(hot, F.col("next") == F.col("_hot"), "left")
-    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("next")).otherwise(F.concat(F.lit(b"-"), F.col("u"))))  # no node is so named
-    return rows.join(jump, F.col("_key") == F.col("_to"), "left").select("u", "label", F.coalesce("_far", "far", "next").alias("next"))
-
-
 def exact_links(sets: list[np.ndarray], copies: np.ndarray, candidates: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Each set's links, weighted by copies, and a spanning forest of them; candidates: which pairs may be one."""
     use = np.flatnonzero(candidates.any(1))
@@ -262,15 +189,7 @@ def exact_links(sets: list[np.ndarray], copies: np.ndarray, candidates: np.ndarr
         common += x @ x.T
     p, q = ratio.numerator, ratio.denominator
     linked = candidates & (common.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :]))
-    forest, left = [], np.arange(m)
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            hit = left[linked[i, left]]
-            forest += tree(i, hit)
-            todo += hit.tolist()
-            left = np.setdiff1d(left, hit, assume_unique=True)
+    forest = spanning(m, lambda i, left: left[linked[i, left]])
     links[use] = linked @ copies[use]
     return links, [(int(use[i]), int(use[j])) for i, j in forest]
 
@@ -343,7 +262,9 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
 
     small = found.count() <= MOST_BROADCAST
     members = found.select(F.col("node").alias("_node"), "component", "copies", "blocks", "rep")
-    sets = named.join(F.broadcast(members) if small else members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "component", "copies", "blocks", "text").mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, sig binary, shingles binary")
+    texts = named.join(F.broadcast(members) if small else members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = texts.groupBy("node").agg(*(F.first(c).alias(c) for c in ("component", "copies", "blocks", "text")))  # rows without doc_id, and repeated ones
+    sets = texts.mapInArrow(thrifty(_sets), "node binary, component binary, copies bigint, blocks bigint, sig binary, shingles binary")
     pairs = _block_pairs(sets, F.col("blocks")).drop("blocks")
     path = shared_folder(spark)
     pairs.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(thrifty(_verify(Fraction(threshold).limit_denominator(1000), least)), "node binary, other binary, links bigint").write.parquet(path)
@@ -354,20 +275,7 @@ def _classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFram
     leads = classes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("lead"))
     classes = classes.join(leads, "component").select("node", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead"))
     out = nodes.select("node", "rep", "copies", "n").join(classes, "node", "left").join(links, "node", "left")
-    return _by_node(docs.select("doc_id", node(F.col("text")).alias("node")), cut(out))  # read three times
-
-
-def _by_node(rows: DataFrame, out: DataFrame) -> DataFrame:
-    """rows with what is known of their nodes. A node with more than one of HOT rows is hot; these are fewer than HOT,
-    so they are broadcast, and their rows aren't dealt by node."""
-    least = (out.agg(F.sum("copies")).first()[0] or 0) / HOT
-    own = F.struct(*(c for c in out.columns if c != "node"))
-    hot = F.broadcast(out.where(F.col("copies") > least).select(F.col("node").alias("_hot"), own.alias("_known")))
-    rows = rows.join(hot, F.col("node") == F.col("_hot"), "left")
-    apart = F.concat(F.lit(b"-"), F.encode(F.xxhash64("doc_id").cast("string"), "utf-8"))  # no node is so named: it is joined with nothing
-    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("node")).otherwise(apart))
-    cold = out.where(F.col("copies") <= least).select(F.col("node").alias("_key"), own.alias("_own"))
-    return rows.join(cold, "_key", "left").select("doc_id", "node", F.coalesce("_known", "_own").alias("_own")).select("doc_id", "node", "_own.*")
+    return by_key(docs.select("doc_id", node(F.col("text")).alias("node")), stored(out), "node", "copies")  # read three times
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

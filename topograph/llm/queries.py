@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.llm import audio, bpe, jaccard, langid, mixing, scoring, substrings, token_file, topk, toxicity
+from topograph.llm import audio, bpe, divergence, jaccard, langid, mixing, scoring, simhash, substrings, token_file, topk, toxicity, vector_codes
 from topograph.workers import reach
 
 
@@ -96,6 +96,61 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", F.round("logprob", 4).alias("logprob"), F.round("score", 6).alias("score"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), t AS (SELECT id, lang, source, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(o.c), 0) AS n FROM g LEFT JOIN o ON g.lang = o.lang AND g.source = o.source GROUP BY ALL),
+p AS (
+  SELECT m.lang, m.source, k.term, coalesce(o.c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(o.c, 0) + 5)) // (m.n + 5 * v.v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (k.c + 5)) // (v.n + 5 * v.v) AS q
+  FROM m JOIN k ON m.lang = k.lang JOIN v ON m.lang = v.lang LEFT JOIN o ON m.lang = o.lang AND m.source = o.source AND k.term = o.term
+), f AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(sum(abs(a.p - b.p)), 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source LEFT JOIN p b ON b.lang = a.lang AND b.source = y.source AND b.term = a.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The rounds one after the other; distances are sums of products of whole numbers that doubles hold exactly."""
+    near = """SELECT v.vec_id, v.label, v.p, v.x, min({{'d': CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, b.x) + list_dot_product(b.x, b.x) AS BIGINT), 'e': b.e}}) AS m
+  FROM v JOIN b{0} b ON v.p = b.p GROUP BY ALL"""
+    steps = [f"""a{r} AS ({near.format(r)}),
+s{r} AS (SELECT p, m.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS DOUBLE) AS c FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL),
+n{r} AS (SELECT p, e, list(c ORDER BY i) AS x FROM s{r} GROUP BY ALL),
+b{r + 1} AS (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN n{r} n ON b.p = n.p AND b.e = n.e)""" for r in range(4)]
+    return f"""
+WITH w AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (SELECT vec_id, label, p, w[p * len(w) // 4 + 1:(p + 1) * len(w) // 4] AS x FROM w, unnest(range(0, 4)) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM v QUALIFY e < 256),
+{", ".join(steps)},
+a4 AS ({near.format(4)}),
+c AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY ALL),
+h AS (SELECT sha256(string_agg(CAST(CAST(x[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b4, unnest(range(1, len(x) + 1)) t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""
+
+
+OP13_SQL = _op13_sql()
+
 WORDS_SQL = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
 OP5_SQL = f"""
 WITH RECURSIVE {WORDS_SQL}, s AS (
@@ -128,5 +183,5 @@ s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN first THEN ln(one / tota
 SELECT w.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.logprob, 0), 4) AS logprob, round(s.logprob / s.n_words, 6) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op7_substring_dedup, op8_token_files, op9_toxicity_chain, op10_lm_scoring)}
-SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_temperature_mix": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_lm_scoring": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_byte_bpe, op3_language_id, op4_audio_features, op5_jaccard_join, op6_temperature_mix, op7_substring_dedup, op8_token_files, op9_toxicity_chain, op10_lm_scoring, op11_simhash, op12_source_divergence, op13_vector_codes)}
+SQL: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_temperature_mix": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_lm_scoring": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_vector_codes": OP13_SQL}
