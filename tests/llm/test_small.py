@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 from tokenizers import Tokenizer
 
-from topograph.llm import audio, bpe, jaccard, langid, mixing, packing, scoring, substrings, token_file, topk, toxicity
+from topograph.llm import audio, bpe, graph, jaccard, langid, mixing, packing, scoring, substrings, token_file, topk, toxicity
 from topograph.llm.words import ngrams, split
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,9 +66,48 @@ def test_words():
     assert h[0] == h[3] and len(set(h.tolist())) == 4 and first.tolist() == [0, 1, 2, 3, 4] and offsets.tolist() == [0, 5]
 
 
+def signs(n, swap=False):
+    """n letters a and b in an order whose complement has the same value in any polynomial modulo 2**64 with an odd base."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_words_of_one_pattern_differ(spark):
+    """Words that polynomial hashes can't tell apart: nothing is removed, linked or counted together."""
+    import pyarrow as pa
+
+    a, b = signs(1024), signs(1024, True)
+    w = next(split(pa.array([f"{a} {b} {a}x {a[:70]} {a[:69]}c"])))[2]
+    assert len(set(w.hashes().tolist())) == 5 and w.hashes(3)[0] == w.hashes(3)[2] != w.hashes(3)[1]
+    tail = [f"t{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join([x, *tail[:19]])) for i, x in enumerate((a, b))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove(docs, digest=True).collect()] == [0, 0]
+    pair = spark.createDataFrame([(0, " ".join([a] * 8)), (1, " ".join([b] * 8))], "doc_id long, text string")
+    assert [r.n_links for r in jaccard.near_duplicates(pair).collect()] == [0, 0]
+    got = {r.doc_id: r.logprob for r in scoring.score_corpus(pair.unionByName(spark.createDataFrame([(2, f"{a} x {a}")], "doc_id long, text string"))).collect()}
+    assert got[0] > got[1]  # only a was seen elsewhere
+
+
+def test_jaccard_of_rows_without_doc_id(spark):
+    """Many rows of two near texts without doc_id are two nodes."""
+    base = say(200)
+    other = " ".join(["new", *base.split()[1:]])
+    docs = spark.createDataFrame([(None, base), (None, other)] * 2500 + [(7, base), (7, base)], "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    assert got == {(None, 7, 5001): 5000, (7, 7, 5001): 2}
+
+
+def test_chains_end(spark):
+    """A chain of 200 nodes, each linked with the next only, is one component after about as many rounds as 200 has bits."""
+    edges = spark.createDataFrame([(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(200)], "a binary, b binary")
+    assert {r.component for r in graph.components(edges).collect()} == {b"000"}
+
+
 def test_packing():
     for x in ([], [0], [127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1]):
         assert packing.unpack_numbers(packing.pack_numbers(np.array(x, np.int64))).tolist() == x
+    for x in ([2**28], [-1]):
+        with pytest.raises(OverflowError):
+            packing.pack_numbers(np.array(x, np.int64))
     keys = np.sort(RNG.integers(0, 2**64, 500, dtype=np.uint64))
     assert (packing.unpack_rising(packing.pack_rising(keys)) == keys).all()
 
@@ -170,8 +209,8 @@ def test_jaccard_recall(spark):
 
 def test_jaccard_trees():
     line = np.arange(1, 5000)
-    edges = jaccard.tree(0, line)
-    assert len(edges) == 4999 and max(Counter(x for e in edges for x in e).values()) <= jaccard.FAN + 1
+    edges = graph.tree(0, line)
+    assert len(edges) == 4999 and max(Counter(x for e in edges for x in e).values()) <= graph.FAN + 1
     parent = {j: i for i, j in edges}
     assert all(parent[j] < j for j in line.tolist())
 
@@ -469,5 +508,5 @@ def test_components_of_edges_that_come_in_another_order_each_time(spark):
             np.random.default_rng().shuffle(ids)
             yield pa.RecordBatch.from_pydict({"a": pa.array([str(i).encode() for i in ids[:-1]], pa.binary()), "b": pa.array([str(i).encode() for i in ids[1:]], pa.binary())})
 
-    got = jaccard.components(spark.range(0, 300, 1, 1).mapInArrow(forest, "a binary, b binary")).collect()
+    got = graph.components(spark.range(0, 300, 1, 1).mapInArrow(forest, "a binary, b binary")).collect()
     assert len(got) == 300 and len({bytes(r.component) for r in got}) == 1

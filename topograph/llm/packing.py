@@ -7,7 +7,9 @@ import zstandard
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Whole numbers under 2**28 as bytes of seven bits, the last one marked, compressed."""
+    """Whole numbers under 2**28 as bytes of seven bits, the last one marked, compressed; larger ones raise."""
+    if len(x) and (x.max() >= 1 << 28 or x.min() < 0):
+        raise OverflowError("numbers from 0 to 2**28 - 1 can be packed")
     x = x.astype(np.uint32)
     size = 1 + (x >= 1 << 7).astype(np.int8) + (x >= 1 << 14) + (x >= 1 << 21)
     last = np.cumsum(size, dtype=np.int64) - 1

@@ -1,7 +1,8 @@
 """Whitespace words of whole Arrow text columns, hashed with numpy and without one Python object a word.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its hash is a polynomial in the bytes
-modulo 2**64, taken from prefix sums over the column's buffer and then mixed.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its hash is the sum modulo 2**64 of one
+random number for each byte and its place in the word, then mixed with the length: words that differ in any
+way have equal hashes with probability 2**-64, whatever their letters' pattern.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15 | 1
+SALT = 0x9E3779B97F4A7C15
 STEP = 0xD6E8FEB86659FD93 | 1
 CHUNK = 1 << 18
+#: Places in a word whose random numbers are kept in a table; later ones are made anew.
+PLACES = 64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -48,6 +51,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _numbers(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A random number for each place in a word and byte there."""
+    at = (places << 8) | values
+    if not len(at) or places.max() < PLACES:
+        return TABLE[at]
+    out = np.empty(len(at), np.uint64)
+    near = places < PLACES
+    out[near] = TABLE[at[near]]
+    out[~near] = _random(at[~near])
+    return out
+
+
+def _random(at: np.ndarray) -> np.ndarray:
+    return mix(mix(at.astype(np.uint64) + np.uint64(SALT)) ^ np.uint64(STEP))
+
+
+TABLE = _random(np.arange(PLACES << 8))
+
+
 def _windows(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[s:e] for each start and end, independent of where the span lies."""
     prefix = np.zeros(len(values) + 1, dtype=np.uint64)
@@ -69,8 +91,13 @@ class Words:
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """64-bit hash of each word, or of its first `prefix` bytes."""
         ends = self.ends if prefix is None else np.minimum(self.starts + prefix, self.ends)
-        raw = _windows(self.buf.astype(np.uint64) + np.uint64(1), BASE, self.starts, ends)
-        return mix(raw + (ends - self.starts).astype(np.uint64) * np.uint64(STEP))
+        sizes = ends - self.starts
+        stops = np.cumsum(sizes)
+        narrow = np.int32 if len(self.buf) < 1 << 22 else np.int64
+        places = np.arange(stops[-1] if len(stops) else 0, dtype=narrow) - np.repeat((stops - sizes).astype(narrow), sizes)
+        sums = np.zeros(len(places) + 1, np.uint64)
+        np.cumsum(_numbers(places, self.buf[np.repeat(self.starts.astype(narrow), sizes) + places]), out=sums[1:])
+        return mix(sums[stops] - sums[stops - sizes] + sizes.astype(np.uint64) * np.uint64(STEP))
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
