@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topograph.lineage import scratch_folder
+from topograph.lineage import cut, scratch_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,11 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """The frame's rows, written as Parquet and read again. Loops use this: a checkpointed frame keeps what the planner
-    knows of its columns, which grows with each round until planning takes longer than the work."""
-    path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    """The frame's rows, written as Parquet and read again."""
+    return cut(frame)
 
 
 def parts_for(docs: DataFrame, part_bytes: int, column: str = "text", finer: int = 1) -> int:
