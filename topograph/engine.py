@@ -15,31 +15,34 @@ from topograph.lineage import cut
 from topograph.operators import clarify, retrieve, search
 from topograph.operators.cache import FIELDS, Cache, keyed
 from topograph.operators.resolve import Catalog, resolve
+from topograph.operators.store import Store
 from topograph.plans.template import Attempt, default_attempts, resolve_plan
 from topograph.sources import artifacts
 
 
 class Engine:
-    """chunks: the chunk table (see operators.search), with a column for each level.
+    """chunks: the chunk table (see operators.search), with a column for each level, or a clustered one (operators.store).
 
     search() takes queries(query_id, message, vector array<float>, and explicit and conversation if there are any) and
     returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
     the questions are planned on top of them.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, values: DataFrame | None = None):
-        if not isinstance(chunks, DataFrame):
-            raise StoreConfigurationError("chunks must be a DataFrame")
-        if missing := {"chunk_id", "doc_id", "filename", "text", "embedding", *level_names} - set(chunks.columns):
+    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, values: DataFrame | None = None):
+        if not isinstance(chunks, (DataFrame, Store)):
+            raise StoreConfigurationError("chunks must be a DataFrame or a Store")
+        rows = chunks.rows if isinstance(chunks, Store) else chunks
+        if missing := {"chunk_id", "doc_id", "filename", "text", "embedding", *level_names} - set(rows.columns):
             raise StoreConfigurationError(f"the chunk table lacks {sorted(missing)}")
-        self.documents, self.chunks, self.levels = documents, chunks, list(level_names)
+        self.documents, self.levels = documents, list(level_names)
+        self.store = chunks if isinstance(chunks, Store) else Store.of(chunks, self.levels)  # probed once
         self.attempts = default_attempts(self.levels) if attempts is None else list(attempts)
         self.thresholds, self.k, self.version = thresholds, search.clamp(k), version
         self.cache = Cache(documents.sparkSession, cache_root) if cache_root else None
         self.catalog = Catalog.of(documents, self.levels, values).keep()  # filled by the first batch, used by all
 
     @classmethod
-    def from_artifacts(cls, spark: SparkSession, folder: str | Path, chunks: DataFrame, **more) -> Engine:
+    def from_artifacts(cls, spark: SparkSession, folder: str | Path, chunks: DataFrame | Store, **more) -> Engine:
         """The corpus map is needed; plan and confidence configuration are used if they are there."""
         folder = Path(folder)
         levels, version, documents = artifacts.load_documents(spark, folder / artifacts.NAMES["corpus_map"])
@@ -50,7 +53,7 @@ class Engine:
         return cls(documents, chunks, levels, version=version, **more)
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, folder: str, chunks: DataFrame, **more) -> Engine:
+    def from_tables(cls, spark: SparkSession, folder: str, chunks: DataFrame | Store, **more) -> Engine:
         """From the Parquet tables of artifacts.write_tables(): any size, in any store that Spark reads."""
         held = artifacts.load_tables(spark, folder)
         more = {"attempts": held.template.attempts, "thresholds": held.thresholds, "values": held.values} | more
@@ -72,7 +75,7 @@ class Engine:
         sets = search.key_sets(a.filter_keys for a in self.attempts) or [()]
 
         def find(attempts: DataFrame) -> DataFrame:
-            return search.hits(search.search(attempts.join(vectors, "query_id"), self.chunks, sets, self.k), self.chunks, self.levels)
+            return search.find(attempts.join(vectors, "query_id"), self.store, sets, self.k)
 
         return retrieve.with_unplanned(retrieve.choose(retrieve.run(plan, find, self.thresholds)), contexts)
 

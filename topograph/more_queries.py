@@ -12,9 +12,10 @@ from topograph.functions import text as T
 from topograph.functions.confidence import Thresholds, forwarded, should_answer, tier
 from topograph.lineage import cut, scratch_folder
 from topograph.operators import cache, clarify, corpus, report, resolve, retrieve, search
+from topograph.operators.store import Store
 from topograph.plans import filters
 from topograph.plans.template import Attempt, resolve_plan
-from topograph.queries import A_SQL, C_SQL, CHUNK, D_SQL, DOC, G_SQL, GEO, NORM, SQL, _decoded, _find, _outcomes, chunks, contexts, documents, geo, levels_of, query, table
+from topograph.queries import A_SQL, C_SQL, CHUNK, D_SQL, DOC, G_SQL, GEO, LOW, NORM, SETS, SQL, _decoded, _others, _outcomes, chunks, contexts, documents, geo, levels_of, query, table
 from topograph.sources import artifacts, crawl, extract
 
 
@@ -211,13 +212,59 @@ def unplanned(spark, d):
 
 @query(f"WITH {C_SQL} SELECT query_id, reason, 'none' AS confidence, CAST(CASE WHEN allow_broaden THEN n ELSE 1 END AS INTEGER) AS attempts_made, false AS should_answer, 'TimeoutError: no answer' AS error FROM p WHERE attempt = 1")
 def store_failure(spark, d):
-    """A store that raises is one that finds nothing."""
+    """A store that raises in a worker, while it searches, is one that finds nothing."""
+
+    def ask(batches):
+        for _ in batches:
+            raise TimeoutError("no answer")
+        return iter(())
+
     def find(attempts: DataFrame) -> DataFrame:
-        raise TimeoutError("no answer")
+        return attempts.select("query_id", "attempt").mapInPandas(ask, f"query_id long, attempt int, rank int, hit {search.HIT}")
 
     return retrieve.choose(retrieve.run(resolve_plan(contexts(spark, d), CHUNK), find)).select("query_id", "reason", "confidence", "attempts_made", "should_answer", "error")
 
 
+@query(f"""WITH {A_SQL.replace('JOIN c ON', 'JOIN c ON NOT (p.attempt = 1 AND p.query_id % 60 = 0) AND')}
+SELECT query_id, attempt, reason, confidence, attempts_made, confidence IN ('high', 'medium') AND result_count > 0 AS should_answer, CASE WHEN attempt = 1 AND query_id % 60 = 0 THEN 'StoreError: a vector of 5 components, chunks have 64' END AS error FROM o""")
+def attempt_failure(spark, d):
+    """Some first attempts come with vectors that the store can't compare; they alone have no results, and are broadened."""
+    store, vectors = Store.of(chunks(spark, d), CHUNK), contexts(spark, d).select("query_id", "vector")
+
+    def find(attempts: DataFrame) -> DataFrame:
+        short = F.when((F.col("attempt") == 1) & (F.col("query_id") % 60 == 0), F.slice("vector", 1, 5)).otherwise(F.col("vector"))
+        return search.hits(_others(attempts.join(vectors, "query_id").withColumn("vector", short), store, SETS), store.rows, CHUNK)
+
+    x = retrieve.choose(retrieve.run(resolve_plan(contexts(spark, d), CHUNK), find, LOW))
+    return x.select("query_id", "attempt", "reason", "confidence", "attempts_made", "should_answer", "error")
+
+
+@query(SQL["filtered_topk"])
+def clustered_topk(spark, d):
+    """The search of filtered_topk over a table that is clustered by its levels; its scans get the filters as ranges."""
+    store = Store.write(chunks(spark, d), CHUNK, scratch_folder(spark), 4)
+    x = resolve_plan(contexts(spark, d), CHUNK).join(contexts(spark, d).select("query_id", "vector"), "query_id")
+    return _others(x, store, SETS).select("query_id", "attempt", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+LIKE = [f"level_{i}" for i in (1, 10, 2)]
+
+
+@query("""WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, 'a' || (label % 2) || ',level_10=b' || (label % 3) AS l1, 'b' || (label % 3) AS l10, CASE WHEN label <> 5 THEN 'a' || (label % 2) END AS l2, 'a' || (label % 2) AS short FROM embeddings),
+f AS (SELECT vec_id AS query_id, e, (vec_id // 20) % 4 AS kind, l1, l10, l2, short FROM c WHERE vec_id % 20 = 0),
+s AS (SELECT f.query_id, c.vec_id AS chunk_id, list_dot_product(f.e, c.e) / sqrt(list_dot_product(f.e, f.e)) / sqrt(list_dot_product(c.e, c.e)) AS score FROM f JOIN c ON c.vec_id <> f.query_id AND CASE f.kind WHEN 0 THEN c.l1 = f.l1 AND c.l10 = f.l10 WHEN 1 THEN c.l1 = f.short AND c.l10 = f.l10 WHEN 2 THEN (f.l2 IS NULL OR c.l2 = f.l2) AND c.l10 = f.l10 ELSE c.l1 = f.l1 END)
+SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 6""")
+def filter_values(spark, d):
+    """Levels of which one's name begins with another's, and values that look like two: filters compare values, not text."""
+    a, b = F.concat(F.lit("a"), (F.col("label") % 2).cast("string")), F.concat(F.lit("b"), (F.col("label") % 3).cast("string"))
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(a, F.lit(",level_10="), b).alias("level_1"), b.alias("level_10"), F.when(F.col("label") != 5, a).alias("level_2"), a.alias("short"))
+    kind = (F.col("chunk_id") / 20).cast("long") % 4
+    first = F.when(kind == 1, F.col("short")).when(kind != 2, F.col("level_1"))
+    pairs = T.pair_array(LIKE, [first, F.when(kind < 3, F.col("level_10")), F.when(kind == 2, F.col("level_2"))])
+    asked = x.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lit(1).alias("attempt"), F.col("embedding").alias("vector"), pairs.alias("pairs"))
+    return _others(asked, x, search.key_sets([LIKE])).select("query_id", "rank", "chunk_id")
+
+
 @query(f"""WITH qs AS (SELECT vec_id AS query_id, (vec_id // 20) % 3 AS asked, 'F' || (label % 3) AS fam FROM embeddings WHERE vec_id % 20 = 0), co AS ({SQL['clarify_options']}),
 ls AS (SELECT query_id, level, string_split(labels, ',') AS l FROM co)
 SELECT qs.query_id, ls.l IS NOT NULL AS needs_clarification, 'Which ' || CASE WHEN level = 'lab' THEN fam || ' ' ELSE '' END || level || ' is this about?' || chr(10) || chr(10) || array_to_string(list_transform(l, lambda v, i: i || '. ' || v), chr(10)) || chr(10) || chr(10) || 'Reply with the option number.' AS prompt

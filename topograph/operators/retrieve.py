@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import builtins
 import logging
+import re
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topograph.errors import StoreConfigurationError
+from topograph import errors
+from topograph.errors import StoreConfigurationError, StoreError
 from topograph.functions.confidence import CONFIDENT, Thresholds, should_answer, tier
 from topograph.lineage import cut
 from topograph.operators.search import HIT
 
 
 def summarise(attempts: DataFrame, found: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """attempts with results (hits by rank), result_count, top_score and confidence; those without a hit stay. found has
-    query_id, attempt, rank and hit."""
-    held = found.groupBy("query_id", "attempt").agg(F.collect_list("rank").alias("ranks"), F.map_from_entries(F.collect_list(F.struct("rank", "hit"))).alias("by_rank"))
-    held = held.select("query_id", "attempt", F.transform(F.array_sort("ranks"), lambda r: F.element_at("by_rank", r)).alias("results"))
+    """attempts with results (hits by rank), result_count, top_score, confidence and store_error; those without a hit stay.
+    found has query_id, attempt, rank and hit, and error if there can be any. An attempt with an error has no results."""
+    error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
+    hit = F.struct("rank", "hit")
+    held = found.groupBy("query_id", "attempt").agg(F.max(error).alias("store_error"), F.collect_list(F.when(F.col("hit").isNotNull(), F.col("rank"))).alias("ranks"), F.map_from_entries(F.collect_list(F.when(F.col("hit").isNotNull(), hit))).alias("by_rank"))
+    held = held.select("query_id", "attempt", "store_error", F.when(F.col("store_error").isNull(), F.transform(F.array_sort("ranks"), lambda r: F.element_at("by_rank", r))).alias("results"))
     x = attempts.join(held, ["query_id", "attempt"], "left").withColumn("results", F.coalesce("results", F.array().cast(f"array<{HIT}>")))
     n, top, second = F.size("results"), F.get("results.score", F.lit(0)), F.get("results.score", F.lit(1))
     return x.withColumns({"result_count": n, "top_score": F.coalesce(top, F.lit(0.0)), "confidence": tier(top, second, n, thresholds)})
@@ -31,24 +37,42 @@ def broadens() -> Column:
 
 def run(attempts: DataFrame, find: Callable[[DataFrame], DataFrame], thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Summaries of the first attempts, and of all others of the queries whose first one is weak; both stages are one
-    search each, for all queries. find: attempts to (query_id, attempt, rank, hit). Attempts whose search fails have no
-    results; store_error says why. Only a store that isn't set up as it must be fails the whole."""
-    first = attempts.where("attempt = 1")
-    one = cut(tried(first, find, thresholds))  # read by the test below and as part of the result
+    search each, for all queries. find: attempts to (query_id, attempt, rank, hit, and error if it may fail for some).
+    Attempts whose search fails have no results; store_error says why. A store that isn't set up as it must be, and
+    anything that isn't a store's failure, fails the whole."""
+    one = tried(attempts.where("attempt = 1"), find, thresholds)
     rest = attempts.where("attempt > 1").join(one.where(broadens()).select("query_id"), "query_id", "left_semi")
     return one.unionByName(tried(rest, find, thresholds))
 
 
 def tried(attempts: DataFrame, find: Callable[[DataFrame], DataFrame], thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """summarise() of a search, with store_error: null, or what a store raised when it was asked."""
+    """summarise() of a search that is run here, so that what it raises while it runs is seen as well."""
     try:
-        found, problem = find(attempts), F.lit(None).cast("string")
+        return cut(summarise(attempts, find(attempts), thresholds))
     except StoreConfigurationError:
         raise
-    except Exception as e:  # a store that fails is a store that finds nothing
-        logging.getLogger(__name__).warning("a search failed: %s", e)
-        found, problem = attempts.select("query_id", "attempt", F.lit(1).alias("rank"), F.lit(None).cast(HIT).alias("hit")).where("false"), F.lit(f"{type(e).__name__}: {e}")
-    return summarise(attempts, found, thresholds).withColumn("store_error", problem)
+    except (StoreError, OSError, PySparkException) as e:
+        said = failure(e)
+        if said is None:
+            raise
+    logging.getLogger(__name__).warning("a search failed: %s", said)
+    none = attempts.select("query_id", "attempt", F.lit(1).alias("rank"), F.lit(None).cast(HIT).alias("hit")).where("false")
+    return cut(summarise(attempts, none, thresholds).withColumn("store_error", F.lit(said)))
+
+
+def failure(e: BaseException) -> str | None:
+    """What a store raised, here or in a worker; null for all that isn't a store's failure, such as an error in a program."""
+    if isinstance(e, (StoreError, OSError)):
+        return f"{type(e).__name__}: {e}"
+    texts, cause = [str(e)], getattr(e, "_origin", None)
+    while cause is not None:
+        texts.append(cause.getMessage() or "")
+        cause = cause.getCause()
+    for name, rest in (found for t in texts for found in re.findall(r"^(?:[\w.]+\.)?(\w+): (.*)$", t, re.MULTILINE)):
+        kind = getattr(errors, name, None) or getattr(builtins, name, None)
+        if isinstance(kind, type) and issubclass(kind, (StoreError, OSError)) and not issubclass(kind, StoreConfigurationError):
+            return f"{name}: {rest}"
+    return None
 
 
 def choose(summaries: DataFrame) -> DataFrame:

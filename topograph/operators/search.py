@@ -1,13 +1,15 @@
 """Filtered top-k similarity search over a chunk table.
 
 chunks has chunk_id, doc_id, filename, text, embedding (array<float>) and a column for each level. An attempt's filter is
-an equality on some levels, so a chunk offers one signature for each set of keys that a plan uses, and the search is an
-equi-join on signatures: no pair of query and chunk is looked at that the filter doesn't allow. The chunks of a
-signature are dealt out in bounded slices (the one of everything is no hot key), each slice meets the queries of its
-signature in blocks as one matrix product, and the slices' bests are merged by rank.
+an equality on some levels: the number of its set of keys and the values of these, compared as values. The nodes of the
+table (see operators.store) say which of them a filter wants, so no pair of query and chunk is looked at that the filter
+doesn't allow. A filter's chunks are dealt out in slices and its queries in tiles, both of bounded size (those of
+everything are no hot key); a slice meets a tile in blocks as one matrix product, and the slices' bests are merged by
+rank.
 
 A chunk or query without a usable vector (null, with null or non-finite components, or all zero) has no score and isn't
-found. Ties go to the smaller chunk_id.
+found. A query whose vector has another length than a chunk that it meets fails, as in a store that refuses it: its
+attempt has a row with `error`, first in rank, and no chunk there. Ties go to the smaller chunk_id.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from topograph.errors import StoreConfigurationError
 from topograph.functions import text as T
+from topograph.lineage import cut
+from topograph.operators.store import Store
 from topograph.plans.filters import to_column
 from topograph.workers import reach
 
-SLICE, BLOCK = 1 << 15, 128
-#: Distinct signatures that are broadcast to the chunks; more are joined.
-FEW_SIGNATURES = 100_000
+SLICE, TILE, BLOCK = 1 << 15, 1 << 13, 128
+#: Pairs of a node and a filter that pass the driver and are broadcast to the chunks; more are written and joined.
+FEW_NODES = 20_000
 TOP_K = 6
-ALL = "*"
 HIT = "struct<score:double,snippet:string,metadata:map<string,string>,doc_id:string,filename:string>"
 
 
@@ -65,14 +67,22 @@ def _unit(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _meet(k: int) -> Callable:
+    """The k best of a slice's chunks for each query of a tile; queries of another length than any of them fail."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[str, list[np.ndarray]] = {"query": [], "row": [], "score": []}
+        failed = pa.table({c: left.column(c).slice(0, 0) for c in ("query_id", "attempt")} | {"error": pa.array([], pa.string())})
+        if left.num_rows and right.num_rows:
+            widths = pa.compute.unique(pa.compute.list_value_length(right.column("vector"))).to_pylist()
+            fits = pa.compute.equal(pa.compute.list_value_length(left.column("vector")), widths[0] if len(widths) == 1 else -1)
+            bad = left.filter(pa.compute.invert(fits))
+            said = [f"StoreError: a vector of {n} components, chunks have {', '.join(map(str, sorted(widths)))}" for n in pa.compute.list_value_length(bad.column("vector")).to_pylist()]
+            failed, left = bad.select(["query_id", "attempt"]).append_column("error", pa.array(said, pa.string())), left.filter(fits)
         if left.num_rows and right.num_rows:
-            width = max(int(pa.compute.max(pa.compute.list_value_length(t.column("vector"))).as_py()) for t in (left, right))
-            rows = _unit(right.column("vector"), width).T
+            rows = _unit(right.column("vector"), widths[0]).T
             place = np.argsort(np.argsort(np.array(right.column("chunk_id").to_pylist(), dtype=object), kind="stable"))
             for lo in range(0, left.num_rows, BLOCK):
-                scores = _unit(left.column("vector").slice(lo, BLOCK), width) @ rows
+                scores = _unit(left.column("vector").slice(lo, BLOCK), widths[0]) @ rows
                 for i, own in enumerate(scores):
                     near = np.round(own, 12)  # sums in another order may differ in the last bits
                     best = np.flatnonzero(near >= np.partition(near, -k)[-k]) if len(near) > k else np.arange(len(near))
@@ -81,7 +91,8 @@ def _meet(k: int) -> Callable:
                     found["row"].append(best)
                     found["score"].append(own[best])
         q, r, s = (np.concatenate([np.zeros(0, kind), *found[c]]) for c, kind in (("query", int), ("row", int), ("score", float)))
-        return pa.table({"query_id": left.column("query_id").take(pa.array(q)), "attempt": left.column("attempt").take(pa.array(q)), "chunk_id": right.column("chunk_id").take(pa.array(r)), "score": s})
+        good = pa.table({"query_id": left.column("query_id").take(pa.array(q)), "attempt": left.column("attempt").take(pa.array(q)), "chunk_id": right.column("chunk_id").take(pa.array(r)), "score": s})
+        return pa.concat_tables([good, failed], promote_options="default").select(["query_id", "attempt", "chunk_id", "score", "error"])
 
     return run
 
@@ -91,38 +102,72 @@ def key_sets(steps: Iterable[Sequence[str]]) -> list[tuple[str, ...]]:
     return sorted({c for s in steps for n in range(len(s) + 1) for c in combinations(sorted(s), n)})
 
 
-def search(attempts: DataFrame, chunks: DataFrame, sets: Sequence[Sequence[str]], k: int = TOP_K, slice_rows: int = SLICE) -> DataFrame:
-    """query_id, attempt, rank, score and chunk_id of each attempt's best chunks; attempts has query_id, attempt, pairs
-    and vector."""
+def _wanted(pairs: Column, sets: Sequence[Sequence[str]]) -> tuple[Column, Column]:
+    """The number of a filter's set of keys, and its values in the order of keys."""
+    ordered = F.array_sort(pairs)
+    known = F.array(*(F.array(*map(F.lit, s)) if s else F.array().cast("array<string>") for s in sets))
+    at = F.array_position(known, F.transform(ordered, lambda p: p["key"])).cast("int")
+    missing = F.raise_error(F.concat(F.lit("no set of keys for a filter on "), F.array_join(F.transform(ordered, lambda p: p["key"]), ", "))).cast("int")
+    return F.when(at == 0, missing).otherwise(at - 1), F.transform(ordered, lambda p: p["value"])
+
+
+def _matched(attempts: DataFrame, store: Store, sets: Sequence[Sequence[str]], slice_rows: int, tile_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """The attempts with their filter's set and values, the nodes that these want, the numbers of slices and tiles of each
+    filter, and whether these two are few; then they are local, and what follows deals neither."""
+    number, values = _wanted(F.col("pairs"), sets)
+    asked = attempts.where(_usable(F.col("vector"))).select("query_id", "attempt", "vector", number.alias("set"), values.alias("values"))
+    queries = asked.groupBy("set", "values").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
+    nodes = store.offers(sets).join(queries, ["set", "values"])
+    head = nodes.limit(FEW_NODES + 1).toArrow()
+    few = head.num_rows <= FEW_NODES
+    nodes = attempts.sparkSession.createDataFrame(head) if few else cut(nodes)
+    sizes = nodes.groupBy("set", "values").agg(F.ceil(F.sum("chunks") / slice_rows).cast("int").alias("slices"), F.first("tiles").alias("tiles"))
+    if few:
+        sizes = attempts.sparkSession.createDataFrame(sizes.toArrow())
+    return asked, nodes, sizes, few
+
+
+def _searched(attempts: DataFrame, chunks: DataFrame | Store, sets: Sequence[Sequence[str]], k: int, slice_rows: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """What search() returns, and the chunks that it had to read."""
     reach(attempts.sparkSession)
-    for c in {key for s in sets for key in s} - set(chunks.columns):
-        raise StoreConfigurationError(f"the chunk table has no column {c!r}")
-    kinds = dict(attempts.dtypes) | {"chunk_id": dict(chunks.dtypes)["chunk_id"]}
-    asked = attempts.where(_usable(F.col("vector"))).select("query_id", "attempt", "vector", T.filter_signature(F.col("pairs")).alias("signature"))
-    offers = [F.lit(ALL) if not s else F.concat_ws(",", *(F.concat(F.lit(f"{key}="), F.col(key)) for key in s)) for s in sets]
-    whole = [F.lit(True) if not s else F.forall(F.array(*s), lambda v: v.isNotNull()) for s in sets]
-    offered = chunks.where(_usable(F.col("embedding"))).select("chunk_id", F.col("embedding").alias("vector"), F.explode(F.array_compact(F.array(*(F.when(w, o) for w, o in zip(whole, offers, strict=True))))).alias("signature"))
-    wanted = asked.select("signature").distinct()
-    few = wanted.limit(FEW_SIGNATURES + 1).count() <= FEW_SIGNATURES
-    offered = offered.join(F.broadcast(wanted) if few else wanted, "signature", "left_semi")  # no vector is dealt that nobody asks for
-    if chunks.limit(slice_rows + 1).count() <= slice_rows:  # no signature needs more than one slice
-        asked, offered = asked.withColumn("slice", F.lit(0)), offered.withColumn("slice", F.lit(0))
-    else:
-        sizes = offered.select("signature").groupBy("signature").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-        offered = offered.join(sizes, "signature").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).drop("slices")
-        asked = asked.join(sizes, "signature").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    kind = f"query_id {kinds['query_id']}, attempt {kinds['attempt']}, chunk_id {kinds['chunk_id']}, score double"
-    met = asked.groupBy("signature", "slice").cogroup(offered.groupBy("signature", "slice")).applyInArrow(_meet(clamp(k)), kind)
-    best = Window.partitionBy("query_id", "attempt").orderBy(F.desc(F.round("score", 12)), "chunk_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp(k))
+    sets = [tuple(sorted(s)) for s in sets]
+    store = chunks if isinstance(chunks, Store) else Store.of(chunks, sorted({key for s in sets for key in s}))
+    asked, nodes, sizes, few = _matched(attempts, store, sets, slice_rows, tile_rows)
+    rows = store.pruned(nodes)
+    kinds = dict(attempts.dtypes) | {"chunk_id": dict(rows.dtypes)["chunk_id"]}
+    usable = rows.where(_usable(F.col("embedding"))).select("chunk_id", F.col("embedding").alias("vector"), *(c for c in (*store.levels, "node", "zone") if c in rows.columns))
+    sizes = F.broadcast(sizes) if few else sizes
+    offered = store.beside(usable, nodes.drop("chunks", "tiles").join(sizes, ["set", "values"]), few)
+    offered = offered.select("set", "values", "chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    asked = asked.join(sizes, ["set", "values"])
+    asked = asked.select("set", "values", "query_id", "attempt", "vector", F.pmod(F.xxhash64("query_id", "attempt"), F.col("tiles")).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    kind = f"query_id {kinds['query_id']}, attempt {kinds['attempt']}, chunk_id {kinds['chunk_id']}, score double, error string"
+    key = ["set", "values", "slice", "tile"]
+    met = asked.groupBy(*key).cogroup(offered.groupBy(*key)).applyInArrow(_meet(clamp(k)), kind)
+    best = Window.partitionBy("query_id", "attempt").orderBy(F.col("error").isNull(), F.desc(F.round("score", 12)), "chunk_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp(k)), rows
+
+
+def search(attempts: DataFrame, chunks: DataFrame | Store, sets: Sequence[Sequence[str]], k: int = TOP_K, slice_rows: int = SLICE, tile_rows: int = TILE) -> DataFrame:
+    """query_id, attempt, rank, score and chunk_id of each attempt's best chunks, and error; attempts has query_id, attempt,
+    pairs and vector. An attempt that failed anywhere has an error at rank 1; what else was found for it isn't all."""
+    return _searched(attempts, chunks, sets, k, slice_rows, tile_rows)[0]
 
 
 def hits(found: DataFrame, chunks: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Adds `hit` to search results: score, snippet, metadata (levels, doc_id, filename), doc_id and filename."""
+    """Adds `hit` to search results: score, snippet, metadata (levels, doc_id, filename), doc_id and filename. It's null
+    beside an error."""
     meta = F.create_map(*(x for n in [*levels, "doc_id", "filename"] for x in (F.lit(n), F.col(n).cast("string"))))
     held = chunks.select("chunk_id", T.snippet(F.col("text")).alias("snippet"), meta.alias("metadata"), F.col("doc_id").cast("string"), "filename")
     hit = F.struct("score", "snippet", "metadata", F.coalesce("doc_id", F.col("chunk_id").cast("string")).alias("doc_id"), F.coalesce("filename", F.element_at("metadata", F.lit("filename"))).alias("filename"))
-    return found.join(held, "chunk_id").select("query_id", "attempt", "rank", hit.alias("hit"))
+    error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
+    return found.join(held, "chunk_id", "left").select("query_id", "attempt", "rank", F.when(F.col("chunk_id").isNotNull(), hit).alias("hit"), error.alias("error"))
+
+
+def find(attempts: DataFrame, store: Store, sets: Sequence[Sequence[str]], k: int = TOP_K) -> DataFrame:
+    """search() and hits(); texts, too, are read only from the ranges that the filters want."""
+    found, rows = _searched(attempts, store, sets, k, SLICE, TILE)
+    return hits(found, rows, store.levels)
 
 
 def narrowed(chunks: DataFrame, tree: dict | None, namespace: str | None = None) -> DataFrame:

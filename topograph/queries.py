@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from topograph.functions import identity
 from topograph.functions import text as T
 from topograph.functions.confidence import Thresholds
-from topograph.lineage import cut
 from topograph.operators import cache, clarify, corpus, report, resolve, retrieve, search
+from topograph.operators.store import Store
 from topograph.plans.template import resolve_plan
 from topograph.sources import extract
 from topograph.workers import reach
@@ -300,16 +300,16 @@ def plan_resolve(spark, d):
 SETS = [(), ("fam",), ("fam", "lab"), ("lab",)]
 
 
-def _others(attempts: DataFrame, c: DataFrame, sets: list[tuple[str, ...]], k: int = search.TOP_K) -> DataFrame:
+def _others(attempts: DataFrame, c: DataFrame | Store, sets: list[tuple[str, ...]], k: int = search.TOP_K) -> DataFrame:
     """The best k of all chunks but the query's own vector: a row more is searched, as the own one may be among them."""
     best = Window.partitionBy("query_id", "attempt").orderBy("rank")
-    found = search.search(attempts, c, sets, k + 1).where("chunk_id <> query_id")
+    found = search.search(attempts, c, sets, k + 1).where("error is not null or chunk_id <> query_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _find(spark, d, k=search.TOP_K):
-    c, vectors = chunks(spark, d), contexts(spark, d).select("query_id", "vector")
-    return lambda attempts: search.hits(_others(attempts.join(vectors, "query_id"), c, SETS, k), c, CHUNK)
+    store, vectors = Store.of(chunks(spark, d), CHUNK), contexts(spark, d).select("query_id", "vector")
+    return lambda attempts: search.hits(_others(attempts.join(vectors, "query_id"), store, SETS, k), store.rows, CHUNK)
 
 
 @query(f"WITH {S_SQL} SELECT query_id, attempt, rank, chunk_id, round(score, 6) AS score FROM h")
@@ -336,7 +336,7 @@ def confidence_tier(spark, d):
 
 def _outcomes(spark, d):
     plan = resolve_plan(contexts(spark, d), CHUNK)
-    return cut(retrieve.choose(retrieve.run(plan, _find(spark, d), LOW)))  # some queries read it twice
+    return retrieve.choose(retrieve.run(plan, _find(spark, d), LOW))
 
 
 @query(f"WITH {A_SQL} SELECT query_id, attempt, reason, confidence, round(top_score, 6) AS top_score, attempts_made, confidence IN ('high', 'medium') AND result_count > 0 AS should_answer FROM o")
