@@ -143,6 +143,10 @@ def test_cache(spark, documents, chunks, tmp_path):
     assert e.cache.prune("v2") == 1 and not e.search(ask(spark, "docs please")).first().cache_hit
     e.cache.clear()
     assert e.cache.entries() is None
+    small = Engine(documents, chunks, LEVELS, version="v1", cache_root=str(tmp_path), cache_limit=2, k=2)
+    for words in ("docs please", "logging", "decoder", "docs please"):
+        small.search(ask(spark, words, "taskgroup asyncio")).count()
+        assert small.cache.entries("v1").count() == 2
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("a", 3, "y"), ("c", 4, "x")], "key string, seq long, v string")
     assert {(r.key, r.v) for r in cache.evicted(rows, 2).collect()} == {("b", "x"), ("c", "x")}
 
@@ -178,8 +182,13 @@ def test_engine_from_tables(spark, documents, tmp_path):
     built = artifacts.build(full, LEVELS, "2020-01-01T00:00:00+00:00", Thresholds(medium_min=0.5))
     artifacts.write_tables(built, str(tmp_path / "tables"))
     paths = artifacts.write_json(built, tmp_path / "json")
-    assert json.loads(paths["corpus_map"].read_text()) == artifacts.corpus_map(built)
-    assert paths["corpus_map"].read_text() == json.dumps(artifacts.corpus_map(built) | {"tree": json.loads(paths["corpus_map"].read_text())["tree"]}, indent=2, ensure_ascii=False)
+    made = json.loads(paths["corpus_map"].read_text())
+    assert paths["corpus_map"].read_text() == json.dumps(made, indent=2, ensure_ascii=False)
+    held = {r.doc_id: {k: r[k] for k in ("doc_id", "filename", "relative_path", "aliases")} for r in documents.collect()}
+    at = lambda *ids: {"_documents": [held[i] for i in ids]}
+    assert made["tree"] == {"docs": {"_documents": [held["d3"]], "_topic": {"howto": at("d2", "d1"), "tutorial": at("d0")}}, "source": {"_topic": {"asyncio": at("d4"), "json": at("d5")}}}
+    assert (made["document_count"], made["version"], made["level_names"], made["level_values"]) == (6, built.version, LEVELS, {"kind": ["docs", "source"], "topic": ["asyncio", "howto", "json", "tutorial"]})
+    assert [r["doc_id"] for r in made["flat_documents"]] == ["d2", "d1", "d3", "d0", "d4", "d5"]
     chunks = spark.createDataFrame([("c1", "d0", "classes.txt", "t", [1.0, 0.0], "docs", "tutorial"), ("c2", "d4", "taskgroup.py", "t", [0.6, 0.8], "source", "asyncio")], "chunk_id string, doc_id string, filename string, text string, embedding array<float>, kind string, topic string")
     queries = spark.createDataFrame([(1, "asyncio please", [1.0, 0.0]), (2, "nothing", [0.0, 1.0])], "query_id long, message string, vector array<float>")
     engines = [Engine.from_tables(spark, str(tmp_path / "tables"), chunks), Engine.from_artifacts(spark, tmp_path / "json", chunks)]
@@ -189,20 +198,59 @@ def test_engine_from_tables(spark, documents, tmp_path):
     assert [r.query_id for r in asyncio.run(engines[0].aresolve(queries))] and engines[0].close() is None
 
 
+def cache_rows(spark, ids, reason="r"):
+    rows = spark.createDataFrame([(i, True, reason, "low", 0.1 * i, 1, None) for i in ids], "query_id long, executed boolean, reason string, confidence string, top_score double, attempts_made int, error string")
+    return rows.withColumn("results", F.array().cast(f"array<{search.HIT}>")), rows.select("query_id", F.concat(F.lit("k"), "query_id").alias("key"))
+
+
 def test_cache_of_damaged_files(spark, tmp_path):
-    """A file that can't be read is a miss; the last keys by first insertion are kept."""
+    """A file that can't be read is a miss; the last keys by first insertion are kept; old generations go."""
     held = cache.Cache(spark, str(tmp_path))
-    rows = spark.createDataFrame([(i, True, "r", "low", 0.1 * i, 1, None) for i in range(6)], "query_id long, executed boolean, reason string, confidence string, top_score double, attempts_made int, error string")
-    rows = rows.withColumn("results", F.array().cast(f"array<{search.HIT}>"))
-    keys = rows.select("query_id", F.concat(F.lit("k"), "query_id").alias("key"))
-    assert held.get(keys, "v")[0] is None
+    rows, keys = cache_rows(spark, range(6))
+    assert held.get(keys, "v")[0] is None and held.entries() is None
     held.put(rows, keys, "v")
     held.put(rows.where("query_id = 0").withColumn("reason", F.lit("again")), keys, "v")
-    (tmp_path / "retrieval_cache" / "corpus_version=v" / "part-damaged.parquet").write_bytes(b"no parquet")
+    whole = held._generations("v")[-1].removeprefix("file:")
+    (tmp_path / "retrieval_cache/corpus_version=v" / whole.rpartition("/")[2] / "bucket=3").mkdir(exist_ok=True)
+    (tmp_path / "retrieval_cache/corpus_version=v" / whole.rpartition("/")[2] / "bucket=3/part-damaged.parquet").write_bytes(b"no parquet")
+    (tmp_path / "retrieval_cache/corpus_version=v/gen-999999999999-unfinished").mkdir()
     hit, miss = held.get(keys, "v")
     assert hit.count() == 6 and miss.count() == 0 and hit.where("reason = 'again'").first().query_id == 0
     held.keep_last("v", 4)
-    assert {r.query_id for r in held.get(keys, "v")[0].collect()} == {2, 3, 4, 5}
+    assert {r.query_id for r in held.get(keys, "v")[0].collect()} == {2, 3, 4, 5} and len(held._generations("v")) == 2
+    assert [r.key for r in asyncio.run(held.aget(keys.where("query_id = 3"), "v"))] == ["k3"]
+    asyncio.run(held.aput(*cache_rows(spark, [9]), "w"))
+    assert held.entries().count() == 5 and held.prune("v") == 1
+
+
+def test_cache_reads_few_buckets(spark, tmp_path):
+    """A lookup of ten keys opens their buckets only, and asks for the keys in them."""
+    from tests.test_store import scans
+
+    held = cache.Cache(spark, str(tmp_path), 5000)
+    rows, keys = cache_rows(spark, range(4000))
+    held.put(rows, keys, "v")
+    hit, _ = held.get(keys.where("query_id % 400 = 7"), "v")
+    assert {r.query_id for r in hit.collect()} == set(range(7, 4000, 400))
+    own = next(x for x in scans(hit) if "bucket" in str(x[3]))
+    assert 0 < own[0] <= 10 and "In(key" in own[2]
+
+
+def test_digests_of_folders(spark):
+    """Digests tell any change, and its folders and those above them only; they don't depend on parts."""
+    rows = [(f"{'/'.join('abc'[(i >> 2 * j) % 3] for j in range(i % 4))}/f{i}".lstrip("/"), str(i), i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "relative_path string, checksum string, size_bytes long")
+    old = corpus.digests(frame)
+    assert {r.path: r.digest for r in old.collect()} == {r.path: r.digest for r in corpus.digests(frame.repartition(7)).collect()}
+    assert old.where("path = ''").first().files == 200 and corpus.tree_version(frame) == old.where("path = ''").first().digest[:16]
+    path = next(p for p, _, _ in rows if p.count("/") == 2)
+    for change in (F.when(F.col("relative_path") == path, F.lit("x")).otherwise(F.col("checksum")),):
+        found = {(r.path, r.change) for r in corpus.changed(old, corpus.digests(frame.withColumn("checksum", change))).collect()}
+        assert found == {("", "changed"), (path.split("/")[0], "changed"), (path.rpartition("/")[0], "changed")}
+    more = frame.unionByName(spark.createDataFrame([("new/deep/er/x", "1", 1)], frame.schema))
+    assert {(r.path, r.change) for r in corpus.changed(old, corpus.digests(more)).collect()} == {("", "changed"), ("new", "added"), ("new/deep", "added"), ("new/deep/er", "added")}
+    assert corpus.changed(corpus.digests(more), old).where("change = 'removed'").count() == 3
+    assert corpus.digests(frame.limit(0)).count() == 0 and len(corpus.tree_version(frame.limit(0))) == 16
 
 
 def test_public_names():

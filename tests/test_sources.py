@@ -1,11 +1,13 @@
 import json
 import warnings
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from topograph import cli
 from topograph.errors import CorpusValidationError, MissingDependency, UnsupportedFileType
-from topograph.sources import artifacts, extract
+from topograph.sources import artifacts, crawl, extract, listing
 from topograph.sources.crawl import Crawler, infer_levels
 
 FILES = {"docs/tutorial/a_class.txt": "classes", "docs/howto/logging.txt": "logs", "docs/over view é.txt": "all", "src/net/x.py": "pass", "src/net/deep/er/y.py": "y", "_under/_z.md": "", "docs/.hidden.txt": "no", ".git/c.txt": "no"}
@@ -51,9 +53,57 @@ def test_crawl_options(spark, corpus):
     assert row.text_sample == "" and "ZeroDivisionError" in row.problem
 
 
+def test_issues(spark, corpus):
+    """What a crawl passes by is told: sidecars that aren't JSON, files without an extractor, links that lead back."""
+    (corpus / "docs/blob.xyz").write_bytes(b"?")
+    (corpus / "docs/howto/back").symlink_to(corpus / "docs")
+    (corpus / "src/also.txt").symlink_to(corpus / "docs/howto/logging.txt")
+    (corpus / "src/more").symlink_to(corpus / "docs/tutorial")
+    own = Crawler(corpus, ["kind"], follow_symlinks=True)
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        paths = {r.relative_path for r in own.documents(spark).collect()}
+    assert {"src/also.txt", "src/more/a_class.txt"} <= paths and not any("back" in p for p in paths)
+    assert {(r.kind, r.path.rpartition("/")[2]) for r in own.issues(spark).collect()} == {("bad sidecar", "_aliases.json"), ("cycle", "docs"), ("no extractor", "blob.xyz")}
+    assert all(any(what in str(w.message) for w in seen) for what in ("bad sidecar", "cycle", ".xyz"))
+    plain = Crawler(corpus, ["kind"])
+    assert not {"src/also.txt", "src/more/a_class.txt"} & {r.relative_path for r in plain.documents(spark).collect()}
+    assert plain.issues(spark).where("kind = 'cycle'").count() == 0
+
+
+def test_listing(spark, corpus):
+    """Rows of a tree, hidden ones if asked for; a folder that can't be read is a row."""
+    names = lambda kind, **more: {r.relative_path for r in listing.listing(spark, str(corpus), **more).where(F.col("kind") == kind).collect()}
+    assert names("file") == {p for p in FILES if not any(x.startswith(".") for x in p.split("/"))}
+    assert names("file", skip_hidden=False) == set(FILES)
+    assert names("folder") == {"docs", "docs/tutorial", "docs/howto", "src", "src/net", "src/net/deep", "src/net/deep/er", "_under"} and names("sidecar") == {"docs/howto/_aliases.json", "src/_aliases.json"}
+    ((kind, relative, path, _, _, problem),) = listing.entries("gone", str(corpus / "gone"), False, True)
+    assert (kind, relative, path) == (listing.UNREADABLE, "gone", str(corpus / "gone")) and problem.startswith("FileNotFoundError")
+    assert [b.num_rows for b in listing._listed(False, True)([pa.RecordBatch.from_pydict({"relative_path": ["gone"], "path": [str(corpus / "gone")]})])] == [1]
+    big = corpus / "many"
+    big.mkdir()
+    for i in range(30):
+        (big / f"{i}.txt").touch()
+    assert listing.listing(spark, f"file://{big}").count() == 30
+
+
+def test_binary_files(spark, tmp_path):
+    """Paths are what follows the root, also where its name occurs again, with blanks and other letters."""
+    root = tmp_path / "b"
+    for name in ("b/b/x.txt", "a b/c%20d é.txt", "b.txt", "tmp/b"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}")
+    for start in (str(root), f"file://{root}/"):
+        rows = {r.relative_path: bytes(r.content).decode() for r in crawl.binary_files(spark, start).collect()}
+        assert rows == {n: f"text of {n}" for n in ("b/b/x.txt", "a b/c%20d é.txt", "b.txt", "tmp/b")}
+    docs = {r.relative_path: r.levels for r in crawl.documents_of(crawl.binary_files(spark, str(root)), ["one"]).collect()}
+    assert docs == {"b/b/x.txt": {"one": "b"}, "a b/c%20d é.txt": {"one": "a b"}, "b.txt": {"one": None}}
+
+
 def test_extractors():
     assert extract.plain("a\r\né".encode()) == "a\né" and extract.plain(b"\xff\xfea") == "ÿþa"
     assert extract.html(b"<p>a &amp; b</p><script>x<style>y</script>z</style><div> c </div>") == "a & b\nz\nc"
+    assert extract.html(b"</script><script>x</script>y") == "y" and extract.html(b"</style></style>a<style>b") == "a"
     assert extract.html(b"<template><p>no</p></template>yes") == "yes"
     assert extract.flat_json(b'{"a": {"b": [1, {"c": null}]}, "t": true, "e": {}}') == "a.b[0]: 1\na.b[1].c: \nt: True"
     assert extract.flat_json(b"7") == "value: 7" and extract.flat_json(b"{oops") == "{oops"

@@ -13,7 +13,7 @@ from topograph.errors import StoreConfigurationError
 from topograph.functions.confidence import Thresholds
 from topograph.lineage import cut
 from topograph.operators import clarify, retrieve, search
-from topograph.operators.cache import FIELDS, Cache, keyed
+from topograph.operators.cache import FIELDS, LIMIT, Cache, keyed
 from topograph.operators.resolve import Catalog, resolve
 from topograph.operators.store import Store
 from topograph.plans.template import Attempt, default_attempts, resolve_plan
@@ -25,10 +25,10 @@ class Engine:
 
     search() takes queries(query_id, message, vector array<float>, and explicit and conversation if there are any) and
     returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
-    the questions are planned on top of them.
+    the questions are planned on top of them. The cache never holds more than cache_limit entries of a version.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, values: DataFrame | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None):
         if not isinstance(chunks, (DataFrame, Store)):
             raise StoreConfigurationError("chunks must be a DataFrame or a Store")
         rows = chunks.rows if isinstance(chunks, Store) else chunks
@@ -38,7 +38,7 @@ class Engine:
         self.store = chunks if isinstance(chunks, Store) else Store.of(chunks, self.levels)  # probed once
         self.attempts = default_attempts(self.levels) if attempts is None else list(attempts)
         self.thresholds, self.k, self.version = thresholds, search.clamp(k), version
-        self.cache = Cache(documents.sparkSession, cache_root) if cache_root else None
+        self.cache = Cache(documents.sparkSession, cache_root, cache_limit) if cache_root else None
         self.catalog = Catalog.of(documents, self.levels, values).keep()  # filled by the first batch, used by all
 
     @classmethod

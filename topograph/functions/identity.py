@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +33,6 @@ def extra_path(relative_path: Column, depth: int) -> Column:
     return F.slice(parts, depth + 1, F.greatest(F.size(parts) - 1 - depth, F.lit(0)))
 
 
-def version_of(files: Iterable[tuple[str, str, int]]) -> str:
-    """Version of a corpus from (path, checksum, size) of its files, in any order.
-
-    The text that is hashed is JSON with sorted keys and ASCII escapes, so it is made here and not by to_json().
-    """
-    listed = [{"checksum": c, "path": p, "size": s} for p, c, s in sorted(files)]
-    return hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()[:16]
-
-
 def corpus_version(documents: DataFrame) -> str:
     """The version of a documents frame. Three short columns pass the driver a partition at a time, in path order."""
     digest, first = hashlib.sha256(b"["), True

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from topograph.plans import filters
 from topograph.plans.template import Attempt, resolve_plan
 from topograph.queries import A_SQL, C_SQL, CHUNK, D_SQL, DOC, G_SQL, GEO, LOW, NORM, SETS, SQL, _decoded, _others, _outcomes, chunks, contexts, documents, geo, levels_of, query, table
 from topograph.sources import artifacts, crawl, extract
+from topograph.sources.listing import FILE, listing
 
 
 def _broken(data: bytes) -> str:
@@ -74,6 +76,74 @@ def crawl_depth(spark, d):
     return files(spark, d).agg(crawl.depth_of(None).cast("long").alias("depth"), crawl.depth_of(None, False).cast("long").alias("depth_with_hidden"))
 
 
+_FOLDER = r"^[a-z]+://([^?#]*[^/?#])"
+
+
+def _planted(root: str):
+    """Writes pages as files below a folder that all executors see."""
+
+    def run(batches):
+        for b in batches:
+            for path, html in zip(b["path"], b["html"], strict=True):
+                whole = f"{root}/{path}"
+                os.makedirs(os.path.dirname(whole), exist_ok=True)
+                with open(whole, "wb") as f:
+                    f.write((html or "").encode())
+            yield b[["path"]]
+
+    return run
+
+
+@query(f"""WITH f AS (SELECT page_id, html, regexp_extract(url, '{_FOLDER}', 1) AS folder FROM pages WHERE page_id % 10 NOT IN (1, 2))
+SELECT folder || '/' || CASE WHEN page_id % 10 = 3 THEN 'a b ' || page_id || '.html' ELSE page_id || '.html' END AS relative_path, strlen(coalesce(html, '')) AS size_bytes, len(string_split(folder, '/')) AS depth FROM f""")
+def crawl_listing(spark, d):
+    """Files below a tree of the pages' urls, listed round by round; hidden folders and sidecars aren't among them."""
+    root = scratch_folder(spark)
+    k = F.col("page_id") % 10
+    name = F.when(k == 2, F.lit(crawl.SIDECAR)).when(k == 3, F.concat(F.lit("a b "), "page_id", F.lit(".html"))).otherwise(F.concat("page_id", F.lit(".html")))
+    x = table(spark, d, "pages").select(F.concat_ws("/", F.when(k == 1, ".cache"), F.regexp_extract("url", _FOLDER, 1), name).alias("path"), "html")
+    x.mapInPandas(_planted(root.removeprefix("file:")), "path string").write.format("noop").mode("overwrite").save()
+    found = listing(spark, root.removeprefix("file:")).where(F.col("kind") == FILE)
+    return found.select("relative_path", "size_bytes", (F.size(F.split("relative_path", "/")) - 1).cast("long").alias("depth"))
+
+
+def _digest_sql(rows: str, name: str, group: str) -> str:
+    """A folder's digest from those of what it holds, of which there is a column each: name, digest, files."""
+    pieces = ", ':', ".join(f"CAST(sum(CAST(CAST('0x' || substr(digest, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(corpus.PIECES))
+    return f"SELECT {group}, sum(files) AS files, sha256(concat({name}, ':', count(*), ':', {pieces})) AS digest FROM {rows} GROUP BY {group}"
+
+
+@query(f"""WITH {D_SQL}, f AS (SELECT *, string_split(relative_path, '/') AS parts, sha256(concat(filename, ':', sha256(coalesce(text, '')), ':', strlen(coalesce(text, '')))) AS digest FROM d),
+x AS (SELECT parts[1] AS a, CASE WHEN len(parts) = 3 THEN parts[2] END AS b, len(parts) - 1 AS depth, digest, 1 AS files FROM f),
+two AS ({_digest_sql("x WHERE depth = 2", "b", "a, b")}), ones AS (SELECT a, digest, files FROM x WHERE depth = 1 UNION ALL SELECT a, digest, files FROM two),
+one AS ({_digest_sql("ones", "a", "a")}), zeros AS (SELECT '' AS r, digest, files FROM x WHERE depth = 0 UNION ALL SELECT '', digest, files FROM one),
+zero AS ({_digest_sql("zeros", "''", "r")})
+SELECT a || '/' || b AS path, 2 AS depth, CAST(files AS BIGINT) AS files, digest FROM two UNION ALL SELECT a, 1, CAST(files AS BIGINT), digest FROM one UNION ALL SELECT '', 0, CAST(files AS BIGINT), digest FROM zero""")
+def version_tree(spark, d):
+    """Digests of all folders of the documents."""
+    return corpus.digests(_versions(spark, d))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    whole = F.coalesce(F.first("text"), F.lit(""))
+    x = table(spark, d, "documents").groupBy(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("relative_path")).agg(whole.alias("text"))
+    return x.select("relative_path", F.sha2("text", 256).alias("checksum"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+@query(f"""WITH {D_SQL}, o AS (SELECT concat_ws('/', lang, source) AS folder, lang, n FROM d), n AS (SELECT CASE WHEN source = 'src1' THEN lang || '/moved' ELSE concat_ws('/', lang, source) END AS folder, lang, n, n % 50 = 7 AS new FROM d WHERE n % 50 <> 8 OR source IS NULL),
+b AS (SELECT DISTINCT folder FROM o WHERE contains(folder, '/')), c AS (SELECT DISTINCT folder FROM n WHERE contains(folder, '/')),
+w AS (SELECT coalesce(b.folder, c.folder) AS path, CASE WHEN b.folder IS NULL THEN 'added' WHEN c.folder IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN c ON b.folder = c.folder
+ WHERE b.folder IS NULL OR c.folder IS NULL OR EXISTS (SELECT 1 FROM d WHERE concat_ws('/', lang, source) = b.folder AND (n % 50 = 7 OR n % 50 = 8 AND source IS NOT NULL)))
+SELECT path, change FROM w UNION ALL SELECT DISTINCT string_split(path, '/')[1], 'changed' FROM w UNION ALL SELECT '', 'changed' FROM (SELECT 1 FROM w LIMIT 1)""")
+def changed_folders(spark, d):
+    """Folders that differ between two crawls: some texts are other ones, some files are gone, one source was renamed."""
+    old = _versions(spark, d)
+    n, source = F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("long"), F.split("relative_path", "/")
+    new = old.where((n % 50 != 8) | (F.size(source) < 3)).withColumn("checksum", F.when(n % 50 == 7, F.lit("new")).otherwise(F.col("checksum")))
+    new = new.withColumn("relative_path", F.when(F.get(source, F.lit(1)) == "src1", F.regexp_replace("relative_path", "/src1/", "/moved/")).otherwise(F.col("relative_path")))
+    return corpus.changed(corpus.digests(old), corpus.digests(new)).select("path", "change")
+
+
 @query(f"""WITH {G_SQL}, e AS (SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN lower(l0) WHEN 1 THEN ' ' || l0 || '!' WHEN 2 THEN 'Nowhere' ELSE '' END AS v0, replace(l1, '_', '-') AS v1, l0, l1 FROM customer JOIN g ON g.doc_id = CAST(c_custkey AS VARCHAR))
 SELECT query_id, 0 AS level, CASE WHEN v0 = 'Nowhere' THEN v0 ELSE l0 END AS value FROM e WHERE v0 <> '' UNION ALL SELECT query_id, 1, l1 FROM e""")
 def explicit_pins(spark, d):
@@ -287,6 +357,22 @@ def report_unexpected(spark, d):
     return report.unexpected(engine, wanted).select("query_id")
 
 
+@query(f"WITH {A_SQL}, last AS (SELECT *, row_number() OVER (ORDER BY query_id) AS place, count(*) OVER () AS n FROM o) SELECT query_id, reason, CASE WHEN query_id % 40 = 0 THEN 'again' ELSE 'once' END AS writing FROM last WHERE place > n - 20")
+def cache_keyed(spark, d):
+    """A cache of 20 entries after three puts: the last keys to come are there, with their newest entry; writing one
+    again doesn't move it."""
+    asked = contexts(spark, d).select("query_id", "resolved", F.concat(F.lit("about "), F.col("query_id").cast("string")).alias("normalized_query"))
+    held, keys, found = cache.Cache(spark, scratch_folder(spark), 20), cache.keyed(asked, "v1"), cut(_outcomes(spark, d))
+    middle = found.approxQuantile("query_id", [0.5], 0.0)[0] if found.head(1) else 0
+    held.put(found.where(F.col("query_id") <= middle), keys, "v1")
+    held.put(found.where(F.col("query_id") > middle), keys, "v1")
+    there, _ = held.get(keys.select("query_id", "key"), "v1")
+    again = found.where("query_id % 40 = 0").join(there.select("query_id"), "query_id", "left_semi")
+    held.put(again.withColumn("attempts_made", F.lit(-1)), keys, "v1")
+    hit, _ = held.get(keys, "v1")
+    return cut(hit).select("query_id", "reason", F.when(F.col("attempts_made") == -1, "again").otherwise("once").alias("writing"))
+
+
 @query(f"""WITH {A_SQL} SELECT query_id, reason, confidence, round(top_score, 6) AS top_score, attempts_made, CAST(result_count AS INTEGER) AS n FROM o""")
 def cache_round_trip(spark, d):
     """Outcomes that were stored and are found again by another writing of their queries."""

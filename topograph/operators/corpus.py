@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topograph.functions import text as T
+from topograph.lineage import cut
 
 
 def level_array(levels: Sequence[str], of: Column | None = None) -> Column:
@@ -119,3 +120,51 @@ def stamp(chunks: DataFrame, rows: DataFrame, levels: Sequence[str], drop_null:
 def upload_due(state: dict | None, version: str, store_exists: bool, force: bool = False) -> bool:
     """Whether chunks have to be written again: not if the recorded version is this one and the store is still there."""
     return force or not (state and store_exists and state.get("corpus_version") == version)
+
+
+#: A digest is summed in pieces of 60 bits, which long decimals add up exactly.
+PIECES = 4
+
+
+def _joined(name: Column, *sums: Column) -> Column:
+    return F.sha2(F.concat_ws(":", name, *(s.cast("string") for s in sums)), 256)
+
+
+def digests(documents: DataFrame) -> DataFrame:
+    """path, depth, files and digest of every folder ("" is the root) of documents(relative_path, checksum, size_bytes).
+
+    A file's digest is the SHA-256 of its name, checksum and size; a folder's that of its name, how many it holds, and
+    the sums of their digests' pieces. Sums don't depend on an order, so a folder of any size is added up by tasks before
+    anything is shuffled, level by level from the deepest; the driver learns only how many levels there are.
+    """
+    path = F.col("relative_path")
+    folder = F.regexp_replace(path, "/?[^/]*$", "")
+    depth = F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))
+    files = cut(documents.select(folder.alias("path"), depth.alias("depth"), _joined(F.element_at(F.split(path, "/"), -1), F.col("checksum"), F.col("size_bytes")).alias("digest"), F.lit(1).cast("long").alias("files")))
+    deepest = files.agg(F.max("depth")).first()[0] or 0
+    found: list[DataFrame] = []
+    below = files.limit(0).select("path", "digest", "files")
+    for level in range(deepest, -1, -1):
+        held = files.where(F.col("depth") == level).select("path", "digest", "files").unionByName(below)
+        pieces = [F.sum(F.conv(F.substring("digest", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(PIECES)]
+        made = held.groupBy("path").agg(F.sum("files").alias("files"), F.count("*").alias("n"), *pieces)
+        made = cut(made.select("path", F.lit(level).alias("depth"), "files", _joined(F.regexp_extract("path", "[^/]*$", 0), F.col("n"), *(F.col(f"s{i}") for i in range(PIECES))).alias("digest")))
+        found.append(made)
+        below = made.select(F.regexp_replace("path", "/?[^/]*$", "").alias("path"), "digest", "files")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def tree_version(documents: DataFrame) -> str:
+    """A version from the root's digest: equal for equal trees of files, whatever the size of the corpus."""
+    root = digests(documents).where("path = ''").first()
+    return (root["digest"] if root else "").ljust(16, "0")[:16]
+
+
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, depth and change (added, removed, changed) of the folders of two digests() that differ."""
+    a, b = old.select("path", "depth", F.col("digest").alias("_old")), new.select("path", "depth", F.col("digest").alias("_new"))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
+    return a.join(b, ["path", "depth"], "full").where(~F.col("_old").eqNullSafe(F.col("_new"))).select("path", "depth", change.alias("change"))

@@ -1,19 +1,17 @@
 """Crawling a folder into a documents frame.
 
-Crawler lists a folder's names on the driver; files are read, hashed and turned into text once, on the executors, so
-the folder must be one that they all see. (Spark's binaryFile source leaves out empty files and names with an
-underscore, so it isn't used for that.) documents_of() applies the same rules to a frame of files with their content,
-as binary_files() reads it from any store that Spark reads, listed and read by Spark.
+Crawler lists a folder (see sources.listing), and reads, hashes and turns its files into text once, all on the
+executors. (Spark's binaryFile source leaves out empty files and names with an underscore, so it isn't used for that.)
+documents_of() applies the same rules to a frame of files with their content, as binary_files() reads it from any store
+that Spark reads, listed and read by Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import warnings
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,10 +21,13 @@ from pyspark.sql import functions as F
 from topograph.errors import MissingDependency, UnsupportedFileType
 from topograph.functions import identity
 from topograph.functions import text as T
+from topograph.lineage import cut, store_of
 from topograph.sources.extract import Registry
+from topograph.sources.listing import BESIDE, CYCLE, FILE, SIDECAR, UNREADABLE, content, listing, remote
 from topograph.workers import reach
 
-SIDECAR = "_aliases.json"
+#: Of each kind of problem, so many are told as warnings; issues() has all.
+TOLD = 20
 LISTED = "relative_path string, local_path string, extension string, size_bytes bigint, last_modified timestamp"
 
 
@@ -38,26 +39,10 @@ def check_level_names(names: Sequence[str]) -> list[str]:
     return list(names)
 
 
-def walk(root: Path, follow_symlinks: bool = False, skip_hidden: bool = True) -> Iterator[Path]:
-    """Regular files below root, in order of their names; a folder that can't be read is passed by with a warning."""
-    try:
-        entries = sorted(os.scandir(root), key=lambda e: e.name)
-    except OSError as e:
-        warnings.warn(f"{root} can't be read: {e}", stacklevel=2)
-        return
-    for e in entries:
-        if (skip_hidden and e.name.startswith(".")) or (e.is_symlink() and not follow_symlinks):
-            continue
-        if e.is_dir():
-            yield from walk(Path(e.path), follow_symlinks, skip_hidden)
-        elif e.is_file() and e.name != SIDECAR:
-            yield Path(e.path)
-
-
-def infer_levels(root: Path, skip_hidden: bool = True) -> list[str]:
-    """level_0, ... for the most folders that any file is below, whatever its extension."""
-    depth = max((len(f.relative_to(root).parts) - 1 for f in walk(root, False, skip_hidden)), default=0)
-    return [f"level_{i}" for i in range(depth)]
+def infer_levels(root: str | Path, skip_hidden: bool = True, spark: SparkSession | None = None) -> list[str]:
+    """level_0, ... for the most folders that any file is below, whatever its extension; links aren't followed."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    return [f"level_{i}" for i in range(listing(spark, str(root), False, skip_hidden).where(F.col("kind") == FILE).agg(depth_of(None, skip_hidden)).first()[0])]
 
 
 #: What is known of a file once it has been read.
@@ -85,8 +70,7 @@ def _read(registry: Registry, sample: int, stored: bool = False) -> Callable:
                 part, new = b.slice(lo, ROWS), []
                 for k in range(part.num_rows):
                     if stored:
-                        with open(part.column("local_path")[k].as_py(), "rb") as f:
-                            data = f.read()
+                        data = content(part.column("local_path")[k].as_py())
                     else:
                         data = part.column("content")[k].as_py() or b""
                     new.append(_seen(registry, sample, part.column("extension")[k].as_py(), data))
@@ -116,9 +100,9 @@ def depth_of(files: DataFrame, skip_hidden: bool = True) -> Column:
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, local_path, size_bytes, last_modified and content of the files below a folder in any store."""
     files = reach(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].lstrip("/"))
-    below = F.substring_index(F.col("path"), base, -1)
-    return files.select(F.regexp_replace(below, "^/+", "").alias("relative_path"), F.col("path").alias("local_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), "content")
+    fs, own = store_of(spark, root)
+    base = fs.makeQualified(own).toString().rstrip("/") + "/"
+    return files.select(F.substring(F.col("path"), len(base) + 1, 1 << 30).alias("relative_path"), F.col("path").alias("local_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), "content")
 
 
 def unknown_extensions(files: DataFrame, registry: Registry | None = None, skip_hidden: bool = True) -> DataFrame:
@@ -167,20 +151,20 @@ def _assembled(read: DataFrame, own: DataFrame, level_names: Sequence[str], hier
 
 
 def _sidecars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """folder, filename and own of the sidecars' names; a sidecar that isn't JSON is a row with `problem` instead."""
+    kinds = {"folder": pa.string(), "filename": pa.string(), "own": pa.list_(pa.string()), "path": pa.string(), "problem": pa.string()}
     for b in batches:
-        out: dict[str, list] = {"folder": [], "filename": [], "own": []}
+        rows: list[tuple] = []
         for folder, path in zip(b.column("folder").to_pylist(), b.column("path").to_pylist(), strict=True):
             try:
-                held = json.loads(Path(path).read_text(encoding="utf-8"))
-            except ValueError as e:
-                warnings.warn(f"{path} isn't JSON, its aliases are left out: {e}", stacklevel=2)
+                held = json.loads(content(path).decode("utf-8"))
+            except (ValueError, OSError) as e:
+                rows.append((folder, None, None, path, f"{type(e).__name__}: {e}"))
                 continue
             for name, names in held.items() if isinstance(held, dict) else ():
                 if isinstance(names, list):
-                    out["folder"].append(folder)
-                    out["filename"].append(str(name))
-                    out["own"].append([str(a) for a in names if str(a).strip()])
-        yield pa.RecordBatch.from_pydict({"folder": pa.array(out["folder"], pa.string()), "filename": pa.array(out["filename"], pa.string()), "own": pa.array(out["own"], pa.list_(pa.string()))})
+                    rows.append((folder, str(name), [str(a) for a in names if str(a).strip()], path, None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], [*kinds])
 
 
 class Crawler:
@@ -188,10 +172,10 @@ class Crawler:
     documents then have no extra path."""
 
     def __init__(self, root: str | Path, level_names: Sequence[str] | None = None, *, registry: Registry | None = None, hierarchy: Callable[[Column, int], Column] | None = None, text_sample_chars: int = 1000, follow_symlinks: bool = False, require_text: bool = False, strict_unknown_extensions: bool = False, skip_hidden: bool = True):
-        self.root = Path(root).resolve()
-        if not self.root.exists():
+        self.root = str(root) if remote(str(root)) else str(Path(str(root).removeprefix("file://")).resolve())
+        if not remote(self.root) and not Path(self.root).exists():
             raise FileNotFoundError(self.root)
-        if not self.root.is_dir():
+        if not remote(self.root) and not Path(self.root).is_dir():
             raise NotADirectoryError(self.root)
         if level_names is None:
             level_names = infer_levels(self.root, skip_hidden)
@@ -202,34 +186,44 @@ class Crawler:
         self.text_sample_chars = max(0, int(text_sample_chars))
         self.follow_symlinks, self.require_text, self.skip_hidden = follow_symlinks, require_text, skip_hidden
         self.strict_unknown_extensions = strict_unknown_extensions
-
-    def listed(self) -> list[tuple]:
-        """(relative path, path, extension, size, time) of every file with an extractor."""
-        rows, unknown = [], {}
-        for f in walk(self.root, self.follow_symlinks, self.skip_hidden):
-            extension = f.suffix.lower()
-            if self.registry.get(extension) is None:
-                if self.strict_unknown_extensions:
-                    raise UnsupportedFileType(f"no extractor for {extension!r}: {f}")
-                unknown[extension] = unknown.get(extension, 0) + 1
-                continue
-            stat = f.stat()
-            rows.append((f.relative_to(self.root).as_posix(), str(f.resolve()), extension, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)))
-        for extension, n in sorted(unknown.items()):
-            warnings.warn(f"{n} files with {extension!r} are passed by: no extractor", stacklevel=2)
-        self.registry.check({r[2] for r in rows})
-        return rows
+        self._held: tuple[DataFrame, DataFrame] | None = None
+
+    def _found(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The listing with extensions, and what the sidecars say; both are made once."""
+        if self._held is None:
+            found = listing(spark, self.root, self.follow_symlinks, self.skip_hidden).withColumn("extension", extension_of(F.col("relative_path")))
+            sides = found.where(F.col("kind") == BESIDE).select(folder_of(F.col("relative_path")).alias("folder"), "path")
+            self._held = found, cut(sides.mapInArrow(_sidecars, "folder string, filename string, own array<string>, path string, problem string"))
+        return self._held
+
+    def issues(self, spark: SparkSession) -> DataFrame:
+        """kind, path and detail of what a crawl passes by: folders, links and sidecars with problems, and files without an
+        extractor."""
+        found, sides = self._found(spark)
+        rows = found.where(F.col("kind").isin(UNREADABLE, CYCLE)).select("kind", "path", F.col("problem").alias("detail"))
+        rows = rows.unionByName(sides.where("problem is not null").select(F.lit("bad sidecar").alias("kind"), "path", F.col("problem").alias("detail")))
+        unknown = found.where((F.col("kind") == FILE) & ~F.col("extension").isin(self.registry.supported_extensions()))
+        return rows.unionByName(unknown.select(F.lit("no extractor").alias("kind"), "path", F.col("extension").alias("detail")))
+
+    def _tell(self, spark: SparkSession) -> None:
+        """The first issues as warnings; of files without an extractor, the extensions and how many there are."""
+        issues, lone = self.issues(spark), F.col("kind") == "no extractor"
+        for r in issues.where(~lone).orderBy("path").limit(TOLD).collect():
+            warnings.warn(f"{r['kind']}: {r['path']}: {r['detail']}", stacklevel=3)
+        for r in issues.where(lone).groupBy("detail").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy(F.desc("n"), "detail").limit(TOLD).collect():
+            if self.strict_unknown_extensions:
+                raise UnsupportedFileType(f"no extractor for {r['detail']!r}: {r['path']}")
+            warnings.warn(f"{r['n']} files with {r['detail']!r} are passed by: no extractor", stacklevel=3)
 
     def documents(self, spark: SparkSession) -> DataFrame:
         """One row a file, sorted by path: the documents frame, with `problem` where an extractor failed."""
         reach(spark)
-        rows = self.listed()
-        files = spark.createDataFrame(rows, LISTED).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
-        kind = f"{LISTED}, checksum string, text_sample string, has_text boolean, problem string"
-        read = files.mapInArrow(_read(self.registry, self.text_sample_chars, True), kind)
+        found, sides = self._found(spark)
+        self._tell(spark)
+        files = found.where((F.col("kind") == FILE) & F.col("extension").isin(self.registry.supported_extensions()))
+        self.registry.check({r[0] for r in files.select("extension").distinct().collect()})  # no more than the registry has
+        listed = files.select("relative_path", F.col("path").alias("local_path"), "extension", "size_bytes", "last_modified").repartition(4 * spark.sparkContext.defaultParallelism, "relative_path")
+        read = listed.mapInArrow(_read(self.registry, self.text_sample_chars, True), f"{LISTED}, checksum string, text_sample string, has_text boolean, problem string")
         if self.require_text:
             read = read.where("has_text")
-        sides = {Path(r[1]).parent: r[0].rpartition("/")[0] for r in rows}
-        found = [(folder, str(p / SIDECAR)) for p, folder in sides.items() if (p / SIDECAR).is_file()]
-        own = spark.createDataFrame(found, "folder string, path string").mapInArrow(_sidecars, "folder string, filename string, own array<string>")
-        return _assembled(read, own, self.level_names, self.hierarchy).orderBy("relative_path")
+        return _assembled(read, sides.where("problem is null").select("folder", "filename", "own"), self.level_names, self.hierarchy).orderBy("relative_path")
