@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topograph.llm.storage import stored
@@ -66,34 +66,33 @@ def _starts(table: pa.Table, keys: list[str]) -> tuple[pa.Table, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) of a graph of edges(a, b). In each round labels spread to neighbours and to the
-    labels' own nodes, and are shortened, so that a chain takes about as many rounds as its length has bits."""
+    """node and component (its least node) of a graph of edges(a, b). In each round every node moves to the first of its
+    neighbours and itself, in an order by a hash that changes from round to round, and edges are drawn anew between where
+    their ends have moved. What has become one node has no edges left, so in each round a share of nodes and edges goes,
+    whatever the graph's shape; all rounds together shuffle a few times the edges. Then the moves are put together."""
     ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     # both ways come from one run over the edges: another run may find another forest
-    both = stored(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        new = stored(labels.join(heard, "u").select("u", "label", F.least("label", "heard").alias("next")))
-        told = new.groupBy("label").agg(F.min("next").alias("told"))  # to a label's own node, what its nodes have heard
-        new = stored(new.join(told.withColumnRenamed("label", "_at"), F.col("u") == F.col("_at"), "left").select("u", "label", F.least("next", "told").alias("next")))
-        new = stored(_jumped(new))
-        moved = new.where("label <> next").limit(1).count()
-        labels = new.select("u", F.col("next").alias("label"))
-        if not moved:
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-
-
-def _jumped(labels: DataFrame) -> DataFrame:
-    """labels(u, label, next) with the next of next. A label that more than one of HOT nodes share is hot; these are fewer
-    than HOT, so what they point at is broadcast and their nodes aren't dealt by it."""
-    jump = labels.select(F.col("u").alias("_to"), F.col("next").alias("far"))
-    shared = labels.groupBy("next").agg(F.count("*").alias("n"))
-    least = F.greatest(F.lit(labels.count() / HOT), F.lit(1))
-    hot = F.broadcast(shared.where(F.col("n") > least).select(F.col("next").alias("_to")).join(jump, "_to", "left").select(F.col("_to").alias("_hot"), F.col("far").alias("_far")))
-    rows = labels.join(hot, F.col("next") == F.col("_hot"), "left")
-    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("next")).otherwise(F.concat(F.lit(b"-"), F.col("u"))))  # no node is so named
-    return rows.join(jump, F.col("_key") == F.col("_to"), "left").select("u", "label", F.coalesce("_far", "far", "next").alias("next"))
+    left = stored(edges.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        first = left.groupBy("u").agg(F.min(_placed("v", len(moves))).alias("near"))
+        to = stored(first.select("u", F.least(_placed("u", len(moves)), F.col("near"))["n"].alias("to")))
+        moved = left.join(to, "u").select(F.col("to").alias("u"), "v").join(to.select(F.col("u").alias("v"), "to"), "v")
+        left = stored(moved.select("u", F.col("to").alias("v")).where("u <> v").distinct())
+        moves.append(to)
+    if not moves:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ends = moves.pop()
+    while moves:
+        later = ends.select(F.col("u").alias("to"), F.col("to").alias("end"))
+        ends = moves.pop().join(later, "to", "left").select("u", F.coalesce("end", "to").alias("to"))
+    ends = stored(ends)
+    least = ends.groupBy("to").agg(F.count("*").alias("n"), F.min("u").alias("component"))
+    return by_key(ends, least, "to", "n").select(F.col("u").alias("node"), "component")
+
+
+def _placed(node: str, round_: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(round_), F.col(node)).alias("h"), F.col(node).alias("n"))
 
 
 def by_key(rows: DataFrame, known: DataFrame, key: str, weight: str) -> DataFrame:
