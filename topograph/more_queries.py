@@ -130,17 +130,21 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     return x.select("relative_path", F.sha2("text", 256).alias("checksum"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-@query(f"""WITH {D_SQL}, o AS (SELECT concat_ws('/', lang, source) AS folder, lang, n FROM d), n AS (SELECT CASE WHEN source = 'src1' THEN lang || '/moved' ELSE concat_ws('/', lang, source) END AS folder, lang, n, n % 50 = 7 AS new FROM d WHERE n % 50 <> 8 OR source IS NULL),
-b AS (SELECT DISTINCT folder FROM o WHERE contains(folder, '/')), c AS (SELECT DISTINCT folder FROM n WHERE contains(folder, '/')),
-w AS (SELECT coalesce(b.folder, c.folder) AS path, CASE WHEN b.folder IS NULL THEN 'added' WHEN c.folder IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN c ON b.folder = c.folder
- WHERE b.folder IS NULL OR c.folder IS NULL OR EXISTS (SELECT 1 FROM d WHERE concat_ws('/', lang, source) = b.folder AND (n % 50 = 7 OR n % 50 = 8 AND source IS NOT NULL)))
-SELECT path, change FROM w UNION ALL SELECT DISTINCT string_split(path, '/')[1], 'changed' FROM w UNION ALL SELECT '', 'changed' FROM (SELECT 1 FROM w LIMIT 1)""")
+def _above(rows: str) -> str:
+    """The folders that the files of rows(path) are below, each once."""
+    return f"SELECT DISTINCT array_to_string((string_split(path, '/'))[1:k], '/') AS folder FROM {rows}, unnest(range(0, len(string_split(path, '/')))) t(k)"
+
+
+@query(f"""WITH {D_SQL}, f AS (SELECT DISTINCT relative_path AS path, n, string_split(relative_path, '/') AS parts FROM d), o AS (SELECT path, 'old' AS c FROM f),
+n AS (SELECT CASE WHEN len(parts) = 3 AND parts[2] = 'src1' THEN parts[1] || '/moved/' || parts[3] ELSE path END AS path, CASE WHEN n % 50 = 7 THEN 'new' ELSE 'old' END AS c FROM f WHERE n % 50 <> 8 OR len(parts) < 3),
+x AS (SELECT coalesce(o.path, n.path) AS path FROM o FULL JOIN n ON o.path = n.path AND o.c = n.c WHERE o.path IS NULL OR n.path IS NULL), ax AS ({_above('x')}), ao AS ({_above('o')}), an AS ({_above('n')})
+SELECT ax.folder AS path, CASE WHEN ao.folder IS NULL THEN 'added' WHEN an.folder IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ax LEFT JOIN ao ON ax.folder = ao.folder LEFT JOIN an ON ax.folder = an.folder""")
 def changed_folders(spark, d):
     """Folders that differ between two crawls: some texts are other ones, some files are gone, one source was renamed."""
     old = _versions(spark, d)
     n, source = F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("long"), F.split("relative_path", "/")
     new = old.where((n % 50 != 8) | (F.size(source) < 3)).withColumn("checksum", F.when(n % 50 == 7, F.lit("new")).otherwise(F.col("checksum")))
-    new = new.withColumn("relative_path", F.when(F.get(source, F.lit(1)) == "src1", F.regexp_replace("relative_path", "/src1/", "/moved/")).otherwise(F.col("relative_path")))
+    new = new.withColumn("relative_path", F.when((F.size(source) == 3) & (F.get(source, F.lit(1)) == "src1"), F.regexp_replace("relative_path", "/src1/", "/moved/")).otherwise(F.col("relative_path")))
     return corpus.changed(corpus.digests(old), corpus.digests(new)).select("path", "change")
 
 
