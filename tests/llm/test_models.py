@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topograph.llm import audio, langid, toxicity
 
@@ -139,12 +140,14 @@ def test_toxicity_plain(spark):
 
 
 def test_toxicity_repeated_ids(spark):
-    """Rows that share a doc_id come in one order, so the folds and the chain don't depend on the partitions."""
+    """One text stands for the rows that share a doc_id, so neither the partitions nor the number of repeats change the chain."""
     rows = [(i // 2, say(10, ["a1", "b2", "c3"]) + (" vile" if i % 4 == 0 else ""), 1, int(i % 4 == 0)) for i in range(200)]
     d = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
     labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(100)], "doc_id long, low_quality int, toxic int")
-    a, b = (toxicity.train(d.repartition(n), labels) for n in (1, 7))
-    assert all((x.keys == y.keys).all() and np.allclose(x.weights, y.weights) and x.bias == pytest.approx(y.bias) for x, y in zip(a, b))
+    many = d.unionByName(d.where("doc_id = 3").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("_n"))
+    first = toxicity.train(d.groupBy("doc_id").agg(F.min("text").alias("text")), labels)
+    for other in (toxicity.train(d.repartition(7), labels), toxicity.train(many, labels.unionByName(labels))):
+        assert all((x.keys == y.keys).all() and np.allclose(x.weights, y.weights) and x.bias == pytest.approx(y.bias) for x, y in zip(first, other))
 
 
 def plain_log_mel(samples):

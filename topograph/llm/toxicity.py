@@ -6,8 +6,9 @@ order, and each later logistic model also gets the log-odds of all earlier categ
 it is trained, so that it doesn't trust them more than they deserve.
 
 Training takes at most `max_labelled` labelled rows, those with the smallest hash of doc_id; every text is
-scored whole. Null or empty text has no feature and gets the models' base rate. Labels that are null, or of
-doc_ids without a text, are unused. Without labels of both kinds a category's probability is its base rate (0
+scored whole. Of texts that share a doc_id the first in order of bytes stands for it, and equal labels of one
+doc_id count once, so that bound holds whatever is repeated. Null or empty text has no feature and gets the
+models' base rate. Labels that are null, or of doc_ids without a text, are unused. Without labels of both kinds a category's probability is its base rate (0
 without any row). Extra columns are kept by reject() and ignored by predict(); repeated rows are scored each.
 """
 
@@ -121,7 +122,7 @@ def fit(rows: np.ndarray, codes: np.ndarray, names: np.ndarray, labels: np.ndarr
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_labelled: int = 5000) -> list[Linear]:
     """The chain for the 0/1 columns `categories` of labels(doc_id, ...)."""
-    held = labels.select("doc_id", *categories).dropna()
+    held = labels.select("doc_id", *categories).dropna().distinct()
     chosen = held.orderBy(F.xxhash64("doc_id"), *held.columns).limit(max_labelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
                 own = [np.unique(x).tobytes() for x in _by_row(rows, keys, hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(b.column(c).slice(lo, hi - lo) for c in categories), pa.array(own, pa.binary())], ["doc_id", *categories, "keys"])
 
-    near = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *(F.col(c).cast("int").alias(c) for c in categories))
+    near = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).agg(F.min("text").alias("text"))
     kind = ", ".join(["doc_id bigint", *(f"{c} int" for c in categories), "keys binary"])
     got = near.mapInArrow(thrifty(run), kind).toArrow()
-    got = got.sort_by([(c, "ascending") for c in ("doc_id", *categories, "keys")])  # one order, also of rows that share a doc_id
+    got = got.sort_by([(c, "ascending") for c in ("doc_id", *categories, "keys")])  # one order, whatever the partitions
     table = np.stack([got[c].to_numpy() for c in categories], 1)
     held = got["keys"].combine_chunks()
     sizes = np.fromiter((len(x.as_buffer()) // 8 for x in held), np.int64, len(held))
