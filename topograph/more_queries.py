@@ -12,7 +12,7 @@ from topograph.functions import identity
 from topograph.functions import text as T
 from topograph.functions.confidence import Thresholds, forwarded, should_answer, tier
 from topograph.lineage import cut, scratch_folder
-from topograph.operators import cache, clarify, corpus, report, resolve, retrieve, search
+from topograph.operators import cache, changes, clarify, corpus, report, resolve, retrieve, search
 from topograph.operators.store import Store
 from topograph.plans import filters
 from topograph.plans.template import Attempt, resolve_plan
@@ -422,3 +422,32 @@ for _from, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"
 SQL["html_text"] = f"""WITH s AS (SELECT page_id, html, string_split_regex(regexp_replace({_UNSEEN_SQL}, '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS parts FROM pages),
 p AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM s), t AS (SELECT page_id, i, regexp_replace({_ENTITIES}, '^[\\s ]+|[\\s ]+$', '', 'g') AS line FROM p)
 SELECT s.page_id, CASE WHEN s.html IS NOT NULL THEN coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM t WHERE t.page_id = s.page_id AND line <> ''), '') END AS text FROM s"""
+
+
+ORDER_VERSIONS = """o AS (SELECT o_orderkey AS chunk_id, o_orderstatus AS text FROM orders WHERE o_orderkey % 7 <> 3),
+n AS (SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 11 = 5 THEN o_orderstatus || '!' ELSE o_orderstatus END AS text FROM orders WHERE o_orderkey % 13 <> 2)"""
+
+
+def _order_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of chunks: the second lacks some, has some that are new, and says something else in others."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders")
+    later = F.when(k % 11 == 5, F.concat("o_orderstatus", F.lit("!"))).otherwise(F.col("o_orderstatus"))
+    return rows.where(k % 7 != 3).select(k.alias("chunk_id"), F.col("o_orderstatus").alias("text")), rows.where(k % 13 != 2).select(k.alias("chunk_id"), later.alias("text"))
+
+
+@query(f"""WITH {ORDER_VERSIONS} SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' ELSE 'changed' END AS change, n.text
+FROM o FULL JOIN n ON o.chunk_id = n.chunk_id WHERE o.chunk_id IS NULL OR n.chunk_id IS NULL OR o.text IS DISTINCT FROM n.text""")
+def upload_changes(spark, d):
+    old, new = _order_versions(spark, d)
+    return changes.change_set(old, new).select(F.col("key").alias("chunk_id"), "change", "row.text")
+
+
+@query(f"WITH {ORDER_VERSIONS} SELECT chunk_id, text FROM n")
+def upload_applied(spark, d):
+    """What a stored table has after its second upload."""
+    old, new = _order_versions(spark, d)
+    held = changes.Versions(spark, scratch_folder(spark))
+    held.upload(old, "first")
+    held.upload(new, "second")
+    return held.read()
