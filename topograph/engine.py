@@ -25,10 +25,11 @@ class Engine:
 
     search() takes queries(query_id, message, vector array<float>, and explicit and conversation if there are any) and
     returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
-    the questions are planned on top of them. The cache never holds more than cache_limit entries of a version.
+    the questions are planned on top of them. The cache never holds more than cache_limit entries of a version. `catalog` is
+    one that is kept up by versions (operators.catalogs), which engines share; without it one is made of the documents.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None, catalog: Catalog | None = None):
         if not isinstance(chunks, (DataFrame, Store)):
             raise StoreConfigurationError("chunks must be a DataFrame or a Store")
         rows = chunks.rows if isinstance(chunks, Store) else chunks
@@ -39,7 +40,9 @@ class Engine:
         self.attempts = default_attempts(self.levels) if attempts is None else list(attempts)
         self.thresholds, self.k, self.version = thresholds, search.clamp(k), version
         self.cache = Cache(documents.sparkSession, cache_root, cache_limit) if cache_root else None
-        self.catalog = Catalog.of(documents, self.levels, values).keep()  # filled by the first batch, used by all
+        if catalog is not None and catalog.levels != self.levels:
+            raise StoreConfigurationError(f"the catalog has the levels {catalog.levels}")
+        self.catalog = (Catalog.of(documents, self.levels, values) if catalog is None else catalog).keep()  # filled by the first batch, used by all
 
     @classmethod
     def from_artifacts(cls, spark: SparkSession, folder: str | Path, chunks: DataFrame | Store, **more) -> Engine:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from topograph.functions import identity
 from topograph.functions import text as T
 from topograph.functions.confidence import Thresholds, forwarded, should_answer, tier
 from topograph.lineage import cut, scratch_folder
-from topograph.operators import cache, changes, clarify, corpus, report, resolve, retrieve, search
+from topograph.operators import cache, catalogs, changes, clarify, corpus, report, resolve, retrieve, search
 from topograph.operators.store import Store
 from topograph.plans import filters
 from topograph.plans.template import Attempt, resolve_plan
@@ -451,3 +452,39 @@ def upload_applied(spark, d):
     held.upload(old, "first")
     held.upload(new, "second")
     return held.read()
+
+
+#: What a catalog says after a second version, in one shape: kind, level, key, low and high.
+MAINTAINED = """n AS (SELECT g.*, CASE WHEN CAST(doc_id AS BIGINT) % 11 = 5 THEN 'Moved ' || l1 ELSE l2 END AS l3, CAST(doc_id AS BIGINT) % 11 = 5 AS moved FROM g WHERE CAST(doc_id AS BIGINT) % 13 <> 2),
+lv AS (SELECT doc_id, 0 AS level, l0 AS value FROM n UNION ALL SELECT doc_id, 1, l1 FROM n UNION ALL SELECT doc_id, 2, l3 FROM n WHERE l3 IS NOT NULL),
+a AS (SELECT c.level, c.value AS key, p.level AS up, min(p.value) AS low FROM lv c JOIN lv p ON c.doc_id = p.doc_id AND p.level < c.level GROUP BY ALL HAVING count(DISTINCT p.value) = 1),"""
+
+
+@query(f"""WITH {G_SQL}, {MAINTAINED}
+t AS (SELECT DISTINCT doc_id, relative_path, filename, {NORM.format('term')} AS term FROM (SELECT doc_id, relative_path, filename, unnest([l1, filename, CASE WHEN moved THEN 'moved' END]) AS term FROM n) WHERE term IS NOT NULL),
+ld AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY filename, relative_path) AS place FROM t)
+SELECT 'value' AS kind, level, value AS key, NULL AS low, NULL AS high FROM (SELECT DISTINCT level, value FROM lv)
+UNION ALL SELECT 'parent', level, key, CAST(up AS VARCHAR), low FROM a
+UNION ALL SELECT 'tuple', 3, concat_ws('/', l0, l1, l3), NULL, NULL FROM (SELECT DISTINCT l0, l1, l3 FROM n)
+UNION ALL SELECT 'lead', -1, term, filename, relative_path FROM ld WHERE place <= 4
+UNION ALL SELECT 'span', level, term, min(value), max(value) FROM t JOIN lv ON t.doc_id = lv.doc_id GROUP BY level, term""")
+def maintained_catalog(spark, d):
+    """A catalog that was made for one version of the customers and brought to the next by what differs: some are gone,
+    some are new, and some have another segment and one more name."""
+    k, rows = F.col("doc_id").cast("long"), geo(spark, d)
+    moved = k % 11 == 5
+    segment = F.when(moved, F.concat(F.lit("Moved "), F.element_at("levels", F.lit("nation")))).otherwise(F.element_at("levels", F.lit("segment")))
+    names = F.when(moved, F.array_append("aliases", F.lit("moved"))).otherwise(F.col("aliases"))
+    later = rows.where(k % 13 != 2).withColumns({"levels": levels_of(GEO, F.element_at("levels", F.lit("region")), F.element_at("levels", F.lit("nation")), segment), "aliases": names})
+    kept, old = catalogs.Catalogs(spark, scratch_folder(spark), GEO), rows.where(k % 7 != 3)
+    kept.build(old, "first")
+    kept.advance(old, later, "second")
+    c, none = kept.catalog(), F.lit(None).cast("string")
+    shapes = (
+        c.values.select(F.lit("value").alias("kind"), "level", F.col("value").alias("key"), none.alias("low"), none.alias("high")),
+        c.parents.select(F.lit("parent"), "child_level", "child_value", F.col("parent_level").cast("string"), "parent_value"),
+        c.tuples.select(F.lit("tuple"), F.lit(3), F.array_join("tuple", "/"), none, none),
+        c.leads.select(F.lit("lead"), F.lit(-1), "term", "name", "relative_path"),
+        c.spans.select(F.lit("span"), "level", "term", "low", "high"),
+    )
+    return reduce(DataFrame.union, shapes)

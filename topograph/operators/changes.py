@@ -35,6 +35,13 @@ def _row(columns: Sequence[str]) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in columns))
 
 
+def demand_keys(rows: DataFrame, key: str) -> None:
+    """Raises if a row's key is null or another row's."""
+    wrong = rows.groupBy(F.col(f"`{key}`").alias("key")).count().where("key is null or count > 1").first()
+    if wrong is not None:
+        raise StoreConfigurationError(f"{wrong['count']} rows have {key} {wrong['key']!r}")
+
+
 def change_set(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """key, change (added, changed, removed) and row (the new row, null if removed) of the chunks that differ. Of the old
     version only keys and digests are shuffled."""
@@ -66,9 +73,7 @@ class Versions:
         state = self.state()
         if not upload_due(state and {"corpus_version": state["version"]}, version, state is not None, force):
             return None
-        wrong = chunks.groupBy(F.col(f"`{self.key}`").alias("key")).count().where("key is null or count > 1").first()
-        if wrong is not None:
-            raise StoreConfigurationError(f"{wrong['count']} chunks have {self.key} {wrong['key']!r}")
+        demand_keys(chunks, self.key)
         if state is None:
             n = self._write(chunks, path := self._new("base"))
             self._record(0, version, path, [], n, 0, chunks.schema.json())

@@ -60,11 +60,11 @@ def single_ancestors(documents: DataFrame, levels: Sequence[str]) -> DataFrame:
     return ancestors(documents, levels).groupBy("child_level", "child_value", "parent_level").agg(F.count("*").alias("n"), F.min("parent_value").alias("parent_value")).where("n = 1").drop("n")
 
 
-def alias_terms(documents: DataFrame) -> DataFrame:
-    """relative_path, name and term: each document's normalized aliases, file name and shown name."""
+def alias_terms(documents: DataFrame, *more: Column) -> DataFrame:
+    """relative_path, name and term (and more): each document's normalized aliases, file name and shown name."""
     shown = F.coalesce(T.given(F.col("display_name")), F.col("filename")) if "display_name" in documents.columns else F.col("filename")
     terms = F.transform(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.col("filename"), shown)), T.normalize)
-    return documents.select("relative_path", shown.alias("name"), F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
+    return documents.select("relative_path", shown.alias("name"), *more, F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
 
 
 def manifest(documents: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -41,6 +41,26 @@ FEW_TERMS, FEW_BYTES = 200_000, 8 << 20
 CONVERSATION = f"array<struct<role:string,type:string,content:string,options:array<{OPTION}>,original_query:string>>"
 
 
+def _clean(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("levels", F.transform_values("levels", lambda _, v: T.strip(v)))
+
+
+def marks(documents: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """term, level and value, for each document's terms and values."""
+    return corpus.alias_terms(_clean(documents), corpus.level_array(levels).alias("_at")).select("term", F.posexplode("_at").alias("level", "value")).where("value <> ''")
+
+
+def leading(terms: DataFrame) -> DataFrame:
+    """The first HINTS documents of each term."""
+    order = Window.partitionBy("term").orderBy("name", "relative_path")
+    return terms.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= HINTS).drop("_n")
+
+
+def spanning(found: DataFrame) -> DataFrame:
+    """The lowest and highest value that a term's documents have at a level."""
+    return found.groupBy("term", "level").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 @dataclass
 class Catalog:
     """What queries are resolved against; keep() holds it for several batches."""
@@ -52,30 +72,38 @@ class Catalog:
     parents: DataFrame
     leads: DataFrame
     spans: DataFrame
+    holders: int = 0
 
     @classmethod
     def of(cls, documents: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
         """values: stored (level, value, pos) rows; those of a level that has none are taken from the documents."""
-        clean = documents.withColumn("levels", F.transform_values("levels", lambda _, v: T.strip(v)))
-        derived = corpus.level_values(documents, levels)
-        values = derived if values is None else values.select("level", "value", "pos").unionByName(derived.join(values.select("level").distinct(), "level", "left_anti"))
         terms = corpus.alias_terms(documents)
-        leads = terms.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy("name", "relative_path"))).where(F.col("_n") <= HINTS).drop("_n")
-        each = clean.select("relative_path", F.posexplode(corpus.level_array(levels)).alias("level", "value")).where("value <> ''")
-        spans = terms.select("relative_path", "term").join(each, "relative_path").groupBy("term", "level").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        return cls.made(documents, terms, leading(terms), spanning(marks(documents, levels)), levels, values)
+
+    @classmethod
+    def made(cls, shapes: DataFrame, terms: DataFrame, leads: DataFrame, spans: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
+        """shapes has the `levels` that documents have, each at least once."""
+        derived = corpus.level_values(shapes, levels)
+        values = derived if values is None else values.select("level", "value", "pos").unionByName(derived.join(values.select("level").distinct(), "level", "left_anti"))
+        clean = _clean(shapes)
         return cls(list(levels), values.withColumn("norm", T.normalize("value")), terms, corpus.level_tuples(clean, levels), corpus.single_ancestors(clean, levels), leads, spans)
 
     def _frames(self) -> tuple[DataFrame, ...]:
         return self.values, self.terms, self.tuples, self.parents, self.leads, self.spans
 
     def keep(self) -> Catalog:
-        for f in self._frames():
-            f.persist()
+        self.holders += 1
+        if self.holders == 1:
+            for f in self._frames():
+                f.persist()
         return self
 
     def release(self) -> None:
-        for f in self._frames():
-            f.unpersist()
+        """The last of those that keep it lets go of what is held."""
+        self.holders = max(self.holders - 1, 0)
+        if not self.holders:
+            for f in self._frames():
+                f.unpersist()
 
 
 @cache
