@@ -39,7 +39,7 @@ def wanted(d, name):
     return Counter(db.execute(queries.SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["doc_hints_top4", "infer_levels", "cascade", "candidate_next", "effective_query", "auto_pin", "filtered_topk", "baseline_topk", "confidence_tier", "fallback_select", "token_gate", "report_summary", "clarify_options", "crawl_documents", "crawl_with_text", "crawl_unknown", "crawl_depth", "explicit_pins", "clarification_replies", "alias_terms", "stored_values", "manifest_lookup", "configured_tier", "filter_dialects", "narrowed_chunks", "fixture_results", "edited_plan", "unplanned", "store_failure", "clustered_topk", "filter_values", "version_tree", "changed_folders", "cache_keyed", "clarify_prompt", "report_unexpected", "cache_round_trip", "pdf_trailer", "plain_text", "html_text", "maintained_catalog"])
+@pytest.mark.parametrize("name", ["doc_hints_top4", "infer_levels", "cascade", "candidate_next", "effective_query", "auto_pin", "filtered_topk", "baseline_topk", "confidence_tier", "fallback_select", "token_gate", "report_summary", "clarify_options", "crawl_documents", "crawl_with_text", "crawl_unknown", "crawl_depth", "explicit_pins", "clarification_replies", "alias_terms", "stored_values", "manifest_lookup", "configured_tier", "filter_dialects", "narrowed_chunks", "fixture_results", "edited_plan", "unplanned", "store_failure", "clustered_topk", "filter_values", "version_tree", "changed_folders", "cache_keyed", "clarify_prompt", "report_unexpected", "cache_round_trip", "pdf_trailer", "plain_text", "html_text", "maintained_catalog", "embedded_once"])
 def test_whole_tables(spark, tables, name):
     got = queries.QUERIES[name](spark, tables)
     assert Counter(map(tuple, got.collect())) == wanted(tables, name)

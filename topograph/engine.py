@@ -16,6 +16,7 @@ from topograph.operators import clarify, retrieve, search
 from topograph.operators.cache import FIELDS, LIMIT, Cache, keyed
 from topograph.operators.resolve import Catalog, resolve
 from topograph.operators.store import Store
+from topograph.operators.vectors import Vectors
 from topograph.plans.template import Attempt, default_attempts, resolve_plan
 from topograph.sources import artifacts
 
@@ -27,9 +28,10 @@ class Engine:
     returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
     the questions are planned on top of them. The cache never holds more than cache_limit entries of a version. `catalog` is
     one that is kept up by versions (operators.catalogs), which engines share; without it one is made of the documents.
+    With `vectors`, queries without a vector column get the vectors of their messages, each embedded once.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None, catalog: Catalog | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None, catalog: Catalog | None = None, vectors: Vectors | None = None):
         if not isinstance(chunks, (DataFrame, Store)):
             raise StoreConfigurationError("chunks must be a DataFrame or a Store")
         rows = chunks.rows if isinstance(chunks, Store) else chunks
@@ -42,6 +44,7 @@ class Engine:
         self.cache = Cache(documents.sparkSession, cache_root, cache_limit) if cache_root else None
         if catalog is not None and catalog.levels != self.levels:
             raise StoreConfigurationError(f"the catalog has the levels {catalog.levels}")
+        self.vectors = vectors
         self.catalog = (Catalog.of(documents, self.levels, values) if catalog is None else catalog).keep()  # filled by the first batch, used by all
 
     @classmethod
@@ -84,6 +87,8 @@ class Engine:
 
     def search(self, queries: DataFrame, ask: bool = True) -> DataFrame:
         """One outcome a query, with the resolved context and, if `ask`, a clarification where one is needed."""
+        if self.vectors is not None and "vector" not in queries.columns:
+            queries = cut(self.vectors.of(queries))
         contexts = cut(self.resolve(queries))
         keys = keyed(contexts, self.version)
         held, todo = (None, keys) if self.cache is None else self.cache.get(keys, self.version)

@@ -6,6 +6,7 @@ import json
 import os
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from topograph.functions.confidence import Thresholds, forwarded, should_answer,
 from topograph.lineage import cut, scratch_folder
 from topograph.operators import cache, catalogs, changes, clarify, corpus, report, resolve, retrieve, search
 from topograph.operators.store import Store
+from topograph.operators.vectors import Vectors
 from topograph.plans import filters
 from topograph.plans.template import Attempt, resolve_plan
 from topograph.queries import A_SQL, C_SQL, CHUNK, D_SQL, DOC, G_SQL, GEO, LOW, NORM, SETS, SQL, _decoded, _others, _outcomes, chunks, contexts, documents, geo, levels_of, query, table
@@ -488,3 +490,22 @@ def maintained_catalog(spark, d):
         c.spans.select(F.lit("span"), "level", "term", "low", "high"),
     )
     return reduce(DataFrame.union, shapes)
+
+
+def _lengths(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [float(len(t)), float(t.count("e"))])
+
+
+@query("""WITH t AS (SELECT text, bool_or(doc_id % 3 = 0) AS early FROM documents WHERE text IS NOT NULL GROUP BY text)
+SELECT d.doc_id, CAST(length(d.text) AS FLOAT) AS letters, CAST(length(d.text) - length(replace(d.text, 'e', '')) AS FLOAT) AS es, t.early AS early, CASE WHEN d.text IS NOT NULL THEN 1 END AS times FROM documents d LEFT JOIN t ON d.text = t.text""")
+def embedded_once(spark, d):
+    """Texts of two batches, of which the second has all of the first: whether a text was embedded with the first, and how
+    often it is stored."""
+    x = table(spark, d, "documents").select("doc_id", "text")
+    held = Vectors(spark, scratch_folder(spark), _lengths, "lengths")
+    held.of(x.where("doc_id % 3 = 0"), "text")
+    early = held.stored().select("text_key", F.lit(True).alias("_early"))
+    rows = held.of(x, "text").withColumn("text_key", F.sha2("text", 256))
+    times = held.stored().groupBy("text_key").agg(F.count("*").cast("int").alias("times"))
+    out = rows.join(early, "text_key", "left").join(times, "text_key", "left")
+    return out.select("doc_id", F.get("vector", F.lit(0)).alias("letters"), F.get("vector", F.lit(1)).alias("es"), F.when(F.col("text").isNotNull(), F.coalesce("_early", F.lit(False))).alias("early"), "times")
