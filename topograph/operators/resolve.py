@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from topograph.functions import beginnings
 from topograph.functions import text as T
 from topograph.lineage import cut
 from topograph.operators import corpus
@@ -30,8 +31,6 @@ try:
 except ImportError:  # all vocabularies are joined
     ahocorasick = None
 
-#: Lengths of the beginnings that terms are joined by.
-BEGINNINGS = (1, 2, 3, 5, 8, 12, 16)
 HINTS = 4
 #: The fields of an option of the older shape.
 OLD = ("product", "category", "sub_type")
@@ -130,8 +129,9 @@ def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> Da
     """Pairs where the term is a substring of the query, with no regard to words; an empty term is in nothing.
 
     A vocabulary under a checked size (FEW_TERMS, FEW_BYTES) is broadcast as an automaton that finds all of its terms in
-    one pass. A larger one is joined: a term's beginning (the longest of BEGINNINGS that it has) is among the query's
-    strings of that length, so this is an equi-join and no nested loop, also where many terms begin with the same word.
+    one pass. A larger one is joined: by whole terms if they have few lengths, else by their beginnings of a few lengths.
+    Of a query's strings of these lengths only those go to the join that a filter of bounded size lets through, and
+    neither side of it is broadcast, as the planner can't know how many they are.
     """
     distinct = terms.where(F.col(term) != "").select(F.col(term).alias("_term")).distinct()
     if ahocorasick is not None:
@@ -140,14 +140,15 @@ def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> Da
             found = _by_automaton(queries, query, [r[0] for r in distinct.collect()]) if size["n"] else queries.limit(0).withColumn("_term", F.lit(""))
             return found.join(terms, F.col("_term") == F.col(term)).drop("_term")
 
-    def of(n: int) -> Column:
-        last = F.length(query) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(query), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    left = queries.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*map(of, BEGINNINGS))))))
-    size = F.greatest(*(F.when(F.length(term) >= n, F.lit(n)).otherwise(F.lit(0)) for n in BEGINNINGS))
-    right = terms.where(F.col(term) != "").withColumn("_key", F.substring(F.col(term), F.lit(1), size))
-    return left.join(right, "_key").where(F.contains(F.col(query), F.col(term))).drop("_key")
+    distinct = cut(distinct)
+    if not (lengths := beginnings.lengths_of(distinct, "_term")):
+        return queries.limit(0).join(terms, F.contains(query, term))
+    keyed = cut(distinct.select("_term", beginnings.key_of("_term", lengths).alias("_key")))
+    left = queries.withColumn("_key", F.explode(beginnings.keys_in(queries, query, lengths, beginnings.filter_of(keyed, "_key"))))
+    found = left.hint("merge").join(keyed, "_key").where(F.contains(query, "_term")).drop("_key")
+    if terms.columns == [term]:
+        return found.withColumnRenamed("_term", term)
+    return found.hint("merge").join(terms, F.col("_term") == F.col(term)).drop("_term")
 
 
 def shaped(queries: DataFrame) -> Column:
