@@ -54,3 +54,10 @@ def test_query_sets(spark, tables):
 
 def test_auto_pin_single_brands(spark, tables):
     assert {r.p_type: r.pinned for r in queries.QUERIES["auto_pin"](spark, tables).collect()} == {"T0": "Brand#11", "T1": None, "T2": None, "T3": "Brand#22"}
+
+
+def test_round_trip_of_many(spark, tmp_path):
+    """All outcomes come back, also of more queries than a cache holds by default."""
+    rows = spark.range(20 * 1100).selectExpr("id as vec_id", "array(cast(sin(id) as float), cast(cos(id) as float)) as embedding", "cast(id % 5 as int) as label")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.QUERIES["cache_round_trip"](spark, str(tmp_path)).count() == 1100

@@ -26,12 +26,12 @@ class Engine:
 
     search() takes queries(query_id, message, vector array<float>, and explicit and conversation if there are any) and
     returns one outcome a query. Contexts and outcomes are made once, in a few jobs, and written to the checkpoint folder;
-    the questions are planned on top of them. The cache never holds more than cache_limit entries of a version. `catalog` is
+    the questions are planned on top of them. The cache never holds more than cache_limit entries of a version (None: no limit). `catalog` is
     one that is kept up by versions (operators.catalogs), which engines share; without it one is made of the documents.
     With `vectors`, queries without a vector column get the vectors of their messages, each embedded once.
     """
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int = LIMIT, values: DataFrame | None = None, catalog: Catalog | None = None, vectors: Vectors | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame | Store, level_names: Sequence[str], *, attempts: Sequence[Attempt] | None = None, thresholds: Thresholds = Thresholds(), k: int = search.TOP_K, version: str = "", cache_root: str | None = None, cache_limit: int | None = LIMIT, values: DataFrame | None = None, catalog: Catalog | None = None, vectors: Vectors | None = None):
         if not isinstance(chunks, (DataFrame, Store)):
             raise StoreConfigurationError("chunks must be a DataFrame or a Store")
         rows = chunks.rows if isinstance(chunks, Store) else chunks

@@ -17,6 +17,8 @@ FIELDS = ("reason", "confidence", "top_score", "attempts_made", "results")
 ENTRY = f"key string, reason string, confidence string, top_score double, attempts_made int, results array<{HIT}>, cached_at timestamp, seq bigint, place bigint, first struct<seq:bigint,place:bigint>, corpus_version string"
 #: Folders that the keys are dealt to, and keys of a lookup up to which the files' Bloom filters are asked.
 BUCKETS, FEW_KEYS = 64, 10
+#: Keys that the Bloom filters of a cache without a limit are made for; with more they let more row groups pass.
+UNLIMITED = 1 << 20
 
 
 def keyed(contexts: DataFrame, version: str) -> DataFrame:
@@ -59,20 +61,20 @@ def bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def kept(entries: DataFrame, limit: int) -> DataFrame:
-    """One entry a key, the newest, with the time its key first came; the last `limit` keys by that time."""
+def kept(entries: DataFrame, limit: int | None) -> DataFrame:
+    """One entry a key, the newest, with the time its key first came; the last `limit` keys by that time (None: all)."""
     when = F.struct("seq", "place")
     one = entries.groupBy("key").agg(F.min("first").alias("first"), F.max_by(F.struct(*(c for c in entries.columns if c not in ("key", "first"))), when).alias("_entry"))
-    return one.orderBy(F.desc("first"), "key").limit(limit).select("key", "_entry.*", "first")
+    return (one if limit is None else one.orderBy(F.desc("first"), "key").limit(limit)).select("key", "_entry.*", "first")
 
 
 class Cache:
     """Entries below a folder that all executors see. Every put makes a new generation of its version: one entry a key,
-    the newest, and no more than `limit` of them, sorted in one file a bucket with a Bloom filter of its keys. A
+    the newest, and no more than `limit` of them (None: all), sorted in one file a bucket with a Bloom filter of its keys. A
     generation is seen once it is whole; the one before stays for those who are reading it. Of two puts at one time the
     later one's generation counts, and what only the other had is a miss, as is what a damaged file held."""
 
-    def __init__(self, spark: SparkSession, root: str, limit: int = LIMIT):
+    def __init__(self, spark: SparkSession, root: str, limit: int | None = LIMIT):
         self.spark, self.path, self.limit = spark, f"{root}/retrieval_cache", limit
 
     def _folders(self, path: str) -> list[str]:
@@ -104,7 +106,7 @@ class Cache:
         old = self._generations(version)
         name = f"{self._version(version)}/gen-{int(old[-1].rpartition('gen-')[2].split('-')[0]) + 1 if old else 0:012d}-{uuid.uuid4().hex[:8]}"
         rows = rows.drop("corpus_version").withColumn("bucket", bucket(F.col("key"))).repartition("bucket").sortWithinPartitions("bucket", "key")
-        rows.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1000, self.limit // BUCKETS))).partitionBy("bucket").parquet(name)
+        rows.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1000, (UNLIMITED if self.limit is None else self.limit) // BUCKETS))).partitionBy("bucket").parquet(name)
         for g in old[:-1]:
             fs, own = store_of(self.spark, g)
             fs.delete(own, True)
@@ -122,7 +124,7 @@ class Cache:
         rows = rows if held is None else rows.unionByName(held.drop("bucket", "corpus_version"))
         self._write(kept(rows, self.limit), version)
 
-    def keep_last(self, version: str, limit: int = LIMIT) -> None:
+    def keep_last(self, version: str, limit: int | None = LIMIT) -> None:
         """A new generation with fewer entries."""
         held = self.entries(version)
         if held is not None:
