@@ -39,3 +39,14 @@ def test_large_vocabulary_is_not_broadcast(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert found.count() == 2000
+
+
+def test_few_strings_reach_the_join(spark):
+    """Of long queries only the strings that are terms, and no more of a larger vocabulary's."""
+    q = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.repeat(F.lit("words of no file "), 20), F.col("id").cast("string")).alias("q"))
+    for n in (2000, 8000):
+        terms = spark.range(n).select(F.explode(F.array(F.col("id").cast("string"), F.format_string("%d txt", "id"))).alias("term"))
+        lengths = beginnings.lengths_of(terms, "term")
+        bits = beginnings.filter_of(terms.select(beginnings.key_of("term", lengths).alias("key")), "key")
+        said = [len(r[0]) for r in q.select(beginnings.keys_in(q, "q", lengths, bits)).collect()]
+        assert max(said) <= 9 and sum(said) > 200  # numbers of three digits have six strings
