@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topograph.functions import beginnings
-from topograph.operators import resolve
+from topograph.operators import corpus, resolve
 
 
 def _brute(queries, terms):
@@ -50,3 +50,19 @@ def test_few_strings_reach_the_join(spark):
         bits = beginnings.filter_of(terms.select(beginnings.key_of("term", lengths).alias("key")), "key")
         said = [len(r[0]) for r in q.select(beginnings.keys_in(q, "q", lengths, bits)).collect()]
         assert max(said) <= 9 and sum(said) > 200  # numbers of three digits have six strings
+
+
+def test_parts_are_bounded(spark, monkeypatch):
+    """Neither the documents of a file nor the hints of a file's queries are sorted in one task, and nothing is lost."""
+    monkeypatch.setattr(corpus, "PART_ROWS", 100)
+    monkeypatch.setattr(resolve, "PART_TERMS", 50)
+    name = F.concat(F.lit("red "), (F.col("id") % 7).cast("string"))
+    documents = spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("doc_id"), F.concat(name, F.lit(".txt")).alias("filename"), F.format_string("a/%04d", "id").alias("relative_path"), F.create_map(F.lit("kind"), name).alias("levels"), F.array(name).alias("aliases"))
+    c = resolve.Catalog.of(documents, ["kind"])
+    parts = lambda x: x.rdd.getNumPartitions()
+    assert parts(corpus.spread(documents)) == 10 and parts(corpus.spread(documents.limit(100))) == 1
+    found = resolve.named_terms(spark.range(500).coalesce(1).select(F.col("id").alias("query_id"), F.concat(name, F.lit(" ?")).alias("norm")), c)
+    hints = resolve.hints(found, c)
+    assert parts(hints) == 11 and parts(resolve.agreed(found, c)) == 11
+    assert sorted((r.query_id, r.rank, r.relative_path) for r in hints.collect()) == [(i, k + 1, f"a/{i % 7 + 7 * k:04d}") for i in range(500) for k in range(4)]
+    assert {(r.query_id, r.value) for r in resolve.agreed(found, c).collect()} == {(i, f"red {i % 7}") for i in range(500)}

@@ -14,6 +14,16 @@ from topograph.functions import text as T
 from topograph.lineage import cut
 
 
+#: Documents of one part where their terms are sorted: a file that packs well may have any number.
+PART_ROWS = 100_000
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """The documents in parts of a bounded number of rows, so that no task sorts more of them the larger the corpus is."""
+    parts = -(-documents.count() // PART_ROWS)
+    return documents.repartition(parts, "relative_path") if parts > 1 else documents
+
+
 def level_array(levels: Sequence[str], of: Column | None = None) -> Column:
     """Level values in order, from the map."""
     of = F.col("levels") if of is None else of

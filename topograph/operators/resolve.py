@@ -32,6 +32,8 @@ except ImportError:  # all vocabularies are joined
     ahocorasick = None
 
 HINTS = 4
+#: Terms found in queries, for one part of them.
+PART_TERMS = 20_000
 #: The fields of an option of the older shape.
 OLD = ("product", "category", "sub_type")
 OPTION = "struct<id:string,label:string,level:string,value:string,resolved:map<string,string>>"
@@ -76,8 +78,8 @@ class Catalog:
     @classmethod
     def of(cls, documents: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
         """values: stored (level, value, pos) rows; those of a level that has none are taken from the documents."""
-        terms = corpus.alias_terms(documents)
-        return cls.made(documents, terms, leading(terms), spanning(marks(documents, levels)), levels, values)
+        parts = corpus.spread(documents)
+        return cls.made(documents, corpus.alias_terms(documents), leading(corpus.alias_terms(parts)), spanning(marks(parts, levels)), levels, values)
 
     @classmethod
     def made(cls, shapes: DataFrame, terms: DataFrame, leads: DataFrame, spans: DataFrame, levels: Sequence[str], values: DataFrame | None = None) -> Catalog:
@@ -210,22 +212,29 @@ def lexical_matches(queries: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def named_terms(queries: DataFrame, catalog: Catalog) -> DataFrame:
-    """query_id and term: the distinct terms of documents that occur in a query's `norm`. Documents come in only by
-    what is known of a term, so a term that all documents share doesn't pair each query with each of them."""
-    return contained(queries.select("query_id", F.col("norm").alias("q")), "q", catalog.terms.select("term").distinct(), "term").select("query_id", "term")
+    """query_id and term: the distinct terms of documents that occur in a query's `norm`, found now. Documents come in only
+    by what is known of a term, so a term that all documents share doesn't pair each query with each of them."""
+    return cut(contained(queries.select("query_id", F.col("norm").alias("q")), "q", catalog.terms.select("term").distinct(), "term").select("query_id", "term"))
+
+
+def _dealt(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that were joined to found terms, whole queries in parts of a bounded number of terms. (Summed before this
+    shuffle, a task would hold each of its rows, as hardly two are of one document; and Spark's own parts are bounded in
+    packed bytes, of which one may be sixty in memory.)"""
+    return rows.repartition(found.count() // PART_TERMS + 1, "query_id")
 
 
 def hints(found: DataFrame, catalog: Catalog) -> DataFrame:
     """query_id, relative_path, name, score (length of the longest term that occurs) and rank of the HINTS best documents
     named. A document among them is among the first HINTS of its longest term."""
-    rows = found.join(catalog.leads, "term").groupBy("query_id", "relative_path", "name").agg(F.max(F.length("term")).alias("score"))
+    rows = _dealt(found.join(catalog.leads, "term"), found).groupBy("query_id", "relative_path", "name").agg(F.max(F.length("term")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "relative_path")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HINTS)
 
 
 def agreed(found: DataFrame, catalog: Catalog) -> DataFrame:
     """query_id, level and value where all named documents that have the level have one value."""
-    rows = found.join(catalog.spans, "term").groupBy("query_id", "level").agg(F.min("low").alias("value"), F.max("high").alias("high"))
+    rows = _dealt(found.join(catalog.spans, "term"), found).groupBy("query_id", "level").agg(F.min("low").alias("value"), F.max("high").alias("high"))
     return rows.where("value = high").drop("high")
 
 
