@@ -3,6 +3,7 @@
 import pytest
 
 from topograph.engine import Engine
+from topograph.operators import vectors
 from topograph.operators.vectors import Vectors
 
 
@@ -42,6 +43,18 @@ def test_each_text_once(spark, tmp_path, model):
     assert len(asked()) == 6  # another model's vectors are its own
 
 
+def test_keys_stand_for_texts(spark, tmp_path, model, monkeypatch):
+    """What is written on the way has no text, and rows whose text nobody reads are joined without it."""
+    written = []
+    cut = vectors.cut
+    monkeypatch.setattr(vectors, "cut", lambda frame: written.append(frame.columns) or cut(frame))
+    held = Vectors(spark, f"file://{tmp_path}/v", model[0], "m")
+    out = held.of(rows(spark, "a", "bb", "a", None)).select("text_key", "vector")
+    assert written and all(c == ["_text_key"] for c in written)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "message" not in plan.partition("Join")[2].partition("\n")[0] and out.count() == 4
+
+
 def test_failures(spark, tmp_path, model):
     """A batch that fails stores nothing; a text without an answer is asked again."""
     embed, asked = model

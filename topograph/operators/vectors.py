@@ -44,14 +44,17 @@ class Vectors:
     def of(self, rows: DataFrame, text: str = "message", into: str = "vector") -> DataFrame:
         """Rows with the vector of their text. The vectors that are missing are made now."""
         asked = rows.drop(into).withColumn("_text_key", F.sha2(F.col(text), 256))
-        wanted = cut(asked.where("_text_key is not null").groupBy("_text_key").agg(F.any_value(text).alias("_text")))
-        missing = wanted.join(self.stored().select(F.col("text_key").alias("_text_key")), "_text_key", "left_anti")
-        if (missing := cut(missing)).head(1):
+        known = asked.where("_text_key is not null")
+        stored = self.stored().select(F.col("text_key").alias("_text_key"))
+        wanted = cut(known.select("_text_key").distinct())
+        missing = cut(wanted.join(stored, "_text_key", "left_anti"))
+        if missing.head(1):
+            # only keys were shuffled until here; texts are once, and not at all if none is missing
+            texts = known.groupBy("_text_key").agg(F.any_value(text).alias("_text")).join(missing, "_text_key", "left_semi")
             made = F.pandas_udf(self.embed, ArrayType(FloatType()))(F.col("_text"))
-            spread = missing.repartition(self.spark.sparkContext.defaultParallelism, "_text_key")
             # a filter on the vector here would be a second call of the function
-            spread.select(F.col("_text_key").alias("text_key"), made.alias("vector")).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
-        found = self.stored().withColumnRenamed("text_key", "_text_key").join(wanted.select("_text_key"), "_text_key", "left_semi")
+            texts.select(F.col("_text_key").alias("text_key"), made.alias("vector")).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        found = self.stored().withColumnRenamed("text_key", "_text_key").join(wanted, "_text_key", "left_semi")
         return asked.join(found.groupBy("_text_key").agg(F.min("vector").alias(into)), "_text_key", "left").drop("_text_key")
 
     def compact(self) -> None:
