@@ -142,3 +142,10 @@ def test_artifacts_and_cli(spark, corpus, tmp_path, capsys):
     assert cli.main(["crawl", str(corpus / "none"), "--output", str(out)], spark) == 2
     (corpus / "q.xyz").write_text("?")
     assert cli.main(["crawl", str(corpus), "--levels", "kind", "--strict-unknown-extensions", "--output", str(out)], spark) == 1
+
+
+def test_references_without_a_semicolon():
+    """As in HTML5 and the reference: the old names are decoded, others are text."""
+    from topograph.sources import extract
+
+    assert extract.html(b"<h1>a&amp</h1><p>b&amp;amp c&am</p>") == "a&\nb&amp c&am"
