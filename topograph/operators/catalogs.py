@@ -42,6 +42,11 @@ def _added(frames: Iterable[DataFrame], by: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).groupBy(*by).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    """What a catalog is made of."""
+    return documents.select(*(c for c in (KEY, "filename", "display_name", "levels", "aliases") if c in documents.columns))
+
+
 def _counts(documents: DataFrame, levels: Sequence[str], each: int) -> dict[str, DataFrame]:
     rows = {"terms": corpus.alias_terms(documents), "marks": marks(documents, levels), "tuples": documents.select(corpus.level_array(levels).alias("tuple"))}
     return {what: f.withColumn("n", F.lit(each).cast("long")) for what, f in rows.items()}
@@ -66,7 +71,9 @@ class Catalogs:
 
     def build(self, documents: DataFrame, version: str) -> None:
         """Makes a version's catalog from all its documents."""
+        documents = cut(_named(documents))  # what makes them is run once, not once for each table
         demand_keys(documents, KEY)
+        documents = corpus.spread(documents)
         base, made = self._new("base"), self._new("made")
         counts = _counts(documents, self.levels, 1)
         for what, by in (TERMS, MARKS):
@@ -87,9 +94,9 @@ class Catalogs:
             return True
         demand_keys(new, KEY)
         differ = cut(change_set(old, new, KEY))
-        gone = old.join(differ.where("change <> 'added'").select(F.col("key").alias(KEY)), KEY, "left_semi")
-        come = differ.where("change <> 'removed'").select("row.*")
-        lowered, raised = _counts(gone, self.levels, -1), _counts(come, self.levels, 1)
+        gone = cut(_named(old).join(differ.where("change <> 'added'").select(F.col("key").alias(KEY)), KEY, "left_semi"))
+        come = _named(differ.where("change <> 'removed'").select("row.*"))
+        lowered, raised = _counts(corpus.spread(gone), self.levels, -1), _counts(corpus.spread(come), self.levels, 1)
         path, made = self._new("changes"), self._new("made")
         for what, by in (TERMS, MARKS, TUPLES):
             self._write(_added([lowered[what], raised[what]], by), f"{path}/{what}")
