@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,34 @@ def test_few_strings_reach_the_join(spark):
         assert max(said) <= 9 and sum(said) > 200  # numbers of three digits have six strings
 
 
+def test_filter_grows_with_the_vocabulary(spark):
+    """Whatever the number of terms, hardly a string that is none gets through, and every term does."""
+    q = spark.range(300).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.substring(F.md5(F.concat_ws(":", "id", i)), 1, 6))).alias("q"))
+    sizes = []
+    for n in (20_000, 2_000_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+        bits = beginnings.filter_of(keys, "key")
+        sizes.append(bits.size)
+        own = np.array([r.key for r in keys.limit(5000).collect()]).view(np.uint64)
+        assert len(beginnings._there(bits, own)) == len(own)
+        assert sum(len(r[0]) for r in q.select(beginnings.keys_in(q, "q", [6, 7], bits)).collect()) < 1000  # of 1.2 million strings
+    assert sizes == [1 << 17, 1 << 23]
+
+
+def test_whole_terms_meet_without_texts(spark, monkeypatch):
+    """The texts of queries stay out of the join with whole terms; pieces of characters are nothing, not an error."""
+    monkeypatch.setattr(resolve, "FEW_TERMS", 0)
+    q = spark.createDataFrame([(0, "caf\u00e9 \u6f22\u5b57"), (1, None), (2, "caf\u00e9 caf\u00e9")], "query_id int, q string")
+    terms = spark.createDataFrame([("\u00e9",), ("\u6f22",), ("caf",), ("f\u00e9 ",)], "term string")
+    found = resolve.contained(q, "q", terms, "term")
+    assert found.columns == ["query_id", "q", "term"]
+    assert sorted((r.query_id, r.term) for r in found.collect()) == sorted([(0, "\u00e9"), (0, "\u6f22"), (0, "caf"), (0, "f\u00e9 "), (2, "\u00e9"), (2, "caf"), (2, "f\u00e9 ")])
+    plan = found.select("query_id", "term")._jdf.queryExecution().executedPlan().toString()
+    assert not any("q#" in x for x in plan.splitlines() if "Exchange" in x) and "q#" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x)
+    everything = beginnings.strings_in(q, "q", [1, 2, 3], np.full(1 << 13, 255, dtype=np.uint8))
+    assert q.select(everything.alias("s")).where("array_contains(s, '\u6f22')").count() == 1
+
+
 def test_parts_are_bounded(spark, monkeypatch):
     """Neither the documents of a file nor the hints of a file's queries are sorted in one task, and nothing is lost."""
     monkeypatch.setattr(corpus, "PART_ROWS", 100)

@@ -6,17 +6,20 @@ steps. Keys only pair; whoever joins by them compares the strings.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths of beginnings, at most, and bits of the filter that says which keys a vocabulary may have.
-LENGTHS, FILTER_BITS = 24, 26
-#: Bits of one piece of the filter, as bitmap_construct_agg() makes them.
-PIECE = 1 << 15
+#: Lengths of beginnings, at most, and bits (as a power of 2, at most) of the filter that says which keys a vocabulary may have.
+LENGTHS, FILTER_BITS = 24, 29
+#: Bits of the filter for each key at least, below that limit, and how many of them a key sets.
+KEY_BITS, PROBES = 32, 4
+#: Bits of one piece of the filter, as bitmap_construct_agg() makes them. A key's bits are in one piece.
+PIECE_BITS = 15
+PIECE = 1 << PIECE_BITS
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -67,21 +70,37 @@ def key_of(term: Column | str, lengths: Sequence[int]) -> Column:
 
 
 def filter_of(keys: DataFrame, key: str) -> np.ndarray:
-    """Two bits for each key, in a map of 2**FILTER_BITS bits, whatever the number of keys."""
-    bits = keys.select(F.explode(F.array(F.shiftrightunsigned(key, 64 - FILTER_BITS), F.col(key).bitwiseAND((1 << FILTER_BITS) - 1))).alias("bit"))
-    pieces = bits.groupBy((F.col("bit") / PIECE).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.col("bit") % PIECE).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in pieces.toLocalIterator():
+    """PROBES bits for each key, in a map that grows with the number of keys up to 2**FILTER_BITS bits."""
+    size = min(max((KEY_BITS * keys.count() - 1).bit_length(), PIECE_BITS + 1), FILTER_BITS)
+    dealt = keys.select(F.shiftrightunsigned(key, 64 - size + PIECE_BITS).alias("piece"), F.col(key).alias("key")).repartition("piece")
+    step = F.shiftrightunsigned("key", PIECE_BITS).bitwiseAND(PIECE - 1).bitwiseOR(1)
+    bits = dealt.select("piece", F.explode(F.array(*((F.col("key").bitwiseAND(PIECE - 1) + step * i).bitwiseAND(PIECE - 1) for i in range(PROBES)))).alias("bit"))
+    out = np.zeros((1 << size) // 8, dtype=np.uint8)
+    for r in bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         out[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
 
 def _there(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    def one(bit: np.ndarray) -> np.ndarray:
-        return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-
-    size = bits.size.bit_length() + 2  # FILTER_BITS of whoever made it
-    return (one(keys >> np.uint64(64 - size)) & one(keys & np.uint64((1 << size) - 1))).astype(bool)
+    """Places of the keys whose bits are all set."""
+    left = np.arange(len(keys))
+    low = np.uint64(PIECE - 1)
+    piece = (keys >> np.uint64(64 - (bits.size.bit_length() + 2) + PIECE_BITS)) << np.uint64(PIECE_BITS)
+    for i in range(PROBES):
+        own = keys[left]
+        step = (own >> np.uint64(PIECE_BITS)) & low | np.uint64(1)
+        bit = piece[left] | ((own & low) + step * np.uint64(i)) & low
+        left = left[((bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+    return left
+
+
+def _passing(rolled: _Rolled, lengths: Sequence[int], bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length, where the strings begin that the filter lets through, and their keys."""
+    for n in lengths:
+        at = np.flatnonzero(rolled.left >= n)
+        keys = rolled.keys(at, n)
+        kept = _there(bits, keys)
+        yield n, at[kept], keys[kept]
 
 
 def keys_in(queries: DataFrame, query: str, lengths: Sequence[int], bits: np.ndarray) -> Column:
@@ -91,15 +110,36 @@ def keys_in(queries: DataFrame, query: str, lengths: Sequence[int], bits: np.nda
     def run(batch: pd.Series) -> pd.Series:
         rolled = _Rolled([b"" if q is None else q.encode() for q in batch])
         texts, found = [], []
-        for n in lengths:
-            at = np.flatnonzero(rolled.left >= n)
-            keys = rolled.keys(at, n)
-            kept = _there(shared.value, keys)
-            texts.append(rolled.text[at[kept]])
-            found.append(keys[kept].view(np.int64))
+        for _, at, keys in _passing(rolled, lengths, shared.value):
+            texts.append(rolled.text[at])
+            found.append(keys.view(np.int64))
         rows = pd.DataFrame({"text": np.concatenate(texts), "key": np.concatenate(found)}).drop_duplicates().sort_values("text", kind="stable")
         ends = np.searchsorted(rows["text"], np.arange(len(batch) + 1))
         keys = rows["key"].to_numpy()
         return pd.Series([keys[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], dtype=object)
 
     return F.pandas_udf(run, "array<bigint>")(F.col(query))
+
+
+def strings_in(queries: DataFrame, query: str, lengths: Sequence[int], bits: np.ndarray) -> Column:
+    """The distinct strings in a query, of these lengths, that the filter lets through."""
+    shared = queries.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batch: pd.Series) -> pd.Series:
+        texts = [b"" if q is None else q.encode() for q in batch]
+        rolled, data = _Rolled(texts), b"".join(texts)
+        found: list[set[bytes]] = [set() for _ in texts]
+        for n, at, _ in _passing(rolled, lengths, shared.value):
+            for text, a in zip(rolled.text[at].tolist(), at.tolist(), strict=True):
+                found[text].add(data[a : a + n])
+        return pd.Series([sorted(s for x in own if (s := _decoded(x)) is not None) for own in found], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(F.col(query))
+
+
+def _decoded(data: bytes) -> str | None:
+    """None for bytes that begin or end inside a character, and so are no term."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None

@@ -131,9 +131,10 @@ def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> Da
     """Pairs where the term is a substring of the query, with no regard to words; an empty term is in nothing.
 
     A vocabulary under a checked size (FEW_TERMS, FEW_BYTES) is broadcast as an automaton that finds all of its terms in
-    one pass. A larger one is joined: by whole terms if they have few lengths, else by their beginnings of a few lengths.
-    Of a query's strings of these lengths only those go to the join that a filter of bounded size lets through, and
-    neither side of it is broadcast, as the planner can't know how many they are.
+    one pass. A larger one is joined: by whole terms if they have few lengths (a query's text then stays out of the join),
+    else by their beginnings of a few lengths. Of a query's strings of these lengths only those go to the join that a
+    filter of the vocabulary's size, up to a bound, lets through, and neither side of it is broadcast, as the planner can't
+    know how many they are.
     """
     distinct = terms.where(F.col(term) != "").select(F.col(term).alias("_term")).distinct()
     if ahocorasick is not None:
@@ -145,9 +146,14 @@ def contained(queries: DataFrame, query: str, terms: DataFrame, term: str) -> Da
     distinct = cut(distinct)
     if not (lengths := beginnings.lengths_of(distinct, "_term")):
         return queries.limit(0).join(terms, F.contains(query, term))
-    keyed = cut(distinct.select("_term", beginnings.key_of("_term", lengths).alias("_key")))
-    left = queries.withColumn("_key", F.explode(beginnings.keys_in(queries, query, lengths, beginnings.filter_of(keyed, "_key"))))
-    found = left.hint("merge").join(keyed, "_key").where(F.contains(query, "_term")).drop("_key")
+    keyed = distinct.select("_term", beginnings.key_of("_term", lengths).alias("_key"))
+    if distinct.where(~F.octet_length("_term").isin(lengths)).isEmpty():  # whole terms
+        left = queries.withColumn("_term", F.explode(beginnings.strings_in(queries, query, lengths, beginnings.filter_of(keyed, "_key"))))
+        found = left.hint("merge").join(distinct, "_term").select(*queries.columns, "_term")
+    else:
+        keyed = cut(keyed)
+        left = queries.withColumn("_key", F.explode(beginnings.keys_in(queries, query, lengths, beginnings.filter_of(keyed, "_key"))))
+        found = left.hint("merge").join(keyed, "_key").where(F.contains(query, "_term")).drop("_key")
     if terms.columns == [term]:
         return found.withColumnRenamed("_term", term)
     return found.hint("merge").join(terms, F.col("_term") == F.col(term)).drop("_term")
